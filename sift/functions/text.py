@@ -36,8 +36,27 @@ def strip_u(c) -> Column:
 
 
 def collapse_ws(c) -> Column:
-    """Every whitespace run becomes one space, then strip."""
-    return strip_u(F.regexp_replace(_c(c), f"{WS}+", " "))
+    """Every whitespace run becomes one space, then strip (B12). After the
+    replacement the only whitespace left is ' ', so a plain trim strips."""
+    return F.trim(F.regexp_replace(_c(c), f"{WS}+", " "))
+
+
+def count_spaced_tokens(c) -> Column:
+    """Token count of a collapsed text (single spaces, no edge spaces):
+    spaces + 1, or 0 for the empty string. No array is built."""
+    col = _c(c)
+    return F.when(col == "", F.lit(0)).otherwise(
+        F.length(col) - F.length(F.replace(col, F.lit(" "), F.lit(""))) + 1).cast("int")
+
+
+def count_runs(c, cls: str, marker: str) -> Column:
+    """Number of maximal runs of ``cls`` characters in one linear regex pass,
+    without building an array: each run plus the non-class text after it
+    becomes ``marker`` (a member of ``cls``), leaving a class-free prefix
+    followed by one marker per run; the trailing markers are counted."""
+    neg = "[^" + cls[1:]
+    r = F.regexp_replace(_c(c), f"{cls}+{neg}*", marker)
+    return F.length(r) - F.length(F.rtrim(r, F.lit(marker)))
 
 
 def words(c) -> Column:
@@ -86,15 +105,35 @@ def short_id(c) -> Column:
 
 
 def script_mix(c) -> Column:
-    """Shares of Latin and Arabic letter *runs* (B13); denominator runs+1."""
-    ar = F.regexp_count(_c(c), F.lit(ARABIC_RUN_RE)).cast("double")
-    la = F.regexp_count(_c(c), F.lit(LATIN_RUN_RE)).cast("double")
+    """Shares of Latin and Arabic letter *runs* (B13); denominator runs+1.
+    (Single expression; ``with_script_mix`` stages it for big frames.)"""
+    ar = count_runs(c, ARABIC_RUN_RE[:-1], "\u0627").cast("double")
+    la = count_runs(c, LATIN_RUN_RE[:-1], "a").cast("double")
+    return mix_struct(la, ar)
+
+
+def mix_struct(la: Column, ar: Column) -> Column:
     total = ar + la + F.lit(1.0)
     ar_r, la_r = ar / total, la / total
     return F.struct(F.round(la_r, 3).alias("id"), F.round(ar_r, 3).alias("ar"),
                     F.round(F.lit(1.0) - la_r - ar_r, 3).alias("other"))
 
 
+def with_script_mix(df, text_col: str, out: str):
+    """B13 staged: each run count is its own projected column, so no regex
+    is evaluated twice per row."""
+    la_r, ar_r = f"{out}__la", f"{out}__ar"
+    ar_any = F.col(text_col).rlike(ARABIC_RUN_RE[:-1])
+    return (df.withColumns({la_r: F.regexp_replace(F.col(text_col), f"{LATIN_RUN_RE}[^a-zA-Z]*", "a"),
+                            ar_r: F.when(ar_any, F.regexp_replace(
+                                F.col(text_col), f"{ARABIC_RUN_RE}[^" + ARABIC_RUN_RE[1:-1] + "*",
+                                "\u0627")).otherwise(F.lit(""))})
+            .withColumn(out, mix_struct(
+                (F.length(la_r) - F.length(F.rtrim(F.col(la_r), F.lit("a")))).cast("double"),
+                (F.length(ar_r) - F.length(F.rtrim(F.col(ar_r), F.lit("\u0627")))).cast("double")))
+            .drop(la_r, ar_r))
+
+
 def preview(c, n: int, ellipsis: str = "") -> Column:
     """First ``n`` characters, optionally followed by a marker."""
     s = F.substring(_c(c), 1, n)
@@ -126,12 +165,44 @@ def contains_any_literal(c, needles) -> Column:
     return out
 
 
+def _trie(keys: list[str]) -> str:
+    """Literal keys as a prefix-trie regex: alternatives fail on their first
+    character instead of being tried one by one."""
+    import re
+    if "" in keys and len(keys) == 1:
+        return ""
+    groups: dict[str, list[str]] = {}
+    empty = False
+    for k in keys:
+        if k == "":
+            empty = True
+        else:
+            groups.setdefault(k[0], []).append(k[1:])
+    alts = [re.escape(c) + _trie(rest) for c, rest in sorted(groups.items())]
+    body = alts[0] if len(alts) == 1 and not empty else "(?:" + "|".join(alts) + ")"
+    return body + ("?" if empty else "")
+
+
+def any_token_regex(keys) -> str:
+    """Whole-token match of any (lower-case) key; apply to lower-cased text."""
+    return f"(?<!{NWS})" + _trie(sorted(set(keys))) + f"(?!{NWS})"
+
+
 def map_tokens(c, mapping: dict[str, str]) -> Column:
     """Whole-token lookup on lower-cased tokens, single pass; an empty
-    replacement deletes the token; tokens rejoined by one space (B10)."""
+    replacement deletes the token; tokens rejoined by one space (B10).
+    ``has_dictionary_token`` is a cheaper pre-test where dictionary tokens
+    are rare (texts without one differ from the rejoined form only in
+    whitespace).
+    """
     toks = words(c)
     if not mapping:
         return F.array_join(toks, " ")
     m = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
     mapped = F.transform(toks, lambda w: F.coalesce(F.try_element_at(m, F.lower(w)), w))
     return F.array_join(F.filter(mapped, lambda w: w != F.lit("")), " ")
+
+
+def has_dictionary_token(c, mapping: dict[str, str]) -> Column:
+    """Whether any whitespace token of ``c`` lower-cases to a key."""
+    return F.lower(_c(c)).rlike(any_token_regex(mapping.keys())) if mapping else F.lit(False)

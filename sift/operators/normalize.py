@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sift import dictionaries as D
 from sift.functions import text as X
@@ -39,27 +38,28 @@ def normalize(df: DataFrame, text_col: str = "text", slang=None, emoji=None,
     """
     raw = F.col(text_col)
     pairs = _emoji_pairs(emoji)
-    # Emoji keys are literal and applied in order; the flag is whether any
-    # key occurs in the URL-free text.
-    no_url = X.strip_urls(raw)
-    with_tags = X.replace_all_literal(no_url, [(e, f" {t} ") for e, t in pairs])
-    has_emoji = X.contains_any_literal(no_url, [e for e, _ in pairs])
-
     if slang is not None and not isinstance(slang, list) and small_rows(slang, None, MAX_INLINE_ROWS) is None:
         return normalize_slang_join(df, text_col, slang, emoji, prefix)
     slang_map = _slang_map(slang)
-    t = X.map_tokens(with_tags, slang_map)
-    t = X.unwrap_hashtags(X.strip_mentions(t))
-    t = X.collapse_ws(t)
-    mix = X.script_mix(raw)
     p = prefix
-    return (df
-            .withColumn(f"{p}normalized_text", t)
-            .withColumn(f"{p}token_count", X.token_count(F.col(f"{p}normalized_text")))
-            .withColumn(f"{p}content_hash", X.sha256_hex(raw))
-            .withColumn(f"{p}lang_mix", mix)
-            .withColumn(f"{p}has_emoji", has_emoji)
-            .withColumn(f"{p}stripped_urls", X.extract_urls(raw)))
+    # Each intermediate that is read more than once is its own projected
+    # column: Catalyst does not de-duplicate work inside CASE branches.
+    out = df.withColumn("__nourl", X.strip_urls(raw))
+    # Emoji keys are literal and applied in order; the flag is whether any
+    # key occurs in the URL-free text.
+    out = out.withColumn(f"{p}has_emoji", X.contains_any_literal(F.col("__nourl"), [e for e, _ in pairs]))
+    out = out.withColumn("__tags", F.when(F.col(f"{p}has_emoji"), X.replace_all_literal(
+        F.col("__nourl"), [(e, f" {t} ") for e, t in pairs])).otherwise(F.col("__nourl")))
+    slanged = X.map_tokens(F.col("__tags"), slang_map)
+    t = X.collapse_ws(X.unwrap_hashtags(X.strip_mentions(slanged)))
+    out = out.withColumn(f"{p}normalized_text", t)
+    out = out.withColumns({
+        f"{p}token_count": X.count_spaced_tokens(F.col(f"{p}normalized_text")),
+        f"{p}content_hash": X.sha256_hex(raw),
+        f"{p}stripped_urls": X.extract_urls(raw),
+    })
+    out = X.with_script_mix(out, text_col, f"{p}lang_mix")
+    return out.drop("__nourl", "__tags")
 
 
 def normalize_slang_join(df: DataFrame, text_col: str, slang: DataFrame, emoji=None,
@@ -90,7 +90,7 @@ def normalize_slang_join(df: DataFrame, text_col: str, slang: DataFrame, emoji=N
     out = base.join(rejoined, rid, "left")
     t = X.collapse_ws(X.unwrap_hashtags(X.strip_mentions(F.coalesce(F.col("__slang"), F.lit("")))))
     out = (out.withColumn(f"{p}normalized_text", t)
-           .withColumn(f"{p}token_count", X.token_count(F.col(f"{p}normalized_text")))
+           .withColumn(f"{p}token_count", X.count_spaced_tokens(F.col(f"{p}normalized_text")))
            .withColumn(f"{p}content_hash", X.sha256_hex(raw))
            .withColumn(f"{p}lang_mix", X.script_mix(raw))
            .withColumn(f"{p}has_emoji", X.contains_any_literal(no_url, [e for e, _ in pairs]))
@@ -106,8 +106,3 @@ def flatten_mix(df: DataFrame, prefix: str = "") -> DataFrame:
             .withColumn(f"{p}lang_other", F.col(f"{p}lang_mix.other"))
             .drop(f"{p}lang_mix"))
 
-
-NORMALIZED_FIELDS = T.StructType([
-    T.StructField("normalized_text", T.StringType()),
-    T.StructField("token_count", T.IntegerType()),
-])

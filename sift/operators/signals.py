@@ -35,7 +35,7 @@ def java_pattern(p: str) -> str:
     return "(?U)" + p
 
 
-def lexicon_signals(text: Column, lexicon=None) -> Column:
+def lexicon_signals(text: Column, lexicon=None, low: Column | None = None) -> Column:
     """Lower-cased substring containment, one signal per term in order.
     HIGH/MEDIUM keep their level, every other level becomes LOW."""
     rows = as_rows(lexicon.orderBy("ord").select("term", "meaning", "threat_level", "note")) \
@@ -48,16 +48,39 @@ def lexicon_signals(text: Column, lexicon=None) -> Column:
                  F.lit(level if level in KEEP_LEVELS else "LOW").alias("sig"),
                  F.lit(f"{meaning} - {note}").alias("expl"))
         for term, meaning, level, note in rows])
-    low = F.lower(text)
+    low = F.lower(text) if low is None else low
     hits = F.filter(entries, lambda e: F.contains(low, e["k"]))
     return F.transform(hits, lambda e: _sig("EUPHEMISM", e["term"], e["sig"], e["expl"]))
 
 
-def _first_match(text: Column, pattern: str):
-    """(matched, start, end) of the first match of ``pattern`` in lower(text)."""
-    low = F.lower(text)
+def staged_pattern_offsets(df: DataFrame, low_col: str, patterns, prefix: str) -> DataFrame:
+    """Per pattern ``{prefix}{i}`` = struct(s, e) of the first match in
+    ``low_col`` or null, each split evaluated once per matching row."""
+    parts = {f"{prefix}{i}p": F.when(F.col(low_col).rlike(java_pattern(p)),
+                                     F.split(F.col(low_col), F.lit(java_pattern(p)), 2))
+             for i, p in enumerate(patterns)}
+    out = df.withColumns(parts)
+    offs = {f"{prefix}{i}": F.when(F.col(f"{prefix}{i}p").isNotNull(), F.struct(
+        F.length(F.element_at(F.col(f"{prefix}{i}p"), 1)).alias("s"),
+        (F.length(low_col) - F.length(F.element_at(F.col(f"{prefix}{i}p"), 2))).alias("e")))
+        for i in range(len(patterns))}
+    return out.withColumns(offs).drop(*parts.keys())
+
+
+def _pattern_list(patterns, default):
+    if patterns is not None and not isinstance(patterns, list):
+        return [r[0] for r in as_rows(patterns.orderBy("ord").select("pattern"))]
+    return patterns or default
+
+
+def _first_match(text: Column, pattern: str, low: Column | None = None):
+    """(matched, start, end) of the first match of ``pattern`` in lower(text).
+
+    ``matched`` is a cached-regex ``rlike``; callers put the offset work
+    under ``when(matched, ...)`` so the split only runs on matching rows."""
+    low = F.lower(text) if low is None else low
     parts = F.split(low, F.lit(java_pattern(pattern)), 2)
-    matched = F.size(parts) == 2
+    matched = low.rlike(java_pattern(pattern))
     start = F.length(F.element_at(parts, 1))
     end = F.length(low) - F.length(F.try_element_at(parts, F.lit(2)))
     return matched, start, end, low
@@ -69,30 +92,30 @@ def _window(text: Column, low: Column, start: Column, end: Column, before: int,
     return X.strip_u(F.substring(text, lo + 1, hi - lo))
 
 
-def action_signals(text: Column, patterns=None) -> Column:
+def action_signals(text: Column, patterns=None, low: Column | None = None) -> Column:
     """Per pattern, the original text from 20 before to 40 after the first
     match, stripped; significance MEDIUM."""
     pats = [r[0] for r in as_rows(patterns.orderBy("ord").select("pattern"))] \
         if patterns is not None and not isinstance(patterns, list) else (patterns or D.ACTION_PATTERNS)
     out = []
     for p in pats:
-        m, s, e, low = _first_match(text, p)
-        ctx = _window(text, low, s, e, 20, 40)
+        m, s, e, lw = _first_match(text, p, low)
+        ctx = _window(text, lw, s, e, 20, 40)
         out.append(F.when(m, _sig("CALL_TO_ACTION", ctx, "MEDIUM",
                                   F.lit(f"call-to-action pattern: '{p.strip()}'"))))
     return _compact(out)
 
 
-def urgency_signals(text: Column, patterns=None) -> Column:
+def urgency_signals(text: Column, patterns=None, low: Column | None = None) -> Column:
     """Per pattern, the matched lower-case text; the -15/+30 context goes
     into the explanation; significance LOW."""
     pats = [r[0] for r in as_rows(patterns.orderBy("ord").select("pattern"))] \
         if patterns is not None and not isinstance(patterns, list) else (patterns or D.URGENCY_PATTERNS)
     out = []
     for p in pats:
-        m, s, e, low = _first_match(text, p)
-        matched = F.substring(low, s + 1, e - s)
-        ctx = _window(text, low, s, e, 15, 30)
+        m, s, e, lw = _first_match(text, p, low)
+        matched = F.substring(lw, s + 1, e - s)
+        ctx = _window(text, lw, s, e, 15, 30)
         out.append(F.when(m, _sig("TEMPORAL", matched, "LOW",
                                   F.concat(F.lit("urgency near: '"), ctx, F.lit("'")))))
     return _compact(out)
@@ -127,11 +150,28 @@ def extract_signals(df: DataFrame, text_col: str = "text", ar_col: str | None =
     """C5 composite on the raw text; adds ``signals`` and ``signal_count``."""
     t = F.col(text_col)
     ar = F.col(ar_col) if ar_col else X.script_mix(t)["ar"]
-    allsig = F.concat(lexicon_signals(t, lexicon), action_signals(t, action_patterns),
-                      urgency_signals(t, urgency_patterns), script_signal(ar))
-    return (df.withColumn("__sig_all", allsig)
+    acts = _pattern_list(action_patterns, D.ACTION_PATTERNS)
+    urgs = _pattern_list(urgency_patterns, D.URGENCY_PATTERNS)
+    staged = df.withColumn("__low", F.lower(t))
+    staged = staged_pattern_offsets(staged, "__low", acts, "__a")
+    staged = staged_pattern_offsets(staged, "__low", urgs, "__u")
+    low = F.col("__low")
+    a_items, u_items = [], []
+    for i, p in enumerate(acts):
+        o = F.col(f"__a{i}")
+        ctx = _window(t, low, o["s"], o["e"], 20, 40)
+        a_items.append(F.when(o.isNotNull(), _sig("CALL_TO_ACTION", ctx, "MEDIUM",
+                                                   F.lit(f"call-to-action pattern: '{p.strip()}'"))))
+    for i, p in enumerate(urgs):
+        o = F.col(f"__u{i}")
+        ctx = _window(t, low, o["s"], o["e"], 15, 30)
+        u_items.append(F.when(o.isNotNull(), _sig("TEMPORAL", F.substring(low, o["s"] + 1, o["e"] - o["s"]), "LOW",
+                                                   F.concat(F.lit("urgency near: '"), ctx, F.lit("'")))))
+    allsig = F.concat(lexicon_signals(t, lexicon, low), _compact(a_items), _compact(u_items), script_signal(ar))
+    tmp = ["__low"] + [f"__a{i}" for i in range(len(acts))] + [f"__u{i}" for i in range(len(urgs))]
+    return (staged.withColumn("__sig_all", allsig)
             .withColumn(out, dedup_signals(F.col("__sig_all")))
-            .drop("__sig_all")
+            .drop("__sig_all", *tmp)
             .withColumn("signal_count", F.size(out)))
 
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sift.operators.partitioning import spread
 from sift.session import read_table
 
 AS_OF = "2024-01-30"
@@ -47,7 +48,7 @@ CORPUS_URGENCY_PATTERNS = [
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents")
+    return spread(read_table(spark, sf_dir, "documents"), "doc_id")
 
 
 # --- Artefact injection for the normaliser (URLs, emoji, Arabic, slang) ----
