@@ -102,7 +102,8 @@ def fuse(local, expert, w_local: float = 0.4, w_expert: float = 0.6) -> Column:
 def map_to_probs(m, scheme: LabelScheme = DEFAULT_SCHEME) -> Column:
     """``map<label, p>`` -> array in label order, missing labels -> 0."""
     mm = _c(m)
-    return F.array(*[F.coalesce(F.try_element_at(mm, F.lit(l)), F.lit(0.0)) for l in scheme.labels])
+    arr = F.array(*[F.coalesce(F.try_element_at(mm, F.lit(l)), F.lit(0.0)) for l in scheme.labels])
+    return F.when(mm.isNotNull(), arr)
 
 
 def probs_to_map(probs, scheme: LabelScheme = DEFAULT_SCHEME) -> Column:

@@ -59,12 +59,14 @@ def fuse_scores(local, expert_probs, expert_label, scheme: LabelScheme = DEFAULT
     ci = scheme.index(scheme.critical)
     fused = S.fuse(loc, ex, w_local, w_expert)
     lab = S.argmax_label(fused, scheme)
-    override = (el == scheme.critical) & (lab != scheme.critical)
+    override = F.coalesce((el == scheme.critical) & (lab != scheme.critical)
+                          & loc.isNotNull() & ex.isNotNull(), F.lit(False))
     bumped = F.transform(fused, lambda x, i: F.when(i == ci, F.greatest(x, F.lit(0.5))).otherwise(x))
     final = F.when(override, S.renormalize(bumped, guard_zero=False)).otherwise(fused)
     final_label = F.when(override, F.lit(scheme.critical)).otherwise(lab)
-    probs = F.when(loc.isNull(), ex).otherwise(final)
-    label = F.when(loc.isNull(), el).otherwise(final_label)
+    # Only one side present: that side stands unchanged.
+    probs = F.when(loc.isNull(), ex).when(ex.isNull(), loc).otherwise(final)
+    label = F.when(loc.isNull(), el).when(ex.isNull(), S.argmax_label(loc, scheme)).otherwise(final_label)
     return F.struct(label.alias("label"), probs.alias("probabilities"),
                     S.entropy(probs).alias("entropy"),
                     S.prediction_set(probs, 0.1, scheme).alias("prediction_set"),
@@ -75,15 +77,17 @@ def fuse_scores(local, expert_probs, expert_label, scheme: LabelScheme = DEFAULT
 def violations(label, probs, confidence, recommendation, risk, note, signals=None,
                scheme: LabelScheme = DEFAULT_SCHEME) -> Column:
     """List of rule names a brief breaks (empty = valid)."""
-    lab = F.col(label) if isinstance(label, str) else label
-    pr = F.col(probs) if isinstance(probs, str) else probs
+    def c(x):
+        return F.col(x) if isinstance(x, str) else x
+    lab, pr = c(label), c(probs)
+    confidence, recommendation, risk = c(confidence), c(recommendation), c(risk)
     total = F.aggregate(pr, F.lit(0.0), lambda a, x: a + x)
     checks = [
         F.when(~F.coalesce(lab.isin(*scheme.labels), F.lit(False)), F.lit("label")),
         F.when(~F.coalesce((total >= 0.99) & (total <= 1.01), F.lit(False)), F.lit("probability_sum")),
-        F.when(~F.coalesce(F.col(confidence).isin("HIGH", "MEDIUM", "LOW"), F.lit(False)), F.lit("confidence")),
-        F.when(~F.coalesce(F.col(recommendation).isin(*RECOMMENDATIONS), F.lit(False)), F.lit("recommendation")),
-        F.when(~F.coalesce((F.col(risk) >= 0) & (F.col(risk) <= 100), F.lit(False)), F.lit("risk_score")),
+        F.when(~F.coalesce(confidence.isin("HIGH", "MEDIUM", "LOW"), F.lit(False)), F.lit("confidence")),
+        F.when(~F.coalesce(recommendation.isin(*RECOMMENDATIONS), F.lit(False)), F.lit("recommendation")),
+        F.when(~F.coalesce((risk >= 0) & (risk <= 100), F.lit(False)), F.lit("risk_score")),
         F.when(~F.coalesce(F.length(X.strip_u(note)) >= 10, F.lit(False)), F.lit("ambiguity_notes")),
     ]
     if signals is not None:

@@ -174,3 +174,400 @@ def _():
     return _curated_cte() + """,
 c AS (SELECT label, COUNT(*) AS n FROM cur GROUP BY label)
 SELECT MIN(n) AS min_class_count, MIN(n) < 2 AS warn FROM c"""
+
+
+# --- Sampling ----------------------------------------------------------------
+def _ranked_cur() -> str:
+    return _curated_cte() + """,
+h AS (SELECT text_id, label, sha256(text_id || ':42') AS h FROM cur),
+rk AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY h, text_id) AS rn,
+              COUNT(*) OVER (PARTITION BY label) AS n_c FROM h)"""
+
+
+@oracle("stratified_split")
+def _():
+    return _ranked_cur() + """
+SELECT text_id, label, CASE WHEN rn <= round(0.2 * n_c) THEN 'test' ELSE 'train' END AS split FROM rk"""
+
+
+@oracle("split_counts")
+def _():
+    return _ranked_cur() + """,
+s AS (SELECT label, CASE WHEN rn <= round(0.2 * n_c) THEN 'test' ELSE 'train' END AS split FROM rk)
+SELECT split, label, COUNT(*) AS n FROM s GROUP BY split, label"""
+
+
+@oracle("balanced_sample")
+def _():
+    return _ranked_cur() + """,
+picked AS (SELECT text_id, label, 'original' AS source, 0 AS copy FROM rk WHERE rn <= 200),
+short AS (SELECT *, (200 - n_c) // n_c + CASE WHEN rn <= (200 - n_c) % n_c THEN 1 ELSE 0 END AS copies
+          FROM rk WHERE n_c < 200),
+extra AS (SELECT text_id, label, 'oversampled' AS source, CAST(unnest(generate_series(1, copies)) AS INTEGER) AS copy
+          FROM short WHERE copies > 0)
+SELECT text_id, label, source, CAST(copy AS INTEGER) AS copy FROM picked UNION ALL SELECT * FROM extra"""
+
+
+@oracle("capped_sample")
+def _():
+    return _ranked_cur() + " SELECT text_id, label FROM rk WHERE rn <= 50"
+
+
+@oracle("positional_split")
+def _():
+    return """
+WITH h AS (SELECT doc_id, lang, sha256(CAST(doc_id AS VARCHAR) || ':42') AS h FROM documents),
+r AS (SELECT *, row_number() OVER (ORDER BY h, doc_id) AS rn, COUNT(*) OVER () AS n FROM h)
+SELECT doc_id, lang, CASE WHEN rn <= floor(0.8 * n) THEN 'train' ELSE 'test' END AS split FROM r"""
+
+
+# --- Uncertainty and fusion ------------------------------------------------
+@oracle("uncertainty")
+def _():
+    u = Q.uncertainty_cols("p")
+    return f"""
+WITH b AS (SELECT doc_id, {DV.derived_probs_sql('doc_id')} AS p FROM documents),
+u AS (SELECT doc_id, {u['label']} AS label, {u['confidence']} AS confidence, {u['entropy']} AS entropy,
+             {u['prediction_set']} AS pset FROM b)
+SELECT doc_id, label, confidence, round(entropy, 4) AS entropy, array_to_string(pset, ',') AS prediction_set,
+  CAST(len(pset) AS INTEGER) AS set_size, len(pset) > 1 AS is_ambiguous,
+  CAST(list_position(['AMAN','WASPADA','TINGGI'], label) - 1 AS INTEGER) AS label_code,
+  CASE WHEN (doc_id * 7) % 101 <= 30 THEN 'low' WHEN (doc_id * 7) % 101 <= 60 THEN 'medium' ELSE 'high' END AS risk_band,
+  label <> 'AMAN' AS escalate
+FROM u"""
+
+
+def _fused_cte() -> str:
+    fused = Q.fuse("loc", "ex")
+    bumped = "[fz[1], fz[2], greatest(fz[3], 0.5)]"
+    return f"""
+WITH b AS (SELECT doc_id, {DV.derived_probs_sql('doc_id')} AS loc, {DV.expert_probs_sql('doc_id')} AS ex,
+                  {DV.expert_label_sql('doc_id')} AS el FROM documents),
+f1 AS (SELECT *, {fused} AS fz FROM b),
+f2 AS (SELECT *, {Q.argmax_label('fz')} AS lab FROM f1),
+f3 AS (SELECT *, coalesce(el = 'TINGGI' AND lab <> 'TINGGI' AND loc IS NOT NULL AND ex IS NOT NULL, false) AS ov FROM f2),
+f4 AS (SELECT *, CASE WHEN ov THEN {Q.renormalize(bumped, guard_zero=False)} ELSE fz END AS fin FROM f3),
+f AS (SELECT doc_id, CASE WHEN loc IS NULL THEN ex WHEN ex IS NULL THEN loc ELSE fin END AS pr,
+             CASE WHEN loc IS NULL THEN el WHEN ex IS NULL THEN {Q.argmax_label('loc')} WHEN ov THEN 'TINGGI' ELSE lab END AS label,
+             ov FROM f4)"""
+
+
+@oracle("fuse_scores")
+def _():
+    return _fused_cte() + f"""
+SELECT doc_id, label, pr[1] AS p_aman, pr[2] AS p_waspada, pr[3] AS p_tinggi,
+  round(CASE WHEN pr IS NOT NULL THEN {Q.entropy('pr')} END, 4) AS entropy, array_to_string({Q.prediction_set('pr')}, ',') AS prediction_set,
+  {Q.confidence('pr')} AS confidence, ov AS overridden
+FROM f"""
+
+
+def _reply_cte() -> str:
+    ep = DV.expert_probs_sql("doc_id")
+    phrases = ("'; '.join")  # noqa: F841 (documentation only)
+    digest = "'''a'' (AMAN); ''b'' (TINGGI); ''c'' (AMAN); ''d'' (WASPADA); ''e'' (AMAN)'"
+    note = ("CASE WHEN doc_id % 7 = 0 THEN 'short' ELSE 'note about doc ' || CAST(doc_id AS VARCHAR) END")
+    return f"""
+WITH r AS (SELECT doc_id, doc_id % 9 <> 4 AS parse_ok, {DV.expert_label_sql('doc_id')} AS label,
+                  {ep} AS pr, CAST((doc_id * 17) % 111 AS BIGINT) AS risk_score,
+                  CASE WHEN doc_id % 3 = 0 THEN 'ESCALATE' WHEN doc_id % 3 = 1 THEN 'MONITOR' ELSE 'ARCHIVE' END AS recommendation,
+                  {note} AS note,
+                  CASE WHEN doc_id % 2 = 0 THEN {note} ELSE {note} || chr(10) || chr(10) || '[Key phrases: ' || {digest} || ']' END AS ambiguity
+           FROM documents)"""
+
+
+def _violations_sql(label: str, pr: str, rec: str, risk: str, note: str) -> str:
+    tot = f"list_reduce(list_prepend(0.0::DOUBLE, {pr}), lambda a, b: a + b)"
+    checks = [
+        f"CASE WHEN NOT coalesce({label} IN ('AMAN','WASPADA','TINGGI'), false) THEN 'label' END",
+        f"CASE WHEN NOT coalesce({tot} >= 0.99 AND {tot} <= 1.01, false) THEN 'probability_sum' END",
+        f"CASE WHEN NOT coalesce({rec} IN ('ARCHIVE','MONITOR','ESCALATE'), false) THEN 'recommendation' END",
+        f"CASE WHEN NOT coalesce({risk} >= 0 AND {risk} <= 100, false) THEN 'risk_score' END",
+        f"CASE WHEN NOT coalesce(length({Q.strip_u(note)}) >= 10, false) THEN 'ambiguity_notes' END",
+    ]
+    return f"array_to_string(list_filter([{', '.join(checks)}], lambda x: x IS NOT NULL), ',')"
+
+
+@oracle("parse_replies")
+def _():
+    v = _violations_sql("label", "pr", "recommendation", "risk_score", "note")
+    return _reply_cte() + f"""
+SELECT doc_id, parse_ok,
+  CASE WHEN parse_ok THEN label END AS label, CASE WHEN parse_ok THEN risk_score END AS risk_score,
+  CASE WHEN parse_ok THEN recommendation END AS recommendation, CASE WHEN parse_ok THEN ambiguity END AS ambiguity,
+  CASE WHEN parse_ok THEN {v} END AS violations
+FROM r"""
+
+
+@oracle("deep_triage")
+def _():
+    # Replies that fail to parse leave local-only fusion inputs null: the
+    # expert side is missing, so fusion uses zeros for the expert.
+    fused_cte = _fused_cte().replace(
+        f"{DV.expert_probs_sql('doc_id')} AS ex", f"CASE WHEN doc_id % 9 = 4 THEN NULL ELSE {DV.expert_probs_sql('doc_id')} END AS ex").replace(
+        f"{DV.expert_label_sql('doc_id')} AS el", f"CASE WHEN doc_id % 9 = 4 THEN NULL ELSE {DV.expert_label_sql('doc_id')} END AS el")
+    v = _violations_sql("f.label", "f.pr", "r.recommendation", "r.risk_score", "r.note")
+    conf = Q.confidence("f.pr").replace("list_max(f.pr)", "list_max(f.pr)")
+    return fused_cte + "," + _reply_cte().replace("WITH r AS", "r AS") + f"""
+SELECT f.doc_id, r.parse_ok, f.label AS final_label,
+  round(CASE WHEN f.pr IS NOT NULL THEN {Q.entropy('f.pr')} END, 4) AS final_entropy,
+  array_to_string({Q.prediction_set('f.pr')}, ',') AS final_set, {conf} AS final_confidence,
+  CASE WHEN r.parse_ok THEN r.risk_score END AS risk_score,
+  CASE WHEN r.parse_ok THEN r.recommendation END AS recommendation,
+  CASE WHEN r.parse_ok THEN {v} ELSE 'parse' END AS violations
+FROM f JOIN r ON f.doc_id = r.doc_id"""
+
+
+# --- Logs, feedback, reports -------------------------------------------------
+def _logs_cte() -> str:
+    return f"WITH logs AS ({DV.ANALYSIS_LOGS_SQL})"
+
+
+@oracle("log_first_write")
+def _():
+    return f"""
+WITH l0 AS ({DV.ANALYSIS_LOGS_SQL}),
+l AS (SELECT * REPLACE (split_part(id, '-', 1) || '-' || regexp_extract(input_text, '^([A-Za-z0-9_]+)', 1) AS id) FROM l0),
+b1 AS (SELECT * FROM l WHERE timestamp < TIMESTAMP '2024-01-16 00:00:00'),
+b2 AS (SELECT * FROM l WHERE timestamp >= TIMESTAMP '2024-01-16 00:00:00'),
+f1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY arrival) AS rn FROM b1) WHERE rn = 1),
+f2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY arrival) AS rn FROM b2) WHERE rn = 1)
+SELECT id, timestamp, predicted_label, risk_score, pipeline_mode, 1 AS batch FROM f1
+UNION ALL
+SELECT id, timestamp, predicted_label, risk_score, pipeline_mode, 2 AS batch FROM f2
+WHERE id NOT IN (SELECT id FROM f1)"""
+
+
+def _fb_cte() -> str:
+    return f"""
+fbe AS ({DV.FEEDBACK_SQL}),
+fb AS (SELECT text_hash, arg_max({{'t': timestamp, 'c': corrected_label, 'n': notes}}, seq) AS l,
+              arg_min(original_label, seq) AS original_label, COUNT(*) AS n_events FROM fbe GROUP BY text_hash),
+fbr AS (SELECT text_hash, l.t AS timestamp, original_label, l.c AS corrected_label, coalesce(l.n, '') AS notes, n_events FROM fb)"""
+
+
+@oracle("feedback_upsert")
+def _():
+    return "WITH " + _fb_cte() + " SELECT * FROM fbr"
+
+
+@oracle("apply_feedback")
+def _():
+    return _curated_cte() + "," + _fb_cte() + """
+SELECT c.text_id, coalesce(f.corrected_label, c.label) AS label,
+  CASE WHEN f.corrected_label IS NOT NULL THEN 'feedback' ELSE 'corpus' END AS label_source
+FROM cur c LEFT JOIN fbr f ON c.text_id = f.text_hash"""
+
+
+@oracle("retrain_gate")
+def _():
+    return "WITH " + _fb_cte() + " SELECT COUNT(*) AS feedback_count, COUNT(*) >= 50 AS ready FROM fbr"
+
+
+def _search(label_filter: str, days: int, kw: str, limit: int) -> str:
+    conds = ["1=1"]
+    if label_filter:
+        conds.append(f"predicted_label = '{label_filter}'")
+    if days > 0:
+        conds.append(f"timestamp >= CAST(DATE '{DV.AS_OF}' - INTERVAL {days} DAY AS TIMESTAMP)")
+    if kw:
+        conds.append(f"input_text ILIKE '%{kw}%'")
+    return _logs_cte() + f"""
+SELECT id, timestamp, substring(input_text, 1, 150) AS text, predicted_label AS label,
+  coalesce(risk_score, 0) AS risk_score, confidence, coalesce(round(entropy, 4), 0.0) AS entropy, pipeline_mode AS mode
+FROM logs WHERE {' AND '.join(conds)} ORDER BY timestamp DESC, id LIMIT {limit}"""
+
+
+@oracle("search_threats")
+def _():
+    return _search("TINGGI", 7, "9}", 20)
+
+
+@oracle("search_all")
+def _():
+    return _search("", 0, "_1", 30)
+
+
+def _latest_sql() -> str:
+    return _logs_cte() + """,
+lt AS (SELECT id, timestamp, substring(input_text, 1, 200) AS text, predicted_label AS label, confidence,
+  coalesce(round(entropy, 4), 0.0) AS entropy FROM logs WHERE pipeline_mode = 'SWEEP'
+  ORDER BY timestamp DESC, id LIMIT 20)"""
+
+
+@oracle("latest_triage")
+def _():
+    return _latest_sql() + " SELECT * FROM lt"
+
+
+@oracle("latest_distribution")
+def _():
+    return _latest_sql() + " SELECT label, COUNT(*) AS n FROM lt GROUP BY label"
+
+
+@oracle("history")
+def _():
+    return _logs_cte() + """
+SELECT id, timestamp, substring(input_text, 1, 120) || '...' AS preview, predicted_label AS label, pipeline_mode
+FROM logs ORDER BY timestamp DESC, id LIMIT 25"""
+
+
+@oracle("daily_stats")
+def _():
+    return _logs_cte() + "," + _fb_cte() + f""",
+day AS (SELECT * FROM logs WHERE CAST(timestamp AS DATE) = DATE '{DV.AS_OF}')
+SELECT predicted_label, COUNT(*) AS n, round(AVG(entropy), 4) AS avg_entropy, round(AVG(risk_score), 1) AS avg_risk,
+  (SELECT COUNT(*) FROM day) AS total_today, (SELECT COUNT(*) FROM fbr) AS feedback_collected
+FROM day GROUP BY predicted_label"""
+
+
+@oracle("trend_pivot")
+def _():
+    return _logs_cte() + f"""
+SELECT CAST(timestamp AS DATE) AS dt,
+  COUNT(*) FILTER (WHERE predicted_label = 'AMAN') AS AMAN,
+  COUNT(*) FILTER (WHERE predicted_label = 'WASPADA') AS WASPADA,
+  COUNT(*) FILTER (WHERE predicted_label = 'TINGGI') AS TINGGI
+FROM logs WHERE timestamp >= CAST(DATE '{DV.AS_OF}' - INTERVAL 7 DAY AS TIMESTAMP) GROUP BY 1"""
+
+
+@oracle("dashboard_counts")
+def _():
+    parts = []
+    for l in ("AMAN", "WASPADA", "TINGGI"):
+        parts.append(f"CAST(SUM(CASE WHEN predicted_label = '{l}' AND CAST(timestamp AS DATE) = DATE '{DV.AS_OF}' THEN 1 ELSE 0 END) AS BIGINT) AS today_{l.lower()}")
+        parts.append(f"CAST(SUM(CASE WHEN predicted_label = '{l}' THEN 1 ELSE 0 END) AS BIGINT) AS all_{l.lower()}")
+    parts.append(f"CAST(SUM(CASE WHEN CAST(timestamp AS DATE) = DATE '{DV.AS_OF}' THEN 1 ELSE 0 END) AS BIGINT) AS today_total")
+    parts.append("COUNT(*) AS all_total")
+    return _logs_cte() + f" SELECT {', '.join(parts)} FROM logs"
+
+
+def _results_cte() -> str:
+    return _logs_cte() + """,
+res AS (SELECT predicted_label AS label, entropy, substring(input_text, 1, 5) AS source, arrival AS ord FROM logs)"""
+
+
+@oracle("batch_summary")
+def _():
+    parts = [f"CAST(SUM(CASE WHEN label = '{l}' THEN 1 ELSE 0 END) AS BIGINT) AS n_{l.lower()}"
+             for l in ("AMAN", "WASPADA", "TINGGI")]
+    return _results_cte() + f"""
+SELECT {', '.join(parts)}, COUNT(*) AS n,
+  round(coalesce(SUM(entropy), 0.0) / greatest(COUNT(*), 1), 4) AS mean_entropy,
+  round(SUM(CASE WHEN label = 'TINGGI' THEN 1 ELSE 0 END) * 100.0 / greatest(COUNT(*), 1), 1) AS pct_critical
+FROM res"""
+
+
+@oracle("top_sources")
+def _():
+    return _results_cte() + """
+SELECT source, COUNT(*) AS n, MIN(ord) AS first_seen FROM res GROUP BY source ORDER BY n DESC, first_seen LIMIT 3"""
+
+
+@oracle("triage_tally")
+def _():
+    return _logs_cte() + " SELECT predicted_label, COUNT(*) AS n FROM logs GROUP BY predicted_label"
+
+
+# --- Evaluation ----------------------------------------------------------------
+def _pred_cte() -> str:
+    u = Q.uncertainty_cols("p")
+    return f"""
+WITH pb AS (SELECT l.doc_id, {DV.TRUE_LABEL_SQL} AS true_label, {DV.derived_probs_sql('l.doc_id')} AS p FROM labels l),
+pred AS (SELECT doc_id, true_label, {u['label']} AS pred_label, list_max({u['probabilities']}) AS max_prob,
+                round({u['entropy']}, 4) AS entropy FROM pb),
+pr AS (SELECT *, true_label = pred_label AS correct FROM pred)"""
+
+
+@oracle("predictions")
+def _():
+    return _pred_cte() + " SELECT * FROM pr"
+
+
+@oracle("confusion")
+def _():
+    return _pred_cte() + """,
+g AS (SELECT a.l AS true_label, b.l AS pred_label FROM (SELECT unnest(['AMAN','WASPADA','TINGGI']) AS l) a,
+      (SELECT unnest(['AMAN','WASPADA','TINGGI']) AS l) b),
+c AS (SELECT true_label, pred_label, COUNT(*) AS n FROM pr GROUP BY 1, 2),
+j AS (SELECT g.true_label, g.pred_label, coalesce(c.n, 0) AS n FROM g LEFT JOIN c USING (true_label, pred_label))
+SELECT true_label, pred_label, n,
+  CASE WHEN SUM(n) OVER (PARTITION BY true_label) > 0 THEN round(n / SUM(n) OVER (PARTITION BY true_label), 4) ELSE 0.0 END AS row_share
+FROM j"""
+
+
+@oracle("crosstab_margins")
+def _():
+    return _pred_cte() + """
+SELECT coalesce(true_label, 'All') AS true_label, coalesce(pred_label, 'All') AS pred_label, COUNT(*) AS n
+FROM pr GROUP BY CUBE (true_label, pred_label)"""
+
+
+def _report_cte() -> str:
+    per = []
+    for l in ("AMAN", "WASPADA", "TINGGI"):
+        per.append(f"""SELECT '{l}' AS class,
+  CASE WHEN SUM(CASE WHEN pred_label = '{l}' THEN 1 ELSE 0 END) > 0 THEN SUM(CASE WHEN true_label = '{l}' AND pred_label = '{l}' THEN 1 ELSE 0 END) / SUM(CASE WHEN pred_label = '{l}' THEN 1 ELSE 0 END) ELSE 0.0 END AS precision,
+  CASE WHEN SUM(CASE WHEN true_label = '{l}' THEN 1 ELSE 0 END) > 0 THEN SUM(CASE WHEN true_label = '{l}' AND pred_label = '{l}' THEN 1 ELSE 0 END) / SUM(CASE WHEN true_label = '{l}' THEN 1 ELSE 0 END) ELSE 0.0 END AS recall,
+  CAST(SUM(CASE WHEN true_label = '{l}' THEN 1 ELSE 0 END) AS BIGINT) AS support FROM pr""")
+    return _pred_cte() + f""",
+per0 AS ({' UNION ALL '.join(per)}),
+per AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM per0),
+acc AS (SELECT 'accuracy' AS class, AVG(CASE WHEN correct THEN 1.0 ELSE 0.0 END) AS precision,
+          AVG(CASE WHEN correct THEN 1.0 ELSE 0.0 END) AS recall, COUNT(*) AS support,
+          AVG(CASE WHEN correct THEN 1.0 ELSE 0.0 END) AS f1 FROM pr),
+mac AS (SELECT 'macro avg' AS class, SUM(precision) / 3 AS precision, SUM(recall) / 3 AS recall,
+          CAST(SUM(support) AS BIGINT) AS support, SUM(f1) / 3 AS f1 FROM per),
+wtd AS (SELECT 'weighted avg' AS class, SUM(precision * support) / SUM(support) AS precision,
+          SUM(recall * support) / SUM(support) AS recall, CAST(SUM(support) AS BIGINT) AS support,
+          SUM(f1 * support) / SUM(support) AS f1 FROM per),
+rep AS (SELECT class, round(precision, 4) AS precision, round(recall, 4) AS recall, round(f1, 4) AS f1, support
+        FROM (SELECT * FROM per UNION ALL SELECT * FROM acc UNION ALL SELECT * FROM mac UNION ALL SELECT * FROM wtd))"""
+
+
+@oracle("class_report")
+def _():
+    return _report_cte() + " SELECT * FROM rep"
+
+
+@oracle("kpi_gate")
+def _():
+    return _report_cte() + """
+SELECT w.f1 AS weighted_f1, c.precision AS critical_precision, w.f1 >= 0.7 AS f1_pass,
+  c.precision >= 0.75 AS precision_pass, w.f1 >= 0.7 AND c.precision >= 0.75 AS kpi_pass
+FROM (SELECT f1 FROM rep WHERE class = 'weighted avg') w, (SELECT precision FROM rep WHERE class = 'TINGGI') c"""
+
+
+@oracle("error_patterns")
+def _():
+    return _pred_cte() + """
+SELECT true_label, pred_label, COUNT(*) AS n, round(COUNT(*) / greatest((SELECT COUNT(*) FROM pr), 1), 4) AS error_rate
+FROM pr WHERE true_label <> pred_label GROUP BY 1, 2"""
+
+
+@oracle("calibration")
+def _():
+    band = "CASE WHEN max_prob >= 0.75 THEN 'HIGH' WHEN max_prob >= 0.5 THEN 'MEDIUM' ELSE 'LOW' END"
+    return _pred_cte() + f"""
+SELECT round(AVG(CASE WHEN correct THEN entropy END), 4) AS entropy_correct,
+  round(AVG(CASE WHEN NOT correct THEN entropy END), 4) AS entropy_wrong,
+  round(AVG(CASE WHEN correct THEN 1.0 ELSE 0.0 END), 4) AS accuracy,
+  round(AVG(CASE WHEN {band} = 'HIGH' THEN 1.0 ELSE 0.0 END), 4) AS share_high,
+  round(AVG(CASE WHEN {band} = 'MEDIUM' THEN 1.0 ELSE 0.0 END), 4) AS share_medium,
+  round(AVG(CASE WHEN {band} = 'LOW' THEN 1.0 ELSE 0.0 END), 4) AS share_low
+FROM pr"""
+
+
+@oracle("histogram")
+def _():
+    return _pred_cte() + """,
+mm AS (SELECT MIN(entropy) AS lo, MAX(entropy) AS hi FROM pr)
+SELECT true_label, CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((entropy - lo) / ((hi - lo) / 20)), 19) END AS INTEGER) AS bin,
+  COUNT(*) AS n
+FROM pr, mm GROUP BY 1, 2"""
+
+
+@oracle("class_balance")
+def _():
+    return _pred_cte() + """,
+c AS (SELECT true_label, COUNT(*) AS n_c FROM pr GROUP BY true_label)
+SELECT true_label, n_c, round(SUM(n_c) OVER () / (COUNT(*) OVER () * n_c), 6) AS weight FROM c"""

@@ -167,3 +167,291 @@ def q_source_counts(spark, sf_dir):
 def q_min_class_count(spark, sf_dir):
     """F17."""
     return C.min_class_count(_curated(spark, sf_dir))
+
+
+# --- Sampling and splits (G7-G12) -------------------------------------------
+from sift.operators import sampling as SM  # noqa: E402
+
+
+@query("stratified_split")
+def q_stratified_split(spark, sf_dir):
+    """Exact per-class 80/20 by seeded hash."""
+    cur = _curated(spark, sf_dir).select("text_id", "label")
+    return SM.stratified_split(cur, "label", "text_id", 0.2, DV.SEED)
+
+
+@query("split_counts")
+def q_split_counts(spark, sf_dir):
+    """class counts per split."""
+    return C.class_counts(q_stratified_split(spark, sf_dir), "split", "label")
+
+
+@query("balanced_sample")
+def q_balanced_sample(spark, sf_dir):
+    """G7 + G9: 200 per class, short classes topped up by oversampling."""
+    cur = _curated(spark, sf_dir).select("text_id", "label")
+    return SM.balanced_sample(cur, "label", "text_id", 200, DV.SEED).select("text_id", "label", "source", "copy")
+
+
+@query("capped_sample")
+def q_capped_sample(spark, sf_dir):
+    """min(50, n_c) per class."""
+    cur = _curated(spark, sf_dir).select("text_id", "label")
+    return SM.first_k_per_group(cur, "label", "text_id", 50, DV.SEED)
+
+
+@query("positional_split")
+def q_positional_split(spark, sf_dir):
+    """G10 + G12: seeded shuffle of all documents, first 80 % train."""
+    d = DV.documents(spark, sf_dir).select("doc_id", "lang")
+    return SM.positional_split(d, "doc_id", 0.8, DV.SEED)
+
+
+# --- Uncertainty and fusion (D2-D9, B24-B28, B30, B32) ----------------------
+from sift.operators import fusion as FU  # noqa: E402
+
+
+@query("uncertainty")
+def q_uncertainty(spark, sf_dir):
+    """D2-D6, D9, B26-B28 over every document's derived score."""
+    d = DV.documents(spark, sf_dir).select("doc_id")
+    u = S.uncertainty(DV.derived_probs("doc_id"))
+    risk = (F.col("doc_id") * 7) % 101
+    return d.select("doc_id", u.alias("u"), risk.alias("risk")).select(
+        "doc_id", F.col("u.label").alias("label"), F.col("u.confidence").alias("confidence"),
+        F.round("u.entropy", 4).alias("entropy"),
+        F.array_join("u.prediction_set", ",").alias("prediction_set"), F.col("u.set_size").alias("set_size"),
+        F.col("u.is_ambiguous").alias("is_ambiguous"),
+        S.encode_label(F.col("u.label")).alias("label_code"),
+        S.risk_band(F.col("risk")).alias("risk_band"),
+        (F.col("u.label") != "AMAN").alias("escalate"))
+
+
+def _fused(spark, sf_dir):
+    d = DV.documents(spark, sf_dir).select("doc_id")
+    f = FU.fuse_scores(DV.derived_probs("doc_id"), DV.expert_probs("doc_id"), DV.expert_label("doc_id"))
+    return d.select("doc_id", f.alias("f"))
+
+
+@query("fuse_scores")
+def q_fuse_scores(spark, sf_dir):
+    """40/60 fusion, renormalisation, critical override."""
+    return _fused(spark, sf_dir).select(
+        "doc_id", F.col("f.label").alias("label"),
+        F.col("f.probabilities")[0].alias("p_aman"), F.col("f.probabilities")[1].alias("p_waspada"),
+        F.col("f.probabilities")[2].alias("p_tinggi"), F.round("f.entropy", 4).alias("entropy"),
+        F.array_join("f.prediction_set", ",").alias("prediction_set"),
+        F.col("f.confidence").alias("confidence"), F.col("f.overridden").alias("overridden"))
+
+
+def _replies(spark, sf_dir):
+    d = DV.documents(spark, sf_dir).select("doc_id")
+    return FU.parse_reply(d.withColumn("reply", DV.expert_reply_text("doc_id")), "reply")
+
+
+@query("parse_replies")
+def q_parse_replies(spark, sf_dir):
+    """Fence strip, JSON parse, validation, phrase digest."""
+    r = _replies(spark, sf_dir)
+    probs = S.map_to_probs(F.col("expert.probabilities"))
+    v = FU.violations(F.col("expert.label"), probs, F.lit("HIGH"), "expert.recommendation",
+                      "expert.risk_score", F.col("expert.ambiguity_notes"))
+    return r.select(
+        "doc_id", "parse_ok", F.col("expert.label").alias("label"),
+        F.col("expert.risk_score").alias("risk_score"), F.col("expert.recommendation").alias("recommendation"),
+        FU.note_with_phrases(F.col("expert.ambiguity_notes"), F.col("expert.key_phrases")).alias("ambiguity"),
+        F.when(F.col("parse_ok"), F.array_join(v, ",")).alias("violations"))
+
+
+@query("deep_triage")
+def q_deep_triage(spark, sf_dir):
+    """Batch triage + expert replies (left join) + fusion + validation."""
+    from sift.operators.triage import deep_triage
+    t = _triage_docs(spark, sf_dir).withColumn("local_probs", DV.derived_probs("doc_id"))
+    replies = DV.documents(spark, sf_dir).select("doc_id", DV.expert_reply_text("doc_id").alias("reply"))
+    out = deep_triage(t, replies, "doc_id", "reply")
+    return out.select("doc_id", "parse_ok", "final_label", "final_entropy",
+                      F.array_join("final_set", ",").alias("final_set"), "final_confidence",
+                      "risk_score", "recommendation", F.array_join("violations", ",").alias("violations"))
+
+
+# --- Logs, feedback, analyst reports (A14-A16, E5, E8, F4-F9, F18, G3-G6) ----
+from sift.operators import reports as R  # noqa: E402
+from sift.operators import store as ST  # noqa: E402
+
+SPLIT_TS = "2024-01-16 00:00:00"
+
+
+@query("log_first_write")
+def q_log_first_write(spark, sf_dir):
+    """Two batches appended with first-write-wins per id."""
+    logs = DV.analysis_logs(spark, sf_dir).withColumn(
+        "id", F.concat(F.substring_index("id", "-", 1), F.lit("-"),
+                       F.regexp_extract("input_text", "^(\\w+)", 1)))
+    b1 = logs.filter(F.col("timestamp") < F.lit(SPLIT_TS).cast("timestamp_ntz"))
+    b2 = logs.filter(F.col("timestamp") >= F.lit(SPLIT_TS).cast("timestamp_ntz"))
+    stored = ST.new_log_rows(b1, None)
+    added = ST.new_log_rows(b2, stored)
+    cols = ["id", "timestamp", "predicted_label", "risk_score", "pipeline_mode"]
+    return stored.select(*cols, F.lit(1).alias("batch")).unionByName(added.select(*cols, F.lit(2).alias("batch")))
+
+
+def _feedback(spark, sf_dir):
+    return ST.resolve_feedback(DV.feedback_events(spark, sf_dir))
+
+
+@query("feedback_upsert")
+def q_feedback_upsert(spark, sf_dir):
+    """Resolved feedback view (first original, latest correction)."""
+    return _feedback(spark, sf_dir)
+
+
+@query("apply_feedback")
+def q_apply_feedback(spark, sf_dir):
+    """Corrected labels override curated labels."""
+    cur = _curated(spark, sf_dir).select("text_id", "label")
+    return ST.apply_feedback(cur, _feedback(spark, sf_dir), "text_id")
+
+
+@query("retrain_gate")
+def q_retrain_gate(spark, sf_dir):
+    """F18."""
+    return ST.retrain_gate(_feedback(spark, sf_dir), 50)
+
+
+def _logs(spark, sf_dir):
+    return DV.analysis_logs(spark, sf_dir)
+
+
+@query("search_threats")
+def q_search_threats(spark, sf_dir):
+    """G3, B21-B23, B29."""
+    return R.search_threats(_logs(spark, sf_dir), DV.AS_OF, label="tinggi", days_back=7, limit=20, keyword="9}")
+
+
+@query("search_all")
+def q_search_all(spark, sf_dir):
+    """G3 with no label filter, unknown label ignored, look-back disabled."""
+    return R.search_threats(_logs(spark, sf_dir), DV.AS_OF, label="unknown", days_back=0, limit=30, keyword="_1")
+
+
+@query("latest_triage")
+def q_latest_triage(spark, sf_dir):
+    """G4."""
+    return R.latest_triage(_logs(spark, sf_dir), 20)
+
+
+@query("history")
+def q_history(spark, sf_dir):
+    """G5."""
+    return R.history(_logs(spark, sf_dir), 25)
+
+
+@query("daily_stats")
+def q_daily_stats(spark, sf_dir):
+    """F4."""
+    return R.daily_stats(_logs(spark, sf_dir), _feedback(spark, sf_dir), DV.AS_OF)
+
+
+@query("trend_pivot")
+def q_trend_pivot(spark, sf_dir):
+    """F5."""
+    return R.trend(_logs(spark, sf_dir), DV.AS_OF, 7)
+
+
+@query("dashboard_counts")
+def q_dashboard_counts(spark, sf_dir):
+    """F6."""
+    return R.dashboard_counts(_logs(spark, sf_dir), DV.AS_OF)
+
+
+def _results(spark, sf_dir):
+    return _logs(spark, sf_dir).select(F.col("predicted_label").alias("label"), "entropy",
+                                       F.col("input_text").substr(1, 5).alias("source"),
+                                       F.col("arrival").alias("ord"))
+
+
+@query("batch_summary")
+def q_batch_summary(spark, sf_dir):
+    """F7 (summary row)."""
+    return R.batch_summary(_results(spark, sf_dir))[0]
+
+
+@query("top_sources")
+def q_top_sources(spark, sf_dir):
+    """Top-3 sources by count, ties by first seen."""
+    return R.batch_summary(_results(spark, sf_dir))[1]
+
+
+@query("triage_tally")
+def q_triage_tally(spark, sf_dir):
+    """F8."""
+    return R.label_distribution(_logs(spark, sf_dir), "predicted_label")
+
+
+@query("latest_distribution")
+def q_latest_distribution(spark, sf_dir):
+    """distribution over the latest 20 sweep rows only."""
+    return R.label_distribution(R.latest_triage(_logs(spark, sf_dir), 20), "label")
+
+
+# --- Evaluation (F10-F15, H4, H6) -------------------------------------------
+from sift.operators import evaluation as EV  # noqa: E402
+
+
+def _pred(spark, sf_dir):
+    return DV.predictions(spark, sf_dir)
+
+
+@query("predictions")
+def q_predictions(spark, sf_dir):
+    """H6: labelled sample scored: true, pred, max prob, entropy, correct."""
+    return _pred(spark, sf_dir)
+
+
+@query("confusion")
+def q_confusion(spark, sf_dir):
+    """F10."""
+    return EV.confusion(_pred(spark, sf_dir))
+
+
+@query("crosstab_margins")
+def q_crosstab_margins(spark, sf_dir):
+    """F11."""
+    return EV.crosstab_margins(_pred(spark, sf_dir))
+
+
+@query("class_report")
+def q_class_report(spark, sf_dir):
+    """F12."""
+    return EV.class_report(_pred(spark, sf_dir))
+
+
+@query("kpi_gate")
+def q_kpi_gate(spark, sf_dir):
+    """H4."""
+    return EV.kpi_gate(EV.class_report(_pred(spark, sf_dir)))
+
+
+@query("error_patterns")
+def q_error_patterns(spark, sf_dir):
+    """F13."""
+    return EV.error_patterns(_pred(spark, sf_dir))
+
+
+@query("calibration")
+def q_calibration(spark, sf_dir):
+    """F14."""
+    return EV.calibration(_pred(spark, sf_dir))
+
+
+@query("histogram")
+def q_histogram(spark, sf_dir):
+    """20-bin entropy histogram per true label."""
+    return EV.histogram(_pred(spark, sf_dir), "entropy", "true_label", 20)
+
+
+@query("class_balance")
+def q_class_balance(spark, sf_dir):
+    """F16 on the labelled predictions' true labels (weights for H2)."""
+    return C.class_weights(_pred(spark, sf_dir), "true_label").withColumn("weight", F.round("weight", 6))
