@@ -47,10 +47,17 @@ def prediction_set(probs, alpha: float = 0.1, scheme: LabelScheme = DEFAULT_SCHE
     ordered = F.array_sort(items, lambda a, b: F.when(a["p"] > b["p"], -1)
                            .when(a["p"] < b["p"], 1)
                            .otherwise(a["i"] - b["i"]))
-    kept = F.filter(ordered, lambda s, k: F.aggregate(
-        F.slice(ordered, 1, k), F.lit(0.0), lambda acc, x: acc + x["p"]) < F.lit(threshold))
     labs = labels_array(scheme)
-    return F.transform(kept, lambda s: F.element_at(labs, s["i"] + 1))
+    # One left fold in sorted order: a label joins while the running sum
+    # before it is below the threshold (same float order as the reference).
+    init = F.struct(F.lit(0.0).alias("acc"), F.array().cast("array<string>").alias("out"))
+    return F.aggregate(
+        ordered, init,
+        lambda st, s: F.struct((st["acc"] + s["p"]).alias("acc"),
+                               F.when(st["acc"] < F.lit(threshold),
+                                      F.array_append(st["out"], F.element_at(labs, s["i"] + 1)))
+                               .otherwise(st["out"]).alias("out")),
+        lambda st: st["out"])
 
 
 def confidence_band(probs, scheme: LabelScheme = DEFAULT_SCHEME) -> Column:

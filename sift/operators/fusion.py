@@ -74,6 +74,31 @@ def fuse_scores(local, expert_probs, expert_label, scheme: LabelScheme = DEFAULT
                     override.alias("overridden"))
 
 
+def fuse_frame(df: DataFrame, local: str, expert_probs: str, expert_label: str, out: str = "fused",
+               scheme: LabelScheme = DEFAULT_SCHEME, w_local: float = 0.4, w_expert: float = 0.6) -> DataFrame:
+    """``fuse_scores`` staged over projections: every intermediate array is
+    its own column, so each is computed once per row (the single-expression
+    form repeats shared subtrees)."""
+    loc, ex, el = F.col(local), F.col(expert_probs), F.col(expert_label)
+    ci = scheme.index(scheme.critical)
+    d = df.withColumn("__fz", S.fuse(loc, ex, w_local, w_expert))
+    d = d.withColumn("__lab", S.argmax_label(F.col("__fz"), scheme))
+    d = d.withColumn("__ov", F.coalesce((el == scheme.critical) & (F.col("__lab") != scheme.critical)
+                                        & loc.isNotNull() & ex.isNotNull(), F.lit(False)))
+    bumped = F.transform(F.col("__fz"), lambda x, i: F.when(i == ci, F.greatest(x, F.lit(0.5))).otherwise(x))
+    d = d.withColumn("__pr", F.when(loc.isNull(), ex).when(ex.isNull(), loc)
+                     .when(F.col("__ov"), S.renormalize(bumped, guard_zero=False)).otherwise(F.col("__fz")))
+    d = d.withColumn("__label", F.when(loc.isNull(), el).when(ex.isNull(), S.argmax_label(loc, scheme))
+                     .when(F.col("__ov"), F.lit(scheme.critical)).otherwise(F.col("__lab")))
+    pr = F.col("__pr")
+    return (d.withColumn(out, F.struct(F.col("__label").alias("label"), pr.alias("probabilities"),
+                                       S.entropy(pr).alias("entropy"),
+                                       S.prediction_set(pr, 0.1, scheme).alias("prediction_set"),
+                                       S.confidence_band(pr, scheme).alias("confidence"),
+                                       F.col("__ov").alias("overridden")))
+            .drop("__fz", "__lab", "__ov", "__pr", "__label"))
+
+
 def violations(label, probs, confidence, recommendation, risk, note, signals=None,
                scheme: LabelScheme = DEFAULT_SCHEME) -> Column:
     """List of rule names a brief breaks (empty = valid)."""

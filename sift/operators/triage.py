@@ -70,9 +70,10 @@ def deep_triage(triaged: DataFrame, replies: DataFrame, key: str, reply_col: str
     Rows whose reply is missing or malformed get ``parse_ok = false``."""
     r = FU.parse_reply(replies.select(key, reply_col), reply_col)
     j = triaged.join(r, key, "left")
-    ex_probs = S.map_to_probs(F.col("expert.probabilities"), scheme)
-    fused = FU.fuse_scores(F.col(local_col), ex_probs, F.col("expert.label"), scheme)
-    out = (j.withColumn("f", fused)
+    j = (j.withColumn("__ex_probs", S.map_to_probs(F.col("expert.probabilities"), scheme))
+         .withColumn("__ex_label", F.col("expert.label")))
+    out = (FU.fuse_frame(j, local_col, "__ex_probs", "__ex_label", "f", scheme)
+           .drop("__ex_probs", "__ex_label")
            .withColumn("final_label", F.col("f.label"))
            .withColumn("final_probs", F.col("f.probabilities"))
            .withColumn("final_entropy", F.round("f.entropy", 4))

@@ -571,3 +571,93 @@ def _():
     return _pred_cte() + """,
 c AS (SELECT true_label, COUNT(*) AS n_c FROM pr GROUP BY true_label)
 SELECT true_label, n_c, round(SUM(n_c) OVER () / (COUNT(*) OVER () * n_c), 6) AS weight FROM c"""
+
+
+# --- Tokens, transcripts, sources -------------------------------------------
+@oracle("token_highlights")
+def _():
+    return f"""
+WITH d AS (SELECT doc_id, {Q.words('text')} AS toks FROM documents),
+t AS (SELECT doc_id, unnest(toks) AS raw, unnest(generate_series(0, len(toks) - 1)) AS pos FROM d),
+s AS (SELECT doc_id, pos, replace(replace(raw, '##', ''), '▁', '') AS token,
+             ((doc_id * 31 + pos * 17) % 97) / 97.0 AS score FROM t
+      WHERE raw NOT IN ('[CLS]', '[SEP]', '[PAD]', '<s>', '</s>', '<pad>')),
+s2 AS (SELECT * FROM s WHERE token <> ''),
+m AS (SELECT *, MIN(score) OVER (PARTITION BY doc_id) AS mn, MAX(score) OVER (PARTITION BY doc_id) AS mx FROM s2),
+sc AS (SELECT doc_id, pos, token,
+              round((score - mn) / CASE WHEN mx <> mn THEN mx - mn ELSE 1.0 END, 4) AS score FROM m),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS rank FROM sc)
+SELECT doc_id, CAST(rank AS INTEGER) AS rank, token, score FROM r WHERE rank <= 15"""
+
+
+@oracle("tokenizer_compare")
+def _():
+    from sift.operators.tokens import PIECE_RE
+    return f"""
+WITH d AS (SELECT lang, len({Q.words('text')}) AS a, len(regexp_extract_all(text, {Q.q(PIECE_RE)})) AS b FROM documents),
+g AS (SELECT lang, COUNT(*) AS n_docs, AVG(a) AS avg_words, AVG(b) AS avg_pieces FROM d GROUP BY lang)
+SELECT lang, n_docs, round(avg_words, 4) AS avg_words, round(avg_pieces, 4) AS avg_pieces,
+  round(avg_pieces - avg_words, 2) AS delta,
+  round(CASE WHEN avg_pieces > 0 THEN (avg_pieces - avg_words) * 100.0 / avg_pieces ELSE 0.0 END, 2) AS reduction_pct
+FROM g"""
+
+
+@oracle("transcript_triage")
+def _():
+    u = Q.uncertainty_cols("p")
+    return f"""
+WITH c AS (SELECT conv_id, turn, text, conv_id * 100 + turn AS tid FROM conversations),
+g AS (SELECT *, CASE WHEN length({Q.strip_u('text')}) < 5 THEN 'transcript too short' END AS reject_reason,
+             {DV.derived_probs_sql('tid')} AS p FROM c)
+SELECT conv_id, turn, reject_reason, CASE WHEN reject_reason IS NULL THEN {u['label']} END AS label FROM g"""
+
+
+@oracle("strip_html")
+def _():
+    from sift.functions.text import HTML_TAG_RE
+    body = f"regexp_replace(html, {Q.q(HTML_TAG_RE)}, '', 'g')"
+    return f"""
+WITH d AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, {body} AS body FROM pages),
+c AS (SELECT *, trim(regexp_replace(body, {Q.q(Q.WS + '+')}, ' ', 'g')) AS clean FROM d)
+SELECT page_id, title, length(body) AS n_chars, substring(clean, 1, 100) || '...' AS preview,
+  length(clean) > 20 AS keep, sha256(clean) AS clean_hash
+FROM c"""
+
+
+@oracle("cache_lookup")
+def _():
+    return """
+WITH r AS (SELECT doc_id, sha256(to_json({'lang': lang, 'source': source})) AS cache_key FROM documents),
+c AS (SELECT DISTINCT cache_key FROM r WHERE doc_id % 2 = 0)
+SELECT doc_id, cache_key, cache_key IN (SELECT cache_key FROM c) AS hit FROM r"""
+
+
+@oracle("source_fallback")
+def _():
+    return """
+WITH p AS (SELECT doc_id, lang AS target, 'primary' AS origin FROM documents WHERE n_chars % 2 = 0 AND lang <> 'es'),
+s AS (SELECT doc_id, lang AS target, 'secondary' AS origin FROM documents WHERE n_chars % 2 = 1)
+SELECT * FROM p UNION ALL SELECT * FROM s WHERE target NOT IN (SELECT DISTINCT target FROM p)"""
+
+
+@oracle("union_clean")
+def _():
+    from sift.functions.text import HTML_TAG_RE
+    return f"""
+WITH u AS (
+  SELECT 'd' || CAST(doc_id AS VARCHAR) AS post_id, text, source, CAST(NULL AS VARCHAR) AS url FROM documents
+  UNION ALL
+  SELECT 'c' || CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR), text, NULL, NULL FROM conversations
+  UNION ALL
+  SELECT 'p' || CAST(page_id AS VARCHAR), regexp_replace(html, {Q.q(HTML_TAG_RE)}, '', 'g'), NULL, url FROM pages)
+SELECT post_id, coalesce(source, 'OSINT') AS source, coalesce(url, '') AS url, sha256(text) AS text_hash
+FROM u WHERE coalesce({Q.strip_u('text')}, '') <> ''"""
+
+
+@oracle("embedding_norms")
+def _():
+    return """
+WITH e AS (SELECT vec_id, label, sqrt(list_reduce(list_prepend(0.0::DOUBLE, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), lambda a, b: a + b)) AS norm, embedding FROM embeddings)
+SELECT vec_id, label, round(norm, 6) AS norm,
+  round(list_reduce(list_prepend(0.0::DOUBLE, list_transform(embedding, lambda x: (CAST(x AS DOUBLE) / norm) * (CAST(x AS DOUBLE) / norm))), lambda a, b: a + b), 6) AS unit_norm_sq
+FROM e"""

@@ -228,9 +228,10 @@ def q_uncertainty(spark, sf_dir):
 
 
 def _fused(spark, sf_dir):
-    d = DV.documents(spark, sf_dir).select("doc_id")
-    f = FU.fuse_scores(DV.derived_probs("doc_id"), DV.expert_probs("doc_id"), DV.expert_label("doc_id"))
-    return d.select("doc_id", f.alias("f"))
+    d = DV.documents(spark, sf_dir).select(
+        "doc_id", DV.derived_probs("doc_id").alias("loc"), DV.expert_probs("doc_id").alias("ex"),
+        DV.expert_label("doc_id").alias("el"))
+    return FU.fuse_frame(d, "loc", "ex", "el", "f")
 
 
 @query("fuse_scores")
@@ -455,3 +456,149 @@ def q_histogram(spark, sf_dir):
 def q_class_balance(spark, sf_dir):
     """F16 on the labelled predictions' true labels (weights for H2)."""
     return C.class_weights(_pred(spark, sf_dir), "true_label").withColumn("weight", F.round("weight", 6))
+
+
+# --- Tokens, transcripts, models, sources -----------------------------------
+from sift.operators import tokens as TK  # noqa: E402
+from sift.operators import wer as WR  # noqa: E402
+
+
+def derived_token_scores(doc: str = "doc_id"):
+    """A deterministic per-token score stand-in for attention weights."""
+    return F.transform(X.words("text"), lambda w, i: ((F.col(doc) * 31 + i * 17) % 97) / 97.0)
+
+
+@query("token_highlights")
+def q_token_highlights(spark, sf_dir):
+    """Top-15 min-max scaled token scores per document."""
+    d = DV.documents(spark, sf_dir).select("doc_id", "text")
+    d = d.withColumns({"toks": X.words("text"), "scores": derived_token_scores()})
+    h = TK.highlights(d, "toks", "scores", 15)
+    return h.select("doc_id", F.posexplode("highlights").alias("r", "h")).select(
+        "doc_id", (F.col("r") + 1).alias("rank"), F.col("h.token").alias("token"), F.col("h.score").alias("score"))
+
+
+@query("tokenizer_compare")
+def q_tokenizer_compare(spark, sf_dir):
+    """words vs word pieces per language."""
+    return TK.tokenizer_compare(DV.documents(spark, sf_dir), "text", "lang")
+
+
+def _transcript_pairs(spark, sf_dir):
+    c = read_table(spark, sf_dir, "conversations")
+    w = X.words("text")
+    hyp = F.array_join(F.filter(F.transform(w, lambda x, i: F.when(i % 5 == 3, F.concat(x, F.lit("x"))).otherwise(x)),
+                                lambda x, i: i % 7 != 6), " ")
+    return c.select(F.concat(F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string")).alias("name"),
+                    F.col("text").alias("reference"), hyp.alias("hypothesis"))
+
+
+@query("wer_pairs")
+def q_wer_pairs(spark, sf_dir):
+    """Per-pair WER, MER, WIL, WIP and S/D/I counts."""
+    p = WR.with_wer(_transcript_pairs(spark, sf_dir))
+    return p.select("name", "w.wer", "w.mer", "w.wil", "w.wip", "w.hits", "w.substitutions", "w.deletions",
+                    "w.insertions", "w.ref_words", "w.hyp_words", "w.error")
+
+
+@query("wer_corpus")
+def q_wer_corpus(spark, sf_dir):
+    """Corpus mean WER and status band."""
+    return WR.corpus_report(_transcript_pairs(spark, sf_dir))
+
+
+@query("transcript_triage")
+def q_transcript_triage(spark, sf_dir):
+    """Reject short transcripts, score the rest."""
+    from sift.operators.triage import transcript_gate
+    c = read_table(spark, sf_dir, "conversations")
+    g = transcript_gate(c, "text", 5).withColumn("tid", F.col("conv_id") * 100 + F.col("turn"))
+    u = S.uncertainty(DV.derived_probs("tid"))
+    return g.select("conv_id", "turn", "reject_reason",
+                    F.when(F.col("reject_reason").isNull(), u["label"]).alias("label"))
+
+
+@query("strip_html")
+def q_strip_html(spark, sf_dir):
+    """B17-B20 over raw pages: tag strip, title, preview, length guard."""
+    p = read_table(spark, sf_dir, "pages")
+    body = X.strip_html("html")
+    d = p.select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), body.alias("body"))
+    d = d.withColumn("clean", X.collapse_ws("body"))
+    return d.select("page_id", "title", F.length("body").alias("n_chars"),
+                    F.concat(F.substring("clean", 1, 100), F.lit("...")).alias("preview"),
+                    (F.length("clean") > 20).alias("keep"), F.sha2("clean", 256).alias("clean_hash"))
+
+
+@query("cache_lookup")
+def q_cache_lookup(spark, sf_dir):
+    """Request key = sha256 of sorted-key JSON; hits vs misses
+    against a cache holding the requests of even documents."""
+    from sift.operators.store import cache_split, request_key
+    d = DV.documents(spark, sf_dir).select("doc_id", "lang", "source")
+    req = request_key(d, ["source", "lang"])
+    cache = req.filter(F.col("doc_id") % 2 == 0).select("cache_key", F.col("doc_id").alias("cached_doc")) \
+        .groupBy("cache_key").agg(F.min("cached_doc").alias("cached_doc"))
+    hits, misses = cache_split(req, cache)
+    return (hits.select("doc_id", "cache_key", F.lit(True).alias("hit"))
+            .unionByName(misses.select("doc_id", "cache_key", F.lit(False).alias("hit"))))
+
+
+@query("source_fallback")
+def q_source_fallback(spark, sf_dir):
+    """A10: per target (lang), primary rows if any, else secondary rows."""
+    from sift.sources.collect import fallback
+    d = DV.documents(spark, sf_dir)
+    primary = d.filter((F.col("n_chars") % 2 == 0) & (F.col("lang") != "es")).select(
+        "doc_id", F.col("lang").alias("target"), F.lit("primary").alias("origin"))
+    secondary = d.filter(F.col("n_chars") % 2 == 1).select(
+        "doc_id", F.col("lang").alias("target"), F.lit("secondary").alias("origin"))
+    return fallback(primary, secondary, "target")
+
+
+@query("union_clean")
+def q_union_clean(spark, sf_dir):
+    """Documents + conversations + pages unioned, blank texts
+    dropped, missing source/url defaulted."""
+    from sift.sources.collect import union_clean
+    d = DV.documents(spark, sf_dir).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("post_id"),
+                                          "text", "source")
+    c = read_table(spark, sf_dir, "conversations").select(
+        F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string")).alias("post_id"),
+        "text")
+    p = read_table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("post_id"),
+                                                  X.strip_html("html").alias("text"), "url")
+    u = union_clean([d, c, p])
+    return u.select("post_id", "source", "url", F.sha2("text", 256).alias("text_hash"))
+
+
+@query("train_eval")
+def q_train_eval(spark, sf_dir):
+    """Fit on the balanced training split, report on the test split."""
+    from sift.operators import ml as ML
+    cur = _curated(spark, sf_dir)
+    split = SM.stratified_split(cur, "label", "text_id", 0.2, DV.SEED)
+    train = SM.balanced_sample(split.filter(F.col("split") == "train"), "label", "text_id", 200, DV.SEED,
+                               source_col="sample_source")
+    model = ML.train_classifier(train, "text", max_iter=30)
+    return EV.class_report(ML.predictions(model, split.filter(F.col("split") == "test")))
+
+
+@query("pca_2d")
+def q_pca_2d(spark, sf_dir):
+    """Centred 2-D projection of the embeddings."""
+    from sift.operators import ml as ML
+    e = read_table(spark, sf_dir, "embeddings")
+    out, _ = ML.pca_2d(e, "embedding")
+    return out.select("vec_id", "label", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query("embedding_norms")
+def q_embedding_norms(spark, sf_dir):
+    """Unit-normalised vectors attached to their rows (norm check)."""
+    e = read_table(spark, sf_dir, "embeddings")
+    v = F.col("embedding")
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    unit = F.transform(v, lambda x: x.cast("double") / norm)
+    return e.select("vec_id", "label", F.round(norm, 6).alias("norm"),
+                    F.round(F.aggregate(unit, F.lit(0.0), lambda a, x: a + x * x), 6).alias("unit_norm_sq"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 
 from sift import dictionaries as D
-from sift.functions.text import ARABIC_RUN_RE, HASHTAG_RE, LATIN_RUN_RE, MENTION_RE, URL_RE, WS
+from sift.functions.text import ARABIC_RUN_RE, HASHTAG_RE, LATIN_RUN_RE, MENTION_RE, URL_RE, WS  # noqa: F401
 from sift.schemas import DEFAULT_SCHEME
 
 
