@@ -137,11 +137,25 @@ def _compact(items) -> Column:
     return F.filter(F.array(*items), lambda x: x.isNotNull())
 
 
+SIGNAL_ARRAY = ("array<struct<signal_type:string,extracted_text:string,"
+                "significance:string,context_explanation:string>>")
+
+
 def dedup_signals(arr: Column) -> Column:
-    """Keep the first signal of each (signal_type, extracted_text)."""
-    return F.filter(arr, lambda s, i: ~F.exists(
-        F.slice(arr, 1, i),
-        lambda q: (q["signal_type"] == s["signal_type"]) & (q["extracted_text"] == s["extracted_text"])))
+    """Keep the first signal of each (signal_type, extracted_text).
+
+    One left fold whose lambda only touches its own arguments (an outer
+    column inside a lambda can be inlined by Catalyst and then recomputed
+    per element)."""
+    init = F.struct(F.array().cast("array<struct<t:string,x:string>>").alias("keys"),
+                    F.array().cast(SIGNAL_ARRAY).alias("out"))
+
+    def step(acc, s):
+        k = F.struct(s["signal_type"].alias("t"), s["extracted_text"].alias("x"))
+        seen = F.array_contains(acc["keys"], k)
+        return F.struct(F.when(seen, acc["keys"]).otherwise(F.array_append(acc["keys"], k)).alias("keys"),
+                        F.when(seen, acc["out"]).otherwise(F.array_append(acc["out"], s)).alias("out"))
+    return F.aggregate(arr, init, step, lambda acc: acc["out"])
 
 
 def extract_signals(df: DataFrame, text_col: str = "text", ar_col: str | None = None,
