@@ -65,7 +65,9 @@ def _before_cut(h: str, key: str) -> Column:
 
 
 def _attach(df: DataFrame, cuts: DataFrame, group: str) -> DataFrame:
-    # One row per class; classes are few, and the bound is checked.
+    # One row per class; classes are few, and the bound is checked. The
+    # tiny cut-off table is cached so the check and the join share it.
+    cuts = cuts.cache()
     n_groups = cuts.count()
     c = F.broadcast(cuts) if n_groups <= MAX_BROADCAST_GROUPS else cuts
     return df.join(c, group, "left")
