@@ -61,7 +61,7 @@ def count_runs(c, cls: str, marker: str) -> Column:
 
 def words(c) -> Column:
     """``str.split()``: whitespace tokens, no empty tokens."""
-    return F.filter(F.split(_c(c), f"{WS}+"), lambda w: w != F.lit(""))
+    return F.array_remove(F.split(_c(c), f"{WS}+"), "")
 
 
 def token_count(c) -> Column:
@@ -200,7 +200,16 @@ def map_tokens(c, mapping: dict[str, str]) -> Column:
         return F.array_join(toks, " ")
     m = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
     mapped = F.transform(toks, lambda w: F.coalesce(F.try_element_at(m, F.lower(w)), w))
-    return F.array_join(F.filter(mapped, lambda w: w != F.lit("")), " ")
+    return F.array_join(F.array_remove(mapped, ""), " ")
+
+
+def has_token_in(c, keys) -> Column:
+    """Whether any whitespace token of lower(c) is one of ``keys``: a hashed
+    ``arrays_overlap`` of built-ins, no lambda and no regex alternation."""
+    if not keys:
+        return F.lit(False)
+    toks = F.split(F.lower(_c(c)), f"{WS}+")
+    return F.coalesce(F.arrays_overlap(toks, F.array(*[F.lit(k) for k in sorted(keys)])), F.lit(False))
 
 
 def has_dictionary_token(c, mapping: dict[str, str]) -> Column:

@@ -50,7 +50,11 @@ def normalize(df: DataFrame, text_col: str = "text", slang=None, emoji=None,
     out = out.withColumn(f"{p}has_emoji", X.contains_any_literal(F.col("__nourl"), [e for e, _ in pairs]))
     out = out.withColumn("__tags", F.when(F.col(f"{p}has_emoji"), X.replace_all_literal(
         F.col("__nourl"), [(e, f" {t} ") for e, t in pairs])).otherwise(F.col("__nourl")))
-    slanged = X.map_tokens(F.col("__tags"), slang_map)
+    # Tokenise and look up only rows holding a dictionary token; other rows
+    # differ from the rejoined form only in whitespace, which the collapse
+    # below normalises anyway.
+    out = out.withColumn("__has_slang", X.has_token_in(F.col("__tags"), slang_map.keys()))
+    slanged = F.when(F.col("__has_slang"), X.map_tokens(F.col("__tags"), slang_map)).otherwise(F.col("__tags"))
     t = X.collapse_ws(X.unwrap_hashtags(X.strip_mentions(slanged)))
     out = out.withColumn(f"{p}normalized_text", t)
     out = out.withColumns({
@@ -59,7 +63,7 @@ def normalize(df: DataFrame, text_col: str = "text", slang=None, emoji=None,
         f"{p}stripped_urls": X.extract_urls(raw),
     })
     out = X.with_script_mix(out, text_col, f"{p}lang_mix")
-    return out.drop("__nourl", "__tags")
+    return out.drop("__nourl", "__tags", "__has_slang")
 
 
 def normalize_slang_join(df: DataFrame, text_col: str, slang: DataFrame, emoji=None,
