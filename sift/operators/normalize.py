@@ -53,7 +53,7 @@ def normalize(df: DataFrame, text_col: str = "text", slang=None, emoji=None,
     # Tokenise and look up only rows holding a dictionary token; other rows
     # differ from the rejoined form only in whitespace, which the collapse
     # below normalises anyway.
-    out = out.withColumn("__has_slang", X.has_token_in(F.col("__tags"), slang_map.keys()))
+    out = out.withColumns({"__has_slang": X.has_token_in(F.col("__tags"), slang_map.keys())})
     slanged = F.when(F.col("__has_slang"), X.map_tokens(F.col("__tags"), slang_map)).otherwise(F.col("__tags"))
     t = X.collapse_ws(X.unwrap_hashtags(X.strip_mentions(slanged)))
     out = out.withColumn(f"{p}normalized_text", t)

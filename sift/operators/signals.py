@@ -53,18 +53,19 @@ def lexicon_signals(text: Column, lexicon=None, low: Column | None = None) -> Co
     return F.transform(hits, lambda e: _sig("EUPHEMISM", e["term"], e["sig"], e["expl"]))
 
 
-def staged_pattern_offsets(df: DataFrame, low_col: str, patterns, prefix: str) -> DataFrame:
-    """Per pattern ``{prefix}{i}`` = struct(s, e) of the first match in
-    ``low_col`` or null, each split evaluated once per matching row."""
-    parts = {f"{prefix}{i}p": F.when(F.col(low_col).rlike(java_pattern(p)),
-                                     F.split(F.col(low_col), F.lit(java_pattern(p)), 2))
-             for i, p in enumerate(patterns)}
-    out = df.withColumns(parts)
-    offs = {f"{prefix}{i}": F.when(F.col(f"{prefix}{i}p").isNotNull(), F.struct(
-        F.length(F.element_at(F.col(f"{prefix}{i}p"), 1)).alias("s"),
-        (F.length(low_col) - F.length(F.element_at(F.col(f"{prefix}{i}p"), 2))).alias("e")))
-        for i in range(len(patterns))}
-    return out.withColumns(offs).drop(*parts.keys())
+def staged_pattern_offsets(df: DataFrame, low_col: str, groups) -> DataFrame:
+    """For each (prefix, patterns) group and pattern i, ``{prefix}{i}`` =
+    struct(s, e) of the first match in ``low_col`` or null; each split is
+    evaluated once, and only on rows where the (cached) regex matches."""
+    parts, offs = {}, {}
+    for prefix, patterns in groups:
+        for i, p in enumerate(patterns):
+            pc = f"{prefix}{i}p"
+            parts[pc] = F.when(F.col(low_col).rlike(java_pattern(p)), F.split(F.col(low_col), F.lit(java_pattern(p)), 2))
+            offs[f"{prefix}{i}"] = F.when(F.col(pc).isNotNull(), F.struct(
+                F.length(F.element_at(F.col(pc), 1)).alias("s"),
+                (F.length(low_col) - F.length(F.element_at(F.col(pc), 2))).alias("e")))
+    return df.withColumns(parts).withColumns(offs).drop(*parts.keys())
 
 
 def _pattern_list(patterns, default):
@@ -167,8 +168,7 @@ def extract_signals(df: DataFrame, text_col: str = "text", ar_col: str | None =
     acts = _pattern_list(action_patterns, D.ACTION_PATTERNS)
     urgs = _pattern_list(urgency_patterns, D.URGENCY_PATTERNS)
     staged = df.withColumn("__low", F.lower(t))
-    staged = staged_pattern_offsets(staged, "__low", acts, "__a")
-    staged = staged_pattern_offsets(staged, "__low", urgs, "__u")
+    staged = staged_pattern_offsets(staged, "__low", [("__a", acts), ("__u", urgs)])
     low = F.col("__low")
     a_items, u_items = [], []
     for i, p in enumerate(acts):
@@ -186,7 +186,7 @@ def extract_signals(df: DataFrame, text_col: str = "text", ar_col: str | None =
     return (staged.withColumn("__sig_all", allsig)
             .withColumn(out, dedup_signals(F.col("__sig_all")))
             .drop("__sig_all", *tmp)
-            .withColumn("signal_count", F.size(out)))
+            .withColumns({"signal_count": F.size(out)}))
 
 
 def signal_types(arr: Column, none: str = "—") -> Column:

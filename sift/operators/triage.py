@@ -35,15 +35,18 @@ def batch_triage(df: DataFrame, scorer: Scorer | None, text_col: str = "text",
                         action_patterns=action_patterns, urgency_patterns=urgency_patterns)
     probs = scorer(s) if scorer is not None else F.lit(None).cast("array<double>")
     u = S.uncertainty(probs, alpha, scheme)
+    # One withColumns per stage: every withColumn re-analyses the whole plan.
     return (s.withColumn("u", u)
-            .withColumn("id", X.short_id(text_col))
-            .withColumn("text_preview", X.preview(text_col, preview_chars))
-            .withColumn("label", F.col("u.label"))
-            .withColumn("confidence", F.col("u.confidence"))
-            .withColumn("entropy", F.round("u.entropy", 4))
-            .withColumn("probabilities", F.col("u.probabilities"))
-            .withColumn("prediction_set", F.col("u.prediction_set"))
-            .withColumn("is_ambiguous", F.col("u.is_ambiguous"))
+            .withColumns({
+                "id": X.short_id(text_col),
+                "text_preview": X.preview(text_col, preview_chars),
+                "label": F.col("u.label"),
+                "confidence": F.col("u.confidence"),
+                "entropy": F.round("u.entropy", 4),
+                "probabilities": F.col("u.probabilities"),
+                "prediction_set": F.col("u.prediction_set"),
+                "is_ambiguous": F.col("u.is_ambiguous"),
+            })
             .drop("u"))
 
 
