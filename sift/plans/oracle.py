@@ -619,7 +619,7 @@ def _():
     return f"""
 WITH d AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, {body} AS body FROM pages),
 c AS (SELECT *, trim(regexp_replace(body, {Q.q(Q.WS + '+')}, ' ', 'g')) AS clean FROM d)
-SELECT page_id, title, length(body) AS n_chars, substring(clean, 1, 100) || '...' AS preview,
+SELECT page_id, title, CAST(length(body) AS INTEGER) AS n_chars, substring(clean, 1, 100) || '...' AS preview,
   length(clean) > 20 AS keep, sha256(clean) AS clean_hash
 FROM c"""
 
