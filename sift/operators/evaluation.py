@@ -79,21 +79,18 @@ def class_report(pred: DataFrame, scheme: LabelScheme = DEFAULT_SCHEME, t: str =
 def kpi_gate(report: DataFrame, scheme: LabelScheme = DEFAULT_SCHEME, min_f1: float = 0.70,
              min_critical_precision: float = 0.75) -> DataFrame:
     """H4: weighted F1 >= .70 and critical-class precision >= .75."""
-    w = report.filter(F.col("class") == "weighted avg").select(F.col("f1").alias("weighted_f1"))
-    c = report.filter(F.col("class") == scheme.critical).select(F.col("precision").alias("critical_precision"))
-    return (w.crossJoin(c)  # one row each
-            .withColumn("f1_pass", F.col("weighted_f1") >= min_f1)
+    g = report.agg(F.max(F.when(F.col("class") == "weighted avg", F.col("f1"))).alias("weighted_f1"),
+                   F.max(F.when(F.col("class") == scheme.critical, F.col("precision"))).alias("critical_precision"))
+    return (g.withColumn("f1_pass", F.col("weighted_f1") >= min_f1)
             .withColumn("precision_pass", F.col("critical_precision") >= min_critical_precision)
             .withColumn("kpi_pass", F.col("f1_pass") & F.col("precision_pass")))
 
 
 def error_patterns(pred: DataFrame, t: str = "true_label", p: str = "pred_label") -> DataFrame:
     """wrong (true, pred) pairs by count, with the overall error rate."""
-    total = pred.agg(F.count(F.lit(1)).alias("__total"))
+    total = pred.count()  # one scalar
     return (pred.filter(F.col(t) != F.col(p)).groupBy(t, p).agg(F.count(F.lit(1)).alias("n"))
-            .crossJoin(total)  # single-row right side
-            .withColumn("error_rate", F.round(F.col("n") / F.greatest(F.col("__total"), F.lit(1)), 4))
-            .drop("__total"))
+            .withColumn("error_rate", F.round(F.col("n") / F.lit(max(total, 1)), 4)))
 
 
 def calibration(pred: DataFrame, scheme: LabelScheme = DEFAULT_SCHEME) -> DataFrame:
@@ -109,15 +106,15 @@ def calibration(pred: DataFrame, scheme: LabelScheme = DEFAULT_SCHEME) -> DataFr
 
 def histogram(pred: DataFrame, value: str, by: str | None = None, bins: int = 20) -> DataFrame:
     """equal-width bins over [min, max] of ``value``; the maximum goes
-    in the last bin (NumPy's convention). min/max come from one aggregate
-    and are joined back as a single row."""
-    mm = pred.agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
-    j = pred.crossJoin(mm)  # single-row right side
-    width = (F.col("__hi") - F.col("__lo")) / bins
-    b = F.when(F.col("__hi") == F.col("__lo"), 0).otherwise(
-        F.least(F.floor((F.col(value) - F.col("__lo")) / width), F.lit(bins - 1))).cast("int")
+    in the last bin (NumPy's convention). min/max are two scalars from one
+    aggregate, used as literals (no join)."""
+    mm = pred.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).first()
+    lo, hi = F.lit(mm["lo"]).cast("double"), F.lit(mm["hi"]).cast("double")
+    width = (hi - lo) / bins
+    b = F.when(hi == lo, 0).otherwise(
+        F.least(F.floor((F.col(value) - lo) / width), F.lit(bins - 1))).cast("int")
     keys = ([by] if by else []) + ["bin"]
-    return j.withColumn("bin", b).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return pred.withColumn("bin", b).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
 def quartiles(pred: DataFrame, value: str, by: str, accuracy: int = 10000) -> DataFrame:

@@ -10,7 +10,7 @@ no full sort).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sift.schemas import DEFAULT_SCHEME, LabelScheme
@@ -69,10 +69,10 @@ def daily_stats(logs: DataFrame, feedback: DataFrame | None, as_of: str) -> Data
     per = day.groupBy("predicted_label").agg(F.count(F.lit(1)).alias("n"),
                                              F.round(F.avg("entropy"), 4).alias("avg_entropy"),
                                              F.round(F.avg("risk_score"), 1).alias("avg_risk"))
-    tot = day.agg(F.count(F.lit(1)).alias("total_today"))
-    fb = (feedback.agg(F.count(F.lit(1)).alias("feedback_collected")) if feedback is not None
-          else tot.select(F.lit(0).cast("long").alias("feedback_collected")))
-    return per.crossJoin(tot).crossJoin(fb)  # both right sides are single rows
+    # The day's total is the sum over the (one row per label) aggregate.
+    fb = feedback.count() if feedback is not None else 0  # one scalar
+    return (per.withColumn("total_today", F.sum("n").over(Window.partitionBy()))
+            .withColumn("feedback_collected", F.lit(fb).cast("long")))
 
 
 def trend(logs: DataFrame, as_of: str, days: int = 7, scheme: LabelScheme = DEFAULT_SCHEME) -> DataFrame:
