@@ -36,3 +36,34 @@ def op8_sharding(spark, sf_dir):
     s = sharding.byte_shards(read(spark, sf_dir, "documents"), 8)
     return s.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                     F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op1_bpe(spark, sf_dir):
+    from sift.llm import bpe
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.digests(bpe.decode(bpe.encode(docs).drop("text")))
+
+
+@query
+def op10_mixing(spark, sf_dir):
+    from sift.llm import mixing
+    m = mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return m.select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target",
+                    (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies")
+
+
+@query
+def op2_fingerprints(spark, sf_dir):
+    from sift.llm import imatch
+    return imatch.edited_likeness(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op7_secrets(spark, sf_dir):
+    from sift.llm import secrets
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.train(docs))
+    return found.select("doc_id", secrets.counted(0).alias("n_assign"), secrets.counted(1).alias("n_access"),
+                        secrets.counted(2).alias("n_hex"), F.sha2(secrets.joined("base"), 256).alias("base_sha256"),
+                        secrets.joined("spans").alias("spans"))
