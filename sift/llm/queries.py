@@ -67,3 +67,10 @@ def op7_secrets(spark, sf_dir):
     return found.select("doc_id", secrets.counted(0).alias("n_assign"), secrets.counted(1).alias("n_access"),
                         secrets.counted(2).alias("n_hex"), F.sha2(secrets.joined("base"), 256).alias("base_sha256"),
                         secrets.joined("spans").alias("spans"))
+
+
+@query
+def op6_jaccard(spark, sf_dir):
+    from sift.llm import jaccard
+    rows, _ = jaccard.jaccard_join(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_shingles", "component_id")
