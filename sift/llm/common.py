@@ -14,6 +14,7 @@ import tempfile
 import uuid
 from dataclasses import dataclass
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,3 +86,31 @@ def order_buckets(df: DataFrame, key: Column, n: int) -> Buckets:
     if r["lo"] is None:
         return Buckets([])
     return Buckets(sorted({r["lo"], *r["q"]}))
+
+
+class WordHashes(dict):
+    """64-bit hashes of words (str or bytes); forgets all beyond a bound."""
+
+    def __missing__(self, w):
+        if len(self) > 400_000:
+            self.clear()
+        h = self[w] = xxhash.xxh3_64_intdigest(w)
+        return h
+
+
+word_hash = WordHashes()
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, keep: Column | None = None,
+                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``text, label`` of about ``rows`` labelled documents (the bound of a
+    classifier's training sample), chosen by a hash of the id. Labels that are null are left
+    out; of several labels of an id the largest counts."""
+    known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label")).filter("id IS NOT NULL AND label IS NOT NULL")
+    if keep is not None:
+        known = known.filter(keep)
+    known = known.groupBy("id").agg(F.max("label").alias("label"))
+    n = known.count()
+    picked = known.filter(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(max(n, 1))) < rows)  # about ``rows`` rows
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return texts.join(F.broadcast(picked), "id").select("id", "text", "label")

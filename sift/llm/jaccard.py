@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sift.llm.common import MIN_LONG, materialize, order_key, partitions
+from sift.llm.common import MIN_LONG, materialize, order_key, partitions, word_hash
 
 WIDTH = 5
 NUM, DEN = 3, 4  # similarity of at least 3 / 4
@@ -54,19 +54,6 @@ STEP_CHARS = 4_000_000
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
-class _Words(dict):
-    """64-bit hashes of words; forgets all beyond a bound."""
-
-    def __missing__(self, w):
-        if len(self) > 400_000:
-            self.clear()
-        h = self[w] = xxhash.xxh3_64_intdigest(w)
-        return h
-
-
-_words = _Words()
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -79,7 +66,7 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(word_hash.__getitem__, words), np.uint64, len(words))
     n = max(1, len(h) - width + 1)
     x = np.full(n, min(len(h), width), np.uint64)
     for i in range(min(width, len(h))):

@@ -74,3 +74,19 @@ def op6_jaccard(spark, sf_dir):
     from sift.llm import jaccard
     rows, _ = jaccard.jaccard_join(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op3_toxicity(spark, sf_dir):
+    from sift.llm import toxicity
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).drop("text").withColumn("rejected", F.col("p_toxic") >= toxicity.REJECT)
+
+
+@query
+def op9_quality(spark, sf_dir):
+    from sift.llm import quality
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, read(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", "held_out", "score", "predicted")
