@@ -10,9 +10,12 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
+_shipped_to: set[str] = set()
+
 # Settings that matter at scale as well as locally: AQE re-plans shuffles at
 # runtime (coalesces small partitions, splits skewed join partitions), UTC
 # keeps date bucketing stable, Arrow batches feed the few pandas UDFs.
@@ -57,6 +60,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the workers this package, once a session, unless PYTHONPATH has it."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    sc = spark.sparkContext
+    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or sc.applicationId in _shipped_to:
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="sift-package-"), "sift.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(os.path.join(root, "sift")):
+            for n in names:
+                if n.endswith(".py"):
+                    z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), root))
+    sc.addPyFile(archive)
+    _shipped_to.add(sc.applicationId)
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
