@@ -36,8 +36,8 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 
 from sift.llm.common import without
 
-CHARS = 4_000_000  # texts are taken in steps of so many characters, so that memory is bounded
-CACHED_WORDS = 400_000  # a worker forgets its words beyond this; results do not depend on it
+CHARS = 1_500_000  # texts are taken in steps of so many characters, so that memory is bounded
+CACHED_WORDS = 150_000  # a worker forgets its words beyond this; results do not depend on it
 
 
 # Unicode calls these separators white space for Python, not for the library.
@@ -97,7 +97,7 @@ class Vocabulary:
                     until, x = made[x][2], made[x][side]
                     steps.append((x, until))
                 self.edge[side][t] = steps[::-1]
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.apart: dict[int, bool] = {}  # by first token * 2**32 + second
         # tokens that their own text encodes to: each half is one, and the
         # halves are merged by their own merge, not by an earlier one
         whole = {t for t in self.names if t not in made}
@@ -134,11 +134,11 @@ class Vocabulary:
                 j += 1
 
     def follows(self, a: int, b: int) -> bool:
-        ok = self.apart.get((a, b))
+        ok = self.apart.get(a << 32 | b)
         if ok is None:
-            if len(self.apart) > 1_000_000:
+            if len(self.apart) > 2 * CACHED_WORDS:
                 self.apart.clear()
-            ok = self.apart[a, b] = self._first_merge(a, b) == float("inf")
+            ok = self.apart[a << 32 | b] = self._first_merge(a, b) == float("inf")
         return ok
 
     def encode_words(self, words: set[str]) -> None:
@@ -164,7 +164,7 @@ class Vocabulary:
                 if t is not None:
                     if not at:
                         return t, 0
-                    ok = apart((last[at - 1], t))
+                    ok = apart(last[at - 1] << 32 | t)
                     if ok or ok is None and follows(last[at - 1], t):
                         return t, at
             raise ValueError("a byte has no token in this vocabulary")
@@ -238,22 +238,28 @@ class Vocabulary:
                 b"".join(word(w) if isinstance(w, str) else struct.pack("<I", w) for w in slow[i])
                 for i, c in enumerate(every)]
 
+
+class Names:
+    """Token texts by id, for decoding."""
+
+    def __init__(self, text: str):
+        spec = json.loads(text)
+        self.get = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+
     def decode(self, ids: bytes) -> str:
-        name = self.names.get
-        return " ".join(s for s in map(name, np.frombuffer(ids, "<u4").tolist()) if s is not None)
+        return " ".join(s for s in map(self.get.get, np.frombuffer(ids, "<u4").tolist()) if s is not None)
 
 
-_loaded: dict[int, Vocabulary] = {}
+_loaded: dict[type, tuple] = {}
 _normalizers: dict = {}
 
 
-def _vocabulary(text: str) -> Vocabulary:
-    """One a worker process."""
+def _of(kind: type, text: str):
+    """One ``kind`` a worker process, for the file whose text is given."""
     key = hash(text)
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = Vocabulary(text)
-    return _loaded[key]
+    if _loaded.get(kind, (None,))[0] != key:
+        _loaded[kind] = key, kind(text)
+    return _loaded[kind][1]
 
 
 def _normalizer(spec: str):
@@ -286,7 +292,7 @@ def encode(df: DataFrame, text_col: str = "text", path: str | None = None) -> Da
     schema = StructType([*df.schema.fields, StructField("token_ids", BinaryType()), StructField("n_tokens", LongType())])
 
     def run(batches):
-        v = _vocabulary(vocab.value)
+        v = _of(Vocabulary, vocab.value)
         for b in batches:
             col = b.column(b.schema.get_field_index(text_col))
             texts = [t or "" for t in col.to_pylist()]
@@ -308,7 +314,7 @@ def decode(df: DataFrame, ids_col: str = "token_ids", path: str | None = None, o
     schema = StructType([*df.schema.fields, StructField(out, StringType())])
 
     def run(batches):
-        v = _vocabulary(vocab.value)
+        v = _of(Names, vocab.value)
         for b in batches:
             ids = [x or b"" for x in b.column(b.schema.get_field_index(ids_col)).to_pylist()]
             for lo, hi in _steps([len(x) for x in ids]):
