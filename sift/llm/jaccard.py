@@ -6,8 +6,8 @@ the components that these links form.
 2. Two sets of similarity t share one of the first n - ceil(t * n) + 1 shingles
    of each, in any one order; the order puts shingles that very many documents
    share last. Those shingles are the keys that bring nodes together.
-3. In each key's group, sorted by size, every node is paired with the group's
-   first node and with the one before it. A pair passes if the sizes and the
+3. In two of its keys' groups, sorted by size, every node is paired with the
+   group's first node and with the one before it. A pair passes if the sizes and the
    bitmap signatures allow it: a bit of one set that the other lacks is an
    element it lacks, so bit counts bound the overlap from above. What passes
    is decided by exact intersection of the sorted arrays.
@@ -403,9 +403,16 @@ class _Join:
 
     def run(self) -> tuple[DataFrame, DataFrame]:
         members = self.members()
-        pair = lambda o: members.filter((F.col(o) != F.col("node")) & (DEN * F.least(f"{o}_size", "size") >= NUM * F.greatest(f"{o}_size", "size"))).select(
+        pair = lambda df, o: df.filter(
+            (F.col(o) != F.col("node")) & (DEN * F.least(f"{o}_size", "size") >= NUM * F.greatest(f"{o}_size", "size"))).select(
             F.least(o, "node").alias("a"), F.greatest(o, "node").alias("b"))
-        tried = materialize(pair("hub").union(pair("prev")).distinct(), "pairs")
+        # Which nodes a node meets differs from key to key, so two of its keys
+        # give its partners here; step 4 decides whatever they leave open.
+        near = members.groupBy("node", "size").agg(*[F.struct(
+            f(o, "key").alias("other"), f(f"{o}_size", "key").alias("other_size")).alias(f"{o}{i}")
+            for o in ("hub", "prev") for i, f in enumerate((F.min_by, F.max_by))])
+        near = near.select("node", "size", F.explode(F.array("hub0", "hub1", "prev0", "prev1")).alias("p")).select("node", "size", "p.*")
+        tried = materialize(pair(near, "other").distinct(), "pairs")
         links = self.verified(tried, False)
         labels = self.labels(links)
         rest = self.rest(members, labels, tried)
