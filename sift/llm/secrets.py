@@ -7,7 +7,7 @@ the whole match); ``access`` AKIA keys of 16 or more; ``hex`` runs of 32 or
 more. The method adds kind ``markov``: tokens of 20 or more of
 ``[A-Za-z0-9+/_=-]`` with 8 or more different characters that overlap no base
 span and whose log-likelihood ratio (random over ordinary, first-order models
-over character classes, add-half smoothing) exceeds ``MARGIN`` nats.
+that fall back on character frequencies) exceeds ``MARGIN`` nats.
 
 Training, from labelled samples: label 1 the base matches' values in all
 documents and base64, base62-like and hex digests of document ids; label 0 the
@@ -40,6 +40,7 @@ WORDS_OF = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SAMPLE = 2000
 MARGIN = 12.0
+BACK_OFF = 20.0  # pairs' weight of the characters' own frequencies
 DISTINCT = 8
 SPAN = "struct<start:int,ord:int,end:int,value:string>"
 
@@ -107,15 +108,15 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     rows = _pairs(made.union(values).select(F.lit(1).alias("label"), "token").unionByName(
         rest.select(F.lit(0).alias("label"), "token"))).collect()  # at most 2 * 67 * 67 kept rows
     n = len(ALPHABET)
-    counts = [[[0.5] * n for _ in range(n)] for _ in range(2)]
+    counts = [[[0.0] * n for _ in range(n)] for _ in range(2)]
     for label, pair, c in rows:
         if len(pair) == 2 and pair[0] in ALPHABET and pair[1] in ALPHABET:
             counts[label][ALPHABET.index(pair[0])][ALPHABET.index(pair[1])] += c
-    out = []
-    for a in range(n):
-        total = [sum(counts[k][a]) for k in (0, 1)]
-        out += [math.log(counts[1][a][b] / total[1]) - math.log(counts[0][a][b] / total[0]) for b in range(n)]
-    return out
+    # a character after which little was seen falls back on how frequent characters are at all
+    alone = [[0.5 + sum(counts[k][a][b] for a in range(n)) for b in range(n)] for k in (0, 1)]
+    alone = [[x / sum(xs) for x in xs] for xs in alone]
+    log = lambda k, a, b: math.log((counts[k][a][b] + BACK_OFF * alone[k][b]) / (sum(counts[k][a]) + BACK_OFF))
+    return [log(1, a, b) - log(0, a, b) for a in range(n) for b in range(n)]
 
 
 def ratio(token: Column, model: list[float]) -> Column:
