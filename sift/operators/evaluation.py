@@ -28,9 +28,11 @@ def confusion(pred: DataFrame, scheme: LabelScheme = DEFAULT_SCHEME, t: str = "t
 
 
 def crosstab_margins(pred: DataFrame, t: str = "true_label", p: str = "pred_label") -> DataFrame:
-    """``cube`` counts; 'All' marks margin rows/columns."""
-    return (pred.cube(t, p).agg(F.count(F.lit(1)).alias("n"))
-            .select(F.coalesce(F.col(t), F.lit("All")).alias(t), F.coalesce(F.col(p), F.lit("All")).alias(p), "n"))
+    """``cube`` counts; 'All' marks margin rows/columns (told by
+    ``grouping``, so a null label keeps its own row)."""
+    name = lambda c: F.when(F.col(f"__all_{c}") == 1, F.lit("All")).otherwise(F.col(c)).alias(c)
+    return (pred.cube(t, p).agg(F.count(F.lit(1)).alias("n"), F.grouping(t).alias(f"__all_{t}"), F.grouping(p).alias(f"__all_{p}"))
+            .select(name(t), name(p), "n"))
 
 
 def class_report(pred: DataFrame, scheme: LabelScheme = DEFAULT_SCHEME, t: str = "true_label",

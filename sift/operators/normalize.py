@@ -12,12 +12,27 @@ from pyspark.sql import functions as F
 
 from sift import dictionaries as D
 from sift.functions import text as X
-from sift.operators.dicts import MAX_INLINE_ROWS, as_rows, small_rows
+from sift.operators.dicts import as_rows, small_rows
+
+
+def _slang_rows(slang: DataFrame) -> DataFrame:
+    """``lk, rep`` of a slang table, one row per lower-cased token. Columns go by
+    the names ``token`` and ``replacement``, else by position. A null
+    replacement deletes the token; of several rows of a token the one with the
+    largest ``ord`` counts (ties, or no ``ord``: the greatest replacement)."""
+    c = slang.columns
+    token, rep = ("token", "replacement") if {"token", "replacement"} <= set(c) else c[:2]
+    order = F.col("ord") if "ord" in c else F.lit(0)
+    rows = slang.select(F.lower(token).alias("lk"), F.struct(order.alias("o"), F.coalesce(F.col(rep), F.lit("")).alias("r")).alias("v"))
+    return rows.filter("lk IS NOT NULL").groupBy("lk").agg(F.max("v.r").alias("r") if "ord" not in c else F.max("v")["r"].alias("r")).toDF("lk", "rep")
 
 
 def _slang_map(slang) -> dict | None:
-    rows = as_rows(slang) if slang is not None else D.SLANG
-    return {str(k).lower(): ("" if v is None else str(v)) for k, v in rows}
+    if slang is None or isinstance(slang, list):
+        rows = D.SLANG if slang is None else as_rows(slang)
+        return {str(k).lower(): ("" if v is None else str(v)) for k, v in rows}
+    rows = small_rows(_slang_rows(slang))
+    return None if rows is None else {r["lk"]: r["rep"] for r in rows}
 
 
 def _emoji_pairs(emoji):
@@ -38,9 +53,9 @@ def normalize(df: DataFrame, text_col: str = "text", slang=None, emoji=None,
     """
     raw = F.col(text_col)
     pairs = _emoji_pairs(emoji)
-    if slang is not None and not isinstance(slang, list) and small_rows(slang, None, MAX_INLINE_ROWS) is None:
-        return normalize_slang_join(df, text_col, slang, emoji, prefix)
     slang_map = _slang_map(slang)
+    if slang_map is None:
+        return normalize_slang_join(df, text_col, slang, emoji, prefix)
     p = prefix
     # Each intermediate that is read more than once is its own projected
     # column: Catalyst does not de-duplicate work inside CASE branches.
@@ -67,40 +82,40 @@ def normalize(df: DataFrame, text_col: str = "text", slang=None, emoji=None,
 
 
 def normalize_slang_join(df: DataFrame, text_col: str, slang: DataFrame, emoji=None,
-                         prefix: str = "", key: str | None = None) -> DataFrame:
-    """Join form of the slang step for dictionaries too large to inline.
-
-    Tokens are exploded with their position, looked up with an equi-join
-    (Spark picks broadcast or shuffle by the dictionary's real size), and
-    re-assembled in order per row. The regroup is keyed by a row id, whose
-    groups are bounded by one text's token count.
+                         prefix: str = "") -> DataFrame:
+    """Join form of the slang step for dictionaries too large to inline; the
+    result equals the inline form's.
+
+    Each distinct text (told by its sha256) is exploded into tokens with their
+    position, looked up with an equi-join (Spark picks broadcast or shuffle by
+    the dictionary's real size) and re-assembled in order, in groups bounded by
+    one text's token count. The rows then take their text's result.
     """
     p = prefix
-    rid = key or "__rid"
-    base = df if key else df.withColumn(rid, F.monotonically_increasing_id())
     pairs = _emoji_pairs(emoji)
     raw = F.col(text_col)
     no_url = X.strip_urls(raw)
     with_tags = X.replace_all_literal(no_url, [(e, f" {t} ") for e, t in pairs])
-    toks = (base.select(rid, F.posexplode_outer(X.words(with_tags)).alias("pos", "tok"))
+    base = df.withColumn("__tid", F.sha2(raw, 256))
+    texts = base.filter(raw.isNotNull()).select("__tid", raw.alias(text_col)).dropDuplicates(["__tid"])
+    toks = (texts.select("__tid", F.posexplode_outer(X.words(with_tags)).alias("pos", "tok"))
             .withColumn("lk", F.lower("tok")))
-    dic = slang.select(F.lower("token").alias("lk"), F.col("replacement").alias("rep")).dropDuplicates(["lk"])
-    mapped = (toks.join(dic, "lk", "left")
-              .select(rid, "pos", F.when(F.col("rep").isNotNull(), F.col("rep")).otherwise(F.col("tok")).alias("w")))
-    rejoined = (mapped.groupBy(rid)
+    mapped = (toks.join(_slang_rows(slang), "lk", "left")
+              .select("__tid", "pos", F.coalesce("rep", "tok").alias("w")))
+    rejoined = (mapped.groupBy("__tid")
                 .agg(F.array_sort(F.collect_list(F.struct("pos", "w"))).alias("ws"))
-                .select(rid, F.array_join(F.filter(F.transform("ws", lambda s: s["w"]),
-                                                   lambda w: w.isNotNull() & (w != "")), " ").alias("__slang")))
-    out = base.join(rejoined, rid, "left")
-    t = X.collapse_ws(X.unwrap_hashtags(X.strip_mentions(F.coalesce(F.col("__slang"), F.lit("")))))
+                .select("__tid", F.array_join(F.filter(F.transform("ws", lambda s: s["w"]),
+                                                       lambda w: w.isNotNull() & (w != "")), " ").alias("__slang")))
+    out = base.join(rejoined, "__tid", "left")
+    t = X.collapse_ws(X.unwrap_hashtags(X.strip_mentions(F.col("__slang"))))
     out = (out.withColumn(f"{p}normalized_text", t)
            .withColumn(f"{p}token_count", X.count_spaced_tokens(F.col(f"{p}normalized_text")))
            .withColumn(f"{p}content_hash", X.sha256_hex(raw))
-           .withColumn(f"{p}lang_mix", X.script_mix(raw))
            .withColumn(f"{p}has_emoji", X.contains_any_literal(no_url, [e for e, _ in pairs]))
-           .withColumn(f"{p}stripped_urls", X.extract_urls(raw))
-           .drop("__slang"))
-    return out if key else out.drop(rid)
+           .withColumn(f"{p}stripped_urls", X.extract_urls(raw)))
+    out = X.with_script_mix(out, text_col, f"{p}lang_mix")
+    return out.select(*df.columns, *[f"{p}{c}" for c in (
+        "has_emoji", "normalized_text", "token_count", "content_hash", "stripped_urls", "lang_mix")])
 
 
 def flatten_mix(df: DataFrame, prefix: str = "") -> DataFrame:

@@ -13,6 +13,8 @@ it counts UTF-16 units, which is wrong after supplementary-plane characters.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +33,10 @@ def _sig(t, txt, sig, expl) -> Column:
 
 
 def java_pattern(p: str) -> str:
-    """Python regex -> Java regex with Unicode ``\\s``/``\\w`` classes."""
-    return "(?U)" + p
+    """Python regex -> Java regex with Unicode ``\\w`` and the exact ``\\s`` class
+    (Java's leaves out U+001C-U+001F)."""
+    spaces = {"s": X.WS, "S": X.NWS}
+    return "(?U)" + re.sub(r"\\(.)", lambda m: spaces.get(m[1], m[0]), p)
 
 
 def lexicon_signals(text: Column, lexicon=None, low: Column | None = None) -> Column:
@@ -208,17 +212,3 @@ def rollup_by_type(df: DataFrame, col: str = "signals") -> DataFrame:
                      F.col("s.significance").alias("significance"))
             .agg(F.count(F.lit(1)).alias("n")))
 
-
-def lexicon_matches_join(docs: DataFrame, key: str, text_col: str, lexicon: DataFrame) -> DataFrame:
-    """C1 long form for lexicons beyond the inline bound: a theta join on
-    ``contains``. The lexicon side is broadcast only below Spark's measured
-    autoBroadcastJoinThreshold; otherwise Spark plans a nested-loop join
-    without a hint."""
-    lex = lexicon.select(F.lower("term").alias("k"), "term", "threat_level", "meaning", "note", "ord")
-    return (docs.select(key, F.lower(text_col).alias("__low"))
-            .join(lex, F.contains(F.col("__low"), F.col("k")))
-            .select(key, "ord", F.lit("EUPHEMISM").alias("signal_type"),
-                    F.col("term").alias("extracted_text"),
-                    F.when(F.col("threat_level").isin(*KEEP_LEVELS), F.col("threat_level"))
-                    .otherwise("LOW").alias("significance"),
-                    F.concat_ws(" - ", "meaning", "note").alias("context_explanation")))

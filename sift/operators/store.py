@@ -17,8 +17,10 @@ duplicating it.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sift.schemas import ANALYSIS_LOG
 
@@ -48,16 +50,22 @@ def new_log_rows(batch: DataFrame, existing: DataFrame | None, key: str = "id",
 def append_first_write(spark: SparkSession, batch: DataFrame, path: str, batch_id: str,
                        key: str = "id", arrival: str = "arrival") -> DataFrame:
     """Append the new rows of one batch under ``path/batch_id=...`` and
-    return them. Reading ``path`` excludes the folder being (re)written."""
-    import os
-    existing = None
+    return them. Reading ``path`` excludes the folder being (re)written.
+
+    ``batch_id`` names the batch among all writers of ``path``: a second
+    writer must not reuse it (``streaming.triage_stream`` puts the stream's own
+    id in front). Only a missing ``path`` counts as "nothing stored"; any other
+    read error is raised, as rows stored before would be written twice."""
+    stored = T.StructType([ANALYSIS_LOG[key], T.StructField("batch_id", T.StringType())])
     try:
-        existing = spark.read.parquet(path).filter(F.col("batch_id") != batch_id)
-    except Exception:  # noqa: BLE001 - first batch: nothing stored yet
+        existing = spark.read.schema(stored).parquet(path).filter(F.col("batch_id") != batch_id)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         existing = None
     rows = new_log_rows(batch, existing, key, arrival)
     cols = [f.name for f in ANALYSIS_LOG.fields if f.name in rows.columns]
-    rows.select(*cols).write.mode("overwrite").parquet(os.path.join(path, f"batch_id={batch_id}"))
+    rows.select(*cols).write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
     return rows
 
 

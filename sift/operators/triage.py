@@ -50,14 +50,15 @@ def batch_triage(df: DataFrame, scorer: Scorer | None, text_col: str = "text",
             .drop("u"))
 
 
-def sweep_log_rows(triaged: DataFrame, text_col: str = "text", ts=None) -> DataFrame:
-    """Log rows of a sweep (A14 input): risk 0, mode SWEEP."""
+def sweep_log_rows(triaged: DataFrame, text_col: str = "text", ts=None, keep=()) -> DataFrame:
+    """Log rows of a sweep (A14 input): risk 0, mode SWEEP; ``keep`` lists
+    further columns to carry (an arrival order, say)."""
     return triaged.select(
         F.col("id"), (ts if ts is not None else F.localtimestamp()).cast("timestamp_ntz").alias("timestamp"),
         F.lit(0.0).alias("latency_ms"), F.col(text_col).alias("input_text"),
         F.lit(None).cast("string").alias("true_label"), F.col("label").alias("predicted_label"),
         F.lit(0).alias("risk_score"), "confidence", "entropy", "is_ambiguous",
-        F.lit("SWEEP").alias("pipeline_mode"))
+        F.lit("SWEEP").alias("pipeline_mode"), *keep)
 
 
 def escalate(triaged: DataFrame, scheme: LabelScheme = DEFAULT_SCHEME) -> DataFrame:

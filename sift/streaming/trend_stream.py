@@ -23,9 +23,9 @@ def trend_stream(spark: SparkSession, log_dir: str, watermark: str = "1 day"):
             .select(F.to_date(F.col("w.start")).alias("dt"), "predicted_label", "n"))
 
 
-def run_trend(spark: SparkSession, log_dir: str, out_dir: str, checkpoint: str, mode: str = "append"):
+def run_trend(spark: SparkSession, log_dir: str, out_dir: str, checkpoint: str):
     """Write the windowed counts to parquet (append) and stop when caught up."""
-    q = (trend_stream(spark, log_dir).writeStream.outputMode(mode).format("parquet")
+    q = (trend_stream(spark, log_dir).writeStream.outputMode("append").format("parquet")
          .option("path", out_dir).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()

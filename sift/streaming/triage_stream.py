@@ -6,7 +6,10 @@ parquet log folder. Key uniqueness comes from A14's anti join against what
 is stored, not from streaming ``dropDuplicates`` (which would keep every id
 in state for ever). Each micro-batch writes to its own ``batch_id=`` folder
 in overwrite mode, so a batch replayed after a failure replaces its own
-output. ``trigger(availableNow=True)`` processes what has landed and stops,
+output. The folder is named by the id that the stream keeps in its checkpoint
+and the batch number, so a new checkpoint or a second stream into the same log
+folder (one at a time) adds to what is stored. Of equal ids in one batch the
+post whose file landed first wins. ``trigger(availableNow=True)`` processes what has landed and stops,
 which is the streaming form of the reference's daily job.
 """
 
@@ -23,12 +26,14 @@ from sift.schemas import POST
 def run_incremental_triage(spark: SparkSession, landing_dir: str, log_dir: str, checkpoint: str,
                            scorer=None, **triage_kw):
     """Process all files landed so far; returns the finished query."""
-    stream = spark.readStream.schema(POST).json(landing_dir)
+    stream = (spark.readStream.schema(POST).json(landing_dir)
+              .withColumn("__landed", F.col("_metadata.file_modification_time")))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        stream_id = spark.read.schema("id string").json(f"{checkpoint.rstrip('/')}/metadata").first()["id"]
         t = batch_triage(batch, scorer, "text", **triage_kw)
-        rows = sweep_log_rows(t, "text").withColumn("arrival", F.monotonically_increasing_id())
-        append_first_write(spark, rows, log_dir, str(batch_id))
+        rows = sweep_log_rows(t, "text", keep=[F.col("__landed").alias("arrival")])
+        append_first_write(spark, rows, log_dir, f"{stream_id}-{batch_id}")
 
     q = (stream.writeStream.foreachBatch(handle)
          .option("checkpointLocation", checkpoint)

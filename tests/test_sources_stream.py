@@ -3,6 +3,8 @@
 import json
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from sift.sources import collect as SC
@@ -96,3 +98,29 @@ def test_stream_trend_matches_batch(spark, tmpdir_path):
     batch = (spark.read.parquet(src).groupBy(F.to_date("timestamp").alias("dt"), "predicted_label")
              .agg(F.count("*").alias("n")).collect())
     assert got == sorted((str(r["dt"]), r["predicted_label"], r["n"]) for r in batch)
+
+
+def test_streams_share_a_log_without_losing_rows(spark, tmpdir_path):
+    """A second stream, and a new checkpoint of the first, start at batch 0 again."""
+    from sift.streaming.triage_stream import run_incremental_triage
+    logs = os.path.join(tmpdir_path, "logs")
+    for name, text in (("a", "teks pertama"), ("b", "teks kedua")):
+        os.makedirs(os.path.join(tmpdir_path, name))
+        with open(os.path.join(tmpdir_path, name, "1.json"), "w") as f:
+            f.write(json.dumps({"post_id": name, "text": text, "source": "s", "url": ""}) + "\n")
+        run_incremental_triage(spark, os.path.join(tmpdir_path, name), logs, os.path.join(tmpdir_path, f"ck-{name}"))
+    run_incremental_triage(spark, os.path.join(tmpdir_path, "a"), logs, os.path.join(tmpdir_path, "ck-new"))
+    stored = spark.read.parquet(logs)
+    assert sorted(r["input_text"] for r in stored.collect()) == ["teks kedua", "teks pertama"]
+
+
+def test_unreadable_store_raises(spark, tmpdir_path):
+    from sift.operators.store import append_first_write
+    logs = os.path.join(tmpdir_path, "logs")
+    os.makedirs(os.path.join(logs, "batch_id=0"))
+    with open(os.path.join(logs, "batch_id=0", "part-0.parquet"), "w") as f:
+        f.write("not parquet")
+    batch = spark.createDataFrame([("x", 1)], "id string, arrival int")
+    with pytest.raises(Exception):
+        append_first_write(spark, batch, logs, "1")
+    assert not os.path.exists(os.path.join(logs, "batch_id=1", "_SUCCESS"))

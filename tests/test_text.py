@@ -69,3 +69,24 @@ def test_lexicon_inside_word(spark):
     sig = extract_signals(df, "text").collect()[0]["signals"]
     assert [s["extracted_text"] for s in sig] == ["bakar"]
     assert sig[0]["significance"] == "MEDIUM"
+
+
+def test_slang_meaning_is_the_same_at_any_size(spark):
+    """Null replacements, repeated tokens and null texts around the inline bound."""
+    from sift.operators.normalize import normalize
+    texts = spark.createDataFrame([(0, "Saya pergi ZZ ke x"), (1, "zz  zz"), (2, None), (3, ""), (4, "dup t5 #tag @me"), (1, "zz  zz")],
+                                  "id int, text string")
+    out = []
+    for size in (999, 1000, 1001):
+        rows = [(f"t{i}", f"r{i}", i) for i in range(size - 2)] + [("zz", None, 1), ("Dup", "last", 9), ("dup", "first", 1)]
+        slang = spark.createDataFrame(rows, "token string, replacement string, ord int")
+        n = normalize(texts, "text", slang=slang)
+        out.append(sorted(map(repr, n.select("id", "text", "normalized_text", "token_count", "content_hash", "has_emoji", "stripped_urls", "lang_mix").collect())))
+    assert out[0] == out[1] == out[2]
+    assert "normalized_text='saya pergi ke x'" in out[2][0].lower() and "last r5" in out[2][-1]
+
+
+def test_python_whitespace_in_patterns(spark):
+    from sift.operators.signals import urgency_signals
+    df = spark.createDataFrame([("malam\x1cini",)], "text string")
+    assert len(df.select(urgency_signals(F.col("text"), [r"malam\s+ini"]).alias("s")).first()["s"]) == 1
