@@ -93,7 +93,7 @@ def _sketch(words: list[str]) -> int:
 
 
 def _rows(batches):
-    """(sketch, label, words, counts) of each text."""
+    """(sketch, label, words, counts) of each text; words as one string, counts as 32-bit integers."""
     for b in batches:
         out = {"sketch": [], "label": b.column(2).to_pylist(), "words": [], "counts": []}
         for t in b.column(1).to_pylist():
@@ -103,10 +103,10 @@ def _rows(batches):
                 for f in word_features(w):
                     c[f] += n
             out["sketch"].append(_sketch(ws) - 2**63)
-            out["words"].append(list(c))
-            out["counts"].append(list(c.values()))
+            out["words"].append(" ".join(c))
+            out["counts"].append(np.fromiter(c.values(), np.int32, len(c)).tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(out["sketch"], pa.int64()), pa.array(out["label"], pa.int32()),
-                                          pa.array(out["words"], pa.list_(pa.string())), pa.array(out["counts"], pa.list_(pa.int32()))],
+                                          pa.array(out["words"], pa.string()), pa.array(out["counts"], pa.binary())],
                                          ["sketch", "label", "words", "counts"])
 
 
@@ -144,13 +144,13 @@ def fit_rows(rows: list, l1: float = 1e-4, steps: int = 400) -> Model:
                       for label, words, counts in rows])
     names = telling(rows, least)
     at = {w: i for i, w in enumerate(names)}
-    x = np.zeros((n, len(names) + LEVELS))
+    x = np.zeros((n, len(names)))
     for i, (_, words, counts) in enumerate(rows):
         for w, k in zip(words, counts):
             if w in at:
                 x[i, at[w]] = math.log2(1 + k)
-    norm = np.sqrt((x * x).mean(0))[:len(names)] + 1e-9  # features of one scale
-    x = x[:, :len(names)] / norm
+    norm = np.sqrt(np.einsum("ij,ij->j", x, x) / n) + 1e-9  # features of one scale
+    x /= norm
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     every = np.arange(n)
 
@@ -165,9 +165,9 @@ def fit_rows(rows: list, l1: float = 1e-4, steps: int = 400) -> Model:
 
     # the loss is convex in (w, theta); its curvature is at most that of two logistic terms
     u = np.ones(len(names) + 1)
-    full = np.concatenate([x, np.ones((n, 1))], 1)
     for _ in range(30):
-        u = full.T @ (full @ u) / n
+        v = x @ u[:-1] + u[-1]
+        u = np.append(x.T @ v, v.sum()) / n
         top = float(np.linalg.norm(u))
         u /= top
     rate = 1 / (0.5 * top + 1e-9)
@@ -189,10 +189,12 @@ def fit_rows(rows: list, l1: float = 1e-4, steps: int = 400) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = labelled_sample(docs, labels, "toxic", sample).select("id", "text", "label").mapInArrow(
-        _rows, "sketch long, label int, words array<string>, counts array<int>").collect()  # about ``sample`` rows
-    one = {}
-    for s, label, words, counts in sorted(rows, key=lambda x: (x[0], x[1], len(x[2]))):
-        one.setdefault(s, (int(label > 0), words, counts))
+        _rows, "sketch long, label int, words string, counts binary").collect()  # about ``sample`` rows
+    one, shared = {}, {}
+    for s, label, words, counts in sorted(rows, key=lambda x: (x[0], x[1], len(x[3]))):
+        if s not in one:  # a word of many rows is held once
+            one[s] = int(label > 0), [shared.setdefault(w, w) for w in words.split()], np.frombuffer(counts, np.int32)
+    del rows
     return fit_rows(list(one.values()))
 
 
