@@ -60,8 +60,10 @@ def _subsets(hs: Column, share: int, draws: int) -> Column:
         return F.array(hs)
     tagged = F.transform(hs, lambda h: F.struct(F.pmod(F.xxhash64(h, F.lit(share)), F.lit(share)).alias("d"), h.alias("h")))
     held = F.filter(tagged, lambda x: x["d"] < draws)
-    return F.transform(F.sequence(F.lit(0), F.lit(draws - 1)),
-                       lambda d: F.transform(F.filter(held, lambda x: x["d"] == d), lambda x: x["h"]))
+    # bound through a one-element array: a lambda evaluates any other expression in its body anew for each draw
+    return F.transform(F.array(held), lambda ts: F.transform(
+        F.sequence(F.lit(0), F.lit(draws - 1)),
+        lambda d: F.transform(F.filter(ts, lambda x: x["d"] == d), lambda x: x["h"])))[0]
 
 
 def _places(col: str) -> Column:
