@@ -11,9 +11,12 @@ class, the (hash, key) of the k-th row with a bucket histogram: counts per
 small table locates the bucket holding the k-th row, and only the rows of
 that one bucket (about n_c / 65536 of the class) are ranked. The cut-offs
 (one row per class) are broadcast back, so assigning rows is a filter, not a
-shuffle of the data. For small k (samples of a few hundred rows) a plain
-``row_number() <= k`` is used: Spark plans it with a partial
-WindowGroupLimit, so each task ships at most k rows per class.
+shuffle of the data. For k up to ``WINDOW_K`` a plain ``row_number() <= k``
+is used: Spark plans it with a partial WindowGroupLimit, so each task ships
+at most k rows per class. Beyond, Spark has no such limit and the cut-offs
+pick the same rows.
+
+Keys are unique. Null classes form a class of their own.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from pyspark.sql import functions as F
 BUCKET_HEX_DIGITS = 4
 # Above this many classes the cut-off table is joined without a broadcast hint.
 MAX_BROADCAST_GROUPS = 100_000
+# Largest k that Spark plans with a WindowGroupLimit by default.
+WINDOW_K = 1000
 
 
 def seeded_hash(key, seed: int = 42) -> Column:
@@ -36,6 +41,14 @@ def _bucket(h: Column) -> Column:
     return F.conv(F.substring(h, 1, BUCKET_HEX_DIGITS), 16, 10).cast("long")
 
 
+def _join_class(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``on`` in which nulls match; ``right``'s copies of ``on`` go."""
+    names = {c: f"__right_{c}" for c in on}
+    right = right.withColumnsRenamed(names)
+    cond = [F.col(c).eqNullSafe(F.col(r)) for c, r in names.items()]
+    return left.join(right, cond, how).drop(*names.values())
+
+
 def rank_cutoffs(df: DataFrame, group: str, h: str, key: str, k_of_n) -> DataFrame:
     """Per group: ``(group, n, k, cut_h, cut_key)`` where the rows with
     ``(h, key) <= (cut_h, cut_key)`` are exactly the first ``k`` rows of the
@@ -49,14 +62,13 @@ def rank_cutoffs(df: DataFrame, group: str, h: str, key: str, k_of_n) -> DataFra
     edge = (cum.filter((F.col("k") > 0) & (F.col("cum") >= F.col("k")) & (F.col("cum") - F.col("cnt") < F.col("k")))
             .select(group, "b", "n", "k", (F.col("k") - (F.col("cum") - F.col("cnt"))).alias("r")))
     sizes = cum.select(group, "n", "k").distinct()
-    edge_b = F.broadcast(edge)
-    in_edge = (df.select(group, h, key, _bucket(F.col(h)).alias("b"))
-               .join(edge_b.select(group, "b", "r"), [group, "b"]))
+    in_edge = _join_class(df.select(group, h, key, _bucket(F.col(h)).alias("b")),
+                          edge.select(group, "b", "r"), [group, "b"])
     rw = Window.partitionBy(group).orderBy(h, key)
     cut = (in_edge.withColumn("rn", F.row_number().over(rw))
            .filter(F.col("rn") == F.col("r"))
            .select(group, F.col(h).alias("cut_h"), F.col(key).alias("cut_key")))
-    return sizes.join(cut, group, "left")
+    return _join_class(sizes, cut, [group], "left")
 
 
 def _before_cut(h: str, key: str) -> Column:
@@ -70,7 +82,7 @@ def _attach(df: DataFrame, cuts: DataFrame, group: str) -> DataFrame:
     cuts = cuts.cache()
     n_groups = cuts.count()
     c = F.broadcast(cuts) if n_groups <= MAX_BROADCAST_GROUPS else cuts
-    return df.join(c, group, "left")
+    return _join_class(df, c, [group], "left")
 
 
 def stratified_split(df: DataFrame, label: str = "label", key: str = "text_id",
@@ -97,6 +109,12 @@ def positional_split(df: DataFrame, key: str, train_fraction: float = 0.8, seed:
 def first_k_per_group(df: DataFrame, group: str, key: str, k: int, seed: int = 42,
                       rank_col: str | None = None) -> DataFrame:
     """Up to ``k`` rows per group in seeded-hash order (``min(k, n_c)``)."""
+    if k > WINDOW_K:
+        hdf = df.withColumn("__h", seeded_hash(key, seed))
+        cuts = rank_cutoffs(hdf, group, "__h", key, lambda n: F.least(n, F.lit(k)))
+        df = _attach(hdf, cuts, group).filter(_before_cut("__h", key)).drop("__h", "n", "k", "cut_h", "cut_key")
+        if not rank_col:
+            return df
     w = Window.partitionBy(group).orderBy(seeded_hash(key, seed), F.col(key))
     rn = rank_col or "__rn"
     out = df.withColumn(rn, F.row_number().over(w)).filter(F.col(rn) <= k)
@@ -110,7 +128,7 @@ def oversample(df: DataFrame, group: str, key: str, n: int, seed: int = 42,
     Only rows of short classes (fewer than n each) are ranked."""
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
     short = sizes.filter(F.col("__n") < n)
-    rows = df.join(F.broadcast(short), group)  # at most one row per class
+    rows = _join_class(df, short, [group])
     w = Window.partitionBy(group).orderBy(seeded_hash(key, seed), F.col(key))
     ranked = rows.withColumn("__r", F.row_number().over(w))
     deficit = F.lit(n) - F.col("__n")

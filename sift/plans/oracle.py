@@ -443,7 +443,7 @@ def _():
 
 def _results_cte() -> str:
     return _logs_cte() + """,
-res AS (SELECT predicted_label AS label, entropy, substring(input_text, 1, 5) AS source, arrival AS ord FROM logs)"""
+res AS (SELECT predicted_label AS label, entropy, split_part(input_text, ' ', 1) AS source, arrival AS ord FROM logs)"""
 
 
 @oracle("batch_summary")
@@ -636,7 +636,7 @@ SELECT doc_id, cache_key, cache_key IN (SELECT cache_key FROM c) AS hit FROM r""
 def _():
     return """
 WITH p AS (SELECT doc_id, lang AS target, 'primary' AS origin FROM documents WHERE n_chars % 2 = 0 AND lang <> 'es'),
-s AS (SELECT doc_id, lang AS target, 'secondary' AS origin FROM documents WHERE n_chars % 2 = 1)
+s AS (SELECT doc_id, lang AS target, 'secondary' AS origin FROM documents WHERE n_chars % 2 = 1 OR lang = 'es')
 SELECT * FROM p UNION ALL SELECT * FROM s WHERE target NOT IN (SELECT DISTINCT target FROM p)"""
 
 

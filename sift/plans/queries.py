@@ -368,7 +368,7 @@ def q_dashboard_counts(spark, sf_dir):
 
 def _results(spark, sf_dir):
     return _logs(spark, sf_dir).select(F.col("predicted_label").alias("label"), "entropy",
-                                       F.col("input_text").substr(1, 5).alias("source"),
+                                       F.substring_index("input_text", " ", 1).alias("source"),  # the event type
                                        F.col("arrival").alias("ord"))
 
 
@@ -551,7 +551,7 @@ def q_source_fallback(spark, sf_dir):
     d = DV.documents(spark, sf_dir)
     primary = d.filter((F.col("n_chars") % 2 == 0) & (F.col("lang") != "es")).select(
         "doc_id", F.col("lang").alias("target"), F.lit("primary").alias("origin"))
-    secondary = d.filter(F.col("n_chars") % 2 == 1).select(
+    secondary = d.filter((F.col("n_chars") % 2 == 1) | (F.col("lang") == "es")).select(
         "doc_id", F.col("lang").alias("target"), F.lit("secondary").alias("origin"))
     return fallback(primary, secondary, "target")
 

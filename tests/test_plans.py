@@ -43,3 +43,28 @@ def test_small_sample_group_limit(spark):
     df = spark.createDataFrame([(f"k{i}", "A" if i % 4 else "B") for i in range(200)], "text_id string, label string")
     p = SM.first_k_per_group(df, "label", "text_id", 10)._jdf.queryExecution().optimizedPlan().toString()
     assert "WindowGroupLimit" in p
+
+
+def test_sample_equal_around_the_window_bound(spark, monkeypatch):
+    rows = [(f"k{i}", None if i % 7 == 0 else "A" if i % 4 else "B") for i in range(300)]
+    df = spark.createDataFrame(rows, "text_id string, label string")
+
+    def picked(k):
+        return sorted(r.text_id for r in SM.first_k_per_group(df, "label", "text_id", k).collect())
+
+    ks = (1, 42, 43, 44, 200, 400)  # 43 rows have no class
+    by_window = [picked(k) for k in ks]
+    monkeypatch.setattr(SM, "WINDOW_K", 0)
+    assert [picked(k) for k in ks] == by_window
+
+
+def test_split_treats_null_as_a_class(spark):
+    df = spark.createDataFrame([(f"k{i}", "A" if i % 2 else None) for i in range(100)], "text_id string, label string")
+    n = {tuple(r) for r in SM.stratified_split(df, "label", "text_id").groupBy("label", "split").count().collect()}
+    assert n == {("A", "test", 10), ("A", "train", 40), (None, "test", 10), (None, "train", 40)}
+
+
+def test_sources_keep_every_row(spark):
+    q = REGISTRY["source_fallback"](spark, SF)
+    es = spark.read.parquet(f"{SF}/documents.parquet").filter("lang = 'es'").count()
+    assert q.filter("target = 'es'").count() == es > 0
