@@ -336,12 +336,16 @@ class _Join:
         return materialize(keys.repartition(self.p, "key", "salt").sortWithinPartitions("key", "salt", "size", "node")
                            .mapInArrow(_members, MEMBERS), "members")
 
+    def allowed(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that the bitmaps allow."""
+        side = lambda c, x: self.nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(x))
+        return (pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+                .select("a", "b", "na", "nb", "x", "y").mapInArrow(_bit_filter, "a long, b long"))
+
     def verified(self, pairs: DataFrame, bits_done: bool) -> DataFrame:
         """The pairs (a, b) of similar sets."""
         if not bits_done:
-            side = lambda c, x: self.nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(x))
-            pairs = materialize(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
-                                .select("a", "b", "na", "nb", "x", "y").mapInArrow(_bit_filter, "a long, b long"), "allowed")
+            pairs = materialize(self.allowed(pairs), "allowed")
         wanted = pairs.select("a").union(pairs.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "node")
         wanted = wanted.join(self.nodes.select("node", "k"), "node")
 
@@ -384,11 +388,15 @@ class _Join:
         named = (members.select("key", "salt", "tile", "node", "size").join(labels, "node", "left")
                  .withColumn("label", F.coalesce("label", "node")))
         named = materialize(named, "named")
-        # a group with one component, or with two nodes (a pair that is decided), is done
-        mixed = (named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"),
-                                          F.max("salt").alias("salts"), F.max("tile").alias("tiles"))
-                 .filter("lo <> hi AND (n > 2 OR salts > 0)").select("key", "salts", "tiles"))
-        rows = named.join(mixed, "key")
+        # a group with one component is done
+        who = F.struct("node", "size")
+        mixed = materialize(named.groupBy("key").agg(
+            F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"), F.max("salt").alias("salts"),
+            F.max("tile").alias("tiles"), F.min(who).alias("a"), F.max(who).alias("b")).filter("lo <> hi"), "mixed")
+        # two nodes are a pair, which many keys may repeat
+        two = (mixed.filter("n = 2").filter(DEN * F.least("a.size", "b.size") >= NUM * F.greatest("a.size", "b.size"))
+               .select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct().join(done, ["a", "b"], "left_anti"))
+        rows = named.join(mixed.filter("n > 2").select("key", "salts", "tiles"), "key")
         # tiles of all salts of a key, numbered together
         rows = rows.withColumn("t", F.col("salt") * (F.col("tiles") + 1) + F.col("tile")).withColumn(
             "all", (F.col("salts") + 1) * (F.col("tiles") + 1))
@@ -398,8 +406,8 @@ class _Join:
                 .join(self.nodes.select("node", "bits"), "node")
                 .select("key", "at.lo", "at.hi", "at.side", "node", "size", "label", "bits"))
         found = (rows.repartition(self.p, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "side", "size", "node")
-                 .mapInArrow(_tiles, "a long, b long").distinct())
-        return materialize(found.join(done, ["a", "b"], "left_anti"), "rest")
+                 .mapInArrow(_tiles, "a long, b long").distinct().join(done, ["a", "b"], "left_anti"))
+        return materialize(found.union(self.allowed(two)).distinct(), "rest")
 
     def run(self) -> tuple[DataFrame, DataFrame]:
         members = self.members()
