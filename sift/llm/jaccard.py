@@ -177,7 +177,8 @@ def _survey(batches):
 
 
 def _keys(hot):
-    """Pass 2: (key, salt, node, size) of each text's first shingles."""
+    """Pass 2: (key, salt, node, size) of each text's first shingles; salt is 0
+    for keys that are not spread, else 1 or more."""
     def run(batches):
         hot_keys, hot_counts = hot.value
         seen: set[int] = set()  # sets already reported by this task
@@ -203,7 +204,7 @@ def _keys(hot):
                         count = np.where(hot_keys[at] == s, hot_counts[at], 0)
                     first = np.argsort(count, kind="stable")[:p] if count.any() else np.arange(p)
                     salts = -(-count[first] // SALT_ROWS)
-                    out.append((s[first].view(np.int64), np.where(salts > 1, np.abs(node) % np.maximum(salts, 1), 0), node, n))
+                    out.append((s[first].view(np.int64), np.where(salts > 1, 1 + np.abs(node) % np.maximum(salts, 1), 0), node, n))
                 if out:
                     sizes = [len(x[0]) for x in out]
                     yield pa.RecordBatch.from_arrays(
@@ -218,7 +219,8 @@ MEMBERS = "key long, salt int, tile int, node long, size int, hub long, hub_size
 
 def _members(batches):
     """Rows sorted by key, salt, size, node -> each node of a group of two or
-    more, with the group's first node and the one before it."""
+    more, with the group's first node and the one before it (itself, if it is
+    the first). Of spread keys, whose other salts may hold nodes, all are given."""
     last = None  # key, salt, node, size, hub, hub_size, rank of the row before
     for b in batches:
         key, salt, node, size = (c.to_numpy(zero_copy_only=False) for c in b.columns)
@@ -242,8 +244,9 @@ def _members(batches):
             hub[:until], hub_size[:until] = last[4], last[5]
             prev[0], prev_size[0] = last[2], last[3]
         last = tuple(int(x[-1]) for x in (key, salt, node, size, hub, hub_size, rank))
-        at = rank > 0
-        two = rank == 1  # the group's first node is reported with its second
+        prev, prev_size = np.where(rank == 0, node, prev), np.where(rank == 0, size, prev_size)
+        at = (rank > 0) | (salt > 0)
+        two = (rank == 1) & (salt == 0)  # the group's first node is reported with its second
         cols = [np.r_[key[two], key[at]], np.r_[salt[two], salt[at]], np.r_[np.zeros(two.sum(), np.int64), rank[at] // TILE].astype(np.int32),
                 np.r_[hub[two], node[at]], np.r_[hub_size[two], size[at]], np.r_[hub[two], hub[at]],
                 np.r_[hub_size[two], hub_size[at]], np.r_[hub[two], prev[at]], np.r_[hub_size[two], prev_size[at]]]
@@ -397,9 +400,9 @@ class _Join:
         two = (mixed.filter("n = 2").filter(DEN * F.least("a.size", "b.size") >= NUM * F.greatest("a.size", "b.size"))
                .select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct().join(done, ["a", "b"], "left_anti"))
         rows = named.join(mixed.filter("n > 2").select("key", "salts", "tiles"), "key")
-        # tiles of all salts of a key, numbered together
-        rows = rows.withColumn("t", F.col("salt") * (F.col("tiles") + 1) + F.col("tile")).withColumn(
-            "all", (F.col("salts") + 1) * (F.col("tiles") + 1))
+        # tiles of all salts (0, or 1 and more) of a key, numbered together
+        rows = rows.withColumn("t", F.greatest(F.col("salt") - 1, F.lit(0)) * (F.col("tiles") + 1) + F.col("tile")).withColumn(
+            "all", F.greatest("salts", F.lit(1)) * (F.col("tiles") + 1))
         pair = F.transform(F.sequence(F.lit(0), F.col("all") - 1), lambda o: F.struct(
             F.least(F.col("t"), o).alias("lo"), F.greatest(F.col("t"), o).alias("hi"), (F.col("t") > o).cast("int").alias("side")))
         rows = (rows.select("key", "node", "size", "label", F.explode(pair).alias("at"))
@@ -416,7 +419,7 @@ class _Join:
             F.least(o, "node").alias("a"), F.greatest(o, "node").alias("b"))
         # Which nodes a node meets differs from key to key, so two of its keys
         # give its partners here; step 4 decides whatever they leave open.
-        near = members.groupBy("node", "size").agg(*[F.struct(
+        near = members.filter("hub <> node").groupBy("node", "size").agg(*[F.struct(
             f(o, "key").alias("other"), f(f"{o}_size", "key").alias("other_size")).alias(f"{o}{i}")
             for o in ("hub", "prev") for i, f in enumerate((F.min_by, F.max_by))])
         near = near.select("node", "size", F.explode(F.array("hub0", "hub1", "prev0", "prev1")).alias("p")).select("node", "size", "p.*")

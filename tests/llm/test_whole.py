@@ -17,3 +17,18 @@ def test_near_copies_of_which_one_shares_a_passage(spark):
         want |= {d: (len(sets[i]), 3 * c + label[i]) for i, (d, _) in enumerate(three)}
         rows += three
     assert components(spark.createDataFrame(rows, "doc_id long, text string")) == want
+
+
+def test_spread_keys_lose_no_links(spark, monkeypatch):
+    """Copies make keys hot; their few different sets fall into different salts."""
+    monkeypatch.setattr(jaccard, "SALT_ROWS", 2)
+    monkeypatch.setattr(jaccard, "HOT_LEAST", 2)
+    rows, want = [], {}
+    for c in range(12):
+        base = prose(60, 7000 + c)
+        texts = [base] * 8 + [f"{base} tail", f"new {base}"][:1 + c % 2] + [prose(60, 8000 + c)]
+        sets, label = brute_components([(0, t) for t in texts])
+        n = len(rows)
+        want |= {n + i: (len(sets[i]), n + label[i]) for i in range(len(texts))}
+        rows += [(n + i, t) for i, t in enumerate(texts)]
+    assert components(spark.createDataFrame(rows, "doc_id long, text string")) == want
