@@ -2,7 +2,8 @@
 
 1. toxicity: documents whose P(severity grade > 0) reaches the operating point go.
 2. jaccard: of each component of near copies (similarity 0.75 on five-word
-   shingles) the row with the smallest id stays; texts without words all stay.
+   shingles) the row with the smallest id stays (nulls first; of equal ids, the
+   smallest hash of the text); texts without words all stay.
 3. secrets: every secret span is replaced by a mark; no document goes.
 4. mixing: each document appears as often as the mix to target weights takes
    it (0 to 3 times); equal rows are copies.
@@ -28,16 +29,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows, _ = jaccard.jaccard_join(docs)
-    # the kept rows by id and set; of rows with both equal, one
-    keep = rows.filter((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = keep.select(common.order_key("doc_id").alias("__k")).distinct()
-    kept = docs.withColumn("__k", common.order_key("doc_id")).join(keep, "__k", "left_semi")
-    if rows.count() != rows.select("doc_id").distinct().count():
-        # ids repeat: one row of each id with words stays
-        from pyspark.sql import Window
-        has_words = F.coalesce(F.col("text"), F.lit("")).rlike(common.WORD)
-        w = Window.partitionBy("__k", has_words).orderBy("text", F.xxhash64(*docs.columns))
-        kept = kept.withColumn("__n", F.row_number().over(w)).filter((F.col("__n") == 1) | ~has_words)
+    rows = rows.select(common.order_key("doc_id").alias("k"), F.col("text_hash").alias("h"), "n_shingles", "label")
+    # the kept rows by id and text; of rows with words and both equal, one
+    least = rows.filter("n_shingles > 0").groupBy("label").agg(F.min(F.struct("k", "h")).alias("__row"), F.count("*").alias("n"))
+    least = common.materialize(least.select("__row.*", "n"), "least")
+    keep = least.select("k", "h").union(rows.filter("n_shingles = 0").select("k", "h").distinct()).toDF("__k", "__h")
+    kept = docs.withColumn("__k", common.order_key("doc_id")).withColumn("__h", jaccard.text_hash("text"))
+    kept = kept.join(keep, ["__k", "__h"], "left_semi")
+    worded = rows.filter("n_shingles > 0").join(least.filter("n > 1").select("k", "h"), ["k", "h"], "left_semi")
+    again = worded.groupBy("k", "h").count().filter("count > 1")
+    if again.limit(1).count():
+        has_words = F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(common.WORD)
+        row = F.struct(*[F.col(c) for c in docs.columns])
+        one = (kept.filter(has_words).groupBy("__k", "__h").agg(F.min_by(row, F.xxhash64(*docs.columns)).alias("__row"))
+               .select("__row.*"))
+        return one.union(kept.filter(~has_words).select(*docs.columns))
     return kept.select(*docs.columns)
 
 

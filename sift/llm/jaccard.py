@@ -39,7 +39,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sift.llm.common import MIN_LONG, materialize, order_key, partitions, word_hash
@@ -153,10 +153,10 @@ class _Frequent:
 
 
 def _survey(batches):
-    """Pass 1: (k, n, node, bits) of each text; at a task's end (shingle, count) of frequent ones."""
+    """Pass 1: (k, h, n, node, bits) of each text; at a task's end (shingle, count) of frequent ones."""
     often = _Frequent()
     for b in batches:
-        ks, texts = b.column(0), b.column(1).to_pylist()
+        ks, hs, texts = b.column(0), b.column(1), b.column(2).to_pylist()
         for lo, hi in _in_steps(texts):
             n, node, bits = [], [], []
             for t in texts[lo:hi]:
@@ -167,13 +167,13 @@ def _survey(batches):
                 bits.append(bitmap(s) if len(s) else None)
             size = hi - lo
             yield pa.RecordBatch.from_arrays(
-                [ks.slice(lo, size), pa.array(n, pa.int32()), pa.array(node, pa.int64()), pa.array(bits, pa.binary()),
-                 pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64())], ["k", "n", "node", "bits", "shingle", "count"])
+                [ks.slice(lo, size), hs.slice(lo, size), pa.array(n, pa.int32()), pa.array(node, pa.int64()), pa.array(bits, pa.binary()),
+                 pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64())], ["k", "h", "n", "node", "bits", "shingle", "count"])
     keys, counts = often.top()
     size = len(keys)
     yield pa.RecordBatch.from_arrays(
-        [pa.nulls(size, pa.int64()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.binary()),
-         pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], ["k", "n", "node", "bits", "shingle", "count"])
+        [pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.binary()),
+         pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], ["k", "h", "n", "node", "bits", "shingle", "count"])
 
 
 def _keys(hot):
@@ -316,14 +316,19 @@ def _tiles(batches):
         yield from flush(rows)
 
 
+def text_hash(text_col: str) -> Column:
+    """Tells rows of one id apart."""
+    return F.xxhash64(F.col(text_col).cast("string"))
+
+
 class _Join:
     def __init__(self, docs: DataFrame, id_col: str, text_col: str):
         self.spark = docs.sparkSession
         self.p = partitions(self.spark)
         self.texts = docs.select(order_key(id_col).alias("k"), F.col(text_col).cast("string").alias("text"))
-        survey = materialize(self.texts.mapInArrow(
-            _survey, "k long, n int, node long, bits binary, shingle long, count long"), "survey")
-        self.rows = survey.filter(F.col("k").isNotNull()).select("k", "n", "node")
+        survey = materialize(self.texts.select("k", text_hash("text").alias("h"), "text").mapInArrow(
+            _survey, "k long, h long, n int, node long, bits binary, shingle long, count long"), "survey")
+        self.rows = survey.filter(F.col("k").isNotNull()).select("k", "h", "n", "node")
         some = survey.filter(F.col("node").isNotNull())
         self.nodes = materialize(some.groupBy("node").agg(F.min("k").alias("k"), F.first("n").alias("n"), F.first("bits").alias("bits")), "nodes")
         total = self.rows.agg(F.sum("n")).first()[0] or 0
@@ -435,16 +440,18 @@ class _Join:
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(membership, links). Membership has one row a document: ``id, n_shingles,
-    node, component_id`` (the smallest id reachable by links). Links are pairs
+    node, component_id`` (the smallest id reachable by links), ``label`` (the
+    component, also where ids are null or repeat; null without words) and
+    ``text_hash``. Links are pairs
     ``a, b`` of nodes (different sets) that were verified; with the equal sets
     of a node they span every component."""
     j = _Join(docs, id_col, text_col)
     links, labels = j.run()
     named = j.nodes.select("node", "k").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lowest = named.groupBy("label").agg(F.min("k").alias("component"))
-    of_node = named.join(lowest, "label").select("node", "component")
+    of_node = named.join(lowest, "label").select("node", "label", "component")
     # a node that very many rows share is split by adaptive execution
     out = j.rows.join(of_node, "node", "left").withColumn("component", F.coalesce("component", "k"))
     real = lambda c: F.when(F.col(c) != MIN_LONG, F.col(c))
     return out.select(real("k").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "node",
-                      real("component").alias("component_id")), links
+                      real("component").alias("component_id"), "label", F.col("h").alias("text_hash")), links

@@ -32,3 +32,17 @@ def test_spread_keys_lose_no_links(spark, monkeypatch):
         want |= {n + i: (len(sets[i]), n + label[i]) for i in range(len(texts))}
         rows += [(n + i, t) for i, t in enumerate(texts)]
     assert components(spark.createDataFrame(rows, "doc_id long, text string")) == want
+
+
+def test_pipeline_keeps_a_row_of_each_component(spark):
+    """Null and repeated ids: different texts stay, copies go, equal rows become one."""
+    import corpus_pipeline
+    a, b = prose(60, 1), prose(60, 2)
+    null = [prose(60, 20 + i) for i in range(5)]
+    same = [prose(60, 40 + i) for i in range(3)]
+    rows = ([(None, t, 1) for t in null] + [(None, null[0], 1)] * 3 + [(None, None, 1), (None, " ", 2), (None, " ", 2)]
+            + [(7, t, 1) for t in same] + [(1, a, 1), (5, f"{a} tail", 1), (5, b, 1), (6, f"{b} tail", 1), (9, f"{null[1]} tail", 1), (9, f"{null[1]} tail", 1)])
+    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string, n_chars long"), "")
+    want = [(None, t, 1) for t in null] + [(None, None, 1), (None, " ", 2), (None, " ", 2)] + [(7, t, 1) for t in same] + [(1, a, 1), (5, b, 1)]
+    assert got.columns == ["doc_id", "text", "n_chars"]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
