@@ -103,9 +103,10 @@ word_hash = WordHashes()
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, keep: Column | None = None,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``text, label`` of about ``rows`` labelled documents (the bound of a
+    """``id, text, label`` of about ``rows`` labelled documents (the bound of a
     classifier's training sample), chosen by a hash of the id. Labels that are null are left
-    out; of several labels of an id the largest counts."""
+    out; of several labels of an id the largest counts, of several
+    rows of an id the text of the smallest hash."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label")).filter("id IS NOT NULL AND label IS NOT NULL")
     if keep is not None:
         known = known.filter(keep)
@@ -113,4 +114,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, k
     n = known.count()
     picked = known.filter(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(max(n, 1))) < rows)  # about ``rows`` rows
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(picked), "id").select("id", "text", "label")
+    return (texts.join(F.broadcast(picked), "id").groupBy("id", "label")
+            .agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("id", "text", "label"))

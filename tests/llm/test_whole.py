@@ -1,6 +1,6 @@
 """Cases in which an operator once did less than the whole job."""
 
-from sift.llm import jaccard
+from sift.llm import common, jaccard
 from test_llm import brute_components, prose
 
 
@@ -46,3 +46,12 @@ def test_pipeline_keeps_a_row_of_each_component(spark):
     want = [(None, t, 1) for t in null] + [(None, None, 1), (None, " ", 2), (None, " ", 2)] + [(7, t, 1) for t in same] + [(1, a, 1), (5, b, 1)]
     assert got.columns == ["doc_id", "text", "n_chars"]
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
+def test_training_sample_bounds_rows(spark):
+    """An id that repeats brings one of its rows."""
+    rows = [(i % 10, prose(8, i)) for i in range(200)] + [(50 + i, prose(8, 900 + i)) for i in range(5)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    got = common.labelled_sample(spark.createDataFrame(rows, "doc_id long, text string"), labels, "toxic", 4000).collect()
+    assert sorted(r["id"] for r in got) == sorted({i for i, _ in rows})
+    assert all((r["id"], r["text"]) in rows and r["label"] == r["id"] % 2 for r in got)
