@@ -41,5 +41,34 @@ reach(x, y) AS (SELECT x, y FROM link UNION SELECT r.x, l.y FROM reach r JOIN li
 low AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
 SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(w.doc_id, coalesce(low.y, w.doc_id)) AS component_id
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN low ON low.x = w.doc_id
+""",
+    "op11_phrases": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM documents, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS p(piece)),
+grams AS (
+  SELECT lang, s, i, list_slice(w, i, i + s - 1) AS p
+  FROM pieces, unnest(generate_series(1, 5)) AS z(s), unnest(generate_series(1, len(w) - s + 1)) AS g(i) WHERE len(w) >= s),
+f AS (SELECT lang, p, count(*) AS f FROM grams GROUP BY lang, p),
+total AS (SELECT lang, sum(f) AS n FROM f WHERE len(p) = 1 GROUP BY lang),
+cand AS (SELECT lang, p, f AS a FROM f WHERE f >= 100 AND len(p) > 1),
+cuts AS (
+  SELECT c.lang, c.p, c.a, k, l.f AS l, r.f AS r, CAST(total.n AS HUGEINT) AS n,
+    (CAST(1000 AS HUGEINT) * c.a * CAST(total.n AS HUGEINT)) // (CAST(l.f AS HUGEINT) * r.f) AS score
+  FROM cand c, unnest(generate_series(1, len(c.p) - 1)) AS g(k)
+  JOIN f l ON l.lang = c.lang AND l.p = list_slice(c.p, 1, k)
+  JOIN f r ON r.lang = c.lang AND r.p = list_slice(c.p, k + 1, len(c.p))
+  JOIN total ON total.lang = c.lang),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+inner_part AS (
+  SELECT c.lang, list_slice(c.p, i, i + s - 1) AS p, max(c.a) AS longer
+  FROM cand c, unnest(generate_series(2, 4)) AS z(s), unnest(generate_series(1, len(c.p) - s + 1)) AS g(i)
+  WHERE len(c.p) > s GROUP BY ALL),
+kept AS (
+  SELECT b.* FROM best b LEFT JOIN inner_part i ON i.lang = b.lang AND i.p = b.p WHERE longer IS NULL OR 100 * longer < 100 * b.a)
+SELECT lang, row_number() OVER w AS rank, array_to_string(p, ' ') AS phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM kept WINDOW w AS (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' '))
+QUALIFY row_number() OVER w <= 2000
 """,
 }

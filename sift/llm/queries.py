@@ -90,3 +90,9 @@ def op9_quality(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, read(spark, sf_dir, "labels"))
     return quality.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op11_phrases(spark, sf_dir):
+    from sift.llm import phrases
+    return phrases.collocations(read(spark, sf_dir, "documents").select("lang", "text"))
