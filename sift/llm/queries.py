@@ -96,3 +96,17 @@ def op9_quality(spark, sf_dir):
 def op11_phrases(spark, sf_dir):
     from sift.llm import phrases
     return phrases.collocations(read(spark, sf_dir, "documents").select("lang", "text"))
+
+
+@query
+def op12_simhash(spark, sf_dir):
+    from sift.llm import covering
+    rows, _ = covering.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "fingerprint", "component_id")
+
+
+@query
+def op13_repair(spark, sf_dir):
+    from sift.llm import repair
+    rows = repair.damage(read(spark, sf_dir, "conversations"))
+    return repair.digests(rows, repair.plans(rows))
