@@ -1,40 +1,43 @@
 """Composite triage paths: D13 (batch sweep), D14 (deep analysis), I3.
 
 One narrow DataFrame plan: normalise -> signals -> score -> uncertainty ->
-log rows / result rows. The scorer is a column-producing callable (a Spark
-ML model's probability column, a ``predict_batch_udf``, or any expression);
-when it is a Python UDF, persist after scoring if the result feeds both the
-log and the returned rows, so the model runs once per row.
+log rows / result rows. Scorers read the normalised text
+(``operators.scoring``: a linear model as columns, a weight table, a Spark ML
+pipeline, or an external model through ``predict_batch_udf``). When the scorer
+is a Python UDF, write or persist the result if it feeds both the log and
+the returned rows, so the model runs once per row. Within one plan the score
+is pinned: filters on the label read it instead of computing it again.
+
+The cascade (B27): only rows that the sweep does not call safe go on to
+``deep_triage``, and the filter stands before its join.
 """
 
 from __future__ import annotations
 
-from typing import Callable
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sift.functions import scores as S
 from sift.functions import text as X
 from sift.operators import fusion as FU
 from sift.operators.normalize import normalize
+from sift.operators.partitioning import pinned
+from sift.operators.scoring import PROBS, Scorer
 from sift.operators.signals import extract_signals
 from sift.schemas import DEFAULT_SCHEME, LabelScheme
 
-Scorer = Callable[[DataFrame], Column]
-
-
 def batch_triage(df: DataFrame, scorer: Scorer | None, text_col: str = "text",
                  slang=None, emoji=None, lexicon=None, action_patterns=None,
                  urgency_patterns=None, alpha: float = 0.1,
                  scheme: LabelScheme = DEFAULT_SCHEME, preview_chars: int = 200) -> DataFrame:
-    """D13. ``scorer(df)`` returns the probability array column for rows of
-    the normalised frame (null -> fallback). Adds the triage columns."""
+    """D13. ``scorer`` adds ``local_probs`` to the normalised frame (null ->
+    fallback; no scorer: all null). Adds the triage columns next to those of
+    ``normalize`` and ``extract_signals``."""
     n = normalize(df, text_col, slang=slang, emoji=emoji)
     s = extract_signals(n, text_col, ar_col="lang_mix.ar", lexicon=lexicon,
                         action_patterns=action_patterns, urgency_patterns=urgency_patterns)
-    probs = scorer(s) if scorer is not None else F.lit(None).cast("array<double>")
-    u = S.uncertainty(probs, alpha, scheme)
+    s = pinned(scorer(s), PROBS) if scorer is not None else s.withColumn(PROBS, F.lit(None).cast("array<double>"))
+    u = S.uncertainty(F.col(PROBS), alpha, scheme)
     # One withColumns per stage: every withColumn re-analyses the whole plan.
     return (s.withColumn("u", u)
             .withColumns({
@@ -61,19 +64,33 @@ def sweep_log_rows(triaged: DataFrame, text_col: str = "text", ts=None, keep=())
         F.lit("SWEEP").alias("pipeline_mode"), *keep)
 
 
+def radar_log_rows(deep: DataFrame, text_col: str = "text", ts=None, latency_ms=None, keep=()) -> DataFrame:
+    """Log rows of a deep analysis (A14 input): the final label, the expert's
+    risk score, mode RADAR. Rows without a parsed reply have no result and
+    are not logged."""
+    return deep.filter("parse_ok").select(
+        F.col("id"), (ts if ts is not None else F.localtimestamp()).cast("timestamp_ntz").alias("timestamp"),
+        (latency_ms if latency_ms is not None else F.lit(0.0)).alias("latency_ms"), F.col(text_col).alias("input_text"),
+        F.lit(None).cast("string").alias("true_label"), F.col("final_label").alias("predicted_label"),
+        F.col("risk_score").cast("int").alias("risk_score"), F.col("final_confidence").alias("confidence"),
+        F.col("final_entropy").alias("entropy"), (F.size("final_set") > 1).alias("is_ambiguous"),
+        F.lit("RADAR").alias("pipeline_mode"), *keep)
+
+
 def escalate(triaged: DataFrame, scheme: LabelScheme = DEFAULT_SCHEME) -> DataFrame:
-    """Only non-safe rows go on to the costly stage (filter placed
-    before the expensive join/UDF in the plan)."""
+    """Only non-safe rows go on to the costly stage."""
     return triaged.filter(F.col("label") != scheme.safe)
 
 
 def deep_triage(triaged: DataFrame, replies: DataFrame, key: str, reply_col: str = "reply",
-                scheme: LabelScheme = DEFAULT_SCHEME, local_col: str = "local_probs") -> DataFrame:
-    """Join expert replies (left, on ``key``), parse, fuse with the local
+                scheme: LabelScheme = DEFAULT_SCHEME, local_col: str = PROBS, cascade: bool = True) -> DataFrame:
+    """With ``cascade`` drop the rows that the sweep calls safe (B27), then
+    join expert replies (left, on ``key``), parse, fuse with the local
     score (``local_col``, may be null), validate and build brief columns.
     Rows whose reply is missing or malformed get ``parse_ok = false``."""
+    triaged = escalate(triaged, scheme) if cascade else triaged
     r = FU.parse_reply(replies.select(key, reply_col), reply_col)
-    j = triaged.join(r, key, "left")
+    j = triaged.join(r, key, "left").withColumn("parse_ok", F.coalesce("parse_ok", F.lit(False)))
     j = (j.withColumn("__ex_probs", S.map_to_probs(F.col("expert.probabilities"), scheme))
          .withColumn("__ex_label", F.col("expert.label")))
     out = (FU.fuse_frame(j, local_col, "__ex_probs", "__ex_label", "f", scheme)

@@ -46,6 +46,16 @@ CORPUS_URGENCY_PATTERNS = [
     r"\$\$\$",
 ]
 
+# A fixed linear model over frequent corpus words (thousandths, label order).
+CORPUS_BIAS = (300, 0, -200)
+CORPUS_WEIGHTS = {
+    "the": (9000, -4000, -6000), "of": (-3000, 12000, -4000), "and": (2000, 4000, -9000), "to": (6000, -9000, 1000),
+    "in": (-2000, 3000, -1000), "is": (4000, -7000, 9000), "that": (-9000, 2000, 15000), "|": (-8000, -3000, 20000),
+    "der": (12000, -3000, -8000), "die": (-6000, 14000, 2000), "und": (-4000, -2000, 18000), "von": (3000, 9000, -9000),
+    "de": (7000, 2000, -9000), "la": (-5000, 15000, -2000), "que": (-9000, 1000, 21000), "el": (6000, -8000, 4000),
+    "le": (-3000, 2000, 9000), "et": (11000, -9000, 1000), "les": (-7000, 16000, -4000), "für": (-20000, 9000, 30000),
+}
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(read_table(spark, sf_dir, "documents"), "doc_id")
@@ -132,6 +142,22 @@ def expert_label_sql(id_col: str = "doc_id") -> str:
             f"ELSE 'AMAN' END")
 
 
+# --- A weight for every token of the corpus ---------------------------------
+
+def vocabulary_weights(normalized: DataFrame) -> DataFrame:
+    """``token, weights`` of every distinct token, by arithmetic on its first
+    character and length."""
+    tok = normalized.select(F.explode(F.split(F.lower("normalized_text"), " ")).alias("token")).filter("token <> ''").distinct()
+    a, n = F.ascii("token"), F.length("token")
+    w = [((a * 37 + n * 101) % 20001 - 10000), ((a * 53 + n * 11) % 20001 - 10000), ((a * 71 + n * 7) % 20001 - 10000)]
+    return tok.select("token", F.array(*w).alias("weights"))
+
+
+VOCABULARY_WEIGHTS_SQL = """
+SELECT w, (ascii(w) * 37 + length(w) * 101) % 20001 - 10000 AS w0, (ascii(w) * 53 + length(w) * 11) % 20001 - 10000 AS w1,
+  (ascii(w) * 71 + length(w) * 7) % 20001 - 10000 AS w2 FROM tok"""
+
+
 # --- Annotated corpus from documents + labels ------------------------------
 
 def _v(cond):

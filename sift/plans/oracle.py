@@ -20,21 +20,48 @@ def oracle(name: str):
     return deco
 
 
-def _triage_cte() -> str:
+def _normalized(x: str) -> str:
+    return Q.collapse_ws(Q.mentions_hashtags(Q.slang_map(Q.emoji_fold(Q.strip_urls(x)))))
+
+
+def _triage_cte(source: str = "documents", key: str = "doc_id") -> str:
+    """base, scored (p from the text's tokens) and u (uncertainty of p)."""
     sig = Q.all_signals("text", DV.CORPUS_LEXICON, DV.CORPUS_ACTION_PATTERNS, DV.CORPUS_URGENCY_PATTERNS,
                         Q.script_mix("text")[1])
-    norm = Q.collapse_ws(Q.mentions_hashtags(Q.slang_map(Q.emoji_fold(Q.strip_urls("text")))))
     return f"""
 WITH base AS (
-  SELECT doc_id, text, {DV.derived_probs_sql('doc_id')} AS p, {sig} AS signals, {norm} AS nt
-  FROM documents
-), u AS (
-  SELECT *, {', '.join(f'{v} AS u_{k}' for k, v in Q.uncertainty_cols('p').items())} FROM base
+  SELECT *, {sig} AS signals, {_normalized('text')} AS nt
+  FROM {source}
+), {Q.text_scores('base', key, 'nt', DV.CORPUS_BIAS)}, u AS (
+  SELECT *, {', '.join(f'{v} AS u_{k}' for k, v in Q.uncertainty_cols('p').items())} FROM scored
 )"""
 
 
+def _scores_only(weights: str | None = None) -> str:
+    return f"""
+WITH base AS (SELECT doc_id, {_normalized('text')} AS nt FROM documents),
+{Q.text_scores('base', 'doc_id', 'nt', DV.CORPUS_BIAS, weights)}
+SELECT doc_id, p[1] AS p_aman, p[2] AS p_waspada, p[3] AS p_tinggi FROM scored"""
+
+
+@oracle("score_text")
+def _():
+    return _scores_only()
+
+
+@oracle("score_external")
+def _():
+    return _scores_only()
+
+
+@oracle("score_vocabulary")
+def _():
+    return _scores_only(DV.VOCABULARY_WEIGHTS_SQL)
+
+
 @oracle("batch_triage")
 def _():
+    from sift.functions.text import URL_RE
     return _triage_cte() + f"""
 SELECT doc_id, substring(sha256(text), 1, 16) AS id, u_label AS label, u_confidence AS confidence,
   round(u_entropy, 4) AS entropy,
@@ -42,7 +69,8 @@ SELECT doc_id, substring(sha256(text), 1, 16) AS id, u_label AS label, u_confide
   array_to_string(u_prediction_set, ',') AS prediction_set, CAST(len(u_prediction_set) AS INTEGER) AS set_size,
   len(u_prediction_set) > 1 AS is_ambiguous,
   CAST(len(signals) AS INTEGER) AS signal_count, {Q.signal_types('signals')} AS signal_types,
-  CAST(len({Q.words('nt')}) AS INTEGER) AS token_count, sha256(substring(text, 1, 200)) AS preview_hash
+  CAST(len({Q.words('nt')}) AS INTEGER) AS token_count, nt AS normalized_text,
+  array_to_string(regexp_extract_all(text, {Q.q(URL_RE)}), ' ') AS urls, sha256(substring(text, 1, 200)) AS preview_hash
 FROM u"""
 
 
@@ -237,17 +265,19 @@ SELECT doc_id, label, confidence, round(entropy, 4) AS entropy, array_to_string(
 FROM u"""
 
 
-def _fused_cte() -> str:
+def _fused_cte(b: str | None = None, keep: str = "doc_id") -> str:
+    """Fusion of ``loc`` with ``ex`` and ``el``, columns of the query ``b``; ``keep`` goes through."""
     fused = Q.fuse("loc", "ex")
     bumped = "[fz[1], fz[2], greatest(fz[3], 0.5)]"
+    b = b or f"""WITH b AS (SELECT doc_id, {DV.derived_probs_sql('doc_id')} AS loc, {DV.expert_probs_sql('doc_id')} AS ex,
+                  {DV.expert_label_sql('doc_id')} AS el FROM documents)"""
     return f"""
-WITH b AS (SELECT doc_id, {DV.derived_probs_sql('doc_id')} AS loc, {DV.expert_probs_sql('doc_id')} AS ex,
-                  {DV.expert_label_sql('doc_id')} AS el FROM documents),
+{b},
 f1 AS (SELECT *, {fused} AS fz FROM b),
 f2 AS (SELECT *, {Q.argmax_label('fz')} AS lab FROM f1),
 f3 AS (SELECT *, coalesce(el = 'TINGGI' AND lab <> 'TINGGI' AND loc IS NOT NULL AND ex IS NOT NULL, false) AS ov FROM f2),
 f4 AS (SELECT *, CASE WHEN ov THEN {Q.renormalize(bumped, guard_zero=False)} ELSE fz END AS fin FROM f3),
-f AS (SELECT doc_id, CASE WHEN loc IS NULL THEN ex WHEN ex IS NULL THEN loc ELSE fin END AS pr,
+f AS (SELECT {keep}, CASE WHEN loc IS NULL THEN ex WHEN ex IS NULL THEN loc ELSE fin END AS pr,
              CASE WHEN loc IS NULL THEN el WHEN ex IS NULL THEN {Q.argmax_label('loc')} WHEN ov THEN 'TINGGI' ELSE lab END AS label,
              ov FROM f4)"""
 
@@ -298,23 +328,50 @@ SELECT doc_id, parse_ok,
 FROM r"""
 
 
+def _reply_rows(key: str, source: str) -> str:
+    """Replies derived from ids: parse_ok, label, pr, risk_score, recommendation, note."""
+    return (f"SELECT {key} AS k, {key} % 9 <> 4 AS parse_ok, {DV.expert_label_sql(key)} AS label, {DV.expert_probs_sql(key)} AS pr, "
+            f"CAST(({key} * 17) % 111 AS BIGINT) AS risk_score, "
+            f"CASE WHEN {key} % 3 = 0 THEN 'ESCALATE' WHEN {key} % 3 = 1 THEN 'MONITOR' ELSE 'ARCHIVE' END AS recommendation, "
+            f"CASE WHEN {key} % 7 = 0 THEN 'short' ELSE 'note about doc ' || CAST({key} AS VARCHAR) END AS note FROM {source}")
+
+
+def _deep_cte(source: str = "documents", key: str = "doc_id", more: str = "") -> str:
+    """u (the sweep) and ``f``: escalated rows fused with their replies; a reply that
+    fails to parse leaves the local score alone."""
+    b = _triage_cte(source, key) + f""",
+r AS ({_reply_rows(key, source)}),
+b AS (SELECT u.{key}, u.u_label AS sweep_label, text, u.p AS loc, CASE WHEN r.parse_ok THEN r.pr END AS ex,
+        CASE WHEN r.parse_ok THEN r.label END AS el, r.parse_ok, r.risk_score, r.recommendation, r.note {more}
+      FROM u JOIN r ON r.k = u.{key} WHERE u.u_label <> 'AMAN')"""
+    return _fused_cte(b, f"{key}, sweep_label, text, parse_ok, risk_score, recommendation, note {more}")
+
+
 @oracle("deep_triage")
 def _():
-    # Replies that fail to parse leave local-only fusion inputs null: the
-    # expert side is missing, so fusion uses zeros for the expert.
-    fused_cte = _fused_cte().replace(
-        f"{DV.expert_probs_sql('doc_id')} AS ex", f"CASE WHEN doc_id % 9 = 4 THEN NULL ELSE {DV.expert_probs_sql('doc_id')} END AS ex").replace(
-        f"{DV.expert_label_sql('doc_id')} AS el", f"CASE WHEN doc_id % 9 = 4 THEN NULL ELSE {DV.expert_label_sql('doc_id')} END AS el")
-    v = _violations_sql("f.label", "f.pr", "r.recommendation", "r.risk_score", "r.note")
-    conf = Q.confidence("f.pr").replace("list_max(f.pr)", "list_max(f.pr)")
-    return fused_cte + "," + _reply_cte().replace("WITH r AS", "r AS") + f"""
-SELECT f.doc_id, r.parse_ok, f.label AS final_label,
-  round(CASE WHEN f.pr IS NOT NULL THEN {Q.entropy('f.pr')} END, 4) AS final_entropy,
-  array_to_string({Q.prediction_set('f.pr')}, ',') AS final_set, {conf} AS final_confidence,
-  CASE WHEN r.parse_ok THEN r.risk_score END AS risk_score,
-  CASE WHEN r.parse_ok THEN r.recommendation END AS recommendation,
-  CASE WHEN r.parse_ok THEN {v} ELSE 'parse' END AS violations
-FROM f JOIN r ON f.doc_id = r.doc_id"""
+    v = _violations_sql("label", "pr", "recommendation", "risk_score", "note")
+    return _deep_cte() + f"""
+SELECT doc_id, sweep_label AS label, parse_ok, label AS final_label,
+  round(CASE WHEN pr IS NOT NULL THEN {Q.entropy('pr')} END, 4) AS final_entropy,
+  array_to_string({Q.prediction_set('pr')}, ',') AS final_set, {Q.confidence('pr')} AS final_confidence,
+  CASE WHEN parse_ok THEN risk_score END AS risk_score,
+  CASE WHEN parse_ok THEN recommendation END AS recommendation,
+  CASE WHEN parse_ok THEN {v} ELSE 'parse' END AS violations
+FROM f"""
+
+
+@oracle("radar_log")
+def _():
+    first = "QUALIFY row_number() OVER (PARTITION BY id ORDER BY arrival) = 1"
+    return _deep_cte() + f""",
+radar AS (SELECT substring(sha256(text), 1, 16) AS id, label AS predicted_label, CAST(risk_score AS INTEGER) AS risk_score,
+    {Q.confidence('pr')} AS confidence, round({Q.entropy('pr')}, 4) AS entropy, len({Q.prediction_set('pr')}) > 1 AS is_ambiguous,
+    'RADAR' AS pipeline_mode, doc_id AS arrival, sha256(text) AS text_sha256 FROM f WHERE parse_ok {first}),
+sweep AS (SELECT substring(sha256(text), 1, 16) AS id, u_label AS predicted_label, 0 AS risk_score, u_confidence AS confidence,
+    round(u_entropy, 4) AS entropy, len(u_prediction_set) > 1 AS is_ambiguous, 'SWEEP' AS pipeline_mode, doc_id AS arrival,
+    sha256(text) AS text_sha256 FROM u {first})
+SELECT *, TIMESTAMP '{DV.AS_OF} 00:00:00' AS timestamp FROM
+  (SELECT * FROM radar UNION ALL SELECT * FROM sweep WHERE id NOT IN (SELECT id FROM radar))"""
 
 
 # --- Logs, feedback, reports -------------------------------------------------
@@ -480,7 +537,13 @@ pr AS (SELECT *, true_label = pred_label AS correct FROM pred)"""
 
 @oracle("predictions")
 def _():
-    return _pred_cte() + " SELECT * FROM pr"
+    u = Q.uncertainty_cols("p")
+    return f"""
+WITH base AS (SELECT doc_id, {_normalized('text')} AS nt FROM documents),
+{Q.text_scores('base', 'doc_id', 'nt', DV.CORPUS_BIAS)},
+s AS (SELECT l.doc_id, {DV.TRUE_LABEL_SQL} AS true_label, {u['label']} AS pred_label, list_max({u['probabilities']}) AS max_prob,
+  round({u['entropy']}, 4) AS entropy FROM labels l JOIN scored USING (doc_id))
+SELECT *, true_label = pred_label AS correct FROM s"""
 
 
 @oracle("confusion")
@@ -604,12 +667,14 @@ FROM g"""
 
 @oracle("transcript_triage")
 def _():
-    u = Q.uncertainty_cols("p")
-    return f"""
-WITH c AS (SELECT conv_id, turn, text, conv_id * 100 + turn AS tid FROM conversations),
-g AS (SELECT *, CASE WHEN length({Q.strip_u('text')}) < 5 THEN 'transcript too short' END AS reject_reason,
-             {DV.derived_probs_sql('tid')} AS p FROM c)
-SELECT conv_id, turn, reject_reason, CASE WHEN reject_reason IS NULL THEN {u['label']} END AS label FROM g"""
+    gate = f"""
+WITH g AS (SELECT conv_id, turn, text, conv_id * 100 + turn AS tid,
+  CASE WHEN length({Q.strip_u('text')}) < 5 THEN 'transcript too short' END AS reject_reason FROM conversations),
+acc AS (SELECT * FROM g WHERE reject_reason IS NULL),"""
+    return _deep_cte("acc", "tid", ", conv_id, turn").replace("WITH base AS", gate.strip() + "\nbase AS", 1) + """
+SELECT conv_id, turn, reject_reason, NULL AS label, NULL AS final_label FROM g WHERE reject_reason IS NOT NULL
+UNION ALL SELECT conv_id, turn, NULL, u_label, NULL FROM u WHERE u_label = 'AMAN'
+UNION ALL SELECT conv_id, turn, NULL, sweep_label, label FROM f"""
 
 
 @oracle("strip_html")

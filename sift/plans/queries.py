@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from sift.functions import scores as S
 from sift.functions import text as X
 from sift.operators import curation as C
+from sift.operators import scoring as SC
 from sift.operators import signals as SG
 from sift.operators.normalize import normalize
 from sift.operators.triage import batch_triage
@@ -30,13 +31,12 @@ def query(name: str):
     return deco
 
 
-def _probs_scorer(df: DataFrame):
-    return DV.derived_probs("doc_id")
+CORPUS_MODEL = SC.LinearModel(DV.CORPUS_BIAS, DV.CORPUS_WEIGHTS)
 
 
-def _triage_docs(spark, sf_dir):
+def _triage_docs(spark, sf_dir, scorer=None):
     d = DV.documents(spark, sf_dir)
-    return batch_triage(d, _probs_scorer, lexicon=DV.CORPUS_LEXICON,
+    return batch_triage(d, scorer or SC.linear_scorer(CORPUS_MODEL), lexicon=DV.CORPUS_LEXICON,
                         action_patterns=DV.CORPUS_ACTION_PATTERNS,
                         urgency_patterns=DV.CORPUS_URGENCY_PATTERNS)
 
@@ -52,7 +52,36 @@ def q_batch_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join("prediction_set", ",").alias("prediction_set"),
         F.size("prediction_set").alias("set_size"), "is_ambiguous",
         "signal_count", SG.signal_types(F.col("signals")).alias("signal_types"),
-        "token_count", F.sha2("text_preview", 256).alias("preview_hash"))
+        "token_count", "normalized_text", F.array_join("stripped_urls", " ").alias("urls"),
+        F.sha2("text_preview", 256).alias("preview_hash"))
+
+
+def _scores(df):
+    p = F.col(SC.PROBS)
+    return df.select("doc_id", p[0].alias("p_aman"), p[1].alias("p_waspada"), p[2].alias("p_tinggi"))
+
+
+@query("score_text")
+def q_score_text(spark, sf_dir):
+    """The linear model on every normalised document, by its weight table
+    (any vocabulary)."""
+    n = normalize(DV.documents(spark, sf_dir), "text")
+    return _scores(SC.table_scorer(SC.weight_table(spark, CORPUS_MODEL), CORPUS_MODEL.bias, "doc_id")(n))
+
+
+@query("score_external")
+def q_score_external(spark, sf_dir):
+    """K2: the same model as an external scorer, loaded once a Python worker."""
+    model = CORPUS_MODEL
+    n = normalize(DV.documents(spark, sf_dir), "text")
+    return _scores(SC.udf_scorer(lambda: model.probabilities)(n))
+
+
+@query("score_vocabulary")
+def q_score_vocabulary(spark, sf_dir):
+    """D1 with a weight for every token of the corpus, joined by token."""
+    n = normalize(DV.documents(spark, sf_dir), "text").select("doc_id", "normalized_text")
+    return _scores(SC.table_scorer(DV.vocabulary_weights(n), DV.CORPUS_BIAS, "doc_id")(n))
 
 
 @query("normalize_text")
@@ -264,16 +293,33 @@ def q_parse_replies(spark, sf_dir):
         F.when(F.col("parse_ok"), F.array_join(v, ",")).alias("violations"))
 
 
-@query("deep_triage")
-def q_deep_triage(spark, sf_dir):
-    """Batch triage + expert replies (left join) + fusion + validation."""
+def _deep(spark, sf_dir):
     from sift.operators.triage import deep_triage
-    t = _triage_docs(spark, sf_dir).withColumn("local_probs", DV.derived_probs("doc_id"))
     replies = DV.documents(spark, sf_dir).select("doc_id", DV.expert_reply_text("doc_id").alias("reply"))
-    out = deep_triage(t, replies, "doc_id", "reply")
-    return out.select("doc_id", "parse_ok", "final_label", "final_entropy",
-                      F.array_join("final_set", ",").alias("final_set"), "final_confidence",
-                      "risk_score", "recommendation", F.array_join("violations", ",").alias("violations"))
+    return deep_triage(_triage_docs(spark, sf_dir), replies, "doc_id", "reply")
+
+
+@query("deep_triage")
+def q_deep_triage(spark, sf_dir):
+    """Batch triage; rows that it does not call safe are joined with
+    expert replies (left join), fused and validated."""
+    return _deep(spark, sf_dir).select(
+        "doc_id", "label", "parse_ok", "final_label", "final_entropy",
+        F.array_join("final_set", ",").alias("final_set"), "final_confidence",
+        "risk_score", "recommendation", F.array_join("violations", ",").alias("violations"))
+
+
+@query("radar_log")
+def q_radar_log(spark, sf_dir):
+    """RADAR log rows of the escalated documents, then SWEEP rows
+    of all documents; the first write of an id stays (equal texts have one id)."""
+    from sift.operators.store import new_log_rows
+    from sift.operators.triage import radar_log_rows, sweep_log_rows
+    ts, arrival = F.lit(DV.AS_OF).cast("timestamp_ntz"), [F.col("doc_id").alias("arrival")]
+    radar = new_log_rows(radar_log_rows(_deep(spark, sf_dir), ts=ts, keep=arrival), None)
+    sweep = new_log_rows(sweep_log_rows(_triage_docs(spark, sf_dir), ts=ts, keep=arrival), radar)
+    return radar.unionByName(sweep).select("id", "timestamp", "predicted_label", "risk_score", "confidence", "entropy",
+                                           "is_ambiguous", "pipeline_mode", "arrival", F.sha2("input_text", 256).alias("text_sha256"))
 
 
 # --- Logs, feedback, analyst reports (A14-A16, E5, E8, F4-F9, F18, G3-G6) ----
@@ -406,8 +452,14 @@ def _pred(spark, sf_dir):
 
 @query("predictions")
 def q_predictions(spark, sf_dir):
-    """H6: labelled sample scored: true, pred, max prob, entropy, correct."""
-    return _pred(spark, sf_dir)
+    """Every labelled document's text scored: true, pred, max prob, entropy, correct."""
+    lab = read_table(spark, sf_dir, "labels")
+    scored = SC.linear_scorer(CORPUS_MODEL)(normalize(DV.documents(spark, sf_dir).select("doc_id", "text"), "text"))
+    u = S.uncertainty(F.col(SC.PROBS))
+    return (lab.join(scored.select("doc_id", u.alias("u")), "doc_id")
+            .select("doc_id", DV.true_label().alias("true_label"), F.col("u.label").alias("pred_label"),
+                    F.array_max("u.probabilities").alias("max_prob"), F.round("u.entropy", 4).alias("entropy"))
+            .withColumn("correct", F.col("true_label") == F.col("pred_label")))
 
 
 @query("confusion")
@@ -509,13 +561,20 @@ def q_wer_corpus(spark, sf_dir):
 
 @query("transcript_triage")
 def q_transcript_triage(spark, sf_dir):
-    """Reject short transcripts, score the rest."""
-    from sift.operators.triage import transcript_gate
-    c = read_table(spark, sf_dir, "conversations")
-    g = transcript_gate(c, "text", 5).withColumn("tid", F.col("conv_id") * 100 + F.col("turn"))
-    u = S.uncertainty(DV.derived_probs("tid"))
-    return g.select("conv_id", "turn", "reject_reason",
-                    F.when(F.col("reject_reason").isNull(), u["label"]).alias("label"))
+    """Reject short transcripts; the rest go through the whole sweep
+    and, where it does not call them safe, the deep analysis (D14)."""
+    from sift.operators.triage import deep_triage, transcript_gate
+    c = read_table(spark, sf_dir, "conversations").withColumn("tid", F.col("conv_id") * 100 + F.col("turn"))
+    g = transcript_gate(c, "text", 5)
+    t = batch_triage(g.filter("reject_reason IS NULL"), SC.linear_scorer(CORPUS_MODEL), lexicon=DV.CORPUS_LEXICON,
+                     action_patterns=DV.CORPUS_ACTION_PATTERNS, urgency_patterns=DV.CORPUS_URGENCY_PATTERNS)
+    deep = deep_triage(t, c.select("tid", DV.expert_reply_text("tid").alias("reply")), "tid")
+    none = F.lit(None).cast("string")
+    safe = t.filter(F.col("label") == "AMAN")
+    cols = ["conv_id", "turn"]
+    return (g.filter("reject_reason IS NOT NULL").select(*cols, "reject_reason", none.alias("label"), none.alias("final_label"))
+            .unionByName(safe.select(*cols, "reject_reason", "label", none.alias("final_label")))
+            .unionByName(deep.select(*cols, "reject_reason", "label", "final_label")))
 
 
 @query("strip_html")

@@ -116,6 +116,21 @@ def renormalize(p: str, guard_zero: bool = True) -> str:
     return f"CASE WHEN {tot} > 0 THEN {scaled} ELSE {p} END" if guard_zero else scaled
 
 
+def text_scores(source: str, key: str, text: str, bias, weights: str | None = None) -> str:
+    """CTEs ``tok``, ``weight``, ``sums`` and ``scored`` (source's columns and p): a linear
+    model over token counts of ``text`` (collapsed), with p null where there is no token."""
+    from sift.plans.derive import CORPUS_WEIGHTS
+    rows = ", ".join(f"({q(w)}, {v[0]}, {v[1]}, {v[2]})" for w, v in CORPUS_WEIGHTS.items())
+    weights = weights or f"SELECT * FROM (VALUES {rows}) AS v(w, w0, w1, w2)"
+    e = [f"exp(({b} + coalesce(s{i}, 0) / n) / 1000.0)" for i, b in enumerate(bias)]
+    p = ", ".join(f"round({x} / ({' + '.join(e)}), 4)" for x in e)
+    return f"""
+tok AS (SELECT {key} AS k, unnest(string_split(lower({text}), ' ')) AS w FROM {source} WHERE {text} <> ''),
+weight AS (SELECT DISTINCT * FROM ({weights})),
+sums AS (SELECT k, COUNT(*) AS n, sum(w0) AS s0, sum(w1) AS s1, sum(w2) AS s2 FROM tok LEFT JOIN weight USING (w) GROUP BY k),
+scored AS (SELECT x.*, CASE WHEN n > 0 THEN [{p}] END AS p FROM {source} x LEFT JOIN sums ON sums.k = x.{key})"""
+
+
 def fuse(local: str, expert: str, wl: float = 0.4, we: float = 0.6) -> str:
     mixed = (f"list_transform(list_zip({local}, {expert}), lambda z: round({wl} * coalesce(z[1], 0.0) "
              f"+ {we} * coalesce(z[2], 0.0), 4))")
