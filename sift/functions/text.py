@@ -74,7 +74,9 @@ def extract_urls(c) -> Column:
 
 
 def strip_urls(c) -> Column:
-    return F.regexp_replace(_c(c), URL_RE, "")
+    """Texts without a URL's beginning skip the pattern."""
+    col = _c(c)
+    return F.when(F.contains(col, F.lit("http")) | F.contains(col, F.lit("www.")), F.regexp_replace(col, URL_RE, "")).otherwise(col)
 
 
 def strip_mentions(c) -> Column:
@@ -85,6 +87,14 @@ def unwrap_hashtags(c) -> Column:
     return F.regexp_replace(_c(c), HASHTAG_RE, "$1")
 
 
+def strip_marks(c) -> Column:
+    """Mentions removed, then hashtags unwrapped, then whitespace collapsed; ``c`` is
+    collapsed already, so texts without a mark are left as they are."""
+    col = _c(c)
+    marked = F.contains(col, F.lit("@")) | F.contains(col, F.lit("#"))
+    return F.when(marked, collapse_ws(unwrap_hashtags(strip_mentions(col)))).otherwise(col)
+
+
 def strip_html(c) -> Column:
     """Delete tags; entities are left as they are."""
     return F.regexp_replace(_c(c), HTML_TAG_RE, "")
@@ -165,53 +175,22 @@ def contains_any_literal(c, needles) -> Column:
     return out
 
 
-def _trie(keys: list[str]) -> str:
-    """Literal keys as a prefix-trie regex: alternatives fail on their first
-    character instead of being tried one by one."""
-    import re
-    if "" in keys and len(keys) == 1:
-        return ""
-    groups: dict[str, list[str]] = {}
-    empty = False
-    for k in keys:
-        if k == "":
-            empty = True
-        else:
-            groups.setdefault(k[0], []).append(k[1:])
-    alts = [re.escape(c) + _trie(rest) for c, rest in sorted(groups.items())]
-    body = alts[0] if len(alts) == 1 and not empty else "(?:" + "|".join(alts) + ")"
-    return body + ("?" if empty else "")
-
-
-def any_token_regex(keys) -> str:
-    """Whole-token match of any (lower-case) key; apply to lower-cased text."""
-    return f"(?<!{NWS})" + _trie(sorted(set(keys))) + f"(?!{NWS})"
-
-
-def map_tokens(c, mapping: dict[str, str]) -> Column:
+def map_tokens(c, mapping) -> Column:
     """Whole-token lookup on lower-cased tokens, single pass; an empty
     replacement deletes the token; tokens rejoined by one space (B10).
-    ``has_dictionary_token`` is a cheaper pre-test where dictionary tokens
-    are rare (texts without one differ from the rejoined form only in
-    whitespace).
-    """
+    ``mapping`` is a dict, or a map column of the row's own."""
     toks = words(c)
-    if not mapping:
-        return F.array_join(toks, " ")
-    m = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
-    mapped = F.transform(toks, lambda w: F.coalesce(F.try_element_at(m, F.lower(w)), w))
+    if isinstance(mapping, dict):
+        if not mapping:
+            return F.array_join(toks, " ")
+        mapping = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
+    mapped = F.transform(toks, lambda w: F.coalesce(F.try_element_at(mapping, F.lower(w)), w))
     return F.array_join(F.array_remove(mapped, ""), " ")
 
 
 def has_token_in(c, keys) -> Column:
-    """Whether any whitespace token of lower(c) is one of ``keys``: a hashed
-    ``arrays_overlap`` of built-ins, no lambda and no regex alternation."""
+    """Whether a collapsed text may hold one of the tokens ``keys``, in lower case:
+    literal searches in the padded text."""
     if not keys:
         return F.lit(False)
-    toks = F.split(F.lower(_c(c)), f"{WS}+")
-    return F.coalesce(F.arrays_overlap(toks, F.array(*[F.lit(k) for k in sorted(keys)])), F.lit(False))
-
-
-def has_dictionary_token(c, mapping: dict[str, str]) -> Column:
-    """Whether any whitespace token of ``c`` lower-cases to a key."""
-    return F.lower(_c(c)).rlike(any_token_regex(mapping.keys())) if mapping else F.lit(False)
+    return contains_any_literal(F.concat(F.lit(" "), F.lower(_c(c)), F.lit(" ")), [f" {k} " for k in sorted(keys)])

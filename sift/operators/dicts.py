@@ -2,7 +2,8 @@
 
 Dictionaries are small, but their size is a caller's choice, so every
 in-row (literal) use is behind an explicit row-count bound. Above the bound
-operators switch to a join form that never ships the table to the driver.
+operators switch to a join form, with the same results, that never ships the
+table to the driver (``operators.matching``).
 """
 
 from __future__ import annotations
@@ -14,31 +15,11 @@ from pyspark.sql import DataFrame
 MAX_INLINE_ROWS = 1000
 
 
-class DictionaryTooLarge(ValueError):
-    pass
+def small_rows(df: DataFrame, order_by: list[str] | None = None) -> list | None:
+    """Rows of ``df``, ordered, if it has at most ``MAX_INLINE_ROWS`` rows, else ``None``.
 
-
-def small_rows(df: DataFrame, order_by: str | None = None,
-               max_rows: int = MAX_INLINE_ROWS) -> list | None:
-    """Rows of ``df`` if it has at most ``max_rows`` rows, else ``None``.
-
-    Reads at most ``max_rows + 1`` rows, so the check itself is bounded.
+    Reads at most one row more, so the check itself is bounded.
     """
-    q = df.orderBy(order_by) if order_by else df
-    rows = q.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return None
-    return rows
-
-
-def as_rows(d, order_by: str | None = None, max_rows: int = MAX_INLINE_ROWS):
-    """Accept a DataFrame or a plain list of tuples."""
-    if d is None:
-        return None
-    if isinstance(d, DataFrame):
-        rows = small_rows(d, order_by, max_rows)
-        if rows is None:
-            raise DictionaryTooLarge(
-                f"dictionary has more than {max_rows} rows; use the join form")
-        return [tuple(r) for r in rows]
-    return [tuple(r) if isinstance(r, (list, tuple)) else (r,) for r in d]
+    q = df.orderBy(*order_by) if order_by else df
+    rows = q.limit(MAX_INLINE_ROWS + 1).collect()
+    return rows if len(rows) <= MAX_INLINE_ROWS else None

@@ -1,4 +1,4 @@
-"""``normalize`` - one narrow projection, no shuffle.
+"""``normalize`` - one narrow projection, no shuffle (with inline dictionaries).
 
 Fixed step order: strip URLs -> emoji tags -> slang -> mentions -> hashtags
 -> whitespace; the script mix and the content hash are computed on the raw
@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from sift import dictionaries as D
 from sift.functions import text as X
-from sift.operators.dicts import as_rows, small_rows
+from sift.operators.dicts import small_rows
+from sift.operators.matching import attach, with_candidates
+from sift.operators.partitioning import salted_lookup
 
 
 def _slang_rows(slang: DataFrame) -> DataFrame:
@@ -28,100 +30,78 @@ def _slang_rows(slang: DataFrame) -> DataFrame:
 
 
 def _slang_map(slang) -> dict | None:
+    """Inline form of a list or small table; None for a large table."""
     if slang is None or isinstance(slang, list):
-        rows = D.SLANG if slang is None else as_rows(slang)
+        rows = D.SLANG if slang is None else slang
         return {str(k).lower(): ("" if v is None else str(v)) for k, v in rows}
     rows = small_rows(_slang_rows(slang))
     return None if rows is None else {r["lk"]: r["rep"] for r in rows}
 
 
-def _emoji_pairs(emoji):
-    if emoji is None:
-        return [(e, t) for e, t in D.EMOJI]
-    rows = as_rows(emoji.orderBy("ord").select("emoji", "tag")) if not isinstance(emoji, list) else emoji
-    return [(r[0], r[1]) for r in rows]
+def _emoji_rows(emoji: DataFrame) -> DataFrame:
+    """``ord, emoji, tag``: null emoji are left out, a null tag is empty."""
+    return emoji.filter("emoji IS NOT NULL").select("ord", "emoji", F.coalesce("tag", F.lit("")).alias("tag"))
+
+
+def _fold_emoji(df: DataFrame, emoji, flag: str) -> DataFrame:
+    """``__tags`` (each key of ``__nourl`` replaced by its tag, in order) and ``flag``."""
+    pairs = D.EMOJI if emoji is None else emoji
+    text = F.col("__nourl")
+    if isinstance(pairs, DataFrame):
+        rows = _emoji_rows(emoji)
+        small = small_rows(rows, ["ord", "emoji", "tag"])
+        if small is None:
+            # A key that shares a character with a tag may match a tag put in before it, so it
+            # stays a candidate of every text; others match the text itself or not at all.
+            chars = rows.select(F.explode(F.split("tag", "")).alias("c")).distinct().collect()  # characters: a bounded set
+            own = "".join(sorted({" "} | {r["c"] for r in chars}))
+            literal = F.when(F.translate("emoji", own, "") == F.col("emoji"), F.col("emoji")).otherwise("")
+            d = with_candidates(df, "__nourl", rows.withColumn("literal", literal), "__emoji")
+            return d.withColumn(flag, F.exists("__emoji", lambda e: F.contains(text, e["emoji"]))).withColumn("__tags", F.aggregate(
+                "__emoji", text, lambda t, e: F.replace(t, e["emoji"], F.concat(F.lit(" "), e["tag"], F.lit(" "))))).drop("__emoji")
+        pairs = [(r["emoji"], r["tag"]) for r in small]
+    d = df.withColumn(flag, X.contains_any_literal(text, [e for e, _ in pairs]))
+    return d.withColumn("__tags", F.when(F.col(flag), X.replace_all_literal(text, [(e, f" {t} ") for e, t in pairs])).otherwise(text))
+
+
+def _replace_slang(df: DataFrame, slang) -> DataFrame:
+    """``__slang`` from the collapsed ``__flat``. A table too large to inline is joined with
+    the distinct tokens of each text; the row then looks its tokens up in what was found."""
+    flat = F.col("__flat")
+    mapping = _slang_map(slang)
+    if mapping is not None:
+        # rows without a dictionary token are left as they are: they are collapsed already
+        d = df.withColumn("__has", X.has_token_in(flat, mapping.keys()))
+        return d.withColumn("__slang", F.when(F.col("__has"), X.collapse_ws(X.map_tokens(flat, mapping))).otherwise(flat)).drop("__has")
+    keyed = df.withColumn("__key", F.xxhash64(flat))  # a lookup does not depend on the text, so texts of one hash may share it
+    tokens = keyed.select("__key", F.explode(F.split(F.lower(flat), " ")).alias("lk")).filter("lk <> ''").distinct()
+    found = (salted_lookup(tokens, _slang_rows(slang), "lk", salt_by="__key").groupBy("__key")
+             .agg(F.map_from_entries(F.collect_list(F.struct("lk", "rep"))).alias("__map")))
+    d = attach(keyed, "__key", found, "__map")
+    return d.withColumn("__slang", F.when(F.col("__map").isNotNull(), X.collapse_ws(X.map_tokens(flat, F.col("__map")))).otherwise(flat)).drop("__key", "__map")
 
 
 def normalize(df: DataFrame, text_col: str = "text", slang=None, emoji=None,
               prefix: str = "") -> DataFrame:
-    """Adds ``normalized_text, token_count, content_hash, lang_id, lang_ar,
-    lang_other, has_emoji, stripped_urls`` next to the input columns.
+    """Adds ``has_emoji, normalized_text, token_count, content_hash,
+    stripped_urls, lang_mix`` next to the input columns.
 
-    ``slang``/``emoji``: caller tables (see ``sift.dictionaries``) or lists;
-    ``None`` means the default dictionaries. Dictionaries larger than the
-    inline bound go through ``normalize_slang_join``.
+    ``slang``/``emoji``: caller tables of any size (see ``sift.dictionaries``) or lists;
+    ``None`` means the default dictionaries. Tables larger than the
+    inline bound take a join form with the same results.
     """
     raw = F.col(text_col)
-    pairs = _emoji_pairs(emoji)
-    slang_map = _slang_map(slang)
-    if slang_map is None:
-        return normalize_slang_join(df, text_col, slang, emoji, prefix)
     p = prefix
     # Each intermediate that is read more than once is its own projected
     # column: Catalyst does not de-duplicate work inside CASE branches.
-    out = df.withColumn("__nourl", X.strip_urls(raw))
-    # Emoji keys are literal and applied in order; the flag is whether any
-    # key occurs in the URL-free text.
-    out = out.withColumn(f"{p}has_emoji", X.contains_any_literal(F.col("__nourl"), [e for e, _ in pairs]))
-    out = out.withColumn("__tags", F.when(F.col(f"{p}has_emoji"), X.replace_all_literal(
-        F.col("__nourl"), [(e, f" {t} ") for e, t in pairs])).otherwise(F.col("__nourl")))
-    # Tokenise and look up only rows holding a dictionary token; other rows
-    # differ from the rejoined form only in whitespace, which the collapse
-    # below normalises anyway.
-    out = out.withColumns({"__has_slang": X.has_token_in(F.col("__tags"), slang_map.keys())})
-    slanged = F.when(F.col("__has_slang"), X.map_tokens(F.col("__tags"), slang_map)).otherwise(F.col("__tags"))
-    t = X.collapse_ws(X.unwrap_hashtags(X.strip_mentions(slanged)))
-    out = out.withColumn(f"{p}normalized_text", t)
+    out = _fold_emoji(df.withColumn("__nourl", X.strip_urls(raw)), emoji, f"{p}has_emoji")
+    out = _replace_slang(out.withColumn("__flat", X.collapse_ws("__tags")), slang)
+    out = out.withColumn(f"{p}normalized_text", X.strip_marks("__slang"))
     out = out.withColumns({
         f"{p}token_count": X.count_spaced_tokens(F.col(f"{p}normalized_text")),
         f"{p}content_hash": X.sha256_hex(raw),
         f"{p}stripped_urls": X.extract_urls(raw),
     })
     out = X.with_script_mix(out, text_col, f"{p}lang_mix")
-    return out.drop("__nourl", "__tags", "__has_slang")
-
-
-def normalize_slang_join(df: DataFrame, text_col: str, slang: DataFrame, emoji=None,
-                         prefix: str = "") -> DataFrame:
-    """Join form of the slang step for dictionaries too large to inline; the
-    result equals the inline form's.
-
-    Each distinct text (told by its sha256) is exploded into tokens with their
-    position, looked up with an equi-join (Spark picks broadcast or shuffle by
-    the dictionary's real size) and re-assembled in order, in groups bounded by
-    one text's token count. The rows then take their text's result.
-    """
-    p = prefix
-    pairs = _emoji_pairs(emoji)
-    raw = F.col(text_col)
-    no_url = X.strip_urls(raw)
-    with_tags = X.replace_all_literal(no_url, [(e, f" {t} ") for e, t in pairs])
-    base = df.withColumn("__tid", F.sha2(raw, 256))
-    texts = base.filter(raw.isNotNull()).select("__tid", raw.alias(text_col)).dropDuplicates(["__tid"])
-    toks = (texts.select("__tid", F.posexplode_outer(X.words(with_tags)).alias("pos", "tok"))
-            .withColumn("lk", F.lower("tok")))
-    mapped = (toks.join(_slang_rows(slang), "lk", "left")
-              .select("__tid", "pos", F.coalesce("rep", "tok").alias("w")))
-    rejoined = (mapped.groupBy("__tid")
-                .agg(F.array_sort(F.collect_list(F.struct("pos", "w"))).alias("ws"))
-                .select("__tid", F.array_join(F.filter(F.transform("ws", lambda s: s["w"]),
-                                                       lambda w: w.isNotNull() & (w != "")), " ").alias("__slang")))
-    out = base.join(rejoined, "__tid", "left")
-    t = X.collapse_ws(X.unwrap_hashtags(X.strip_mentions(F.col("__slang"))))
-    out = (out.withColumn(f"{p}normalized_text", t)
-           .withColumn(f"{p}token_count", X.count_spaced_tokens(F.col(f"{p}normalized_text")))
-           .withColumn(f"{p}content_hash", X.sha256_hex(raw))
-           .withColumn(f"{p}has_emoji", X.contains_any_literal(no_url, [e for e, _ in pairs]))
-           .withColumn(f"{p}stripped_urls", X.extract_urls(raw)))
-    out = X.with_script_mix(out, text_col, f"{p}lang_mix")
     return out.select(*df.columns, *[f"{p}{c}" for c in (
         "has_emoji", "normalized_text", "token_count", "content_hash", "stripped_urls", "lang_mix")])
-
-
-def flatten_mix(df: DataFrame, prefix: str = "") -> DataFrame:
-    p = prefix
-    return (df.withColumn(f"{p}lang_id", F.col(f"{p}lang_mix.id"))
-            .withColumn(f"{p}lang_ar", F.col(f"{p}lang_mix.ar"))
-            .withColumn(f"{p}lang_other", F.col(f"{p}lang_mix.other"))
-            .drop(f"{p}lang_mix"))
-

@@ -1,4 +1,6 @@
-"""Rule signals as in-row array expressions (no shuffle, no UDF).
+"""Rule signals as in-row array expressions (no shuffle, no UDF);
+dictionaries that are too large to inline go through ``operators.matching``, which
+finds each text's candidates by an equi-join, with the same results.
 
 Each document gets ``signals: array<struct<signal_type, extracted_text,
 significance, context_explanation>>`` in the fixed order lexicon ->
@@ -15,14 +17,18 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sift import dictionaries as D
 from sift.functions import text as X
-from sift.operators.dicts import as_rows
+from sift.operators.dicts import small_rows
+from sift.operators.matching import required_literal, with_candidates
 
 KEEP_LEVELS = ("HIGH", "MEDIUM")
+SIGNAL_ARRAY = ("array<struct<signal_type:string,extracted_text:string,"
+                "significance:string,context_explanation:string>>")
 
 
 def _sig(t, txt, sig, expl) -> Column:
@@ -39,24 +45,57 @@ def java_pattern(p: str) -> str:
     return "(?U)" + re.sub(r"\\(.)", lambda m: spaces.get(m[1], m[0]), p)
 
 
-def lexicon_signals(text: Column, lexicon=None, low: Column | None = None) -> Column:
-    """Lower-cased substring containment, one signal per term in order.
-    HIGH/MEDIUM keep their level, every other level becomes LOW."""
-    rows = as_rows(lexicon.orderBy("ord").select("term", "meaning", "threat_level", "note")) \
-        if lexicon is not None and not isinstance(lexicon, list) else (lexicon or D.LEXICON)
-    if not rows:
-        return F.array().cast("array<struct<signal_type:string,extracted_text:string,"
-                              "significance:string,context_explanation:string>>")
-    entries = F.array(*[
-        F.struct(F.lit(term.lower()).alias("k"), F.lit(term).alias("term"),
-                 F.lit(level if level in KEEP_LEVELS else "LOW").alias("sig"),
-                 F.lit(f"{meaning} - {note}").alias("expl"))
-        for term, meaning, level, note in rows])
-    low = F.lower(text) if low is None else low
+def _lexicon_frame(lexicon: DataFrame) -> DataFrame:
+    """``ord, term, sig, expl, k``: terms in lexicon order with their lower-case form.
+    Null terms are left out, other nulls are empty."""
+    part = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return lexicon.filter("term IS NOT NULL").select(
+        "ord", "term", F.when(F.col("threat_level").isin(*KEEP_LEVELS), F.col("threat_level")).otherwise("LOW").alias("sig"),
+        F.concat(part("meaning"), F.lit(" - "), part("note")).alias("expl"), F.lower("term").alias("k"))
+
+
+def _lexicon_list(lexicon) -> list[tuple]:
+    """(k, term, sig, expl) of a list of (term, meaning, level, note)."""
+    return [(term.lower(), term, level if level in KEEP_LEVELS else "LOW", f"{meaning} - {note}") for term, meaning, level, note in lexicon]
+
+
+def _lexicon_hits(entries: Column, low: Column) -> Column:
     hits = F.filter(entries, lambda e: F.contains(low, e["k"]))
     return F.transform(hits, lambda e: _sig("EUPHEMISM", e["term"], e["sig"], e["expl"]))
 
 
+def _lexicon_inline(rows: list[tuple], low: Column) -> Column:
+    if not rows:
+        return F.array().cast(SIGNAL_ARRAY)
+    names = ("k", "term", "sig", "expl")
+    return _lexicon_hits(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r)]) for r in rows]), low)
+
+
+def lexicon_signals(text: Column, lexicon: list | None = None, low: Column | None = None) -> Column:
+    """C1 for a list of (term, meaning, level, note): lower-cased substring containment, one signal
+    per term in order. HIGH/MEDIUM keep their level, every other level becomes LOW."""
+    return _lexicon_inline(_lexicon_list(D.LEXICON if lexicon is None else lexicon), F.lower(text) if low is None else low)
+
+
+def with_lexicon_signals(df: DataFrame, low: str, lexicon, out: str) -> DataFrame:
+    """``out`` with the signals of a list or table (``ord, term, meaning,
+    threat_level, note``) of any size on the lower-cased column ``low``."""
+    if not isinstance(lexicon, DataFrame):
+        return df.withColumn(out, lexicon_signals(F.lit(None), lexicon, F.col(low)))
+    terms = _lexicon_frame(lexicon)
+    rows = small_rows(terms, ["ord", "term", "sig", "expl", "k"])
+    if rows is not None:
+        return df.withColumn(out, _lexicon_inline([(r["k"], r["term"], r["sig"], r["expl"]) for r in rows], F.col(low)))
+    found = with_candidates(df, low, terms.withColumn("literal", F.col("k")), out)
+    return found.withColumn(out, _lexicon_hits(F.col(out), F.col(low)))
+
+
+def _may_match(low: Column, pattern: str) -> Column:
+    """Whether the text holds the literal that every match of ``pattern`` holds."""
+    literal = required_literal(pattern)
+    return F.contains(low, F.lit(literal)) if literal else F.lit(True)
+
+
 def staged_pattern_offsets(df: DataFrame, low_col: str, groups) -> DataFrame:
     """For each (prefix, patterns) group and pattern i, ``{prefix}{i}`` =
     struct(s, e) of the first match in ``low_col`` or null; each split is
@@ -65,19 +104,13 @@ def staged_pattern_offsets(df: DataFrame, low_col: str, groups) -> DataFrame:
     for prefix, patterns in groups:
         for i, p in enumerate(patterns):
             pc = f"{prefix}{i}p"
-            parts[pc] = F.when(F.col(low_col).rlike(java_pattern(p)), F.split(F.col(low_col), F.lit(java_pattern(p)), 2))
+            parts[pc] = F.when(_may_match(F.col(low_col), p) & F.col(low_col).rlike(java_pattern(p)), F.split(F.col(low_col), F.lit(java_pattern(p)), 2))
             offs[f"{prefix}{i}"] = F.when(F.col(pc).isNotNull(), F.struct(
                 F.length(F.element_at(F.col(pc), 1)).alias("s"),
                 (F.length(low_col) - F.length(F.element_at(F.col(pc), 2))).alias("e")))
     return df.withColumns(parts).withColumns(offs).drop(*parts.keys())
 
 
-def _pattern_list(patterns, default):
-    if patterns is not None and not isinstance(patterns, list):
-        return [r[0] for r in as_rows(patterns.orderBy("ord").select("pattern"))]
-    return patterns or default
-
-
 def _first_match(text: Column, pattern: str, low: Column | None = None):
     """(matched, start, end) of the first match of ``pattern`` in lower(text).
 
@@ -85,7 +118,7 @@ def _first_match(text: Column, pattern: str, low: Column | None = None):
     under ``when(matched, ...)`` so the split only runs on matching rows."""
     low = F.lower(text) if low is None else low
     parts = F.split(low, F.lit(java_pattern(pattern)), 2)
-    matched = low.rlike(java_pattern(pattern))
+    matched = _may_match(low, pattern) & low.rlike(java_pattern(pattern))
     start = F.length(F.element_at(parts, 1))
     end = F.length(low) - F.length(F.try_element_at(parts, F.lit(2)))
     return matched, start, end, low
@@ -97,33 +130,73 @@ def _window(text: Column, low: Column, start: Column, end: Column, before: int,
     return X.strip_u(F.substring(text, lo + 1, hi - lo))
 
 
-def action_signals(text: Column, patterns=None, low: Column | None = None) -> Column:
-    """Per pattern, the original text from 20 before to 40 after the first
-    match, stripped; significance MEDIUM."""
-    pats = [r[0] for r in as_rows(patterns.orderBy("ord").select("pattern"))] \
-        if patterns is not None and not isinstance(patterns, list) else (patterns or D.ACTION_PATTERNS)
+def _action(text: Column, low: Column, start: Column, end: Column, name: Column) -> Column:
+    return _sig("CALL_TO_ACTION", _window(text, low, start, end, 20, 40), "MEDIUM",
+                F.concat(F.lit("call-to-action pattern: '"), name, F.lit("'")))
+
+
+def _urgency(text: Column, low: Column, start: Column, end: Column, name: Column) -> Column:
+    return _sig("TEMPORAL", F.substring(low, start + 1, end - start), "LOW",
+                F.concat(F.lit("urgency near: '"), _window(text, low, start, end, 15, 30), F.lit("'")))
+
+
+def _inline_patterns(text: Column, patterns: list[str], low: Column | None, signal) -> Column:
     out = []
-    for p in pats:
+    for p in patterns:
         m, s, e, lw = _first_match(text, p, low)
-        ctx = _window(text, lw, s, e, 20, 40)
-        out.append(F.when(m, _sig("CALL_TO_ACTION", ctx, "MEDIUM",
-                                  F.lit(f"call-to-action pattern: '{p.strip()}'"))))
+        out.append(F.when(m, signal(text, lw, s, e, F.lit(p.strip()))))
     return _compact(out)
 
 
-def urgency_signals(text: Column, patterns=None, low: Column | None = None) -> Column:
-    """Per pattern, the matched lower-case text; the -15/+30 context goes
+def action_signals(text: Column, patterns: list | None = None, low: Column | None = None) -> Column:
+    """C2 for a list: per pattern, the original text from 20 before to 40 after the first
+    match, stripped; significance MEDIUM."""
+    return _inline_patterns(text, D.ACTION_PATTERNS if patterns is None else patterns, low, _action)
+
+
+def urgency_signals(text: Column, patterns: list | None = None, low: Column | None = None) -> Column:
+    """C3 for a list: per pattern, the matched lower-case text; the -15/+30 context goes
     into the explanation; significance LOW."""
-    pats = [r[0] for r in as_rows(patterns.orderBy("ord").select("pattern"))] \
-        if patterns is not None and not isinstance(patterns, list) else (patterns or D.URGENCY_PATTERNS)
-    out = []
-    for p in pats:
-        m, s, e, lw = _first_match(text, p, low)
-        matched = F.substring(lw, s + 1, e - s)
-        ctx = _window(text, lw, s, e, 15, 30)
-        out.append(F.when(m, _sig("TEMPORAL", matched, "LOW",
-                                  F.concat(F.lit("urgency near: '"), ctx, F.lit("'")))))
-    return _compact(out)
+    return _inline_patterns(text, D.URGENCY_PATTERNS if patterns is None else patterns, low, _urgency)
+
+
+def _pattern_needles(batches):
+    """(ord, pattern) -> ord, pattern, its Java form and a literal that it needs."""
+    for b in batches:
+        pats = b.column(1).to_pylist()
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0), b.column(1), pa.array([java_pattern(p) for p in pats], pa.string()),
+             pa.array([required_literal(p) for p in pats], pa.string())], ["ord", "pattern", "java", "literal"])
+
+
+def _with_pattern_signals(df: DataFrame, text_col: str, low: str, patterns, default: list[str], signal, out: str) -> DataFrame:
+    """``out`` with the signals of a list or table (``ord, pattern``) of any size."""
+    text, lw = F.col(text_col), F.col(low)
+    if isinstance(patterns, DataFrame):
+        table = patterns.filter("pattern IS NOT NULL").select(F.col("ord").cast("long").alias("ord"), "pattern")
+        rows = small_rows(table, ["ord", "pattern"])
+        if rows is None:
+            needles = table.mapInArrow(_pattern_needles, "ord long, pattern string, java string, literal string")
+            d = with_candidates(df, low, needles, "__c")
+            d = d.withColumn("__c", F.filter("__c", lambda c: F.rlike(lw, c["java"])))
+            d = d.withColumn("__c", F.transform("__c", lambda c: F.struct(c["pattern"].alias("name"), F.split(lw, c["java"], 2).alias("parts"))))
+            return d.withColumn(out, F.transform("__c", lambda c: signal(
+                text, lw, F.length(F.element_at(c["parts"], 1)), F.length(lw) - F.length(F.try_element_at(c["parts"], F.lit(2))),
+                X.strip_u(c["name"])))).drop("__c")
+        patterns = [r["pattern"] for r in rows]
+    patterns = default if patterns is None else patterns
+    staged = staged_pattern_offsets(df, low, [("__m", patterns)])
+    items = [F.when(F.col(f"__m{i}").isNotNull(), signal(text, lw, F.col(f"__m{i}.s"), F.col(f"__m{i}.e"), F.lit(p.strip())))
+             for i, p in enumerate(patterns)]
+    return staged.withColumn(out, _compact(items)).drop(*[f"__m{i}" for i in range(len(patterns))])
+
+
+def with_action_signals(df: DataFrame, text_col: str, low: str, patterns, out: str) -> DataFrame:
+    return _with_pattern_signals(df, text_col, low, patterns, D.ACTION_PATTERNS, _action, out)
+
+
+def with_urgency_signals(df: DataFrame, text_col: str, low: str, patterns, out: str) -> DataFrame:
+    return _with_pattern_signals(df, text_col, low, patterns, D.URGENCY_PATTERNS, _urgency, out)
 
 
 def script_signal(ar_ratio: Column) -> Column:
@@ -137,15 +210,10 @@ def script_signal(ar_ratio: Column) -> Column:
 
 def _compact(items) -> Column:
     if not items:
-        return F.array().cast("array<struct<signal_type:string,extracted_text:string,"
-                              "significance:string,context_explanation:string>>")
+        return F.array().cast(SIGNAL_ARRAY)
     return F.filter(F.array(*items), lambda x: x.isNotNull())
 
 
-SIGNAL_ARRAY = ("array<struct<signal_type:string,extracted_text:string,"
-                "significance:string,context_explanation:string>>")
-
-
 def dedup_signals(arr: Column) -> Column:
     """Keep the first signal of each (signal_type, extracted_text).
 
@@ -166,30 +234,17 @@ def dedup_signals(arr: Column) -> Column:
 def extract_signals(df: DataFrame, text_col: str = "text", ar_col: str | None = None,
                     lexicon=None, action_patterns=None, urgency_patterns=None,
                     out: str = "signals") -> DataFrame:
-    """C5 composite on the raw text; adds ``signals`` and ``signal_count``."""
+    """C5 composite on the raw text; adds ``signals`` and ``signal_count``. Each
+    dictionary is a list or a table of any size (None: the defaults)."""
     t = F.col(text_col)
     ar = F.col(ar_col) if ar_col else X.script_mix(t)["ar"]
-    acts = _pattern_list(action_patterns, D.ACTION_PATTERNS)
-    urgs = _pattern_list(urgency_patterns, D.URGENCY_PATTERNS)
-    staged = df.withColumn("__low", F.lower(t))
-    staged = staged_pattern_offsets(staged, "__low", [("__a", acts), ("__u", urgs)])
-    low = F.col("__low")
-    a_items, u_items = [], []
-    for i, p in enumerate(acts):
-        o = F.col(f"__a{i}")
-        ctx = _window(t, low, o["s"], o["e"], 20, 40)
-        a_items.append(F.when(o.isNotNull(), _sig("CALL_TO_ACTION", ctx, "MEDIUM",
-                                                   F.lit(f"call-to-action pattern: '{p.strip()}'"))))
-    for i, p in enumerate(urgs):
-        o = F.col(f"__u{i}")
-        ctx = _window(t, low, o["s"], o["e"], 15, 30)
-        u_items.append(F.when(o.isNotNull(), _sig("TEMPORAL", F.substring(low, o["s"] + 1, o["e"] - o["s"]), "LOW",
-                                                   F.concat(F.lit("urgency near: '"), ctx, F.lit("'")))))
-    allsig = F.concat(lexicon_signals(t, lexicon, low), _compact(a_items), _compact(u_items), script_signal(ar))
-    tmp = ["__low"] + [f"__a{i}" for i in range(len(acts))] + [f"__u{i}" for i in range(len(urgs))]
-    return (staged.withColumn("__sig_all", allsig)
-            .withColumn(out, dedup_signals(F.col("__sig_all")))
-            .drop("__sig_all", *tmp)
+    d = df.withColumn("__low", F.lower(t))
+    d = with_lexicon_signals(d, "__low", lexicon, "__lexicon")
+    d = with_action_signals(d, text_col, "__low", action_patterns, "__action")
+    d = with_urgency_signals(d, text_col, "__low", urgency_patterns, "__urgency")
+    return (d.withColumn("__all", F.concat("__lexicon", "__action", "__urgency", script_signal(ar)))
+            .withColumn(out, dedup_signals(F.col("__all")))
+            .drop("__low", "__lexicon", "__action", "__urgency", "__all")
             .withColumns({"signal_count": F.size(out)}))
 
 

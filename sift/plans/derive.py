@@ -158,6 +158,60 @@ SELECT w, (ascii(w) * 37 + length(w) * 101) % 20001 - 10000 AS w0, (ascii(w) * 5
   (ascii(w) * 71 + length(w) * 7) % 20001 - 10000 AS w2 FROM tok"""
 
 
+# --- Dictionaries taken from the corpus, which grow with it ------------------
+
+def corpus_lexicon(d: DataFrame) -> DataFrame:
+    """``ord, term, meaning, threat_level, note``: five pieces of each text."""
+    i, j = F.col("doc_id"), F.col("j")
+    pieces = d.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("j")).select(
+        (i * 5 + j).alias("ord"), F.substring(F.col("text"), ((i * 7) % 60 + j * 40 + 1).cast("int"), (i % 7 + 5).cast("int")).alias("term"))
+    first = pieces.filter("term <> ''").groupBy("term").agg(F.min("ord").alias("ord"))
+    return first.select("ord", "term", F.lit("piece").alias("meaning"), F.element_at(
+        F.array(*map(F.lit, ("HIGH", "MEDIUM", "LOW", "CONTEXT_DEPENDENT"))), (F.col("ord") % 4 + 1).cast("int")).alias("threat_level"),
+        F.concat(F.lit("n"), F.col("ord").cast("string")).alias("note"))
+
+
+CORPUS_LEXICON_SQL = """
+SELECT min(ord) AS ord, term FROM (
+  SELECT doc_id * 5 + j AS ord, substring(text, (doc_id * 7) % 60 + j * 40 + 1, doc_id % 7 + 5) AS term
+  FROM documents, unnest(generate_series(0, 4)) AS g(j)) WHERE term <> '' GROUP BY term"""
+
+TWO_WORDS = "([a-zà-ÿ]{3,}) +([a-zà-ÿ]{2,})"
+
+
+def corpus_patterns(d: DataFrame) -> DataFrame:
+    """``ord, pattern``: two patterns from the first two words of each text that fit."""
+    w = [F.regexp_extract(F.lower("text"), TWO_WORDS, k) for k in (1, 2)]
+    both = d.select("doc_id", w[0].alias("a"), w[1].alias("b")).filter("a <> ''").select(F.inline(F.array(
+        F.struct((F.col("doc_id") * 2).alias("ord"), F.concat("a", F.lit(r"\s+"), "b").alias("pattern")),
+        F.struct((F.col("doc_id") * 2 + 1).alias("ord"), F.concat("a", F.lit(r"\s+("), "b", F.lit("|la|the)[,.]")).alias("pattern")))))
+    return both.groupBy("pattern").agg(F.min("ord").alias("ord"))
+
+
+CORPUS_PATTERNS_SQL = f"""
+SELECT min(ord) AS ord, pattern, any_value(a) AS a FROM (
+  SELECT doc_id * 2 AS ord, a || '\\s+' || b AS pattern, a FROM two
+  UNION ALL SELECT doc_id * 2 + 1, a || '\\s+(' || b || '|la|the)[,.]', a FROM two) GROUP BY pattern"""
+TWO_WORDS_SQL = f"""
+SELECT * FROM (SELECT doc_id, regexp_extract(lower(text), '{TWO_WORDS}', 1) AS a, regexp_extract(lower(text), '{TWO_WORDS}', 2) AS b
+  FROM documents) WHERE a <> ''"""
+
+
+def corpus_slang(d: DataFrame) -> DataFrame:
+    """``ord, token, replacement``: the first eight words of each text, reversed; every ninth is deleted."""
+    w = F.slice(F.array_remove(F.split(F.lower("text"), " +"), ""), 1, 8)
+    tok = d.select("doc_id", F.posexplode(w).alias("j", "token")).filter("token RLIKE '^[a-zà-ÿ]+$'")
+    first = tok.groupBy("token").agg(F.min(F.col("doc_id") * 8 + F.col("j")).alias("ord"))
+    return first.select("ord", "token", F.when(F.col("ord") % 9 == 0, F.lit(None).cast("string")).otherwise(F.reverse("token")).alias("replacement"))
+
+
+CORPUS_SLANG_SQL = """
+SELECT token, CASE WHEN min(ord) % 9 = 0 THEN '' ELSE reverse(token) END AS rep FROM (
+  SELECT doc_id * 8 + generate_subscripts(ws, 1) - 1 AS ord, unnest(ws) AS token FROM (
+    SELECT doc_id, list_slice(list_filter(string_split_regex(lower(text), ' +'), lambda x: x <> ''), 1, 8) AS ws FROM documents))
+WHERE regexp_full_match(token, '[a-zà-ÿ]+') GROUP BY token"""
+
+
 # --- Annotated corpus from documents + labels ------------------------------
 
 def _v(cond):

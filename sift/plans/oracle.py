@@ -118,6 +118,46 @@ SELECT doc_id, CAST(len(a) AS INTEGER) AS n_action, CAST(len(u) AS INTEGER) AS n
 FROM s"""
 
 
+@oracle("lexicon_large")
+def _():
+    return f"""
+WITH lex AS ({DV.CORPUS_LEXICON_SQL}),
+hit AS (SELECT doc_id, ord, term, CASE ord % 4 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS level
+  FROM documents JOIN lex ON contains(lower(text), lower(term))),
+g AS (SELECT doc_id, COUNT(*) AS n, string_agg(term, ',' ORDER BY ord) AS terms, string_agg(level, ',' ORDER BY ord) AS levels FROM hit GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS INTEGER) AS n_lexicon, sha256(coalesce(terms, '')) AS terms_hash, sha256(coalesce(levels, '')) AS levels_hash
+FROM documents d LEFT JOIN g USING (doc_id)"""
+
+
+@oracle("patterns_large")
+def _():
+    low = "lower(text)"
+    start = f"length(regexp_extract({low}, '(?s)^(.*?)(?:' || pattern || ')', 1))"
+    mlen = f"length(regexp_extract({low}, '(?s)^.*?(' || pattern || ')', 1))"
+    win = lambda b, a: Q.strip_u(f"substring(text, greatest(s - {b}, 0) + 1, least(s + m + {a}, length({low})) - greatest(s - {b}, 0))")
+    return f"""
+WITH two AS ({DV.TWO_WORDS_SQL}), pat AS ({DV.CORPUS_PATTERNS_SQL}),
+hit AS (SELECT doc_id, text, ord, {start} AS s, {mlen} AS m
+  FROM documents JOIN pat ON contains({low}, a) AND regexp_matches({low}, pattern)),
+g AS (SELECT doc_id, COUNT(*) AS n, string_agg({win(20, 40)}, '|' ORDER BY ord) AS a,
+  string_agg(substring({low}, s + 1, m), '|' ORDER BY ord) AS u FROM hit GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS INTEGER) AS n_action, CAST(coalesce(n, 0) AS INTEGER) AS n_urgency,
+  sha256(coalesce(a, '')) AS action_hash, sha256(coalesce(u, '')) AS urgency_hash
+FROM documents d LEFT JOIN g USING (doc_id)"""
+
+
+@oracle("slang_large")
+def _():
+    return f"""
+WITH slang AS ({DV.CORPUS_SLANG_SQL}),
+w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM (
+  SELECT doc_id, {Q.words(Q.emoji_fold(Q.strip_urls('text')))} AS ws FROM documents)),
+m AS (SELECT doc_id, string_agg(coalesce(rep, w), ' ' ORDER BY pos) FILTER (WHERE coalesce(rep, w) <> '') AS t
+  FROM w LEFT JOIN slang ON slang.token = lower(w) GROUP BY doc_id),
+n AS (SELECT d.doc_id, {Q.collapse_ws(Q.mentions_hashtags("coalesce(t, '')"))} AS normalized_text FROM documents d LEFT JOIN m USING (doc_id))
+SELECT doc_id, normalized_text, CAST(len({Q.words('normalized_text')}) AS INTEGER) AS token_count FROM n"""
+
+
 def _signals_cte() -> str:
     sig = Q.all_signals("text", DV.CORPUS_LEXICON, DV.CORPUS_ACTION_PATTERNS, DV.CORPUS_URGENCY_PATTERNS,
                         Q.script_mix("text")[1])

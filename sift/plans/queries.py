@@ -121,6 +121,36 @@ def q_pattern_signals(spark, sf_dir):
         F.array_join(F.transform("u", lambda e: e["context_explanation"]), " | ").alias("urgency_context"))
 
 
+@query("lexicon_large")
+def q_lexicon_large(spark, sf_dir):
+    """C1, E3 with a lexicon of five terms a document."""
+    d = DV.documents(spark, sf_dir).select("doc_id", "text")
+    s = SG.with_lexicon_signals(d.withColumn("low", F.lower("text")), "low", DV.corpus_lexicon(d), "s")
+    return s.select("doc_id", F.size("s").alias("n_lexicon"),
+                    F.sha2(F.array_join(F.transform("s", lambda e: e["extracted_text"]), ","), 256).alias("terms_hash"),
+                    F.sha2(F.array_join(F.transform("s", lambda e: e["significance"]), ","), 256).alias("levels_hash"))
+
+
+@query("patterns_large")
+def q_patterns_large(spark, sf_dir):
+    """C2, C3, E4 with two patterns a document."""
+    d = DV.documents(spark, sf_dir).select("doc_id", "text").withColumn("low", F.lower("text"))
+    pats = DV.corpus_patterns(d)
+    s = SG.with_action_signals(d, "text", "low", pats, "a")
+    s = SG.with_urgency_signals(s, "text", "low", pats, "u")
+    return s.select("doc_id", F.size("a").alias("n_action"), F.size("u").alias("n_urgency"),
+                    F.sha2(F.array_join(F.transform("a", lambda e: e["extracted_text"]), "|"), 256).alias("action_hash"),
+                    F.sha2(F.array_join(F.transform("u", lambda e: e["extracted_text"]), "|"), 256).alias("urgency_hash"))
+
+
+@query("slang_large")
+def q_slang_large(spark, sf_dir):
+    """B10, E2 with a slang table of up to eight tokens a document."""
+    d = DV.documents(spark, sf_dir).select("doc_id", "text")
+    n = normalize(d, "text", slang=DV.corpus_slang(d))
+    return n.select("doc_id", "normalized_text", "token_count")
+
+
 @query("signal_rollup")
 def q_signal_rollup(spark, sf_dir):
     """Union + dedup per document, counts per type."""
