@@ -70,13 +70,19 @@ def token_count(c) -> Column:
 
 def extract_urls(c) -> Column:
     """All URL matches, in order."""
-    return F.regexp_extract_all(_c(c), F.lit(URL_RE), 0)
+    col = _c(c)
+    return F.when(_maybe_url(col), F.regexp_extract_all(col, F.lit(URL_RE), 0)).otherwise(
+        F.when(col.isNotNull(), F.array().cast("array<string>")))
 
 
-def strip_urls(c) -> Column:
+def _maybe_url(col: Column) -> Column:
     """Texts without a URL's beginning skip the pattern."""
+    return F.contains(col, F.lit("http")) | F.contains(col, F.lit("www."))
+
+
+def strip_urls(c) -> Column:
     col = _c(c)
-    return F.when(F.contains(col, F.lit("http")) | F.contains(col, F.lit("www.")), F.regexp_replace(col, URL_RE, "")).otherwise(col)
+    return F.when(_maybe_url(col), F.regexp_replace(col, URL_RE, "")).otherwise(col)
 
 
 def strip_mentions(c) -> Column:
@@ -114,34 +120,20 @@ def short_id(c) -> Column:
     return F.substring(F.sha2(_c(c), 256), 1, 16)
 
 
-def script_mix(c) -> Column:
-    """Shares of Latin and Arabic letter *runs* (B13); denominator runs+1.
-    (Single expression; ``with_script_mix`` stages it for big frames.)"""
-    ar = count_runs(c, ARABIC_RUN_RE[:-1], "\u0627").cast("double")
-    la = count_runs(c, LATIN_RUN_RE[:-1], "a").cast("double")
-    return mix_struct(la, ar)
-
-
-def mix_struct(la: Column, ar: Column) -> Column:
-    total = ar + la + F.lit(1.0)
-    ar_r, la_r = ar / total, la / total
-    return F.struct(F.round(la_r, 3).alias("id"), F.round(ar_r, 3).alias("ar"),
-                    F.round(F.lit(1.0) - la_r - ar_r, 3).alias("other"))
-
-
 def with_script_mix(df, text_col: str, out: str):
-    """B13 staged: each run count is its own projected column, so no regex
+    """B13 staged: each run count and share is its own projected column, so nothing
     is evaluated twice per row."""
-    la_r, ar_r = f"{out}__la", f"{out}__ar"
-    ar_any = F.col(text_col).rlike(ARABIC_RUN_RE[:-1])
-    return (df.withColumns({la_r: F.regexp_replace(F.col(text_col), f"{LATIN_RUN_RE}[^a-zA-Z]*", "a"),
-                            ar_r: F.when(ar_any, F.regexp_replace(
-                                F.col(text_col), f"{ARABIC_RUN_RE}[^" + ARABIC_RUN_RE[1:-1] + "*",
-                                "\u0627")).otherwise(F.lit(""))})
-            .withColumn(out, mix_struct(
-                (F.length(la_r) - F.length(F.rtrim(F.col(la_r), F.lit("a")))).cast("double"),
-                (F.length(ar_r) - F.length(F.rtrim(F.col(ar_r), F.lit("\u0627")))).cast("double")))
-            .drop(la_r, ar_r))
+    text, la, ar = F.col(text_col), f"{out}__la", f"{out}__ar"
+    ar_any = (F.octet_length(text) > F.length(text)) & text.rlike(ARABIC_RUN_RE[:-1])  # plain ASCII skips the pattern
+    arabic = F.regexp_replace(text, f"{ARABIC_RUN_RE}[^" + ARABIC_RUN_RE[1:-1] + "*", "\u0627")
+    marks = df.withColumns({la: F.regexp_replace(text, f"{LATIN_RUN_RE}[^a-zA-Z]*", "a"), ar: F.when(ar_any, arabic).otherwise(F.lit(""))})
+    runs = marks.withColumns({la: (F.length(la) - F.length(F.rtrim(F.col(la), F.lit("a")))).cast("double"),
+                              ar: (F.length(ar) - F.length(F.rtrim(F.col(ar), F.lit("\u0627")))).cast("double")})
+    total = F.col(ar) + F.col(la) + F.lit(1.0)
+    shares = runs.withColumns({la: F.col(la) / total, ar: F.col(ar) / total})
+    return (shares.withColumn(out, F.struct(F.round(la, 3).alias("id"), F.round(ar, 3).alias("ar"),
+                                            F.round(F.lit(1.0) - F.col(la) - F.col(ar), 3).alias("other")))
+            .drop(la, ar))
 
 
 def preview(c, n: int, ellipsis: str = "") -> Column:
@@ -189,8 +181,9 @@ def map_tokens(c, mapping) -> Column:
 
 
 def has_token_in(c, keys) -> Column:
-    """Whether a collapsed text may hold one of the tokens ``keys``, in lower case:
-    literal searches in the padded text."""
+    """Whether a collapsed text holds one of the tokens ``keys``, in lower case: a hashed
+    ``arrays_overlap`` of built-ins, no lambda and no regex alternation."""
     if not keys:
         return F.lit(False)
-    return contains_any_literal(F.concat(F.lit(" "), F.lower(_c(c)), F.lit(" ")), [f" {k} " for k in sorted(keys)])
+    toks = F.split(F.lower(_c(c)), " ")
+    return F.coalesce(F.arrays_overlap(toks, F.array(*[F.lit(k) for k in sorted(keys)])), F.lit(False))

@@ -236,15 +236,15 @@ def extract_signals(df: DataFrame, text_col: str = "text", ar_col: str | None =
                     out: str = "signals") -> DataFrame:
     """C5 composite on the raw text; adds ``signals`` and ``signal_count``. Each
     dictionary is a list or a table of any size (None: the defaults)."""
-    t = F.col(text_col)
-    ar = F.col(ar_col) if ar_col else X.script_mix(t)["ar"]
-    d = df.withColumn("__low", F.lower(t))
+    d = df if ar_col else X.with_script_mix(df, text_col, "__mix")
+    ar = F.col(ar_col or "__mix.ar")
+    d = d.withColumn("__low", F.lower(text_col))
     d = with_lexicon_signals(d, "__low", lexicon, "__lexicon")
     d = with_action_signals(d, text_col, "__low", action_patterns, "__action")
     d = with_urgency_signals(d, text_col, "__low", urgency_patterns, "__urgency")
     return (d.withColumn("__all", F.concat("__lexicon", "__action", "__urgency", script_signal(ar)))
             .withColumn(out, dedup_signals(F.col("__all")))
-            .drop("__low", "__lexicon", "__action", "__urgency", "__all")
+            .drop("__low", "__lexicon", "__action", "__urgency", "__all", "__mix")
             .withColumns({"signal_count": F.size(out)}))
 
 
