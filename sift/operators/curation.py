@@ -1,9 +1,8 @@
 """Corpus curation: B1-B7, G1, F1-F3, F16, F17.
 
-All per-row steps are narrow projections. The only exchange is the exact
-de-duplication, written as a hash aggregate (``min`` of a struct led by the
-ordering key) so that partial aggregation collapses a hot duplicate group
-map-side instead of sending it to one window task.
+All per-row steps are narrow projections. The only exchanges are those of the exact
+de-duplication: a hash aggregate of (hash, order), so that partial aggregation collapses a
+hot duplicate group map-side, and the join that picks the winners' rows.
 """
 
 from __future__ import annotations
@@ -12,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sift.functions import text as X
+from sift.operators.winners import one_per_key
 from sift.schemas import CURATED_COLUMNS, SUBLABEL_COLUMNS
 
 
@@ -52,18 +52,11 @@ def with_text_hash(df: DataFrame, text_col: str = "text", out: str = "text_hash"
     return df.withColumn(out, X.text_hash(text_col))
 
 
-def dedup_first(df: DataFrame, key: str, order_col: str) -> DataFrame:
-    """G1: one row per ``key``, the one with the smallest ``order_col``.
-
-    ``min(struct(order_col, ...))`` is an ordinary hash aggregate: partial
-    aggregation keeps one candidate per key per task before the shuffle, so
-    duplicates of one key never pile up in a single task.
-    """
-    others = [c for c in df.columns if c not in (key, order_col)]
-    packed = F.min(F.struct(F.col(order_col).alias("__o"), *[F.col(c) for c in others])).alias("__m")
-    return (df.groupBy(key).agg(packed)
-            .select(F.col(key), F.col("__m.__o").alias(order_col), *[F.col(f"__m.{c}").alias(c) for c in others])
-            .select(*df.columns))
+def dedup_first(df: DataFrame, key: str, order_col: str, unique_order: bool = False) -> DataFrame:
+    """G1: one row per ``key``, the one with the smallest ``order_col``
+    (``operators.winners``: a hash aggregate of narrow columns, then an equi-join).
+    ``unique_order``: the order is an id of the rows."""
+    return one_per_key(df, key, order_col, unique_order=unique_order)
 
 
 def sublabel_flags(df: DataFrame, cols=SUBLABEL_COLUMNS) -> DataFrame:

@@ -17,12 +17,12 @@ from pyspark.sql import functions as F
 SALTS = 16
 
 
-def salted_lookup(rows: DataFrame, table: DataFrame, key: str, salt_by: str, how: str = "inner") -> DataFrame:
+def salted_lookup(rows: DataFrame, table: DataFrame, key: str, salt_by: str | list[str], how: str = "inner") -> DataFrame:
     """Equi-join of ``rows`` with a lookup ``table`` (one row a key) whose keys may
     each occur in a large share of the rows: the table is repeated ``SALTS``
     times, and a row picks its copy by a hash of ``salt_by``."""
     copies = table.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
-    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int"))
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*([salt_by] if isinstance(salt_by, str) else salt_by)), F.lit(SALTS)).cast("int"))
     return salted.join(copies, [key, "__salt"], how).drop("__salt")
 
 

@@ -737,6 +737,16 @@ c AS (SELECT DISTINCT cache_key FROM r WHERE doc_id % 2 = 0)
 SELECT doc_id, cache_key, cache_key IN (SELECT cache_key FROM c) AS hit FROM r"""
 
 
+@oracle("cache_write_back")
+def _():
+    return """
+WITH r AS (SELECT doc_id, n_chars, lang, source, upper(lang) || '/' || reverse(source) || '/' AS a FROM documents),
+f AS (SELECT DISTINCT lang, source FROM r WHERE n_chars < 1000)
+SELECT 1 AS batch, doc_id, a || 'first' AS response, false AS hit FROM r WHERE n_chars < 1000
+UNION ALL SELECT 2, doc_id, a || CASE WHEN f.lang IS NULL THEN 'second' ELSE 'first' END, f.lang IS NOT NULL
+FROM r LEFT JOIN f ON f.lang = r.lang AND f.source = r.source"""
+
+
 @oracle("source_fallback")
 def _():
     return """

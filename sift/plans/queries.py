@@ -185,7 +185,7 @@ def q_curated_corpus(spark, sf_dir):
     a = DV.annotated_corpus(spark, sf_dir)
     out = C.drop_skipped(C.label_corpus(a))
     out = C.min_length(out, 10)
-    out = C.dedup_first(C.with_text_hash(out), "text_hash", "doc_id")
+    out = C.dedup_first(C.with_text_hash(out), "text_hash", "doc_id", unique_order=True)
     out = C.sublabel_flags(out)
     from sift.schemas import CURATED_COLUMNS
     return out.select(*CURATED_COLUMNS)
@@ -196,7 +196,7 @@ def q_dedup_documents(spark, sf_dir):
     """B4, B5, G1 on documents: first (lowest id) per text hash."""
     d = DV.documents(spark, sf_dir).select("doc_id", "text", "source")
     d = C.with_text_hash(C.min_length(d, 10))
-    return C.dedup_first(d, "text_hash", "doc_id").select("doc_id", "text_hash", "source")
+    return C.dedup_first(d, "text_hash", "doc_id", unique_order=True).select("doc_id", "text_hash", "source")
 
 
 def _curated(spark, sf_dir):
@@ -619,18 +619,36 @@ def q_strip_html(spark, sf_dir):
                     (F.length("clean") > 20).alias("keep"), F.sha2("clean", 256).alias("clean_hash"))
 
 
+def _requests(spark, sf_dir):
+    from sift.operators.store import request_key
+    return request_key(DV.documents(spark, sf_dir).select("doc_id", "lang", "source"), ["source", "lang"])
+
+
 @query("cache_lookup")
 def q_cache_lookup(spark, sf_dir):
     """Request key = sha256 of sorted-key JSON; hits vs misses
     against a cache holding the requests of even documents."""
-    from sift.operators.store import cache_split, request_key
-    d = DV.documents(spark, sf_dir).select("doc_id", "lang", "source")
-    req = request_key(d, ["source", "lang"])
-    cache = req.filter(F.col("doc_id") % 2 == 0).select("cache_key", F.col("doc_id").alias("cached_doc")) \
-        .groupBy("cache_key").agg(F.min("cached_doc").alias("cached_doc"))
-    hits, misses = cache_split(req, cache)
-    return (hits.select("doc_id", "cache_key", F.lit(True).alias("hit"))
-            .unionByName(misses.select("doc_id", "cache_key", F.lit(False).alias("hit"))))
+    req = _requests(spark, sf_dir)
+    cache = req.filter(F.col("doc_id") % 2 == 0).groupBy("cache_key").agg(F.min("doc_id").cast("string").alias("response"))
+    return ST.cache_lookup(req, cache).select("doc_id", "cache_key", "hit")
+
+
+@query("cache_write_back")
+def q_cache_write_back(spark, sf_dir):
+    """Two batches (documents of under 1,000 characters, then all) answered through
+    an empty cache: each distinct request is computed once, the second batch finds the first's."""
+    import uuid
+
+    from sift.session import checkpoint_dir
+    path = f"{checkpoint_dir(spark).rstrip('/')}/sift-cache-{uuid.uuid4().hex}"
+    chars = DV.documents(spark, sf_dir).select("doc_id", "n_chars")
+    req = _requests(spark, sf_dir).join(chars, "doc_id")
+    answer = lambda batch: lambda missing: missing.select(
+        "cache_key", F.concat_ws("/", F.upper("lang"), F.reverse("source"), F.lit(batch)).alias("response"))
+    first = ST.read_through(req.filter("n_chars < 1000"), path, "1", answer("first"), ["lang", "source"])
+    second = ST.read_through(req, path, "2", answer("second"), ["lang", "source"])
+    cols = ["doc_id", "response", "hit"]
+    return first.select(F.lit(1).alias("batch"), *cols).unionByName(second.select(F.lit(2).alias("batch"), *cols))
 
 
 @query("source_fallback")
