@@ -7,10 +7,11 @@ hot duplicate group map-side, and the join that picks the winners' rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from sift.functions import text as X
+from sift.operators.quarantine import observed_filter
 from sift.operators.winners import one_per_key
 from sift.schemas import CURATED_COLUMNS, SUBLABEL_COLUMNS
 
@@ -39,10 +40,17 @@ def label_corpus(df: DataFrame) -> DataFrame:
 
 
 def drop_skipped(df: DataFrame, label_col: str = "label") -> DataFrame:
-    """B3 (count the dropped rows with ``DataFrame.observe`` if needed)."""
+    """B3; ``usable`` also counts what goes."""
     return df.filter(F.col(label_col) != "SKIP")
 
 
+def usable(df: DataFrame, min_chars: int = 10, label_col: str = "label", text_col: str = "text") -> tuple[DataFrame, Observation]:
+    """B3 and B4 with their report: the rows kept, and an observation of ``rows``, ``kept``,
+    ``skipped`` and ``too_short`` (filled once the result was computed)."""
+    return observed_filter(df, {"skipped": F.coalesce(F.col(label_col) == "SKIP", F.lit(True)),
+                                "too_short": F.coalesce(F.length(text_col) < min_chars, F.lit(True))})
+
+
 def min_length(df: DataFrame, n: int = 10, text_col: str = "text") -> DataFrame:
     """At least ``n`` code points of the raw text."""
     return df.filter(F.length(text_col) >= n)
@@ -64,14 +72,11 @@ def sublabel_flags(df: DataFrame, cols=SUBLABEL_COLUMNS) -> DataFrame:
     return df.withColumns({f"{c}_agg": majority_vote(c) for c in cols})
 
 
-def curate(df: DataFrame, order_col: str = "text_id", min_chars: int = 10) -> DataFrame:
-    """B2 -> B3 -> B4 -> B5/G1 -> B6 -> B7 on an annotated corpus."""
-    out = drop_skipped(label_corpus(df))
-    out = min_length(out, min_chars)
-    out = dedup_first(with_text_hash(out), "text_hash", order_col)
-    out = sublabel_flags(out)
-    return out.select(*CURATED_COLUMNS, *[c for c in out.columns
-                                          if c not in CURATED_COLUMNS and c == order_col])
+def curate(df: DataFrame, order_col: str = "text_id", min_chars: int = 10) -> tuple[DataFrame, Observation]:
+    """B2 -> B3 -> B4 -> B5/G1 -> B6 -> B7 on an annotated corpus, with the counts of the rows dropped (see ``usable``)."""
+    kept, seen = usable(label_corpus(df), min_chars)
+    out = sublabel_flags(dedup_first(with_text_hash(kept), "text_hash", order_col))
+    return out.select(*CURATED_COLUMNS), seen
 
 
 def class_distribution(df: DataFrame, label_col: str = "label") -> DataFrame:

@@ -365,3 +365,18 @@ def expert_reply_text(id_col: str = "doc_id"):
     fenced = F.concat(F.lit("```json\n"), body, F.lit("\n```"))
     broken = F.concat(F.lit("{\"label\": \"AMAN\", "), i.cast("string"))
     return F.when(i % 9 == 4, broken).when(i % 4 == 0, fenced).otherwise(body)
+
+
+def checked_reply_text(id_col: str = "doc_id"):
+    """Replies as above, of which every tenth has probabilities that sum to 11."""
+    i = F.col(id_col)
+    return F.when(i % 10 == 3, F.replace(expert_reply_text(id_col), F.lit('{"AMAN": '), F.lit('{"AMAN": 1'))).otherwise(expert_reply_text(id_col))
+
+
+def array_reply_text(text_col: str = "text", id_col: str = "doc_id"):
+    """JSON arrays of a text's first words, in four out of seven documents as an array
+    of strings (plain or fenced), else with a number, a null or as an object."""
+    i, words = F.col(id_col) % 7, F.to_json(F.slice(F.split(text_col, " "), 1, 6))
+    return (F.when(i == 1, F.concat(F.lit("```json\n"), words, F.lit("\n```"))).when(i == 2, F.concat(F.lit("```"), words, F.lit("```")))
+            .when(i == 3, F.lit("[]")).when(i == 4, F.lit('["a", 1]')).when(i == 5, F.lit('{"a": "b"}')).when(i == 6, F.lit('["a", null, "b"'))
+            .otherwise(words))

@@ -387,6 +387,44 @@ b AS (SELECT u.{key}, u.u_label AS sweep_label, text, u.p AS loc, CASE WHEN r.pa
     return _fused_cte(b, f"{key}, sweep_label, text, parse_ok, risk_score, recommendation, note {more}")
 
 
+def _checked_cte() -> str:
+    v = _violations_sql("label", "pr", "recommendation", "risk_score", "note")
+    rows = _reply_rows("doc_id", "documents").replace(f"{DV.expert_probs_sql('doc_id')} AS pr",
+                                                      f"CASE WHEN doc_id % 10 = 3 THEN [5.0, 3.0, 3.0] ELSE {DV.expert_probs_sql('doc_id')} END AS pr")
+    return f"""
+WITH r AS ({rows}),
+c AS (SELECT k AS doc_id, CASE WHEN parse_ok THEN {v} ELSE 'parse' END AS reasons, CASE WHEN parse_ok THEN risk_score END AS risk_score FROM r)"""
+
+
+@oracle("quarantine")
+def _():
+    return _checked_cte() + " SELECT doc_id, CASE WHEN reasons = '' THEN 'valid' ELSE 'bad' END AS status, reasons, risk_score FROM c"
+
+
+@oracle("quarantine_counts")
+def _():
+    return _checked_cte() + """,
+n AS (SELECT unnest(['valid', 'bad', 'parse', 'label', 'probability_sum', 'confidence', 'recommendation', 'risk_score', 'ambiguity_notes', 'signals']) AS name),
+g AS (SELECT name, (SELECT COUNT(*) FROM c WHERE (name = 'valid' AND reasons = '') OR (name = 'bad' AND reasons <> '')
+  OR list_contains(string_split(reasons, ','), name)) AS observed FROM n)
+SELECT name, observed, observed AS written FROM g"""
+
+
+@oracle("array_replies")
+def _():
+    return """
+WITH a AS (SELECT doc_id, CASE WHEN doc_id % 7 <= 2 THEN list_slice(string_split(text, ' '), 1, 6) WHEN doc_id % 7 = 3 THEN [] END AS a FROM documents)
+SELECT doc_id, a IS NOT NULL AS accepted, CAST(len(a) AS INTEGER) AS n, CASE WHEN a IS NOT NULL THEN sha256(coalesce(array_to_string(a, '|'), '')) END AS items_hash FROM a"""
+
+
+@oracle("curation_counts")
+def _():
+    return _curated_cte() + """
+SELECT 'rows' AS name, COUNT(*) AS n FROM l UNION ALL SELECT 'skipped', COUNT(*) FROM l WHERE label = 'SKIP'
+UNION ALL SELECT 'too_short', COUNT(*) FROM l WHERE label <> 'SKIP' AND length(text) < 10
+UNION ALL SELECT 'kept', COUNT(*) FROM f UNION ALL SELECT 'written', COUNT(*) FROM cur"""
+
+
 @oracle("deep_triage")
 def _():
     v = _violations_sql("label", "pr", "recommendation", "risk_score", "note")

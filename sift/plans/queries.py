@@ -19,7 +19,8 @@ from sift.operators import signals as SG
 from sift.operators.normalize import normalize
 from sift.operators.triage import batch_triage
 from sift.plans import derive as DV
-from sift.session import read_table
+from sift.schemas import CURATED_COLUMNS
+from sift.session import read_table, scratch_path
 
 REGISTRY: dict = {}
 
@@ -183,12 +184,9 @@ def q_majority_labels(spark, sf_dir):
 def q_curated_corpus(spark, sf_dir):
     """Label, drop SKIP, min length, dedup by text hash, project."""
     a = DV.annotated_corpus(spark, sf_dir)
-    out = C.drop_skipped(C.label_corpus(a))
-    out = C.min_length(out, 10)
+    out = C.min_length(C.drop_skipped(C.label_corpus(a)), 10)
     out = C.dedup_first(C.with_text_hash(out), "text_hash", "doc_id", unique_order=True)
-    out = C.sublabel_flags(out)
-    from sift.schemas import CURATED_COLUMNS
-    return out.select(*CURATED_COLUMNS)
+    return C.sublabel_flags(out).select(*CURATED_COLUMNS)
 
 
 @query("dedup_documents")
@@ -314,7 +312,7 @@ def q_parse_replies(spark, sf_dir):
     """Fence strip, JSON parse, validation, phrase digest."""
     r = _replies(spark, sf_dir)
     probs = S.map_to_probs(F.col("expert.probabilities"))
-    v = FU.violations(F.col("expert.label"), probs, F.lit("HIGH"), "expert.recommendation",
+    v = FU.violations(F.col("expert.label"), probs, S.confidence_band(probs), "expert.recommendation",
                       "expert.risk_score", F.col("expert.ambiguity_notes"))
     return r.select(
         "doc_id", "parse_ok", F.col("expert.label").alias("label"),
@@ -323,6 +321,52 @@ def q_parse_replies(spark, sf_dir):
         F.when(F.col("parse_ok"), F.array_join(v, ",")).alias("violations"))
 
 
+from sift.operators import quarantine as QU  # noqa: E402
+
+
+def _split_replies(spark, sf_dir):
+    d = DV.documents(spark, sf_dir).select("doc_id", DV.checked_reply_text("doc_id").alias("reply"))
+    return QU.split_write(QU.check_replies(d), scratch_path(spark, "sift-quarantine"))
+
+
+@query("quarantine")
+def q_quarantine(spark, sf_dir):
+    """Every reply, as read back from the valid or the bad side, with its reasons."""
+    valid, bad, _ = _split_replies(spark, sf_dir)
+    return (valid.select("doc_id", F.lit("valid").alias("status"), F.lit("").alias("reasons"), F.col("expert.risk_score").alias("risk_score"))
+            .unionByName(bad.select("doc_id", F.lit("bad").alias("status"), F.array_join("reasons", ",").alias("reasons"),
+                                    F.col("expert.risk_score").alias("risk_score"))))
+
+
+@query("quarantine_counts")
+def q_quarantine_counts(spark, sf_dir):
+    """Counts observed while writing, next to those of the rows written."""
+    valid, bad, seen = _split_replies(spark, sf_dir)
+    written = bad.select(F.explode("reasons").alias("name")).unionByName(bad.select(F.lit("bad").alias("name"))).unionByName(
+        valid.select(F.lit("valid").alias("name"))).groupBy("name").agg(F.count(F.lit(1)).alias("written"))
+    observed = spark.createDataFrame([(k, v) for k, v in seen.items() if k != "rows"], "name string, observed long")
+    return observed.join(written, "name", "left").select("name", "observed", F.coalesce("written", F.lit(0)).alias("written"))
+
+
+@query("array_replies")
+def q_array_replies(spark, sf_dir):
+    """B24 b: fenced or plain JSON arrays of strings; others are not accepted."""
+    d = DV.documents(spark, sf_dir)
+    a = d.select("doc_id", QU.string_array(DV.array_reply_text()).alias("a"))
+    return a.select("doc_id", F.col("a").isNotNull().alias("accepted"), F.size("a").alias("n"), F.sha2(F.array_join("a", "|"), 256).alias("items_hash"))
+
+
+@query("curation_counts")
+def q_curation_counts(spark, sf_dir):
+    """Rows dropped while curating, counted in the same pass, and the rows written."""
+    from sift.sources.files import write_corpus
+    out, seen = C.curate(DV.annotated_corpus(spark, sf_dir), "doc_id")
+    path = scratch_path(spark, "sift-curated")
+    write_corpus(out, path)
+    rows = [(k, int(v)) for k, v in seen.get.items()] + [("written", spark.read.parquet(path).count())]
+    return spark.createDataFrame(rows, "name string, n long")
+
+
 def _deep(spark, sf_dir):
     from sift.operators.triage import deep_triage
     replies = DV.documents(spark, sf_dir).select("doc_id", DV.expert_reply_text("doc_id").alias("reply"))
@@ -637,10 +681,7 @@ def q_cache_lookup(spark, sf_dir):
 def q_cache_write_back(spark, sf_dir):
     """Two batches (documents of under 1,000 characters, then all) answered through
     an empty cache: each distinct request is computed once, the second batch finds the first's."""
-    import uuid
-
-    from sift.session import checkpoint_dir
-    path = f"{checkpoint_dir(spark).rstrip('/')}/sift-cache-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "sift-cache")
     chars = DV.documents(spark, sf_dir).select("doc_id", "n_chars")
     req = _requests(spark, sf_dir).join(chars, "doc_id")
     answer = lambda batch: lambda missing: missing.select(
