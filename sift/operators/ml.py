@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer, RegexTokenizer, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -22,36 +23,81 @@ from sift.operators.curation import class_weights
 from sift.schemas import DEFAULT_SCHEME, LabelScheme
 
 
-def text_pipeline(text_col: str = "text", num_features: int = 1 << 18, max_iter: int = 50,
-                  reg: float = 0.01, weight_col: str | None = None) -> Pipeline:
-    tok = RegexTokenizer(inputCol=text_col, outputCol="__tokens", pattern=f"{WS}+", toLowercase=True)
-    tf = HashingTF(inputCol="__tokens", outputCol="__tf", numFeatures=num_features)
-    idf = IDF(inputCol="__tf", outputCol="__features")
+OUTPUTS = ("__tokens", "__tf", "__features", "__raw", "__probability", "__prediction")
+
+
+def feature_stages(text_col: str = "text", num_features: int = 1 << 18) -> list:
+    return [RegexTokenizer(inputCol=text_col, outputCol="__tokens", pattern=f"{WS}+", toLowercase=True),
+            HashingTF(inputCol="__tokens", outputCol="__tf", numFeatures=num_features),
+            IDF(inputCol="__tf", outputCol="__features")]
+
+
+def classifier(max_iter: int = 50, reg: float = 0.01, weight_col: str | None = None) -> LogisticRegression:
     lr = LogisticRegression(featuresCol="__features", labelCol="__label", family="multinomial",
                             maxIter=max_iter, regParam=reg, probabilityCol="__probability",
                             predictionCol="__prediction", rawPredictionCol="__raw")
-    if weight_col:
-        lr.setWeightCol(weight_col)
-    return Pipeline(stages=[tok, tf, idf, lr])
+    return lr.setWeightCol(weight_col) if weight_col else lr
 
 
-def train_classifier(df: DataFrame, text_col: str = "text", label_col: str = "label",
-                     weighted: bool = False, scheme: LabelScheme = DEFAULT_SCHEME, **kw) -> PipelineModel:
-    """H1 (plain) / H2 (balanced class weights)."""
+def _labelled(df: DataFrame, label_col: str, weighted: bool, scheme: LabelScheme) -> DataFrame:
     d = df.withColumn("__label", S.encode_label(F.col(label_col), scheme).cast("double"))
-    wcol = None
-    if weighted:
-        w = class_weights(df, label_col).select(label_col, F.col("weight").alias("__w"))
-        d = d.join(F.broadcast(w), label_col)  # one row per class
-        wcol = "__w"
-    return text_pipeline(text_col, weight_col=wcol, **kw).fit(d)
+    if not weighted:
+        return d.withColumn("__w", F.lit(1.0))
+    w = class_weights(df, label_col).select(label_col, F.col("weight").alias("__w"))
+    return d.join(F.broadcast(w), label_col)  # one row per class
+
+
+def _features(model, d: DataFrame) -> DataFrame:
+    """What fitting reads, kept while it runs: every pass of the optimizer reads the
+    stored vectors instead of computing texts and tokens again."""
+    return model.transform(d).select("__features", "__label", "__w").persist()
+
+
+def train_classifier(df: DataFrame, text_col: str = "text", label_col: str = "label",
+                     weighted: bool = False, scheme: LabelScheme = DEFAULT_SCHEME, num_features: int = 1 << 18, **kw) -> PipelineModel:
+    """H1 (plain) / H2 (balanced class weights). Texts are best given normalised
+    (``normalize``), as the triage scores normalised texts."""
+    d = _labelled(df, label_col, weighted, scheme)
+    features = Pipeline(stages=feature_stages(text_col, num_features)).fit(d)
+    ready = _features(features, d)
+    try:
+        return PipelineModel(stages=[*features.stages, classifier(weight_col="__w", **kw).fit(ready)])
+    finally:
+        ready.unpersist()
+
+
+def select_model(df: DataFrame, key: str, text_col: str = "text", label_col: str = "label", regs: tuple[float, ...] = (0.001, 0.01, 0.1),
+                 valid_frac: float = 0.2, seed: int = 42, max_iter: int = 30, num_features: int = 1 << 18,
+                 scheme: LabelScheme = DEFAULT_SCHEME) -> tuple[PipelineModel, list[tuple]]:
+    """H2: class-weighted training with the best of several candidates by weighted F1 on a
+    stratified validation split (exact per class, by a seeded hash of ``key``). Feature
+    stages are fitted once, on the training side; all candidates read the
+    same stored vectors. Returns the model and a row per candidate: ``reg, weighted_f1, chosen``
+    (ties: the stronger regularisation)."""
+    from sift.operators.sampling import stratified_split
+    split = stratified_split(df.select(key, text_col, label_col), label_col, key, valid_frac, seed).persist()
+    ready: list[DataFrame] = []
+    try:
+        train = _labelled(split.filter("split = 'train'"), label_col, True, scheme)
+        features = Pipeline(stages=feature_stages(text_col, num_features)).fit(train)
+        valid = split.filter("split = 'test'").withColumn("__label", S.encode_label(F.col(label_col), scheme).cast("double")).withColumn("__w", F.lit(1.0))
+        ready = [_features(features, train), _features(features, valid)]
+        f1 = MulticlassClassificationEvaluator(labelCol="__label", predictionCol="__prediction", metricName="weightedFMeasure")
+        tried = []
+        for reg in regs:
+            model = classifier(max_iter, reg, "__w").fit(ready[0])
+            tried.append((round(f1.evaluate(model.transform(ready[1])), 4), reg, model))
+        best = max(tried, key=lambda t: t[:2])
+        return PipelineModel(stages=[*features.stages, best[2]]), [(reg, score, reg == best[1]) for score, reg, _ in tried]
+    finally:
+        for d in [split, *ready]:
+            d.unpersist()
 
 
 def score(model: PipelineModel, df: DataFrame, out: str = "probs") -> DataFrame:
     """Model probabilities as array<double> in label order."""
     s = model.transform(df)
-    return (s.withColumn(out, vector_to_array("__probability"))
-            .drop("__tokens", "__tf", "__features", "__raw", "__probability", "__prediction"))
+    return s.withColumn(out, vector_to_array("__probability")).drop(*OUTPUTS)
 
 
 def predictions(model: PipelineModel, df: DataFrame, label_col: str = "label",
@@ -86,14 +132,13 @@ def pca_2d(df: DataFrame, col: str = "embedding", k: int = 2):
 
 
 def retrain_from_feedback(corpus: DataFrame, feedback: DataFrame, corpus_key: str, n_per_class: int = 200,
-                          min_feedback: int = 50, text_col: str = "text"):
-    """H5: if the feedback count reaches the gate, apply corrections (E8),
+                          min_feedback: int = 50, text_col: str = "text", **kw) -> PipelineModel | None:
+    """H5: if the feedback count reaches the gate (F18), apply corrections (E8),
     draw a balanced sample (G7) and fit (H1). Returns the model or None."""
     from sift.operators.sampling import balanced_sample
-    from sift.operators.store import apply_feedback
-    n = feedback.count()  # one number decides whether to train at all
-    if n < min_feedback:
+    from sift.operators.store import apply_feedback, retrain_gate
+    if not retrain_gate(feedback, min_feedback).first()["ready"]:  # one row decides whether to train at all
         return None
-    fixed = apply_feedback(corpus, feedback, corpus_key)
-    sample = balanced_sample(fixed, "label", corpus_key, n_per_class)
-    return train_classifier(sample, text_col)
+    fixed = apply_feedback(corpus, feedback, corpus_key).select(*corpus.columns)
+    sample = balanced_sample(fixed, "label", corpus_key, n_per_class, source_col="sample_source")
+    return train_classifier(sample, text_col, **kw)

@@ -732,6 +732,29 @@ def q_train_eval(spark, sf_dir):
     return EV.class_report(ML.predictions(model, split.filter(F.col("split") == "test")))
 
 
+def _training_corpus(spark, sf_dir):
+    """The curated corpus with its normalised text."""
+    return normalize(_curated(spark, sf_dir), "text").select("text_id", F.col("normalized_text").alias("text"), "label")
+
+
+@query("model_selection")
+def q_model_selection(spark, sf_dir):
+    """H2: candidates of class-weighted training with their weighted F1 on the validation split."""
+    from sift.operators import ml as ML
+    _, tried = ML.select_model(_training_corpus(spark, sf_dir), "text_id", max_iter=15, num_features=1 << 14)
+    return spark.createDataFrame(tried, "reg_param double, weighted_f1 double, chosen boolean")
+
+
+@query("retrain_report")
+def q_retrain_report(spark, sf_dir):
+    """H5: gate, corrections, balanced sample, fit; the new model's report on the corrected corpus."""
+    from sift.operators import ml as ML
+    corpus, feedback = _training_corpus(spark, sf_dir), _feedback(spark, sf_dir)
+    model = ML.retrain_from_feedback(corpus, feedback, "text_id", max_iter=15, num_features=1 << 14)
+    fixed = ST.apply_feedback(corpus, feedback, "text_id")
+    return EV.class_report(ML.predictions(model, fixed))
+
+
 @query("pca_2d")
 def q_pca_2d(spark, sf_dir):
     """Centred 2-D projection of the embeddings."""
