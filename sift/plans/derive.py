@@ -380,3 +380,26 @@ def array_reply_text(text_col: str = "text", id_col: str = "doc_id"):
     return (F.when(i == 1, F.concat(F.lit("```json\n"), words, F.lit("\n```"))).when(i == 2, F.concat(F.lit("```"), words, F.lit("```")))
             .when(i == 3, F.lit("[]")).when(i == 4, F.lit('["a", 1]')).when(i == 5, F.lit('{"a": "b"}')).when(i == 6, F.lit('["a", null, "b"'))
             .otherwise(words))
+
+
+# --- Feed payloads from pages -------------------------------------------------
+
+def feed_payloads(pages: DataFrame) -> DataFrame:
+    """``page_id, kind, payload``: each page as an RSS item (with a description) and an Atom
+    entry (with content), its tag-stripped text cut and escaped."""
+    from sift.functions import text as X
+
+    def esc(c):
+        for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+            c = F.replace(c, F.lit(a), F.lit(b))
+        return c
+    body = F.substring(X.collapse_ws(F.regexp_replace(X.strip_html("html"), r"[^\p{L}\p{N}\p{P}\s]", " ")), 1, 600)
+    d = pages.select("page_id", F.concat(F.lit("Page "), F.col("page_id").cast("string")).alias("t"), F.coalesce("url", F.lit("")).alias("u"), body.alias("b"))
+    html = F.concat(F.lit("<p>"), F.col("b"), F.lit("</p>"))
+    rss = F.concat(F.lit('<?xml version="1.0"?><rss version="2.0" xmlns:c="x"><channel><title>f</title><item><title>'), esc(F.col("t")), F.lit("</title><link>"),
+                   esc(F.col("u")), F.lit("</link><description>"), esc(html), F.lit("</description></item></channel></rss>"))
+    atom = F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><title>f</title><link rel="self" href="self"/><entry><title type="html">'), esc(F.col("t")),
+                    F.lit('</title><link rel="enclosure" href="no"/><link href="'), esc(F.col("u")), F.lit('"/><summary>short</summary><content type="html">'),
+                    esc(html), F.lit("</content></entry></feed>"))
+    return d.select("page_id", F.inline(F.array(F.struct(F.lit("rss").alias("kind"), rss.alias("payload")),
+                                               F.struct(F.lit("atom").alias("kind"), atom.alias("payload")))))

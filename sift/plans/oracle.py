@@ -785,6 +785,27 @@ UNION ALL SELECT 2, doc_id, a || CASE WHEN f.lang IS NULL THEN 'second' ELSE 'fi
 FROM r LEFT JOIN f ON f.lang = r.lang AND f.source = r.source"""
 
 
+@oracle("feed_posts")
+def _():
+    from sift.functions.text import HTML_TAG_RE
+    stripped = f"regexp_replace(html, {Q.q(HTML_TAG_RE)}, '', 'g')"
+    plain = f"regexp_replace({stripped}, '[^\\p{{L}}\\p{{N}}\\p{{P}}\\s]', ' ', 'g')"
+    body = f"substring({Q.collapse_ws(plain)}, 1, 600)"
+    again = f"regexp_replace('<p>' || b || '</p>', {Q.q(HTML_TAG_RE)}, '', 'g')"
+    long = "CASE WHEN length(x) > 10 THEN t || '. ' || x ELSE t END"
+    url = "CASE WHEN u = '' THEN 'feed' ELSE u END"
+    return f"""
+WITH p AS (SELECT page_id, 'Page ' || CAST(page_id AS VARCHAR) AS t, coalesce(url, '') AS u, {body} AS b FROM pages),
+k AS (SELECT *, unnest(['rss', 'atom']) AS kind FROM p),
+a7 AS (SELECT page_id, kind, 'RSS: pages' AS source, u, CASE WHEN x <> '' THEN t || '. ' || x ELSE t END AS text
+  FROM (SELECT *, CASE WHEN kind = 'rss' THEN {again} ELSE 'short' END AS x FROM k)),
+a8 AS (SELECT page_id, kind, 'forum' AS source, u, {long} AS text FROM (SELECT *, {Q.strip_u(again)} AS x FROM k)),
+r AS (SELECT * FROM a7 WHERE length(text) > 20
+  UNION ALL SELECT page_id, kind, source, u, substring(text, 1, 500) FROM a8 WHERE length(text) > 15)
+SELECT page_id, kind, CAST(0 AS INTEGER) AS ord, source, {url} AS url, CAST(length(text) AS INTEGER) AS n_chars, sha256(text) AS text_hash,
+  substring(sha256(source || chr(1) || {url} || chr(1) || text), 1, 16) AS post_id FROM r"""
+
+
 @oracle("source_fallback")
 def _():
     return """

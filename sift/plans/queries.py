@@ -704,6 +704,16 @@ def q_source_fallback(spark, sf_dir):
     return fallback(primary, secondary, "target")
 
 
+@query("feed_posts")
+def q_feed_posts(spark, sf_dir):
+    """RSS and Atom payloads made of all pages -> posts, with a key."""
+    from sift.sources import collect as CO
+    items = CO.feed_items(DV.feed_payloads(read_table(spark, sf_dir, "pages")))
+    posts = CO.rss_posts(items, "pages", "feed").unionByName(CO.forum_posts(items, "forum", "feed"))
+    return CO.with_post_id(posts).select("page_id", "kind", "ord", "source", "url", F.length("text").alias("n_chars"),
+                                         F.sha2("text", 256).alias("text_hash"), "post_id")
+
+
 @query("union_clean")
 def q_union_clean(spark, sf_dir):
     """Documents + conversations + pages unioned, blank texts

@@ -20,11 +20,11 @@ LISTING = T.StructType([T.StructField("data", T.StructType([T.StructField("child
         T.StructField("title", T.StringType()), T.StructField("selftext", T.StringType()),
         T.StructField("permalink", T.StringType())]))])))]))])
 
-RSS_ITEM = T.StructType([
-    T.StructField("title", T.StringType()), T.StructField("summary", T.StringType()),
-    T.StructField("description", T.StringType()), T.StructField("link", T.StringType()),
-    T.StructField("content", T.ArrayType(T.StructType([T.StructField("value", T.StringType())]))),
-])
+# Feeds, read without namespaces: RSS 2 (channel/item), RSS 1 (item) and Atom (entry).
+_VALUE = "struct<_VALUE: string, _type: string>"
+_ITEM = "struct<title: string, link: string, description: string, summary: string, encoded: string>"
+_ENTRY = f"struct<title: {_VALUE}, link: array<struct<_href: string, _rel: string>>, summary: {_VALUE}, content: array<{_VALUE}>>"
+FEED = f"channel struct<item: array<{_ITEM}>>, item array<{_ITEM}>, entry array<{_ENTRY}>"
 
 COMMENTS = T.StructType([T.StructField("video_id", T.StringType()), T.StructField("items", T.ArrayType(
     T.StructType([T.StructField("snippet", T.StructType([T.StructField("topLevelComment", T.StructType([
@@ -52,30 +52,67 @@ def forum_listing(spark: SparkSession, path: str, base_url: str, listing_url: st
             .filter(F.length("text") > 15))
 
 
-def rss_items(spark: SparkSession, path: str, name: str, feed_url: str) -> DataFrame:
-    """Title + tag-stripped summary (or description); len > 20;
-    source "RSS: name"; url = link or feed url."""
-    d = spark.read.format("xml").option("rowTag", "item").schema(RSS_ITEM).load(path)
-    summ = X.strip_html(F.coalesce("summary", "description", F.lit("")))
-    text = X.title_body(F.coalesce("title", F.lit("")), summ)
-    return (d.select(text.alias("text"), F.lit(f"RSS: {name}").alias("source"),
-                     F.coalesce(F.col("link"), F.lit(feed_url)).alias("url"))
+def read_payloads(spark: SparkSession, path: str) -> DataFrame:
+    """Landed feed files, one payload a file: ``path, payload``."""
+    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("payload"))
+
+
+def feed_items(payloads: DataFrame, payload_col: str = "payload") -> DataFrame:
+    """Items of RSS and Atom payloads: the input's other columns and ``ord, title, summary, content,
+    link``. The summary is an item's summary or description, the content its first
+    content (``content:encoded`` in RSS), the link ``link`` or the ``href`` of the first
+    ``alternate`` link, else of the first link. A payload that is not XML gives no items."""
+    keep = [c for c in payloads.columns if c != payload_col]
+    f = F.from_xml(F.col(payload_col), FEED, {"ignoreNamespace": "true", "mode": "PERMISSIVE"})
+
+    def rss(items):
+        return F.transform(items, lambda i: F.struct(
+            i["title"].alias("title"), F.coalesce(i["summary"], i["description"]).alias("summary"), i["encoded"].alias("content"), i["link"].alias("link")))
+
+    def entry(e):
+        first = lambda links: F.try_element_at(links, F.lit(1))["_href"]
+        own = F.filter(e["link"], lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
+        return F.struct(e["title"]["_VALUE"].alias("title"), e["summary"]["_VALUE"].alias("summary"),
+                        F.try_element_at(e["content"], F.lit(1))["_VALUE"].alias("content"), F.coalesce(first(own), first(e["link"])).alias("link"))
+
+    empty = F.array().cast("array<struct<title:string,summary:string,content:string,link:string>>")
+    d = payloads.select(*keep, f.alias("__f"))
+    items = [rss(F.col("__f.channel.item")), rss(F.col("__f.item")), F.transform("__f.entry", entry)]
+    d = d.select(*keep, F.concat(*[F.coalesce(x, empty) for x in items]).alias("__items"))
+    return d.select(*keep, F.posexplode("__items").alias("ord", "__i")).select(*keep, "ord", "__i.*")
+
+
+def rss_posts(items: DataFrame, name: str, feed_url: str) -> DataFrame:
+    """Title + tag-stripped summary; len > 20; source "RSS: name"; url = link or feed url."""
+    title, summary = X.strip_u(F.coalesce("title", F.lit(""))), X.strip_html(X.strip_u(F.coalesce("summary", F.lit(""))))
+    text = F.when(summary != "", F.concat(title, F.lit(". "), summary)).otherwise(title)
+    keep = [c for c in items.columns if c not in ("title", "summary", "content", "link")]
+    return (items.select(*keep, text.alias("text"), F.lit(f"RSS: {name}").alias("source"), F.coalesce("link", F.lit(feed_url)).alias("url"))
             .filter(F.length("text") > 20))
 
 
-def forum_rss(spark: SparkSession, path: str, source: str, feed_url: str, max_chars: int = 500) -> DataFrame:
-    """body = first content value else summary, tag-stripped; appended
+def forum_posts(items: DataFrame, source: str, feed_url: str, max_chars: int = 500) -> DataFrame:
+    """body = first content value else summary (or description), tag-stripped; appended
     only if longer than 10; combined len > 15; cut to ``max_chars``."""
-    d = spark.read.format("xml").option("rowTag", "item").schema(RSS_ITEM).load(path)
-    body = X.strip_u(X.strip_html(F.coalesce(F.col("content")[0]["value"], F.col("summary"), F.lit(""))))
+    body = X.strip_u(X.strip_html(F.coalesce("content", "summary", F.lit(""))))
     title = X.strip_u(F.coalesce("title", F.lit("")))
     text = F.when(F.length(body) > 10, F.concat(title, F.lit(". "), body)).otherwise(title)
-    return (d.select(text.alias("text"), F.lit(source).alias("source"),
-                     F.coalesce(F.col("link"), F.lit(feed_url)).alias("url"))
+    keep = [c for c in items.columns if c not in ("title", "summary", "content", "link")]
+    return (items.select(*keep, text.alias("text"), F.lit(source).alias("source"), F.coalesce("link", F.lit(feed_url)).alias("url"))
             .filter(F.length("text") > 15)
             .withColumn("text", F.substring("text", 1, max_chars)))
 
 
+def rss_items(spark: SparkSession, path: str, name: str, feed_url: str) -> DataFrame:
+    """A7 over landed files."""
+    return rss_posts(feed_items(read_payloads(spark, path)), name, feed_url).select("text", "source", "url")
+
+
+def forum_rss(spark: SparkSession, path: str, source: str, feed_url: str, max_chars: int = 500) -> DataFrame:
+    """A8 over landed files."""
+    return forum_posts(feed_items(read_payloads(spark, path)), source, feed_url, max_chars).select("text", "source", "url")
+
+
 def comment_threads(spark: SparkSession, videos_path: str, comments_path: str, source: str = "video",
                     url_prefix: str = "https://www.youtube.com/watch?v=") -> DataFrame:
     """Videos joined to their comment threads; tag-stripped top-level
