@@ -10,8 +10,7 @@ class, the (hash, key) of the k-th row with a bucket histogram: counts per
 (class, hash prefix) are partially aggregated, a cumulative sum over that
 small table locates the bucket holding the k-th row, and only the rows of
 that one bucket (about n_c / 65536 of the class) are ranked. The cut-offs
-(one row per class) are broadcast back, so assigning rows is a filter, not a
-shuffle of the data. For k up to ``WINDOW_K`` a plain ``row_number() <= k``
+(one row per class) are joined back, salted. For k up to ``WINDOW_K`` a plain ``row_number() <= k``
 is used: Spark plans it with a partial WindowGroupLimit, so each task ships
 at most k rows per class. Beyond, Spark has no such limit and the cut-offs
 pick the same rows.
@@ -24,10 +23,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sift.operators.partitioning import SALTS
+from sift.session import stored
+
 # Hash prefix used for the histogram: 4 hex digits = 65,536 buckets per class.
 BUCKET_HEX_DIGITS = 4
-# Above this many classes the cut-off table is joined without a broadcast hint.
-MAX_BROADCAST_GROUPS = 100_000
 # Largest k that Spark plans with a WindowGroupLimit by default.
 WINDOW_K = 1000
 
@@ -76,22 +76,28 @@ def _before_cut(h: str, key: str) -> Column:
         (F.col(h) < F.col("cut_h")) | ((F.col(h) == F.col("cut_h")) & (F.col(key) <= F.col("cut_key"))))
 
 
-def _attach(df: DataFrame, cuts: DataFrame, group: str) -> DataFrame:
-    # One row per class; classes are few, and the bound is checked. The
-    # tiny cut-off table is cached so the check and the join share it.
-    cuts = cuts.cache()
-    n_groups = cuts.count()
-    c = F.broadcast(cuts) if n_groups <= MAX_BROADCAST_GROUPS else cuts
-    return _join_class(df, c, [group], "left")
+def _hashed(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """``df`` with its seeded hash ``__h``, written once to the shared checkpoint folder: the
+    histogram, the edge buckets and the assignment read it instead of computing ``df`` again.
+    Callers pass the columns they need back, not texts."""
+    return stored(df.withColumn("__h", seeded_hash(key, seed)), "sift-split")
+
+
+def _attach(df: DataFrame, cuts: DataFrame, group: str, key: str) -> DataFrame:
+    """Each row with its class's cut-offs. One row per class, repeated per salt, as a class may
+    hold most rows; adaptive execution broadcasts the table where it is small."""
+    copies = cuts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+    return _join_class(salted, copies, [group, "__salt"], "left").drop("__salt")
 
 
 def stratified_split(df: DataFrame, label: str = "label", key: str = "text_id",
                      test_fraction: float = 0.2, seed: int = 42, out: str = "split") -> DataFrame:
     """Per class exactly round(test_fraction * n_c) rows go to ``test``
     (first in seeded-hash order), the rest to ``train``."""
-    hdf = df.withColumn("__h", seeded_hash(key, seed))
+    hdf = _hashed(df, key, seed)
     cuts = rank_cutoffs(hdf, label, "__h", key, lambda n: F.round(n * F.lit(test_fraction)))
-    j = _attach(hdf, cuts, label)
+    j = _attach(hdf, cuts, label, key)
     return (j.withColumn(out, F.when(_before_cut("__h", key), "test").otherwise("train"))
             .drop("__h", "n", "k", "cut_h", "cut_key"))
 
@@ -99,9 +105,9 @@ def stratified_split(df: DataFrame, label: str = "label", key: str = "text_id",
 def positional_split(df: DataFrame, key: str, train_fraction: float = 0.8, seed: int = 42,
                      out: str = "split") -> DataFrame:
     """Shuffle by seeded hash, first int(train_fraction * n) rows train."""
-    hdf = df.withColumn("__h", seeded_hash(key, seed)).withColumn("__g", F.lit(1))
+    hdf = _hashed(df.withColumn("__g", F.lit(1)), key, seed)
     cuts = rank_cutoffs(hdf, "__g", "__h", key, lambda n: F.floor(n * F.lit(train_fraction)))
-    j = _attach(hdf, cuts, "__g")
+    j = _attach(hdf, cuts, "__g", key)
     return (j.withColumn(out, F.when(_before_cut("__h", key), "train").otherwise("test"))
             .drop("__h", "__g", "n", "k", "cut_h", "cut_key"))
 
@@ -110,9 +116,9 @@ def first_k_per_group(df: DataFrame, group: str, key: str, k: int, seed: int = 4
                       rank_col: str | None = None) -> DataFrame:
     """Up to ``k`` rows per group in seeded-hash order (``min(k, n_c)``)."""
     if k > WINDOW_K:
-        hdf = df.withColumn("__h", seeded_hash(key, seed))
+        hdf = _hashed(df, key, seed)
         cuts = rank_cutoffs(hdf, group, "__h", key, lambda n: F.least(n, F.lit(k)))
-        df = _attach(hdf, cuts, group).filter(_before_cut("__h", key)).drop("__h", "n", "k", "cut_h", "cut_key")
+        df = _attach(hdf, cuts, group, key).filter(_before_cut("__h", key)).drop("__h", "n", "k", "cut_h", "cut_key")
         if not rank_col:
             return df
     w = Window.partitionBy(group).orderBy(seeded_hash(key, seed), F.col(key))

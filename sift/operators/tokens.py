@@ -1,9 +1,7 @@
 """D12 token-score highlights and F20 tokenizer comparison.
 
 Highlights work in-row on a document's token and score arrays (no shuffle:
-a document's tokens never leave its row); ``highlights_long`` is the same
-operator for long-form input (doc, pos, token, score), grouped per
-document with a window whose size is bounded by one document's length.
+a document's tokens never leave its row).
 """
 
 from __future__ import annotations
@@ -11,10 +9,10 @@ from __future__ import annotations
 from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sift.functions import text as X
 
@@ -23,100 +21,70 @@ SPECIAL_TOKENS = ("[CLS]", "[SEP]", "[PAD]", "<s>", "</s>", "<pad>")
 SUBWORD_MARKS = ("##", "▁")
 
 
-def _clean(tok):
-    out = tok
-    for m in SUBWORD_MARKS:
-        out = F.replace(out, F.lit(m), F.lit(""))
+HIGHLIGHT = "array<struct<pos: int, token: string, score: double>>"
+
+
+def _round4(x: np.ndarray) -> np.ndarray:
+    """Spark's round(x, 4): half up on the shortest decimal form of the double. Only
+    values that may be ties are looked at one by one."""
+    y = x * 1e4
+    out = np.floor(y + 0.5) / 1e4
+    for i in np.nonzero(np.abs(y - np.floor(y) - 0.5) < 1e-6)[0]:
+        out[i] = float(Decimal(repr(float(x[i]))).quantize(Decimal("0.0001"), rounding=ROUND_HALF_UP))
     return out
 
 
-HIGHLIGHT = T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()),
-                                      T.StructField("token", T.StringType()),
-                                      T.StructField("score", T.DoubleType())]))
-_Q4 = Decimal("0.0001")
-
-
-def _round4(x: float) -> float:
-    # Spark's round(): HALF_UP on the shortest decimal form of the double.
-    return float(Decimal(repr(float(x))).quantize(_Q4, rounding=ROUND_HALF_UP))
-
-
-def _top_tokens(toks, scores, top: int):
-    if toks is None or scores is None:
-        return None
-    out_pos, out_tok, out_sc = [], [], []
-    for i, (w, s) in enumerate(zip(toks, scores)):
-        if w in SPECIAL_TOKENS:
-            continue
-        c = w
-        for m in SUBWORD_MARKS:
-            c = c.replace(m, "")
-        if c:
-            out_pos.append(i)
-            out_tok.append(c)
-            out_sc.append(s)
-    if not out_pos:
-        return []
-    sc = np.asarray(out_sc, dtype=np.float64)
-    mn, mx = sc.min(), sc.max()
-    rng = mx - mn if mx != mn else 1.0
-    scaled = [_round4(v) for v in (sc - mn) / rng]
-    order = sorted(range(len(scaled)), key=lambda k: (-scaled[k], out_pos[k]))[:top]
-    return [{"pos": out_pos[k], "token": out_tok[k], "score": scaled[k]} for k in order]
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Start in the flat values and length of each list (null: 0)."""
+    start = lists.offsets.to_numpy()[:-1].astype(np.int64)
+    return start, pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def top_tokens(tokens: pa.ListArray, scores: pa.ListArray, top: int) -> pa.ListArray:
+    """Highlights of a batch of documents, on the flattened lists: segments are reduced by their
+    bounds and ranked by one sort of (document, rounded score, position)."""
+    t0, tn = _flat(tokens)
+    s0, sn = _flat(scores)
+    n = np.minimum(tn, sn)
+    doc = np.repeat(np.arange(len(n)), n)
+    pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    word = tokens.values.take(pa.array(t0[doc] + pos))
+    score = scores.values.take(pa.array(s0[doc] + pos))
+    clean = word
+    for mark in SUBWORD_MARKS:
+        clean = pc.replace_substring(clean, mark, "")
+    keep = pc.and_(pc.and_(pc.is_valid(word), pc.is_valid(score)),
+                   pc.and_(pc.invert(pc.is_in(word, pa.array(SPECIAL_TOKENS, word.type))), pc.not_equal(clean, "")))
+    at = np.nonzero(pc.fill_null(keep, False).to_numpy(zero_copy_only=False))[0]
+    doc, pos, value = doc[at], pos[at], score.to_numpy(zero_copy_only=False)[at].astype(np.float64)
+    count = np.bincount(doc, minlength=len(n))
+    begin = np.cumsum(count) - count
+    some = begin[count > 0]
+    low, high = np.zeros(len(n)), np.zeros(len(n))
+    if len(some):
+        low[count > 0], high[count > 0] = np.minimum.reduceat(value, some), np.maximum.reduceat(value, some)
+    width = np.where(high != low, high - low, 1.0)
+    scaled = _round4((value - low[doc]) / width[doc])
+    order = np.argsort(doc * 20_002 + np.rint(10_000 - scaled * 1e4).astype(np.int64), kind="stable")  # ties stay by position
+    rank = np.arange(len(order)) - begin[doc[order]]
+    order = order[rank < top]
+    items = pa.StructArray.from_arrays([pa.array(pos[order].astype(np.int32)), clean.take(pa.array(at[order])).cast(pa.string()), pa.array(scaled[order])],
+                                       ["pos", "token", "score"])
+    null = pc.or_(pc.is_null(tokens), pc.is_null(scores))
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.minimum(count, top))].astype(np.int32)), items, mask=null)
 
 
 def highlights(df: DataFrame, tokens: str, scores: str, top: int = 15, out: str = "highlights") -> DataFrame:
-    """D12 per document row, as an Arrow pandas UDF over the row's token and
-    score arrays (NumPy scaling, one sort per document): no shuffle, and a
-    document never leaves its task. Same semantics as ``highlights_hof``."""
-    @F.pandas_udf(HIGHLIGHT)
-    def _udf(t: pd.Series, s: pd.Series) -> pd.Series:
-        return pd.Series([_top_tokens(a, b, top) for a, b in zip(t, s)])
-    return df.withColumn(out, _udf(F.col(tokens), F.col(scores)))
-
-
-def highlights_hof(df: DataFrame, tokens: str, scores: str, top: int = 15, out: str = "highlights") -> DataFrame:
-    """Drop special tokens, strip sub-word marks (drop emptied tokens),
-    min-max scale per document (range 0 -> divide by 1), round 4, sort by
-    score descending (stable by position), keep the first ``top``.
-
-    Tokens and scores are zipped first: a column referenced inside a lambda
-    would otherwise be re-evaluated per element once Catalyst inlines it."""
-    zipped = F.arrays_zip(F.col(tokens).alias("w"), F.col(scores).alias("s"))
-    items = F.transform(zipped, lambda z, i: F.struct(
-        i.alias("pos"), z["w"].alias("raw"), _clean(z["w"]).alias("token"), z["s"].alias("score")))
-    kept = F.filter(items, lambda x: ~x["raw"].isin(*SPECIAL_TOKENS) & (x["token"] != ""))
-    d = df.withColumn("__hl", kept)
-    d = d.withColumns({"__mn": F.array_min(F.transform("__hl", lambda x: x["score"])),
-                       "__mx": F.array_max(F.transform("__hl", lambda x: x["score"]))})
-    rng = F.when(F.col("__mx") != F.col("__mn"), F.col("__mx") - F.col("__mn")).otherwise(F.lit(1.0))
-    # Per-document min and range reach the lambda through a zipped repeat:
-    # a lambda must not reference an outer column Catalyst could inline
-    # (it would then be recomputed for every element).
-    params = F.array_repeat(F.struct(F.col("__mn").alias("mn"), rng.alias("rng")), F.size("__hl"))
-    zipped = F.arrays_zip(F.col("__hl").alias("x"), params.alias("p"))
-    # Sort key struct (-score, pos) orders natively (no comparator lambda):
-    # score descending, ties by position.
-    keyed = F.transform(zipped, lambda z: F.struct(
-        (-F.round((z["x"]["score"] - z["p"]["mn"]) / z["p"]["rng"], 4)).alias("ns"),
-        z["x"]["pos"].alias("pos"), z["x"]["token"].alias("token")))
-    top_k = F.slice(F.sort_array(keyed), 1, top)
-    res = F.transform(top_k, lambda e: F.struct(e["pos"].alias("pos"), e["token"].alias("token"),
-                                                (F.lit(0.0) - e["ns"]).alias("score")))
-    return d.withColumn(out, res).drop("__hl", "__mn", "__mx")
-
-
-def highlights_long(df: DataFrame, doc: str = "doc_id", top: int = 15) -> DataFrame:
-    """Long-form D12 over (doc, pos, token, score) rows."""
-    t = df.withColumn("token_clean", _clean(F.col("token"))).filter(
-        ~F.col("token").isin(*SPECIAL_TOKENS) & (F.col("token_clean") != ""))
-    w = Window.partitionBy(doc)
-    mn, mx = F.min("score").over(w), F.max("score").over(w)
-    rng = F.when(mx != mn, mx - mn).otherwise(F.lit(1.0))
-    t = t.withColumn("scaled", F.round((F.col("score") - mn) / rng, 4))
-    r = F.row_number().over(Window.partitionBy(doc).orderBy(F.col("scaled").desc(), F.col("pos")))
-    return (t.withColumn("rank", r).filter(F.col("rank") <= top)
-            .select(doc, "rank", F.col("token_clean").alias("token"), F.col("scaled").alias("score")))
+    """D12 per document row, by Arrow kernels over the row's token and score arrays: no
+    shuffle, a document never leaves its task, and no token becomes a Python object. Drop
+    special tokens, strip sub-word marks (drop emptied tokens), min-max scale per document
+    (range 0 -> divide by 1), round to 4, sort by score descending (stable by position), keep the first
+    ``top``. Lists of unequal length are read to the end of the shorter; a null list
+    gives null, null tokens and scores are dropped."""
+    @F.arrow_udf(HIGHLIGHT)
+    def run(t: pa.Array, s: pa.Array) -> pa.Array:
+        return top_tokens(t, s, top)
+    return df.withColumn(out, run(F.col(tokens), F.col(scores)))
 
 
 PIECE_RE = r"[\p{L}\p{N}]+|[^\p{L}\p{N}" + X.WS[1:]

@@ -1,11 +1,10 @@
 """Word error rate over a table of transcript pairs.
 
-Word alignment is a dynamic program with no built-in, so it is the one
-Arrow ``pandas_udf`` here (K1): each task gets Arrow batches of pairs and
-runs the DP per pair with NumPy, one row of the DP matrix at a time
-(memory O(len(hypothesis)), so long transcripts do not blow up). The
-corpus report around it (manifest join, status bands, mean) is plain
-DataFrame work.
+Word alignment is a dynamic program with no built-in, so it is an
+Arrow ``pandas_udf`` (K1): each task gets Arrow batches of pairs and
+computes the table's rows with NumPy for many pairs at once, one row in memory (so long
+transcripts do not blow up). The corpus report around it (manifest join, status bands,
+mean) is plain DataFrame work.
 
 Among minimum-cost alignments the one with the most hits is taken; then
 S, D, I follow from hits, cost and the two lengths:
@@ -31,59 +30,89 @@ WER_SCHEMA = T.StructType([
 
 # Cost and hits share one integer key: cost * BIG - hits, minimised.
 _BIG = 1 << 32
-
-
-def align_counts(ref: list[str], hyp: list[str]) -> tuple[int, int]:
-    """(minimum edit cost, maximum hits among minimum-cost alignments)."""
-    n, m = len(ref), len(hyp)
-    if n == 0:
-        return m, 0
-    if m == 0:
-        return n, 0
-    vocab: dict[str, int] = {}
-    r = np.array([vocab.setdefault(w, len(vocab)) for w in ref], dtype=np.int64)
-    h = np.array([vocab.setdefault(w, len(vocab)) for w in hyp], dtype=np.int64)
-    j = np.arange(m + 1, dtype=np.int64)
-    prev = j * _BIG  # row 0: j insertions
-    for i in range(1, n + 1):
-        match = h == r[i - 1]
-        diag = prev[:-1] + np.where(match, -1, _BIG)    # hit (-1 key) or substitution
-        up = prev[1:] + _BIG                               # deletion
-        cand = np.empty(m + 1, dtype=np.int64)
-        cand[0] = i * _BIG
-        cand[1:] = np.minimum(diag, up)
-        # insertions chain left to right: cur[j] = min_k<=j cand[k] + (j-k)*BIG
-        cur = np.minimum.accumulate(cand - j * _BIG) + j * _BIG
-        prev = cur
-    key = int(prev[m])
-    cost = (key + _BIG - 1) // _BIG if key > 0 else 0
-    hits = cost * _BIG - key
+CELLS = 400_000  # cells of one row of the table, over all pairs aligned together
+
+
+def _groups(pairs: list[tuple[list, list]]):
+    """Positions of pairs to align together: of similar lengths, within ``CELLS`` cells."""
+    order = sorted(range(len(pairs)), key=lambda i: (len(pairs[i][1]), len(pairs[i][0])))
+    now: list[int] = []
+    for i in order:
+        if now and (len(now) + 1) * (len(pairs[i][1]) + 1) > CELLS:
+            yield now
+            now = []
+        now.append(i)
+    if now:
+        yield now
+
+
+def align_counts(pairs: list[tuple[list[str], list[str]]]) -> tuple[np.ndarray, np.ndarray]:
+    """(minimum edit cost, maximum hits among minimum-cost alignments) of (reference,
+    hypothesis) word lists. A row of the table is computed for many pairs at once: shorter hypotheses are
+    padded at their end, which leaves the cells before it as they are, and a pair
+    leaves with the last word of its reference."""
+    cost, hits = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
+    for some in _groups(pairs):
+        some.sort(key=lambda i: -len(pairs[i][0]))
+        vocab: dict[str, int] = {}
+        n = np.array([len(pairs[i][0]) for i in some])
+        m = np.array([len(pairs[i][1]) for i in some])
+        ref, hyp = np.full((len(some), n.max(initial=0)), -2), np.full((len(some), m.max(initial=0)), -1)
+        for k, i in enumerate(some):
+            for grid, words in ((ref, pairs[i][0]), (hyp, pairs[i][1])):
+                grid[k, :len(words)] = [vocab.setdefault(w, len(vocab)) for w in words]
+        steps = np.arange(hyp.shape[1] + 1, dtype=np.int64) * _BIG  # j insertions
+        prev = np.tile(steps, (len(some), 1))
+        key = np.zeros(len(some), np.int64)
+        active = len(some)
+        for i in range(n.max(initial=0) + 1):
+            if i:
+                row = prev[:active]
+                cand = np.empty_like(row)
+                cand[:, 0] = i * _BIG
+                # hit (-1 in the key) or substitution, or deletion
+                np.minimum(row[:, :-1] + np.where(hyp[:active] == ref[:active, i - 1:i], -1, _BIG), row[:, 1:] + _BIG, out=cand[:, 1:])
+                cand -= steps  # insertions chain left to right: min over k <= j of cand[k] + (j - k) * BIG
+                np.minimum.accumulate(cand, axis=1, out=cand)
+                cand += steps
+                prev = cand
+            left = int(np.searchsorted(-n, -i))  # references with more than i words
+            done = slice(left, active)
+            key[done] = prev[done][np.arange(active - left), m[done]]
+            active = left
+            if not active:
+                break
+        c = np.where(key > 0, (key + _BIG - 1) // _BIG, 0)
+        cost[some], hits[some] = c, c * _BIG - key
     return cost, hits
 
 
-def wer_row(reference: str | None, hypothesis: str | None) -> dict:
-    if reference is None or hypothesis is None:
-        return dict(error="missing text")
-    ref, hyp = reference.split(), hypothesis.split()
-    if not ref:
-        return dict(error="empty reference", ref_words=0, hyp_words=len(hyp))
-    cost, hits = align_counts(ref, hyp)
-    n, p = len(ref), len(hyp)
-    s = (n - hits) + (p - hits) - cost
-    d = n - hits - s
-    ins = p - hits - s
-    wer = (s + d + ins) / (hits + s + d)
-    mer = (s + d + ins) / (hits + s + d + ins) if (hits + s + d + ins) else 0.0
-    wip = (hits / n) * (hits / p) if n and p else 0.0
-    return dict(wer=round(wer, 4), mer=round(mer, 4), wil=round(1 - wip, 4), wip=round(wip, 4),
-                hits=hits, substitutions=s, deletions=d, insertions=ins, ref_words=n, hyp_words=p, error=None)
+def _rows(reference, hypothesis) -> pd.DataFrame:
+    texts = [(r, h) for r, h in zip(reference, hypothesis)]
+    missing = np.array([r is None or h is None for r, h in texts], bool)
+    pairs = [([], []) if gone else (r.split(), h.split()) for gone, (r, h) in zip(missing, texts)]
+    n, p = np.array([len(r) for r, _ in pairs], np.int64), np.array([len(h) for _, h in pairs], np.int64)
+    ok = ~missing & (n > 0)
+    cost, hits = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
+    at = np.nonzero(ok)[0]
+    cost[at], hits[at] = align_counts([pairs[i] for i in at])
+    s = n + p - 2 * hits - cost
+    d, ins = n - hits - s, p - hits - s
+    with np.errstate(divide="ignore", invalid="ignore"):
+        wip = np.where(p > 0, (hits / n) * (hits / p), 0.0)
+        shares = {"wer": cost / n, "mer": np.where(hits + cost > 0, cost / (hits + cost), 0.0), "wil": 1 - wip, "wip": wip}
+    out = pd.DataFrame({k: [round(x, 4) if o else None for x, o in zip(v.tolist(), ok)] for k, v in shares.items()}, dtype=float)
+    for k, v in {"hits": hits, "substitutions": s, "deletions": d, "insertions": ins}.items():
+        out[k] = pd.Series(v).where(ok).astype("Int32")
+    out["ref_words"], out["hyp_words"] = (pd.Series(v).where(~missing).astype("Int32") for v in (n, p))
+    out["error"] = np.where(missing, "missing text", np.where(ok, None, "empty reference"))
+    return out
 
 
 @F.pandas_udf(WER_SCHEMA)
 def word_error(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
     """K1: Arrow-batched WER per pair."""
-    rows = [wer_row(r, h) for r, h in zip(reference, hypothesis)]
-    return pd.DataFrame(rows, columns=[f.name for f in WER_SCHEMA.fields])
+    return _rows(reference, hypothesis)
 
 
 def with_wer(df: DataFrame, ref: str = "reference", hyp: str = "hypothesis", out: str = "w") -> DataFrame:

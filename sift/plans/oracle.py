@@ -743,6 +743,44 @@ SELECT lang, n_docs, round(avg_words, 4) AS avg_words, round(avg_pieces, 4) AS a
 FROM g"""
 
 
+def _wer_cte() -> str:
+    """Alignment tables by anti-diagonals, whose cells depend on the two diagonals before only. A
+    cell holds cost * 2**32 - hits of its best alignment; ``a`` has a row per pair."""
+    inf, one = 1 << 60, 1 << 32
+    cell = (f"CASE WHEN d + 1 - i < 0 OR d + 1 - i > len(h) THEN {inf} WHEN i = 0 THEN (d + 1) * {one} WHEN d + 1 - i = 0 THEN i * {one} "
+            f"ELSE least(p2[i] + CASE WHEN r[i] = h[d + 1 - i] THEN -1 ELSE {one} END, p1[i] + {one}, p1[i + 1] + {one}) END")
+    return f"""
+WITH RECURSIVE w AS (SELECT CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) AS name, {Q.words('text')} AS r FROM conversations),
+q AS (SELECT name, r, list_filter(list_transform(r, lambda x, i: CASE WHEN (i - 1) % 5 = 3 THEN x || 'x' ELSE x END), lambda x, i: (i - 1) % 7 <> 6) AS h FROM w),
+dp(name, d, p1, p2) AS (
+  SELECT name, 0, list_transform(range(0, len(r) + 1), lambda i: CASE WHEN i = 0 THEN 0 ELSE {inf} END), list_transform(range(0, len(r) + 1), lambda i: {inf})
+  FROM q WHERE len(r) > 0
+  UNION ALL
+  SELECT dp.name, d + 1, list_transform(range(0, len(r) + 1), lambda i: {cell}), p1 FROM dp JOIN q ON q.name = dp.name WHERE d < len(r) + len(h)),
+k AS (SELECT q.name, len(r) AS n, len(h) AS p, p1[len(r) + 1] AS key FROM dp JOIN q ON q.name = dp.name WHERE d = len(r) + len(h)),
+c AS (SELECT name, n, p, key, CASE WHEN key > 0 THEN (key + {one} - 1) // {one} ELSE 0 END AS cost FROM k),
+x AS (SELECT *, cost * {one} - key AS hits, n + p - 2 * (cost * {one} - key) - cost AS s FROM c),
+a AS (SELECT q.name, {', '.join(f"CAST(printf('%.4f', {v}) AS DOUBLE) AS {k}" for k, v in (
+        ('wer', 'cost / n'), ('mer', 'CASE WHEN hits + cost > 0 THEN cost / (hits + cost) ELSE 0.0 END'), ('wil', '1 - (CASE WHEN p > 0 THEN (hits / n) * (hits / p) ELSE 0.0 END)'),
+        ('wip', 'CASE WHEN p > 0 THEN (hits / n) * (hits / p) ELSE 0.0 END')))},
+    CAST(hits AS INTEGER) AS hits, CAST(s AS INTEGER) AS substitutions, CAST(n - hits - s AS INTEGER) AS deletions, CAST(p - hits - s AS INTEGER) AS insertions,
+    CAST(len(r) AS INTEGER) AS ref_words, CAST(len(h) AS INTEGER) AS hyp_words, CASE WHEN r IS NULL THEN 'missing text' WHEN len(r) = 0 THEN 'empty reference' END AS error
+  FROM q LEFT JOIN x ON x.name = q.name)"""
+
+
+@oracle("wer_pairs")
+def _():
+    return _wer_cte() + " SELECT * FROM a"
+
+
+@oracle("wer_corpus")
+def _():
+    return _wer_cte() + """,
+m AS (SELECT round(avg(wer) FILTER (WHERE error IS NULL), 4) AS mean_wer, COUNT(*) FILTER (WHERE error IS NULL) AS n_ok,
+  COUNT(*) FILTER (WHERE error IS NOT NULL) AS n_failed FROM a)
+SELECT *, CASE WHEN mean_wer < 0.15 THEN 'good' WHEN mean_wer < 0.30 THEN 'acceptable' ELSE 'retrain' END AS status FROM m"""
+
+
 @oracle("transcript_triage")
 def _():
     gate = f"""

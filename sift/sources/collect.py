@@ -54,7 +54,7 @@ def forum_listing(spark: SparkSession, path: str, base_url: str, listing_url: st
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     """Landed feed files, one payload a file: ``path, payload``."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("payload"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("payload"))
 
 
 def feed_items(payloads: DataFrame, payload_col: str = "payload") -> DataFrame:

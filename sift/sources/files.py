@@ -64,5 +64,5 @@ def media_inventory(spark: SparkSession, root: str, extensions=("wav", "mp3", "m
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """A manifest JSON object ``{file: reference}`` -> (name, reference)."""
-    txt = spark.read.option("wholetext", True).text(path)
+    txt = spark.read.text(path, wholetext=True)
     return txt.select(F.explode(F.from_json("value", "map<string,string>")).alias("name", "reference"))

@@ -27,10 +27,18 @@ def test_dedup_partial_aggregation(spark):
     assert "partial_min" in p and "Window" not in p
 
 
-def test_split_uses_broadcast_cutoffs(spark):
-    df = spark.createDataFrame([(f"k{i}", "A" if i % 4 else "B") for i in range(200)], "text_id string, label string")
-    p = _plan(SM.stratified_split(df, "label", "text_id"))
-    assert "BroadcastHashJoin" in p
+def test_split_reads_its_input_once_and_leaves_no_cache(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            calls.add(b.num_rows)
+            yield b
+    df = spark.createDataFrame([(f"k{i}", "A" if i % 4 else "B") for i in range(200)], "text_id string, label string").mapInArrow(
+        seen, "text_id string, label string")
+    split = SM.stratified_split(df, "label", "text_id")
+    assert split.filter("split = 'test'").count() == 40 and calls.value == 200
+    assert "InMemoryTableScan" not in _plan(split) and "Cartesian" not in _plan(split) and "NestedLoop" not in _plan(split)
 
 
 def test_scan_prunes_columns(spark):

@@ -26,3 +26,49 @@ def test_highlights_all_equal_and_specials(spark):
                                "id int, toks array<string>, scores array<double>")
     h = TK.highlights(df, "toks", "scores").collect()[0]["highlights"]
     assert [e["token"] for e in h] == ["ab", "cd"] and [e["score"] for e in h] == [0.0, 0.0]
+
+
+def _table(ref, hyp):
+    """(cost, -hits), least first, by the whole table."""
+    t = [[(j, 0) for j in range(len(hyp) + 1)]]
+    for i, r in enumerate(ref, 1):
+        row = [(i, 0)]
+        for j, h in enumerate(hyp, 1):
+            hit = (t[i - 1][j - 1][0], t[i - 1][j - 1][1] - 1) if r == h else (t[i - 1][j - 1][0] + 1, t[i - 1][j - 1][1])
+            row.append(min(hit, (t[i - 1][j][0] + 1, t[i - 1][j][1]), (row[-1][0] + 1, row[-1][1])))
+        t.append(row)
+    return t[-1][-1][0], -t[-1][-1][1]
+
+
+def test_alignments_equal_the_whole_table(monkeypatch):
+    import random
+    rnd = random.Random(2)
+    pairs = [([rnd.choice("abcd") for _ in range(rnd.randint(0, 12))], [rnd.choice("abcd") for _ in range(rnd.randint(0, 12))]) for _ in range(600)]
+    for cells in (W.CELLS, 40):  # all together, and few at a time
+        monkeypatch.setattr(W, "CELLS", cells)
+        cost, hits = W.align_counts(pairs)
+        assert list(zip(cost.tolist(), hits.tolist())) == [_table(*p) for p in pairs]
+    assert W.align_counts([])[0].size == 0
+
+
+def test_highlights_equal_a_plain_loop(spark):
+    import random
+    from decimal import ROUND_HALF_UP, Decimal
+    rnd = random.Random(9)
+    rows = [(i, [rnd.choice(["[CLS]", "##ab", "▁", "x", "▁y##", None, "é"]) for _ in range(rnd.randint(0, 30))],
+             [rnd.choice([None, rnd.random(), rnd.randint(0, 3) / 8, 1 / 32]) for _ in range(rnd.randint(0, 30))]) for i in range(200)]
+    rows += [(300, None, [1.0]), (301, ["a"], None), (302, [], []), (303, ["a", "b"], [5.0, 5.0])]
+
+    def plain(toks, scores):
+        if toks is None or scores is None:
+            return None
+        kept = [(i, t.replace("##", "").replace("▁", ""), s) for i, (t, s) in enumerate(zip(toks, scores))
+                if t is not None and s is not None and t not in TK.SPECIAL_TOKENS and t.replace("##", "").replace("▁", "")]
+        if not kept:
+            return []
+        low, high = min(k[2] for k in kept), max(k[2] for k in kept)
+        q = lambda s: float(Decimal(repr((s - low) / ((high - low) or 1.0))).quantize(Decimal("0.0001"), rounding=ROUND_HALF_UP))
+        return [(i, t, s) for s, i, t in sorted(((q(s), i, t) for i, t, s in kept), key=lambda x: (-x[0], x[1]))[:15]]
+    df = spark.createDataFrame(rows, "id int, toks array<string>, scores array<double>").repartition(3)
+    got = {r["id"]: r["highlights"] for r in TK.highlights(df, "toks", "scores").collect()}
+    assert {k: None if v is None else [tuple(e) for e in v] for k, v in got.items()} == {i: plain(t, s) for i, t, s in rows}
