@@ -2,36 +2,30 @@
 
 * ``materialize`` cuts lineage with a Parquet table in the folder that the
   cluster names in ``spark.checkpoint.dir`` (shared by driver and executors,
-  so it survives lost executors). A scratch folder is used only where that
-  setting is absent (tests, local runs).
+  so it survives lost executors). A scratch folder is used only in local sessions
+  without that setting (tests); elsewhere its absence is an error.
 * ``order_buckets`` splits an ordered key into even ranges, from which global
   running sums and neighbours are built without one task seeing all rows.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from dataclasses import dataclass
 
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sift import session
+
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 MIN_LONG = -(2**63)
 
-_local: dict[str, str] = {}
-
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder name under the shared checkpoint folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        app = spark.sparkContext.applicationId
-        base = _local.get(app) or _local.setdefault(app, tempfile.mkdtemp(prefix="sift-llm-"))
-    return f"{base.rstrip('/')}/sift-llm/{name}-{uuid.uuid4().hex}"
+    return session.scratch_path(spark, f"sift-llm/{name}")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -92,7 +86,7 @@ class WordHashes(dict):
     """64-bit hashes of words (str or bytes); forgets all beyond a bound."""
 
     def __missing__(self, w):
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[w] = xxhash.xxh3_64_intdigest(w)
         return h

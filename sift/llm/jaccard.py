@@ -11,10 +11,19 @@ the components that these links form.
    bitmap signatures allow it: a bit of one set that the other lacks is an
    element it lacks, so bit counts bound the overlap from above. What passes
    is decided by exact intersection of the sorted arrays.
-4. Groups that these links join to one component are done (a large group of
-   near copies is, without all of its pairs). The others are cut into tiles by
-   size; pairs of tiles whose size bands can match are compared by bitmaps,
-   across components only, and what passes is intersected exactly.
+4. Groups that these links join to one component are done. In the others, cut into
+   tiles by size, each node outside the group's largest component is paired with the node of
+   another component to which its signature (2,048 bits) bounds the greatest similarity; the best
+   of these pairs over all keys is intersected exactly, one a node. This is done ``ROUNDS`` times at most, so
+   a large group of near copies is joined without all of its pairs.
+5. Nodes that groups with several components still connect form clusters, which are
+   compared whole: every pair of size-banded tiles is one group of rows, in which signatures bound
+   the overlap of every pair across components and what passes is intersected exactly,
+   unless a link found before has joined it. Only links leave the task, fewer than its rows.
+6. Clusters of more than ``CLUSTER`` tiles are compared key by key instead: pairs of tiles
+   by bitmaps, across components only, then exact intersection.
+
+Texts are read once; sorted hashes are kept, one row a set and task.
 
 No link between different sets is lost: each pair of similarity t or more
 shares a key, and is either verified or already in one component. Components
@@ -39,7 +48,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sift.llm.common import MIN_LONG, materialize, order_key, partitions, word_hash
@@ -50,7 +59,12 @@ TILE = 1024
 HOT_SHARE, HOT_LEAST = 1 << 20, 64
 SALT_ROWS = 20_000
 SUMMARY = 16_384  # most frequent shingles that a task reports
-STEP_CHARS = 4_000_000
+STEP_CHARS = 2_000_000
+SEEN = 200_000  # sets that a task remembers to have written
+SIG_BITS = 2048
+ROUNDS = 3
+TILE_BYTES = 4 << 20  # of whole sets in a tile, which has TILE rows at most
+CLUSTER = 64  # tiles of whole sets that a cluster may have
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -78,9 +92,9 @@ def set_name(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes(), len(s)) - 2**63
 
 
-def bitmap(s: np.ndarray) -> bytes:
-    """Two bits or more an element, by the low bits of its hash."""
-    bits = 1 << max(6, (2 * len(s) - 1).bit_length())
+def bitmap(s: np.ndarray, bits: int = 0) -> bytes:
+    """``bits`` (else two or more an element), set by the low bits of the elements' hashes."""
+    bits = bits or 1 << max(6, (2 * len(s) - 1).bit_length())
     out = np.zeros(bits, np.uint8)
     out[(s & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(out, bitorder="little").tobytes()
@@ -152,68 +166,85 @@ class _Frequent:
         return self.keys[at].view(np.int64), self.counts[at]
 
 
+SURVEY = "k long, h long, n int, node long, bits binary, sig binary, hashes binary, shingle long, count long"
+
+
 def _survey(batches):
-    """Pass 1: (k, h, n, node, bits) of each text; at a task's end (shingle, count) of frequent ones."""
-    often = _Frequent()
+    """The only pass over texts: (k, h, n, node, bits, sig) of each, with the sorted hashes of sets
+    that are new to the task; at a task's end (shingle, count) of frequent ones."""
+    often, seen = _Frequent(), set()
+    names = [f.split()[0] for f in SURVEY.split(", ")]
     for b in batches:
-        ks, hs, texts = b.column(0), b.column(1), b.column(2).to_pylist()
+        ks, hs, texts = b.column(0), b.column(1), b.column(2)
+        texts = [t.as_py() for t in texts]
         for lo, hi in _in_steps(texts):
-            n, node, bits = [], [], []
+            n, node, bits, sig, hashes = [], [], [], [], []
             for t in texts[lo:hi]:
                 s = shingles(t)
                 often.add(s)
                 n.append(len(s))
-                node.append(set_name(s) if len(s) else None)
-                bits.append(bitmap(s) if len(s) else None)
+                name = set_name(s) if len(s) else None
+                new = name is not None and name not in seen
+                if new:
+                    if len(seen) > SEEN:
+                        seen.clear()
+                    seen.add(name)
+                node.append(name)
+                bits.append(bitmap(s) if new else None)
+                sig.append(bitmap(s, SIG_BITS) if new else None)
+                hashes.append(s.tobytes() if new else None)
             size = hi - lo
             yield pa.RecordBatch.from_arrays(
                 [ks.slice(lo, size), hs.slice(lo, size), pa.array(n, pa.int32()), pa.array(node, pa.int64()), pa.array(bits, pa.binary()),
-                 pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64())], ["k", "h", "n", "node", "bits", "shingle", "count"])
+                 pa.array(sig, pa.binary()), pa.array(hashes, pa.binary()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64())], names)
+    word_hash.clear()  # the worker goes on to other tasks
     keys, counts = often.top()
     size = len(keys)
-    yield pa.RecordBatch.from_arrays(
-        [pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.binary()),
-         pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], ["k", "h", "n", "node", "bits", "shingle", "count"])
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    yield pa.RecordBatch.from_arrays([*(pa.nulls(size, t) for t in kinds), pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], names)
 
 
 def _keys(hot):
-    """Pass 2: (key, salt, node, size) of each text's first shingles; salt is 0
-    for keys that are not spread, else 1 or more."""
+    """(key, salt, node, size) of each set's first shingles; salt is 0 for keys that are
+    not spread, else 1 or more."""
     def run(batches):
         hot_keys, hot_counts = hot.value
-        seen: set[int] = set()  # sets already reported by this task
         for b in batches:
-            texts = b.column(0).to_pylist()
-            for lo, hi in _in_steps(texts):
-                out = []
-                for t in texts[lo:hi]:
-                    s = shingles(t)
-                    if not len(s):
-                        continue
-                    node = set_name(s)
-                    if node in seen:
-                        continue
-                    if len(seen) > 2_000_000:
-                        seen.clear()
-                    seen.add(node)
-                    n = len(s)
-                    p = n - -(-NUM * n // DEN) + 1
-                    count = np.zeros(n, np.int64)
-                    if len(hot_keys):
-                        at = np.minimum(np.searchsorted(hot_keys, s), len(hot_keys) - 1)
-                        count = np.where(hot_keys[at] == s, hot_counts[at], 0)
-                    first = np.argsort(count, kind="stable")[:p] if count.any() else np.arange(p)
-                    salts = -(-count[first] // SALT_ROWS)
-                    out.append((s[first].view(np.int64), np.where(salts > 1, 1 + np.abs(node) % np.maximum(salts, 1), 0), node, n))
-                if out:
-                    sizes = [len(x[0]) for x in out]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate([x[0] for x in out])), pa.array(np.concatenate([x[1] for x in out]).astype(np.int32)),
-                         pa.array(np.repeat(np.array([x[2] for x in out], np.int64), sizes)),
-                         pa.array(np.repeat(np.array([x[3] for x in out], np.int32), sizes))], ["key", "salt", "node", "size"])
+            out = []
+            for node, held in zip(b.column(0).to_pylist(), b.column(1)):
+                s = np.frombuffer(held.as_py(), np.uint64)
+                n = len(s)
+                p = n - -(-NUM * n // DEN) + 1
+                first, count = s[:p], None
+                if len(hot_keys):
+                    at = np.searchsorted(hot_keys, s)
+                    at[at == len(hot_keys)] = 0
+                    often = hot_keys[at] == s
+                    if often.any():
+                        count = np.where(often, hot_counts[at], 0)
+                        order = np.argsort(count, kind="stable")[:p]
+                        first, count = s[order], count[order]
+                salts = np.zeros(p, np.int32)
+                if count is not None:
+                    spread = -(-count // SALT_ROWS)
+                    salts = np.where(spread > 1, 1 + np.abs(node) % np.maximum(spread, 1), 0).astype(np.int32)
+                out.append((first, salts, node, n))
+                if len(out) == 2000:
+                    yield _key_rows(out)
+                    out = []
+            if out:
+                yield _key_rows(out)
     return run
 
 
+def _key_rows(out):
+    sizes = [len(x[0]) for x in out]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.concatenate([x[0] for x in out]).view(np.int64)), pa.array(np.concatenate([x[1] for x in out])),
+         pa.array(np.repeat(np.array([x[2] for x in out], np.int64), sizes)),
+         pa.array(np.repeat(np.array([x[3] for x in out], np.int32), sizes))], ["key", "salt", "node", "size"])
+
+
 MEMBERS = "key long, salt int, tile int, node long, size int, hub long, hub_size int, prev long, prev_size int"
 
 
@@ -316,6 +347,118 @@ def _tiles(batches):
         yield from flush(rows)
 
 
+def best_partners(label: np.ndarray, size: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the rows outside a group's largest component: (row, partner, bound) of the
+    row of another component that the signatures allow the greatest similarity to."""
+    names, inverse, n = np.unique(label, return_inverse=True, return_counts=True)
+    rows = np.nonzero(inverse != n.argmax())[0]
+    partner, best = np.full(len(rows), -1), np.zeros(len(rows))
+    step = max(1, 8_000_000 // max(1, sig.size))
+    for lo in range(0, len(rows), step):
+        some = rows[lo:lo + step]
+        a, b = sig[some][:, None, :], sig[None, :, :]
+        na, nb = size[some][:, None], size[None, :]
+        both = np.minimum(na - np.bitwise_count(a & ~b).sum(-1, dtype=np.int64), nb - np.bitwise_count(b & ~a).sum(-1, dtype=np.int64))
+        bound = np.where(label[some][:, None] == label[None, :], 0.0, both / np.maximum(na + nb - both, 1))
+        at = bound.argmax(1)
+        partner[lo:lo + step], best[lo:lo + step] = at, bound[np.arange(len(some)), at]
+    ok = best * DEN >= NUM
+    return rows[ok], partner[ok], best[ok]
+
+
+def _partners(batches):
+    """Rows sorted by key, salt and tile -> (node, other, bound), one at most for a row."""
+    held = None
+
+    def found(cols):
+        key, salt, tile, node, size, label, sig = cols
+        new = np.nonzero(np.r_[True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]) | (tile[1:] != tile[:-1])])[0]
+        out = []
+        for lo, hi in zip(new.tolist(), [*new[1:].tolist(), len(key)]):
+            if hi - lo > 1 and (label[lo:hi] != label[lo]).any():
+                row, other, bound = best_partners(label[lo:hi], size[lo:hi], sig[lo:hi])
+                out.append((node[lo + row], node[lo + other], bound))
+        cols = [np.concatenate(c) for c in zip(*out)] if out else [key[:0], key[:0], np.empty(0)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["node", "other", "bound"])
+
+    for b in batches:
+        for lo in range(0, b.num_rows, 20_000):
+            part = b.slice(lo, 20_000)
+            cols = [part.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+            cols.append(np.frombuffer(b"".join(part.column(6).to_pylist()), np.uint64).reshape(part.num_rows, -1))
+            if held is not None:
+                cols = [np.concatenate(c) for c in zip(held, cols)]
+            last = np.nonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]) | (cols[2] != cols[2][-1]))[0]
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if cut:
+                yield found([c[:cut] for c in cols])
+            held = [c[cut:] for c in cols]  # TILE rows at most
+    if held is not None and len(held[0]):
+        yield found(held)
+
+
+def joined_links(node, label, size, sig, hashes, left: np.ndarray, right: np.ndarray) -> tuple[list[int], list[int]]:
+    """Verified links between rows ``left`` and ``right`` (positions; equal: within), those
+    with the greatest bounds first, of which none joins what labels or earlier links have joined."""
+    root: dict[int, int] = {}
+
+    def find(x):
+        while root.get(x, x) != x:
+            root[x] = x = root.get(root[x], root[x])
+        return x
+
+    a, b = [], []
+    sets: dict[int, np.ndarray] = {}
+    get = lambda i: sets.setdefault(i, np.frombuffer(hashes[i], np.uint64))
+    step = max(1, 4_000_000 // max(1, len(right) * sig.shape[1]))
+    for lo in range(0, len(left), step):
+        some = left[lo:lo + step]
+        x, y = sig[some][:, None, :], sig[right][None, :, :]
+        na, nb = size[some][:, None], size[right][None, :]
+        both = np.minimum(na - np.bitwise_count(x & ~y).sum(-1, dtype=np.int64), nb - np.bitwise_count(y & ~x).sum(-1, dtype=np.int64))
+        ok = ((NUM + DEN) * both >= NUM * (na + nb)) & (label[some][:, None] != label[right][None, :])
+        if left is right:
+            ok &= some[:, None] < right[None, :]
+        i, j = np.nonzero(ok)
+        order = np.argsort(-(both[i, j] / (na + nb - both)[i, j]), kind="stable")
+        for p, q in zip(some[i[order]].tolist(), right[j[order]].tolist()):
+            u, v = find(int(label[p])), find(int(label[q]))
+            if u != v and matches(get(p), get(q)):
+                root[max(u, v)] = min(u, v)
+                a.append(int(node[p]))
+                b.append(int(node[q]))
+    return a, b
+
+
+def _clusters(batches):
+    """Rows sorted by cluster, tile pair and side -> verified links (a, b), fewer than there are rows."""
+    def compare(rows):
+        side = np.array([r[3] for r in rows])
+        node, size, label = (np.array([r[k] for r in rows], np.int64) for k in (4, 5, 6))
+        sig = np.frombuffer(b"".join(r[7] for r in rows), np.uint64).reshape(len(rows), -1)
+        left = np.nonzero(side == 0)[0]
+        right = left if rows[0][1] == rows[0][2] else np.nonzero(side == 1)[0]
+        if not len(left) or not len(right) or DEN * size[left].max() < NUM * size[right].min():
+            return [], []
+        return joined_links(node, label, size, sig, [r[8] for r in rows], left, right)
+
+    rows, key, a, b = [], None, [], []
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 500):
+            for row in zip(*(c.slice(lo, 500).to_pylist() for c in batch.columns)):
+                if row[:3] != key:
+                    if len(rows) > 1:
+                        x, y = compare(rows)
+                        a, b = a + x, b + y
+                    rows, key = [], row[:3]
+                rows.append(row)  # two tiles at most
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        a, b = [], []
+    if len(rows) > 1:
+        a, b = compare(rows)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
 def text_hash(text_col: str) -> Column:
     """Tells rows of one id apart."""
     return F.xxhash64(F.col(text_col).cast("string"))
@@ -326,11 +469,13 @@ class _Join:
         self.spark = docs.sparkSession
         self.p = partitions(self.spark)
         self.texts = docs.select(order_key(id_col).alias("k"), F.col(text_col).cast("string").alias("text"))
-        survey = materialize(self.texts.select("k", text_hash("text").alias("h"), "text").mapInArrow(
-            _survey, "k long, h long, n int, node long, bits binary, shingle long, count long"), "survey")
+        survey = materialize(self.texts.select("k", text_hash("text").alias("h"), "text").mapInArrow(_survey, SURVEY), "survey")
         self.rows = survey.filter(F.col("k").isNotNull()).select("k", "h", "n", "node")
-        some = survey.filter(F.col("node").isNotNull())
-        self.nodes = materialize(some.groupBy("node").agg(F.min("k").alias("k"), F.first("n").alias("n"), F.first("bits").alias("bits")), "nodes")
+        # every node has a row with its hashes in some task, or in several
+        self.carriers = survey.filter(F.col("hashes").isNotNull()).withColumn("at", F.xxhash64("k", "h"))
+        one = self.carriers.groupBy("node").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("sig").alias("sig"))
+        least = self.rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("k").alias("k"))
+        self.nodes = materialize(one.join(least, "node"), "nodes")
         total = self.rows.agg(F.sum("n")).first()[0] or 0
         least = max(HOT_LEAST, math.ceil(total / HOT_SHARE))
         hot = (survey.filter(F.col("shingle").isNotNull()).groupBy("shingle").agg(F.sum("count").alias("count"))
@@ -340,7 +485,7 @@ class _Join:
         self.hot = self.spark.sparkContext.broadcast((keys[order], hot["count"].to_numpy(np.int64)[order]))
 
     def members(self) -> DataFrame:
-        keys = self.texts.select("text").mapInArrow(_keys(self.hot), "key long, salt int, node long, size int")
+        keys = self.carriers.select("node", "hashes").mapInArrow(_keys(self.hot), "key long, salt int, node long, size int")
         return materialize(keys.repartition(self.p, "key", "salt").sortWithinPartitions("key", "salt", "size", "node")
                            .mapInArrow(_members, MEMBERS), "members")
 
@@ -355,27 +500,13 @@ class _Join:
         if not bits_done:
             pairs = materialize(self.allowed(pairs), "allowed")
         wanted = pairs.select("a").union(pairs.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "node")
-        wanted = wanted.join(self.nodes.select("node", "k"), "node")
-
-        def sets(batches):
-            for b in batches:
-                node, text = b.column(0).to_pylist(), b.column(1).to_pylist()
-                for lo, hi in _in_steps(text):
-                    got = [(n, s.tobytes()) for n, s in ((n, shingles(t)) for n, t in zip(node[lo:hi], text[lo:hi])) if len(s) and set_name(s) == n]
-                    yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.binary())], ["node", "hashes"])
-
-        # rows of one id may hold the same set twice
-        found = materialize(self.texts.join(wanted, "k").select("node", "text").mapInArrow(sets, "node long, hashes binary"), "sets")
-        found = found.dropDuplicates(["node"]) if self.repeated_ids() else found
+        wanted = wanted.join(self.nodes.select("node", "at"), "node")
+        found = self.carriers.select("node", "at", "hashes").join(wanted, ["node", "at"]).select("node", "hashes")
+        found = materialize(found.distinct(), "sets")  # rows of one id and text
         side = lambda c, x: found.select(F.col("node").alias(c), F.col("hashes").alias(x))
         return materialize(pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").select("a", "b", "x", "y")
                            .mapInArrow(_exact_filter, "a long, b long"), "links")
 
-    def repeated_ids(self) -> bool:
-        if not hasattr(self, "_repeated"):
-            self._repeated = bool(self.rows.groupBy("k").count().filter("count > 1").limit(1).count())
-        return self._repeated
-
     def labels(self, links: DataFrame) -> DataFrame:
         """``node, label`` of every linked node: the smallest node it reaches."""
         edges = materialize(links.union(links.select("b", "a")).toDF("v", "u"), "edges")
@@ -391,11 +522,54 @@ class _Join:
             if not changed:
                 return now.withColumnRenamed("v", "node")
 
+    def named(self, members: DataFrame, labels: DataFrame) -> DataFrame:
+        return materialize(members.select("key", "salt", "tile", "node", "size").join(labels, "node", "left")
+                           .withColumn("label", F.coalesce("label", "node")), "named")
+
+    def partners(self, members: DataFrame, labels: DataFrame, done: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(members of keys with several components, pairs not decided yet): a pair at most for each node
+        outside the largest component of one of its groups, so as many as there are nodes."""
+        named = self.named(members, labels)
+        mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
+        rows = materialize(named.join(mixed, "key", "left_semi"), "mixed-members")
+        found = (rows.join(self.nodes.select("node", "sig"), "node").select("key", "salt", "tile", "node", "size", "label", "sig")
+                 .repartition(self.p, "key", "salt", "tile").sortWithinPartitions("key", "salt", "tile")
+                 .mapInArrow(_partners, "node long, other long, bound double"))
+        best = found.groupBy("node").agg(F.max_by("other", "bound").alias("other"))
+        pairs = best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+        return rows.drop("label"), materialize(pairs.join(done, ["a", "b"], "left_anti"), "partners")
+
+    def clusters(self, members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(links, members left). Nodes that keys with several components connect form a cluster; each
+        pair of its tiles is decided in one task, on whole sets, so that pairs never leave it and a node is
+        sent once per tile, not per key. Members of clusters of more than ``CLUSTER`` tiles are left."""
+        named = self.named(members, labels)
+        mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("node").alias("hub")).filter("lo <> hi")
+        rows = materialize(named.join(mixed.select("key", "hub"), "key"), "mixed-members")
+        edges = rows.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+        share = F.greatest(F.col("n") * 8 / TILE_BYTES, F.lit(1 / TILE))  # of a tile
+        cluster = (self.labels(edges).withColumnRenamed("label", "cluster").join(self.nodes.select("node", "n", "at", "sig"), "node")
+                   .withColumn("share", share))
+        sizes = cluster.groupBy("cluster").agg(F.sum("share").alias("m"))
+        cluster = materialize(cluster.join(sizes, "cluster").withColumnRenamed("n", "size"), "clusters")
+        some = cluster.filter(F.col("m") <= CLUSTER).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        before = Window.partitionBy("cluster").orderBy("size", "node").rowsBetween(Window.unboundedPreceding, -1)  # CLUSTER tiles at most
+        some = some.withColumn("t", F.floor(F.coalesce(F.sum("share").over(before), F.lit(0.0))).cast("int"))
+        some = some.withColumn("tiles", F.max("t").over(Window.partitionBy("cluster")) + 1)
+        pair = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(
+            F.least(F.col("t"), o).alias("lo"), F.greatest(F.col("t"), o).alias("hi"), (F.col("t") > o).cast("int").alias("side")))
+        wanted = self.carriers.select("node", "at", "hashes").join(some.select("node", "at"), ["node", "at"], "left_semi").distinct()  # rows of one id and text
+        some = some.join(wanted.select("node", "hashes"), "node")
+        found = (some.select("cluster", F.explode(pair).alias("p"), "node", "size", "label", "sig", "hashes")
+                 .select("cluster", "p.lo", "p.hi", "p.side", "node", "size", "label", "sig", "hashes")
+                 .repartition(self.p, "cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "side", "size", "node")
+                 .mapInArrow(_clusters, "a long, b long"))
+        large = cluster.filter(F.col("m") > CLUSTER).select("node")
+        return materialize(found, "cluster-links"), materialize(rows.drop("label", "hub").join(large, "node", "left_semi"), "large-members")
+
     def rest(self, members: DataFrame, labels: DataFrame, done: DataFrame) -> DataFrame:
         """Pairs across components of one key, by tiles, that the bitmaps allow and are not decided yet."""
-        named = (members.select("key", "salt", "tile", "node", "size").join(labels, "node", "left")
-                 .withColumn("label", F.coalesce("label", "node")))
-        named = materialize(named, "named")
+        named = self.named(members, labels)
         # a group with one component is done
         who = F.struct("node", "size")
         mixed = materialize(named.groupBy("key").agg(
@@ -431,6 +605,20 @@ class _Join:
         tried = materialize(pair(near, "other").distinct(), "pairs")
         links = self.verified(tried, False)
         labels = self.labels(links)
+        for _ in range(ROUNDS):
+            members, pairs = self.partners(members, labels, tried)
+            more = self.verified(pairs, True)
+            tried = tried.union(pairs)
+            if not more.limit(1).count():
+                break
+            links = links.union(more)
+            labels = self.labels(links)
+        more, members = self.clusters(members, labels)
+        if more.limit(1).count():
+            links = links.union(more)
+            labels = self.labels(links)
+        if not members.limit(1).count():
+            return links, labels
         rest = self.rest(members, labels, tried)
         if rest.limit(1).count():
             links = links.union(self.verified(rest, True))

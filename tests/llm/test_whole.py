@@ -1,5 +1,7 @@
 """Cases in which an operator once did less than the whole job."""
 
+import random
+
 from sift.llm import common, jaccard
 from test_llm import brute_components, prose
 
@@ -55,3 +57,69 @@ def test_training_sample_bounds_rows(spark):
     got = common.labelled_sample(spark.createDataFrame(rows, "doc_id long, text string"), labels, "toxic", 4000).collect()
     assert sorted(r["id"] for r in got) == sorted({i for i, _ in rows})
     assert all((r["id"], r["text"]) in rows and r["label"] == r["id"] % 2 for r in got)
+
+
+def _sets(rows):
+    out = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        out.append({b" ".join(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    return out
+
+
+def _classes(rows):
+    """Component of each row, by all pairs."""
+    sets, label = _sets(rows), list(range(len(rows)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+    for i, a in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            b = sets[j]
+            if a and b and 4 * min(len(a), len(b)) >= 3 * max(len(a), len(b)) and 100 * len(a & b) >= 75 * len(a | b):
+                x, y = root(i), root(j)
+                label[max(x, y)] = min(x, y)
+    return [root(i) for i in range(len(rows))]
+
+
+def _chained(rnd, n):
+    """Texts that are similar along chains, two shared passages, and copies."""
+    rows, base = [], [f"w{rnd.randint(0, 10**6)}" for _ in range(120)]
+    passage = [f"p{i}" for i in range(40)]
+    for i in range(n):
+        words = list(base)
+        for at in rnd.sample(range(120), rnd.choice([1, 2, 3, 4])):
+            words[at] = f"x{rnd.randint(0, 10**9)}"
+        rows.append((i, " ".join(words)))
+        if i % 3 == 0:
+            rows.append((1000 + i, " ".join(passage + [f"y{rnd.randint(0, 10**9)}" for _ in range(rnd.choice([6, 10, 60]))])))
+        if i % 5 == 0:
+            rows.append((2000 + i, rows[-1][1]))
+    return rows + [(None, "two words"), (None, None), (5000, ""), (5001, "one two three four five six"), (5001, "One two three four five six")]
+
+
+def test_chained_groups_equal_brute_force(spark, monkeypatch):
+    rows = _chained(random.Random(7), 120)
+    expected = _classes(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+
+    def check():
+        got, links = jaccard.jaccard_join(df)
+        named = {}
+        for r in got.collect():
+            named.setdefault((r["doc_id"], r["text_hash"]), r["label"])
+        hashes = {(r["doc_id"], r["text"]): r["h"] for r in df.withColumn("h", jaccard.text_hash("text")).collect()}
+        label = [named[i, hashes[i, t]] if _sets([(i, t)])[0] else f"none{n}" for n, (i, t) in enumerate(rows)]
+        by = lambda names: sorted(sorted(i for i, x in enumerate(names) if x == y) for y in set(names))
+        # equal texts are one node, also where ids are null or repeat
+        assert by(label) == by([e if s else f"none{n}" for n, (e, s) in enumerate(zip(expected, _sets(rows)))])
+        return links.count()
+    n_nodes = len({t for _, t in rows})
+    assert check() <= 4 * n_nodes  # links grow with the nodes
+    for settings in ({"ROUNDS": 0}, {"ROUNDS": 0, "TILE": 8}, {"ROUNDS": 1, "CLUSTER": 0, "TILE": 8}, {"ROUNDS": 0, "CLUSTER": 0, "SALT_ROWS": 2, "HOT_LEAST": 2}):
+        with monkeypatch.context() as m:
+            for name, value in settings.items():
+                m.setattr(jaccard, name, value)
+            check()
