@@ -781,6 +781,76 @@ m AS (SELECT round(avg(wer) FILTER (WHERE error IS NULL), 4) AS mean_wer, COUNT(
 SELECT *, CASE WHEN mean_wer < 0.15 THEN 'good' WHEN mean_wer < 0.30 THEN 'acceptable' ELSE 'retrain' END AS status FROM m"""
 
 
+def _leaf(path: str, value: str, source: str) -> str:
+    return f"SELECT {path} AS path, CAST({value} AS VARCHAR) AS value FROM {source}"
+
+
+def _metrics_sql() -> str:
+    """After ``pr``: per (class metrics), rep (the report's rows) and cell (the matrix)."""
+    return """,
+lab AS (SELECT unnest(['AMAN','WASPADA','TINGGI']) AS l, generate_subscripts(['AMAN','WASPADA','TINGGI'], 1) - 1 AS i),
+cnt AS (SELECT l, i, (SELECT COUNT(*) FROM pr WHERE true_label = l AND pred_label = l) AS tp, (SELECT COUNT(*) FROM pr WHERE pred_label = l) AS pp,
+  (SELECT COUNT(*) FROM pr WHERE true_label = l) AS sup FROM lab),
+pc AS (SELECT l, sup, CASE WHEN pp > 0 THEN tp / pp ELSE 0.0 END AS p, CASE WHEN sup > 0 THEN tp / sup ELSE 0.0 END AS r FROM cnt),
+per AS (SELECT l, p, r, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f, sup FROM pc),
+acc AS (SELECT (SELECT SUM(tp) FROM cnt) / COUNT(*) AS a, COUNT(*) AS n FROM pr),
+rep AS (SELECT * FROM per UNION ALL SELECT 'accuracy', a, a, a, n FROM acc
+  UNION ALL SELECT 'macro avg', SUM(p) / 3, SUM(r) / 3, SUM(f) / 3, CAST(SUM(sup) AS BIGINT) FROM per
+  UNION ALL SELECT 'weighted avg', SUM(p * sup) / SUM(sup), SUM(r * sup) / SUM(sup), SUM(f * sup) / SUM(sup), CAST(SUM(sup) AS BIGINT) FROM per),
+cell AS (SELECT a.i AS i, b.i AS j, (SELECT COUNT(*) FROM pr WHERE true_label = a.l AND pred_label = b.l) AS n FROM lab a, lab b)"""
+
+
+def _result_leaves() -> list[str]:
+    pick = {"weighted_f1": ("f", "weighted avg"), "macro_f1": ("f", "macro avg"), "critical_precision": ("p", "TINGGI"), "critical_recall": ("r", "TINGGI")}
+    return [_leaf(f"'results.{k}'", f"round({c}, 4)", f"rep WHERE l = '{name}'") for k, (c, name) in pick.items()] + [
+        _leaf("'confusion_matrix.' || i || '.' || j", "n", "cell")]
+
+
+@oracle("report_dataset")
+def _():
+    one = "(SELECT 1)"
+    s = _ranked_cur() + """,
+s AS (SELECT label, CASE WHEN rn <= round(0.2 * n_c) THEN 'test' ELSE 'train' END AS split FROM rk) """
+    return s + " UNION ALL ".join([
+        _leaf("'rows.raw_rows'", "COUNT(*)", "documents"), _leaf("'rows.cleaned_rows'", "COUNT(*)", "s"),
+        _leaf("'rows.' || split || '_rows'", "COUNT(*)", "s GROUP BY split"),
+        _leaf("'class_distribution.' || split || '.' || label", "COUNT(*)", "s GROUP BY split, label"),
+        _leaf("'label_mapping.TINGGI'", "'violence'", one), _leaf("'label_mapping.WASPADA'", "'toxic, identity attack or insult'", one),
+        _leaf("'label_mapping.AMAN'", "'none of these'", one), _leaf("'params.min_text_length'", "'10'", one),
+        _leaf("'params.split_method'", "'stratified 80/20'", one)])
+
+
+@oracle("report_training")
+def _():
+    one = "(SELECT 1)"
+    cur = _curated_cte().strip()
+    return _pred_cte() + _metrics_sql() + "," + cur[len("WITH"):] + """,
+wc AS (SELECT label, COUNT(*) AS n_c FROM cur GROUP BY label),
+wt AS (SELECT label, round(SUM(n_c) OVER () / (COUNT(*) OVER () * n_c), 6) AS w FROM wc) """ + " UNION ALL ".join([
+        *_result_leaves(), _leaf("'class_weights.' || label", "w", "wt"),
+        *[_leaf(f"'classification_report.' || l || '.{k}'", v, "rep") for k, v in
+          (("precision", "round(p, 4)"), ("recall", "round(r, 4)"), ("f1", "round(f, 4)"), ("support", "sup"))],
+        _leaf("'passing_criteria.weighted_f1_min'", "0.7::DOUBLE", one), _leaf("'passing_criteria.critical_precision_min'", "0.75::DOUBLE", one),
+        _leaf("'passing_criteria.weighted_f1_pass'", "round(f, 4) >= 0.7", "rep WHERE l = 'weighted avg'"),
+        _leaf("'passing_criteria.critical_precision_pass'", "round(p, 4) >= 0.75", "rep WHERE l = 'TINGGI'"),
+        _leaf("'params.epochs'", "'10'", one), _leaf("'params.batch_size'", "'16'", one)])
+
+
+@oracle("report_selection")
+def _():
+    return _pred_cte() + _metrics_sql() + " " + " UNION ALL ".join([*_result_leaves(), _leaf("'params.iterations'", "'3'", "(SELECT 1)")])
+
+
+@oracle("report_wer")
+def _():
+    return _wer_cte() + """,
+e AS (SELECT wer, CASE WHEN name LIKE '%\\_5' ESCAPE '\\' OR error = 'missing text' THEN 'missing text' ELSE error END AS error FROM a),
+m AS (SELECT round(avg(wer) FILTER (WHERE error IS NULL), 4) AS w, COUNT(*) FILTER (WHERE error IS NULL) AS ok, COUNT(*) FILTER (WHERE error IS NOT NULL) AS bad FROM e) """ + " UNION ALL ".join([
+        _leaf("'params.language'", "'mixed'", "(SELECT 1)"), _leaf("'num_files'", "ok", "m"), _leaf("'num_failed'", "bad", "m"),
+        _leaf("'average_wer'", "w", "m"), _leaf("'status'", "CASE WHEN w < 0.15 THEN 'good' WHEN w < 0.30 THEN 'acceptable' ELSE 'retrain' END", "m"),
+        _leaf("'errors.' || error", "COUNT(*)", "e WHERE error IS NOT NULL GROUP BY error")])
+
+
 @oracle("transcript_triage")
 def _():
     gate = f"""

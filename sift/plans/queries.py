@@ -633,6 +633,52 @@ def q_wer_corpus(spark, sf_dir):
     return WR.corpus_report(_transcript_pairs(spark, sf_dir))
 
 
+from sift.operators import report_docs as RD  # noqa: E402
+from sift.sources import files as SF  # noqa: E402
+
+
+def _round_trip(spark, doc, schema):
+    """Write the document, read it by its schema, give its values."""
+    path = scratch_path(spark, "sift-report")
+    SF.write_report(doc, path)
+    return RD.leaves(SF.read_report(spark, path, schema))
+
+
+@query("report_dataset")
+def q_report_dataset(spark, sf_dir):
+    """The curation report."""
+    raw = DV.annotated_corpus(spark, sf_dir).select("doc_id")
+    split = q_stratified_split(spark, sf_dir)
+    doc = RD.dataset_report(raw, split, {"TINGGI": "violence", "WASPADA": "toxic, identity attack or insult", "AMAN": "none of these"},
+                            {"min_text_length": "10", "split_method": "stratified 80/20"})
+    return _round_trip(spark, doc, RD.DATASET_REPORT)
+
+
+@query("report_training")
+def q_report_training(spark, sf_dir):
+    """Class weights, metrics, report, matrix and gates."""
+    doc = RD.training_report(_curated(spark, sf_dir).select("label"), _pred(spark, sf_dir), {"epochs": "10", "batch_size": "16"})
+    return _round_trip(spark, doc, RD.TRAINING_REPORT)
+
+
+@query("report_selection")
+def q_report_selection(spark, sf_dir):
+    """The shorter report."""
+    return _round_trip(spark, RD.selection_report(_pred(spark, sf_dir), {"iterations": "3"}), RD.SELECTION_REPORT)
+
+
+@query("report_wer")
+def q_report_wer(spark, sf_dir):
+    """Manifest (a JSON object of all references) joined with the
+    inventory and the hypotheses by file name, evaluated, reported. Files of turn 5 have no hypothesis."""
+    pairs = _transcript_pairs(spark, sf_dir)
+    manifest = pairs.select(F.to_json(F.create_map("name", "reference")).alias("value"))  # one object a line
+    files = pairs.select(F.concat(F.lit("/media/"), "name").alias("path"))
+    hypotheses = pairs.filter(~F.col("name").endswith("_5")).select("name", "hypothesis")
+    doc, _ = RD.wer_report(WR.manifest_pairs(files, manifest, hypotheses), {"language": "mixed"})
+    return _round_trip(spark, doc, RD.WER_REPORT)
+
+
 @query("transcript_triage")
 def q_transcript_triage(spark, sf_dir):
     """Reject short transcripts; the rest go through the whole sweep

@@ -41,15 +41,9 @@ def write_report(report: DataFrame, path: str) -> None:
     report.coalesce(1).write.mode("overwrite").json(path)
 
 
-def read_report(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Report JSON with an explicit schema when given."""
-    r = spark.read.option("multiLine", False)
-    return (r.schema(schema) if schema is not None else r).json(path)
-
-
-def counts_map(df: DataFrame, key: str, value: str) -> F.Column:
-    """Aggregate expression: ``{key: value}`` map over the frame (for A12)."""
-    return F.map_from_entries(F.collect_list(F.struct(F.col(key).cast("string"), F.col(value))))
+def read_report(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A report as one JSON document, on one line or indented, by its schema."""
+    return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
 def media_inventory(spark: SparkSession, root: str, extensions=("wav", "mp3", "m4a", "flac", "ogg")) -> DataFrame:
