@@ -6,19 +6,15 @@ the components that these links form.
 2. Two sets of similarity t share one of the first n - ceil(t * n) + 1 shingles
    of each, in any one order; the order puts shingles that very many documents
    share last. Those shingles are the keys that bring nodes together.
-3. In two of its keys' groups, sorted by size, every node is paired with the
-   group's first node and with the one before it. A pair passes if the sizes and the
-   bitmap signatures allow it: a bit of one set that the other lacks is an
-   element it lacks, so bit counts bound the overlap from above. What passes
-   is decided by exact intersection of the sorted arrays.
-4. Groups that these links join to one component are done. In the others, cut into
-   tiles by size, each node outside the group's largest component is paired with the node of
-   another component to which its signature (2,048 bits) bounds the greatest similarity; the best
-   of these pairs over all keys is intersected exactly, one a node. This is done ``ROUNDS`` times at most, so
-   a large group of near copies is joined without all of its pairs.
+3. In the groups of some keys, cut into tiles by size, each node outside the group's largest component
+   is paired with the node of another component whose sketch (32 bytes) agrees most; the best of these pairs
+   over all keys is intersected exactly, one a node. This is done ``ROUNDS`` times at most,
+   with the components found so far, so a large group of near copies is joined without all of its pairs.
+4. Groups of any key that these links join to one component are done.
 5. Nodes that groups with several components still connect form clusters, which are
-   compared whole: every pair of size-banded tiles is one group of rows, in which signatures bound
-   the overlap of every pair across components and what passes is intersected exactly,
+   compared whole: every pair of size-banded tiles is one group of rows, in which bitmap signatures bound
+   the overlap of every pair across components (a bit of one set that the other lacks is an element it
+   lacks, so bit counts bound the overlap from above) and what passes is intersected exactly,
    unless a link found before has joined it. Only links leave the task, fewer than its rows.
 6. Clusters of more than ``CLUSTER`` tiles are compared key by key instead: pairs of tiles
    by bitmaps, across components only, then exact intersection.
@@ -48,6 +44,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,7 +59,10 @@ SUMMARY = 16_384  # most frequent shingles that a task reports
 STEP_CHARS = 2_000_000
 SEEN = 200_000  # sets that a task remembers to have written
 SIG_BITS = 2048
+SKETCH = 32
 ROUNDS = 3
+ROUND_KEYS = 4  # rounds look at one key in so many
+WANTED_SLOTS = 1 << 20  # bounds the broadcast that tells whose hashes are needed
 TILE_BYTES = 4 << 20  # of whole sets in a tile, which has TILE rows at most
 CLUSTER = 64  # tiles of whole sets that a cluster may have
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -100,6 +100,15 @@ def bitmap(s: np.ndarray, bits: int = 0) -> bytes:
     return np.packbits(out, bitorder="little").tobytes()
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """The low byte of the least hash in each of SKETCH buckets: similar sets agree in many.
+    It only chooses which pairs are tried first."""
+    out = np.zeros(SKETCH, np.uint8)
+    bucket = (s[::-1] >> np.uint64(32)).astype(np.int64) % SKETCH  # the least comes last and stays
+    out[bucket] = (s[::-1] >> np.uint64(8)).astype(np.uint8)
+    return out.tobytes()
+
+
 def fold(b: np.ndarray, words: int) -> np.ndarray:
     """Rows of bitmaps brought down to ``words`` 64-bit words."""
     while b.shape[-1] > words:
@@ -166,19 +175,20 @@ class _Frequent:
         return self.keys[at].view(np.int64), self.counts[at]
 
 
-SURVEY = "k long, h long, n int, node long, bits binary, sig binary, hashes binary, shingle long, count long"
+SURVEY = "k long, h long, n int, node long, at long, bits binary, sig binary, mini binary, hashes binary, shingle long, count long"
 
 
 def _survey(batches):
-    """The only pass over texts: (k, h, n, node, bits, sig) of each, with the sorted hashes of sets
-    that are new to the task; at a task's end (shingle, count) of frequent ones."""
+    """The only pass over texts: (k, h, n, node) of each, with a number of its own, signatures and the
+    sorted hashes for sets that are new to the task; at a task's end (shingle, count) of frequent ones."""
     often, seen = _Frequent(), set()
+    at = TaskContext.get().partitionId() << 33  # stored with the rows, so it stays as it is
     names = [f.split()[0] for f in SURVEY.split(", ")]
     for b in batches:
         ks, hs, texts = b.column(0), b.column(1), b.column(2)
         texts = [t.as_py() for t in texts]
         for lo, hi in _in_steps(texts):
-            n, node, bits, sig, hashes = [], [], [], [], []
+            n, node, own, bits, sig, mini, hashes = [], [], [], [], [], [], []
             for t in texts[lo:hi]:
                 s = shingles(t)
                 often.add(s)
@@ -190,17 +200,20 @@ def _survey(batches):
                         seen.clear()
                     seen.add(name)
                 node.append(name)
+                at += 1
+                own.append(at if new else None)
+                mini.append(sketch(s) if new else None)
                 bits.append(bitmap(s) if new else None)
                 sig.append(bitmap(s, SIG_BITS) if new else None)
                 hashes.append(s.tobytes() if new else None)
             size = hi - lo
             yield pa.RecordBatch.from_arrays(
-                [ks.slice(lo, size), hs.slice(lo, size), pa.array(n, pa.int32()), pa.array(node, pa.int64()), pa.array(bits, pa.binary()),
-                 pa.array(sig, pa.binary()), pa.array(hashes, pa.binary()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64())], names)
+                [ks.slice(lo, size), hs.slice(lo, size), pa.array(n, pa.int32()), pa.array(node, pa.int64()), pa.array(own, pa.int64()),
+                 pa.array(bits, pa.binary()), pa.array(sig, pa.binary()), pa.array(mini, pa.binary()), pa.array(hashes, pa.binary()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64())], names)
     word_hash.clear()  # the worker goes on to other tasks
     keys, counts = often.top()
     size = len(keys)
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
     yield pa.RecordBatch.from_arrays([*(pa.nulls(size, t) for t in kinds), pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], names)
 
 
@@ -245,43 +258,40 @@ def _key_rows(out):
          pa.array(np.repeat(np.array([x[3] for x in out], np.int32), sizes))], ["key", "salt", "node", "size"])
 
 
-MEMBERS = "key long, salt int, tile int, node long, size int, hub long, hub_size int, prev long, prev_size int"
+MEMBERS = "key long, salt int, tile int, node long, size int"
 
 
 def _members(batches):
     """Rows sorted by key, salt, size, node -> each node of a group of two or
-    more, with the group's first node and the one before it (itself, if it is
-    the first). Of spread keys, whose other salts may hold nodes, all are given."""
-    last = None  # key, salt, node, size, hub, hub_size, rank of the row before
+    more. Of spread keys, whose other salts may hold nodes, all are given."""
+    last, waiting = None, None  # the row before (key, salt, node, rank); a group's first node, until it has a second
+    names = [f.split()[0] for f in MEMBERS.split(", ")]
     for b in batches:
         key, salt, node, size = (c.to_numpy(zero_copy_only=False) for c in b.columns)
         if not len(key):
             continue
-        same = np.r_[last is not None and (last[0], last[1], last[2]) == (key[0], salt[0], node[0]),
+        same = np.r_[last is not None and last[:3] == (key[0], salt[0], node[0]),
                      (key[1:] == key[:-1]) & (salt[1:] == salt[:-1]) & (node[1:] == node[:-1])]
         key, salt, node, size = (x[~same] for x in (key, salt, node, size))
         n = len(key)
         if not n:
             continue
-        goes_on = last is not None and (last[0], last[1]) == (key[0], salt[0])
+        goes_on = last is not None and last[:2] == (key[0], salt[0])
         new = np.r_[not goes_on, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])]
         begin = np.maximum.accumulate(np.where(new, np.arange(n), 0))
         rank = np.arange(n) - begin
-        hub, hub_size = node[begin].copy(), size[begin].copy()
-        prev, prev_size = np.r_[node[:1], node[:-1]], np.r_[size[:1], size[:-1]]
         if goes_on:
             until = int(np.argmax(new)) if new.any() else n
-            rank[:until] += last[6] + 1
-            hub[:until], hub_size[:until] = last[4], last[5]
-            prev[0], prev_size[0] = last[2], last[3]
-        last = tuple(int(x[-1]) for x in (key, salt, node, size, hub, hub_size, rank))
-        prev, prev_size = np.where(rank == 0, node, prev), np.where(rank == 0, size, prev_size)
-        at = (rank > 0) | (salt > 0)
-        two = (rank == 1) & (salt == 0)  # the group's first node is reported with its second
-        cols = [np.r_[key[two], key[at]], np.r_[salt[two], salt[at]], np.r_[np.zeros(two.sum(), np.int64), rank[at] // TILE].astype(np.int32),
-                np.r_[hub[two], node[at]], np.r_[hub_size[two], size[at]], np.r_[hub[two], hub[at]],
-                np.r_[hub_size[two], hub_size[at]], np.r_[hub[two], prev[at]], np.r_[hub_size[two], prev_size[at]]]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [f.split()[0] for f in MEMBERS.split(", ")])
+            rank[:until] += last[3] + 1
+        last = tuple(int(x[-1]) for x in (key, salt, node, rank))
+        # a first node counts if a second follows; the last row of a batch waits for the next
+        second = np.r_[rank[1:] == 1, False]
+        at = (rank > 0) | (salt > 0) | second
+        cols = [key[at], salt[at], (rank[at] // TILE).astype(np.int32), node[at], size[at]]
+        if waiting is not None and goes_on:
+            cols = [np.r_[np.array([w], c.dtype), c] for w, c in zip(waiting, cols)]
+        waiting = (key[-1], salt[-1], 0, node[-1], size[-1]) if rank[-1] == 0 and salt[-1] == 0 else None
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
 
 
 def _grid(rows: list[bytes]) -> np.ndarray:
@@ -347,45 +357,42 @@ def _tiles(batches):
         yield from flush(rows)
 
 
-def best_partners(label: np.ndarray, size: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For the rows outside a group's largest component: (row, partner, bound) of the
-    row of another component that the signatures allow the greatest similarity to."""
-    names, inverse, n = np.unique(label, return_inverse=True, return_counts=True)
+def best_partners(label: np.ndarray, mini: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the rows outside a group's largest component: (row, partner, agreement) of the row of
+    another component whose sketch agrees most."""
+    _, inverse, n = np.unique(label, return_inverse=True, return_counts=True)
     rows = np.nonzero(inverse != n.argmax())[0]
-    partner, best = np.full(len(rows), -1), np.zeros(len(rows))
-    step = max(1, 8_000_000 // max(1, sig.size))
+    partner, best = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+    step = max(1, 4_000_000 // mini.size)
     for lo in range(0, len(rows), step):
         some = rows[lo:lo + step]
-        a, b = sig[some][:, None, :], sig[None, :, :]
-        na, nb = size[some][:, None], size[None, :]
-        both = np.minimum(na - np.bitwise_count(a & ~b).sum(-1, dtype=np.int64), nb - np.bitwise_count(b & ~a).sum(-1, dtype=np.int64))
-        bound = np.where(label[some][:, None] == label[None, :], 0.0, both / np.maximum(na + nb - both, 1))
-        at = bound.argmax(1)
-        partner[lo:lo + step], best[lo:lo + step] = at, bound[np.arange(len(some)), at]
-    ok = best * DEN >= NUM
-    return rows[ok], partner[ok], best[ok]
+        agree = (mini[some][:, None, :] == mini[None, :, :]).sum(-1, dtype=np.int64)
+        agree[label[some][:, None] == label[None, :]] = -1
+        partner[lo:lo + step] = at = agree.argmax(1)
+        best[lo:lo + step] = agree[np.arange(len(some)), at]
+    return rows, partner, best
 
 
 def _partners(batches):
-    """Rows sorted by key, salt and tile -> (node, other, bound), one at most for a row."""
+    """Rows sorted by key, salt and tile -> (node, other, agree), one at most for a row."""
     held = None
 
     def found(cols):
-        key, salt, tile, node, size, label, sig = cols
+        key, salt, tile, node, label, mini = cols
         new = np.nonzero(np.r_[True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]) | (tile[1:] != tile[:-1])])[0]
         out = []
         for lo, hi in zip(new.tolist(), [*new[1:].tolist(), len(key)]):
             if hi - lo > 1 and (label[lo:hi] != label[lo]).any():
-                row, other, bound = best_partners(label[lo:hi], size[lo:hi], sig[lo:hi])
-                out.append((node[lo + row], node[lo + other], bound))
-        cols = [np.concatenate(c) for c in zip(*out)] if out else [key[:0], key[:0], np.empty(0)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["node", "other", "bound"])
+                row, other, agree = best_partners(label[lo:hi], mini[lo:hi])
+                out.append((node[lo + row], node[lo + other], agree))
+        cols = [np.concatenate(c) for c in zip(*out)] if out else [key[:0]] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["node", "other", "agree"])
 
     for b in batches:
         for lo in range(0, b.num_rows, 20_000):
             part = b.slice(lo, 20_000)
-            cols = [part.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
-            cols.append(np.frombuffer(b"".join(part.column(6).to_pylist()), np.uint64).reshape(part.num_rows, -1))
+            cols = [part.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            cols.append(np.frombuffer(b"".join(part.column(5).to_pylist()), np.uint8).reshape(part.num_rows, SKETCH))
             if held is not None:
                 cols = [np.concatenate(c) for c in zip(held, cols)]
             last = np.nonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]) | (cols[2] != cols[2][-1]))[0]
@@ -471,11 +478,10 @@ class _Join:
         self.texts = docs.select(order_key(id_col).alias("k"), F.col(text_col).cast("string").alias("text"))
         survey = materialize(self.texts.select("k", text_hash("text").alias("h"), "text").mapInArrow(_survey, SURVEY), "survey")
         self.rows = survey.filter(F.col("k").isNotNull()).select("k", "h", "n", "node")
-        # every node has a row with its hashes in some task, or in several
-        self.carriers = survey.filter(F.col("hashes").isNotNull()).withColumn("at", F.xxhash64("k", "h"))
-        one = self.carriers.groupBy("node").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("sig").alias("sig"))
-        least = self.rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("k").alias("k"))
-        self.nodes = materialize(one.join(least, "node"), "nodes")
+        # every node has a row with its hashes in some task, or in several: one of them carries it
+        self.carriers = survey.filter(F.col("hashes").isNotNull()).select("node", "at", "n", "bits", "sig", "mini", "hashes")
+        self.nodes = materialize(survey.filter(F.col("node").isNotNull()).groupBy("node").agg(
+            F.min("at").alias("at"), F.min("k").alias("k"), F.min("n").alias("n")), "nodes")
         total = self.rows.agg(F.sum("n")).first()[0] or 0
         least = max(HOT_LEAST, math.ceil(total / HOT_SHARE))
         hot = (survey.filter(F.col("shingle").isNotNull()).groupBy("shingle").agg(F.sum("count").alias("count"))
@@ -489,23 +495,28 @@ class _Join:
         return materialize(keys.repartition(self.p, "key", "salt").sortWithinPartitions("key", "salt", "size", "node")
                            .mapInArrow(_members, MEMBERS), "members")
 
+    def carried(self, at: DataFrame, *cols: str) -> DataFrame:
+        """``at`` and columns of the carriers that may be among ``at``; rows that
+        cannot be are dropped before any shuffle, by a table of hashed numbers of bounded size."""
+        slot = lambda: F.pmod(F.xxhash64("at"), F.lit(WANTED_SLOTS)).alias("slot")
+        slots = materialize(at.select(slot()).distinct(), "wanted")
+        return (self.carriers.select("at", *cols, slot()).join(F.broadcast(slots), "slot", "left_semi").drop("slot"))
+
+    def sides(self, pairs: DataFrame, *cols: str) -> DataFrame:
+        """Pairs (a, b) with ``cols`` of both (``a_<col>``, ``b_<col>``)."""
+        at = lambda c: self.nodes.select(F.col("node").alias(c), F.col("at").alias(f"{c}_at"))
+        named = materialize(pairs.join(at("a"), "a").join(at("b"), "b"), "pairs-at")
+        held = self.carried(named.select(F.col("a_at").alias("at")).union(named.select("b_at")), *cols)
+        side = lambda c: held.select(F.col("at").alias(f"{c}_at"), *[F.col(x).alias(f"{c}_{x}") for x in cols])
+        return named.join(side("b"), "b_at").join(side("a"), "a_at")
+
     def allowed(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that the bitmaps allow."""
-        side = lambda c, x: self.nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(x))
-        return (pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
-                .select("a", "b", "na", "nb", "x", "y").mapInArrow(_bit_filter, "a long, b long"))
+        return self.sides(pairs, "n", "bits").select("a", "b", "a_n", "b_n", "a_bits", "b_bits").mapInArrow(_bit_filter, "a long, b long")
 
-    def verified(self, pairs: DataFrame, bits_done: bool) -> DataFrame:
+    def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of similar sets."""
-        if not bits_done:
-            pairs = materialize(self.allowed(pairs), "allowed")
-        wanted = pairs.select("a").union(pairs.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "node")
-        wanted = wanted.join(self.nodes.select("node", "at"), "node")
-        found = self.carriers.select("node", "at", "hashes").join(wanted, ["node", "at"]).select("node", "hashes")
-        found = materialize(found.distinct(), "sets")  # rows of one id and text
-        side = lambda c, x: found.select(F.col("node").alias(c), F.col("hashes").alias(x))
-        return materialize(pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").select("a", "b", "x", "y")
-                           .mapInArrow(_exact_filter, "a long, b long"), "links")
+        return materialize(self.sides(pairs, "hashes").select("a", "b", "a_hashes", "b_hashes").mapInArrow(_exact_filter, "a long, b long"), "links")
 
     def labels(self, links: DataFrame) -> DataFrame:
         """``node, label`` of every linked node: the smallest node it reaches."""
@@ -523,8 +534,7 @@ class _Join:
                 return now.withColumnRenamed("v", "node")
 
     def named(self, members: DataFrame, labels: DataFrame) -> DataFrame:
-        return materialize(members.select("key", "salt", "tile", "node", "size").join(labels, "node", "left")
-                           .withColumn("label", F.coalesce("label", "node")), "named")
+        return materialize(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "named")
 
     def partners(self, members: DataFrame, labels: DataFrame, done: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(members of keys with several components, pairs not decided yet): a pair at most for each node
@@ -532,10 +542,9 @@ class _Join:
         named = self.named(members, labels)
         mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
         rows = materialize(named.join(mixed, "key", "left_semi"), "mixed-members")
-        found = (rows.join(self.nodes.select("node", "sig"), "node").select("key", "salt", "tile", "node", "size", "label", "sig")
-                 .repartition(self.p, "key", "salt", "tile").sortWithinPartitions("key", "salt", "tile")
-                 .mapInArrow(_partners, "node long, other long, bound double"))
-        best = found.groupBy("node").agg(F.max_by("other", "bound").alias("other"))
+        found = (rows.select("key", "salt", "tile", "node", "label", "mini").repartition(self.p, "key", "salt", "tile")
+                 .sortWithinPartitions("key", "salt", "tile").mapInArrow(_partners, "node long, other long, agree long"))
+        best = found.groupBy("node").agg(F.max_by("other", "agree").alias("other"))
         pairs = best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         return rows.drop("label"), materialize(pairs.join(done, ["a", "b"], "left_anti"), "partners")
 
@@ -548,7 +557,7 @@ class _Join:
         rows = materialize(named.join(mixed.select("key", "hub"), "key"), "mixed-members")
         edges = rows.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
         share = F.greatest(F.col("n") * 8 / TILE_BYTES, F.lit(1 / TILE))  # of a tile
-        cluster = (self.labels(edges).withColumnRenamed("label", "cluster").join(self.nodes.select("node", "n", "at", "sig"), "node")
+        cluster = (self.labels(edges).withColumnRenamed("label", "cluster").join(self.nodes.select("node", "n", "at"), "node")
                    .withColumn("share", share))
         sizes = cluster.groupBy("cluster").agg(F.sum("share").alias("m"))
         cluster = materialize(cluster.join(sizes, "cluster").withColumnRenamed("n", "size"), "clusters")
@@ -558,8 +567,8 @@ class _Join:
         some = some.withColumn("tiles", F.max("t").over(Window.partitionBy("cluster")) + 1)
         pair = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(
             F.least(F.col("t"), o).alias("lo"), F.greatest(F.col("t"), o).alias("hi"), (F.col("t") > o).cast("int").alias("side")))
-        wanted = self.carriers.select("node", "at", "hashes").join(some.select("node", "at"), ["node", "at"], "left_semi").distinct()  # rows of one id and text
-        some = some.join(wanted.select("node", "hashes"), "node")
+        some = materialize(some, "cluster-rows")
+        some = some.join(self.carried(some.select("at"), "sig", "hashes"), "at")
         found = (some.select("cluster", F.explode(pair).alias("p"), "node", "size", "label", "sig", "hashes")
                  .select("cluster", "p.lo", "p.hi", "p.side", "node", "size", "label", "sig", "hashes")
                  .repartition(self.p, "cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "side", "size", "node")
@@ -585,29 +594,24 @@ class _Join:
         pair = F.transform(F.sequence(F.lit(0), F.col("all") - 1), lambda o: F.struct(
             F.least(F.col("t"), o).alias("lo"), F.greatest(F.col("t"), o).alias("hi"), (F.col("t") > o).cast("int").alias("side")))
         rows = (rows.select("key", "node", "size", "label", F.explode(pair).alias("at"))
-                .join(self.nodes.select("node", "bits"), "node")
-                .select("key", "at.lo", "at.hi", "at.side", "node", "size", "label", "bits"))
+                .select("key", "at.lo", "at.hi", "at.side", "node", "size", "label").join(self.nodes.select("node", "at"), "node"))
+        rows = materialize(rows, "tile-rows")
+        rows = rows.join(self.carried(rows.select("at"), "bits"), "at").select("key", "lo", "hi", "side", "node", "size", "label", "bits")
         found = (rows.repartition(self.p, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "side", "size", "node")
                  .mapInArrow(_tiles, "a long, b long").distinct().join(done, ["a", "b"], "left_anti"))
         return materialize(found.union(self.allowed(two)).distinct(), "rest")
 
     def run(self) -> tuple[DataFrame, DataFrame]:
         members = self.members()
-        pair = lambda df, o: df.filter(
-            (F.col(o) != F.col("node")) & (DEN * F.least(f"{o}_size", "size") >= NUM * F.greatest(f"{o}_size", "size"))).select(
-            F.least(o, "node").alias("a"), F.greatest(o, "node").alias("b"))
-        # Which nodes a node meets differs from key to key, so two of its keys
-        # give its partners here; step 4 decides whatever they leave open.
-        near = members.filter("hub <> node").groupBy("node", "size").agg(*[F.struct(
-            f(o, "key").alias("other"), f(f"{o}_size", "key").alias("other_size")).alias(f"{o}{i}")
-            for o in ("hub", "prev") for i, f in enumerate((F.min_by, F.max_by))])
-        near = near.select("node", "size", F.explode(F.array("hub0", "hub1", "prev0", "prev1")).alias("p")).select("node", "size", "p.*")
-        tried = materialize(pair(near, "other").distinct(), "pairs")
-        links = self.verified(tried, False)
-        labels = self.labels(links)
+        none = self.spark.createDataFrame([], "a long, b long")
+        links, tried, labels = none, none, none.toDF("node", "label")
+        # the same keys for all nodes, so near copies keep most of their common ones; step 5 looks at all
+        some = members.filter(F.pmod("key", F.lit(ROUND_KEYS)) == 0)
+        minis = self.carriers.join(self.nodes.select("at"), "at", "left_semi").select("node", "mini")
+        some = some.join(minis, "node")
         for _ in range(ROUNDS):
-            members, pairs = self.partners(members, labels, tried)
-            more = self.verified(pairs, True)
+            some, pairs = self.partners(some, labels, tried)
+            more = self.verified(pairs)
             tried = tried.union(pairs)
             if not more.limit(1).count():
                 break
@@ -621,7 +625,7 @@ class _Join:
             return links, labels
         rest = self.rest(members, labels, tried)
         if rest.limit(1).count():
-            links = links.union(self.verified(rest, True))
+            links = links.union(self.verified(rest))
             labels = self.labels(links)
         return links, labels
 
