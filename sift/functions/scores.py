@@ -123,10 +123,16 @@ def risk_band(score) -> Column:
     return F.when(s <= 30, "low").when(s <= 60, "medium").otherwise("high")
 
 
+# Recommendation -> shown text.
+SHOWN_RECOMMENDATIONS = {"ARCHIVE": "ARSIP", "MONITOR": "PANTAU", "ESCALATE": "ESKALASI"}
+
+
+def shown_recommendation(rec, shown: dict[str, str] | None = None) -> Column:
+    """The text shown for a recommendation (unknown ones as they are)."""
+    table = F.create_map(*[F.lit(x) for kv in (shown or SHOWN_RECOMMENDATIONS).items() for x in kv])
+    return F.coalesce(F.try_element_at(table, _c(rec)), _c(rec))
+
+
 def encode_label(label, scheme: LabelScheme = DEFAULT_SCHEME) -> Column:
     """Fixed index in the label order (not frequency order)."""
     return (F.array_position(labels_array(scheme), _c(label)) - 1).cast("int")
-
-
-def decode_label(idx, scheme: LabelScheme = DEFAULT_SCHEME) -> Column:
-    return F.element_at(labels_array(scheme), (_c(idx) + 1).cast("int"))

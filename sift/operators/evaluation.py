@@ -89,10 +89,18 @@ def kpi_gate(report: DataFrame, scheme: LabelScheme = DEFAULT_SCHEME, min_f1: fl
 
 
 def error_patterns(pred: DataFrame, t: str = "true_label", p: str = "pred_label") -> DataFrame:
-    """wrong (true, pred) pairs by count, with the overall error rate."""
-    total = pred.count()  # one scalar
-    return (pred.filter(F.col(t) != F.col(p)).groupBy(t, p).agg(F.count(F.lit(1)).alias("n"))
-            .withColumn("error_rate", F.round(F.col("n") / F.lit(max(total, 1)), 4)))
+    """wrong (true, pred) pairs, most frequent first, with the overall error rate. The rate is a
+    window over the aggregated pairs (a row per pair of labels)."""
+    every = Window.partitionBy()
+    wrong = ~F.col(t).eqNullSafe(F.col(p))
+    g = pred.groupBy(t, p).agg(F.count(F.lit(1)).alias("n"))
+    g = g.withColumn("error_rate", F.round(F.sum(F.when(wrong, F.col("n")).otherwise(0)).over(every) / F.sum("n").over(every), 4))
+    return g.filter(wrong).orderBy(F.desc("n"), t, p)
+
+
+def error_examples(pred: DataFrame, key: str, k: int = 5, t: str = "true_label", p: str = "pred_label") -> DataFrame:
+    """the first ``k`` wrong rows by ``key``."""
+    return pred.filter(~F.col(t).eqNullSafe(F.col(p))).orderBy(key).limit(k)
 
 
 def calibration(pred: DataFrame, scheme: LabelScheme = DEFAULT_SCHEME) -> DataFrame:
@@ -108,18 +116,19 @@ def calibration(pred: DataFrame, scheme: LabelScheme = DEFAULT_SCHEME) -> DataFr
 
 def histogram(pred: DataFrame, value: str, by: str | None = None, bins: int = 20) -> DataFrame:
     """equal-width bins over [min, max] of ``value``; the maximum goes
-    in the last bin (NumPy's convention). min/max are two scalars from one
-    aggregate, used as literals (no join)."""
-    mm = pred.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).first()
-    lo, hi = F.lit(mm["lo"]).cast("double"), F.lit(mm["hi"]).cast("double")
-    width = (hi - lo) / bins
-    b = F.when(hi == lo, 0).otherwise(
-        F.least(F.floor((F.col(value) - lo) / width), F.lit(bins - 1))).cast("int")
-    keys = ([by] if by else []) + ["bin"]
-    return pred.withColumn("bin", b).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-
-
-def quartiles(pred: DataFrame, value: str, by: str, accuracy: int = 10000) -> DataFrame:
-    """F15 box-plot data: approximate quartiles per group (bounded memory,
-    unlike exact percentiles which hold a whole group)."""
-    return pred.groupBy(by).agg(F.percentile_approx(value, [0.25, 0.5, 0.75], accuracy).alias("q"))
+    in the last bin (NumPy's convention). min and max are scalar subqueries, so
+    nothing runs while the plan is built."""
+    lo, hi = pred.agg(F.min(value).cast("double")).scalar(), pred.agg(F.max(value).cast("double")).scalar()
+    d = pred.select(*([by] if by else []), F.col(value).alias("__v"), lo.alias("__lo"), hi.alias("__hi"))
+    width = (F.col("__hi") - F.col("__lo")) / bins
+    b = F.when(F.col("__hi") == F.col("__lo"), 0).otherwise(
+        F.least(F.floor((F.col("__v") - F.col("__lo")) / width), F.lit(bins - 1))).cast("int")
+    return d.withColumn("bin", b).groupBy(*([by] if by else []), "bin").agg(F.count(F.lit(1)).alias("n"))
+
+
+def quartiles(pred: DataFrame, value: str, by: str) -> DataFrame:
+    """F15 box-plot data: exact quartiles per group. ``value`` is rounded to 4 digits first, so that a group holds a
+    bounded number of distinct values (for an entropy some 16,000), which is what the exact percentile keeps."""
+    q = F.percentile(F.round(value, 4), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    d = pred.groupBy(by).agg(q.alias("q"))
+    return d.select(by, *[F.round(F.col("q")[i], 6).alias(f"q{i + 1}") for i in range(3)])

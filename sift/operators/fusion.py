@@ -44,41 +44,15 @@ def note_with_phrases(note, phrases, k: int = 5) -> Column:
                   F.concat(n, F.lit("\n\n[Key phrases: "), key_phrase_digest(p, k), F.lit("]"))).otherwise(n)
 
 
-def fuse_scores(local, expert_probs, expert_label, scheme: LabelScheme = DEFAULT_SCHEME,
-                w_local: float = 0.4, w_expert: float = 0.6) -> Column:
-    """D7 + D8 -> struct(label, probabilities, entropy, prediction_set, confidence).
+def fuse_frame(df: DataFrame, local: str, expert_probs: str, expert_label: str, out: str = "fused",
+               scheme: LabelScheme = DEFAULT_SCHEME, w_local: float = 0.4, w_expert: float = 0.6) -> DataFrame:
+    """D7 + D8 -> struct(label, probabilities, entropy, prediction_set, confidence, overridden).
 
     With a local score: per-label weighted mix rounded to 4, renormalised;
     label = arg-max; if the expert says the critical label and the fused label
     differs, the critical label wins with probability max(p, .5), renormalised.
-    Without a local score the expert's label and probabilities stand.
-    """
-    loc = F.col(local) if isinstance(local, str) else local
-    ex = F.col(expert_probs) if isinstance(expert_probs, str) else expert_probs
-    el = F.col(expert_label) if isinstance(expert_label, str) else expert_label
-    ci = scheme.index(scheme.critical)
-    fused = S.fuse(loc, ex, w_local, w_expert)
-    lab = S.argmax_label(fused, scheme)
-    override = F.coalesce((el == scheme.critical) & (lab != scheme.critical)
-                          & loc.isNotNull() & ex.isNotNull(), F.lit(False))
-    bumped = F.transform(fused, lambda x, i: F.when(i == ci, F.greatest(x, F.lit(0.5))).otherwise(x))
-    final = F.when(override, S.renormalize(bumped, guard_zero=False)).otherwise(fused)
-    final_label = F.when(override, F.lit(scheme.critical)).otherwise(lab)
-    # Only one side present: that side stands unchanged.
-    probs = F.when(loc.isNull(), ex).when(ex.isNull(), loc).otherwise(final)
-    label = F.when(loc.isNull(), el).when(ex.isNull(), S.argmax_label(loc, scheme)).otherwise(final_label)
-    return F.struct(label.alias("label"), probs.alias("probabilities"),
-                    S.entropy(probs).alias("entropy"),
-                    S.prediction_set(probs, 0.1, scheme).alias("prediction_set"),
-                    S.confidence_band(probs, scheme).alias("confidence"),
-                    override.alias("overridden"))
-
-
-def fuse_frame(df: DataFrame, local: str, expert_probs: str, expert_label: str, out: str = "fused",
-               scheme: LabelScheme = DEFAULT_SCHEME, w_local: float = 0.4, w_expert: float = 0.6) -> DataFrame:
-    """``fuse_scores`` staged over projections: every intermediate array is
-    its own column, so each is computed once per row (the single-expression
-    form repeats shared subtrees)."""
+    Without a local score the expert's label and probabilities stand. Every
+    intermediate array is its own column, so each is computed once per row."""
     loc, ex, el = F.col(local), F.col(expert_probs), F.col(expert_label)
     ci = scheme.index(scheme.critical)
     d = df.withColumn("__fz", S.fuse(loc, ex, w_local, w_expert))

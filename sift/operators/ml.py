@@ -112,9 +112,26 @@ def predictions(model: PipelineModel, df: DataFrame, label_col: str = "label",
 
 
 def unit_vectors(df: DataFrame, col: str = "embedding", out: str = "unit") -> DataFrame:
-    """L2-normalised vectors (array<float> in, ML vector out)."""
-    d = df.withColumn("__v", array_to_vector(col))
-    return Normalizer(inputCol="__v", outputCol=out, p=2.0).transform(d).drop("__v")
+    """L2-normalised vectors (array<double>); null vectors and null rows stay null."""
+    d = df.withColumn("__v", array_to_vector(F.coalesce(col, F.array(F.lit(0.0)).cast("array<float>"))))
+    d = Normalizer(inputCol="__v", outputCol="__u", p=2.0).transform(d)
+    return d.withColumn(out, F.when(F.col(col).isNotNull(), vector_to_array("__u"))).drop("__v", "__u")
+
+
+def attach_vectors(df: DataFrame, vectors: DataFrame, key: str, vec_key: str, col: str = "embedding", out: str = "unit") -> DataFrame:
+    """Each row with its unit vector (left join on the key)."""
+    v = unit_vectors(vectors, col, out).select(F.col(vec_key).alias("__k"), out)
+    return df.join(v, F.col(key) == F.col("__k"), "left").drop("__k")
+
+
+def layout_2d(triaged: DataFrame, key: str, vectors: DataFrame | None = None, vec_key: str = "vec_id", col: str = "embedding",
+              text_col: str = "text") -> DataFrame:
+    """``key, x, y, label`` of triaged rows: the two principal components of their
+    vectors, or, without a table of vectors, entropy and text length."""
+    if vectors is None:
+        return triaged.select(key, F.col("entropy").alias("x"), F.length(text_col).cast("double").alias("y"), "label")
+    rows = triaged.select(key, "label").join(vectors.select(F.col(vec_key).alias(key), col), key)
+    return pca_2d(rows, col)[0].select(key, "x", "y", "label")
 
 
 def pca_2d(df: DataFrame, col: str = "embedding", k: int = 2):

@@ -254,12 +254,6 @@ def signal_types(arr: Column, none: str = "—") -> Column:
     return F.when(F.size(arr) > 0, j).otherwise(F.lit(none))
 
 
-def signals_long(df: DataFrame, key: str, col: str = "signals") -> DataFrame:
-    """One row per signal with its ordinal (long form for roll-ups)."""
-    return df.select(key, F.posexplode(col).alias("ord", "s")).select(
-        key, "ord", "s.signal_type", "s.extracted_text", "s.significance", "s.context_explanation")
-
-
 def rollup_by_type(df: DataFrame, col: str = "signals") -> DataFrame:
     """Count of signals per type and significance (partial aggregation)."""
     return (df.select(F.explode(col).alias("s"))

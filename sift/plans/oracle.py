@@ -681,7 +681,8 @@ FROM (SELECT f1 FROM rep WHERE class = 'weighted avg') w, (SELECT precision FROM
 @oracle("error_patterns")
 def _():
     return _pred_cte() + """
-SELECT true_label, pred_label, COUNT(*) AS n, round(COUNT(*) / greatest((SELECT COUNT(*) FROM pr), 1), 4) AS error_rate
+SELECT true_label, pred_label, COUNT(*) AS n,
+  round((SELECT COUNT(*) FILTER (WHERE true_label <> pred_label) / COUNT(*) FROM pr), 4) AS error_rate
 FROM pr WHERE true_label <> pred_label GROUP BY 1, 2"""
 
 
@@ -943,3 +944,112 @@ WITH e AS (SELECT vec_id, label, sqrt(list_reduce(list_prepend(0.0::DOUBLE, list
 SELECT vec_id, label, round(norm, 6) AS norm,
   round(list_reduce(list_prepend(0.0::DOUBLE, list_transform(embedding, lambda x: (CAST(x AS DOUBLE) / norm) * (CAST(x AS DOUBLE) / norm))), lambda a, b: a + b), 6) AS unit_norm_sq
 FROM e"""
+
+
+@oracle("annotated_snapshot")
+def _():
+    return f"""WITH a AS ({DV.ANNOTATED_SQL}) SELECT text_id, topic, {_label_sql()} AS label, array_to_string(toxicity, ',') AS toxicity, sha256(text) AS text_hash FROM a"""
+
+
+@oracle("corpus_csv")
+def _():
+    return _ranked_cur() + """
+SELECT text_id, cur.label, CASE WHEN rn <= round(0.2 * n_c) THEN 'test' ELSE 'train' END AS split, topic, toxicity_agg, text_hash, sha256(text) AS raw_hash
+FROM cur JOIN rk USING (text_id)"""
+
+
+@oracle("uploads")
+def _():
+    blank = Q.strip_u("text")
+    return f"""
+WITH l AS (SELECT {Q.strip_u('x')} AS x FROM (SELECT unnest(string_split_regex(text, '\\r\\n|\\n|\\r')) AS x FROM documents)),
+u AS (SELECT 'cells' AS source, text FROM documents WHERE {blank} <> '' UNION ALL SELECT 'lines', x FROM l WHERE x <> '')
+SELECT source, sha256(text) AS text_hash, COUNT(*) AS n FROM u GROUP BY 1, 2"""
+
+
+@oracle("forum_listing")
+def _():
+    t, b = Q.strip_u("substring(text, 1, 20)"), Q.strip_u("CASE WHEN doc_id % 3 > 0 THEN substring(text, 21, 300) ELSE '' END")
+    return f"""
+WITH p AS (SELECT doc_id, {t} AS t, {b} AS b FROM documents),
+x AS (SELECT doc_id, CASE WHEN b <> '' THEN t || '. ' || b ELSE t END AS text FROM p)
+SELECT 'forum' AS source, CASE WHEN doc_id % 4 > 0 THEN 'https://forum/p/' || doc_id ELSE 'https://forum/new' END AS url,
+  CAST(length(text) AS INTEGER) AS n_chars, sha256(text) AS text_hash FROM x WHERE length(text) > 15"""
+
+
+@oracle("video_comments")
+def _():
+    from sift.functions.text import HTML_TAG_RE
+    body = Q.strip_u(f"regexp_replace('<b>' || role || '</b> ' || substring(text, 1, 200), {Q.q(HTML_TAG_RE)}, '', 'g')")
+    return f"""
+WITH x AS (SELECT conv_id, {body} AS text FROM conversations WHERE conv_id % 7 <> 6)
+SELECT 'video' AS source, 'https://www.youtube.com/watch?v=v' || conv_id AS url, CAST(length(text) AS INTEGER) AS n_chars, sha256(text) AS text_hash
+FROM x WHERE length(text) > 15"""
+
+
+@oracle("script_signals")
+def _():
+    ar = Q.script_mix("text")[1]
+    return f"""
+WITH d AS (SELECT doc_id, substring(text, 1, 400) || repeat(' مرحبا', doc_id % 61) AS text FROM documents),
+s AS (SELECT doc_id, {Q.script_signal(ar)} AS s FROM d)
+SELECT doc_id, CAST(len(s) AS INTEGER) AS n, s[1].extracted_text AS extracted, s[1].significance AS significance FROM s"""
+
+
+@oracle("title_body")
+def _():
+    from sift.functions.text import HTML_TAG_RE
+    t = Q.strip_u("regexp_extract(html, '<title>([^<]*)</title>', 1)")
+    b = Q.strip_u(f"regexp_replace(html, {Q.q(HTML_TAG_RE)}, '', 'g')")
+    return f"""
+WITH x AS (SELECT page_id, {t} AS t, {b} AS b FROM pages), y AS (SELECT page_id, CASE WHEN b <> '' THEN t || '. ' || b ELSE t END AS x FROM x)
+SELECT page_id, CAST(length(x) AS INTEGER) AS n_chars, sha256(x) AS text_hash FROM y"""
+
+
+@oracle("flat_briefs")
+def _():
+    digest = "'''a'' (AMAN); ''b'' (TINGGI); ''c'' (AMAN); ''d'' (WASPADA); ''e'' (AMAN)'"
+    return _deep_cte("documents", "doc_id", ", signals") + f"""
+SELECT doc_id, label, {Q.confidence('pr')} AS confidence, round({Q.entropy('pr')}, 4) AS entropy, risk_score,
+  CASE WHEN risk_score <= 30 THEN 'low' WHEN risk_score <= 60 THEN 'medium' ELSE 'high' END AS risk_band,
+  CASE recommendation WHEN 'ARCHIVE' THEN 'ARSIP' WHEN 'MONITOR' THEN 'PANTAU' WHEN 'ESCALATE' THEN 'ESKALASI' ELSE recommendation END AS shown,
+  'summary ' || doc_id AS summary,
+  CASE WHEN doc_id % 2 = 0 THEN note ELSE note || chr(10) || chr(10) || '[Key phrases: ' || {digest} || ']' END AS ambiguity,
+  CAST(len(signals) AS INTEGER) AS n_signals FROM f WHERE parse_ok"""
+
+
+@oracle("seeded_shuffle")
+def _():
+    return "SELECT doc_id, lang FROM documents ORDER BY sha256(CAST(doc_id AS VARCHAR) || ':42'), doc_id"
+
+
+@oracle("attached_vectors")
+def _():
+    return """
+WITH e AS (SELECT vec_id, len(embedding) AS dim, CAST(embedding[1] AS DOUBLE) / sqrt(list_sum([CAST(x AS DOUBLE) * CAST(x AS DOUBLE) FOR x IN embedding])) AS u FROM embeddings)
+SELECT doc_id, CAST(dim AS INTEGER) AS dim, round(u, 6) AS first FROM documents LEFT JOIN e ON vec_id = doc_id"""
+
+
+@oracle("layout_fallback")
+def _():
+    return _triage_cte() + " SELECT doc_id, round(u_entropy, 4) AS x, CAST(length(text) AS DOUBLE) AS y, u_label AS label FROM u"
+
+
+@oracle("histogram_max_prob")
+def _():
+    return _pred_cte() + """,
+mm AS (SELECT MIN(max_prob) AS lo, MAX(max_prob) AS hi FROM pr)
+SELECT CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((max_prob - lo) / ((hi - lo) / 20)), 19) END AS INTEGER) AS bin, COUNT(*) AS n
+FROM pr, mm GROUP BY 1"""
+
+
+@oracle("quartiles")
+def _():
+    return _pred_cte() + """
+SELECT correct, round(quantile_cont(entropy, 0.25), 6) AS q1, round(quantile_cont(entropy, 0.5), 6) AS q2, round(quantile_cont(entropy, 0.75), 6) AS q3
+FROM pr GROUP BY correct"""
+
+
+@oracle("error_examples")
+def _():
+    return _pred_cte() + " SELECT doc_id, true_label, pred_label, entropy FROM pr WHERE true_label <> pred_label ORDER BY doc_id LIMIT 5"

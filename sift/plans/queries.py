@@ -823,9 +823,150 @@ def q_pca_2d(spark, sf_dir):
 @query("embedding_norms")
 def q_embedding_norms(spark, sf_dir):
     """Unit-normalised vectors attached to their rows (norm check)."""
-    e = read_table(spark, sf_dir, "embeddings")
-    v = F.col("embedding")
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    unit = F.transform(v, lambda x: x.cast("double") / norm)
-    return e.select("vec_id", "label", F.round(norm, 6).alias("norm"),
-                    F.round(F.aggregate(unit, F.lit(0.0), lambda a, x: a + x * x), 6).alias("unit_norm_sq"))
+    from sift.operators import ml as ML
+    e = ML.unit_vectors(read_table(spark, sf_dir, "embeddings"), "embedding")
+    sq = lambda c: F.aggregate(F.transform(c, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x)
+    return e.select("vec_id", "label", F.round(F.sqrt(sq("embedding")), 6).alias("norm"), F.round(sq("unit"), 6).alias("unit_norm_sq"))
+
+
+# --- Readers over payloads that Spark lands from the tables (A1-A6, A9, E7) --------
+from sift.sources import collect as CO  # noqa: E402
+
+
+@query("annotated_snapshot")
+def q_annotated_snapshot(spark, sf_dir):
+    """A1, A2: the annotated corpus written as a snapshot and read by its schema."""
+    path = scratch_path(spark, "sift-annotated")
+    SF.write_snapshot(DV.annotated_corpus(spark, sf_dir).drop("doc_id"), path)
+    a = SF.read_annotated(spark, path)
+    return C.label_corpus(a).select("text_id", "topic", "label", F.array_join("toxicity", ",").alias("toxicity"), F.sha2("text", 256).alias("text_hash"))
+
+
+@query("corpus_csv")
+def q_corpus_csv(spark, sf_dir):
+    """A3, A4: both splits of the curated corpus written as CSV (newlines, quotes and edge
+    spaces kept), partitioned by split, and read by its schema."""
+    cur = _curated(spark, sf_dir)
+    split = SM.stratified_split(cur.select("text_id", "label"), "label", "text_id", 0.2, DV.SEED).select("text_id", "split")
+    path = scratch_path(spark, "sift-csv")
+    SF.write_corpus(cur.join(split, "text_id"), path, "csv", "split")
+    back = SF.read_corpus_csv(spark, path)
+    return back.select("text_id", "label", "split", "topic", "toxicity_agg", "text_hash", F.sha2("text", 256).alias("raw_hash"))
+
+
+@query("uploads")
+def q_uploads(spark, sf_dir):
+    """A5: each text as an uploaded CSV cell and as lines of an uploaded TXT."""
+    d = DV.documents(spark, sf_dir).select("text")
+    csv, txt = scratch_path(spark, "sift-upload-csv"), scratch_path(spark, "sift-upload-txt")
+    SF.write_corpus(d, csv, "csv")
+    d.select("text").write.text(txt)
+    cells, lines = CO.uploaded_texts(spark, csv, "csv", "cells"), CO.uploaded_texts(spark, txt, "txt", "lines")
+    return cells.unionByName(lines).groupBy("source", F.sha2("text", 256).alias("text_hash")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("forum_listing")
+def q_forum_listing(spark, sf_dir):
+    """A listing per document (title: its first words, selftext: the rest or empty)."""
+    d = DV.documents(spark, sf_dir)
+    child = F.struct(F.struct(F.substring("text", 1, 20).alias("title"), F.when(F.col("doc_id") % 3 > 0, F.substring("text", 21, 300)).alias("selftext"),
+                              F.when(F.col("doc_id") % 4 > 0, F.concat(F.lit("/p/"), F.col("doc_id").cast("string"))).alias("permalink")).alias("data"))
+    path = scratch_path(spark, "sift-listing")
+    d.select(F.to_json(F.struct(F.struct(F.array(child).alias("children")).alias("data"))).alias("value")).write.text(path)
+    posts = CO.forum_listing(spark, path, "https://forum", "https://forum/new")
+    return posts.select("source", "url", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_hash"))
+
+
+@query("video_comments")
+def q_video_comments(spark, sf_dir):
+    """A video per conversation and its turns as comments; videos without an id of their own drop out."""
+    c = read_table(spark, sf_dir, "conversations")
+    vid = F.concat(F.lit("v"), F.col("conv_id").cast("string"))
+    videos, comments = scratch_path(spark, "sift-videos"), scratch_path(spark, "sift-comments")
+    c.select("conv_id").distinct().filter("conv_id % 7 <> 6").select(F.to_json(F.struct(
+        F.struct(vid.alias("videoId")).alias("id"), F.struct(F.lit("t").alias("title")).alias("snippet"))).alias("value")).write.text(videos)
+    text = F.concat(F.lit("<b>"), F.col("role"), F.lit("</b> "), F.substring("text", 1, 200))
+    item = F.struct(F.struct(F.struct(F.struct(text.alias("textDisplay")).alias("snippet")).alias("topLevelComment")).alias("snippet"))
+    c.select(F.to_json(F.struct(vid.alias("video_id"), F.array(item).alias("items"))).alias("value")).write.text(comments)
+    out = CO.comment_threads(spark, videos, comments)
+    return out.select("source", "url", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_hash"))
+
+
+# --- Single operators on texts, briefs and vectors --------------------------------
+
+@query("script_signals")
+def q_script_signals(spark, sf_dir):
+    """C4: documents followed by up to 60 Arabic words."""
+    d = DV.documents(spark, sf_dir).select("doc_id", F.concat(
+        F.substring("text", 1, 400), F.repeat(F.lit(" مرحبا"), (F.col("doc_id") % 61).cast("int"))).alias("text"))
+    s = X.with_script_mix(d, "text", "mix").select("doc_id", SG.script_signal(F.col("mix.ar")).alias("s"))
+    return s.select("doc_id", F.size("s").alias("n"), F.try_element_at("s", F.lit(1))["extracted_text"].alias("extracted"),
+                    F.try_element_at("s", F.lit(1))["significance"].alias("significance"))
+
+
+@query("title_body")
+def q_title_body(spark, sf_dir):
+    """Title and tag-stripped body of every page."""
+    p = read_table(spark, sf_dir, "pages")
+    text = X.title_body(F.regexp_extract("html", "<title>([^<]*)</title>", 1), X.strip_html("html"))
+    return p.select("page_id", F.length(text).alias("n_chars"), F.sha2(text, 256).alias("text_hash"))
+
+
+@query("flat_briefs")
+def q_flat_briefs(spark, sf_dir):
+    """Nested briefs of the escalated documents, flattened, with the shown recommendation and risk band."""
+    d = _deep(spark, sf_dir).filter("parse_ok")
+    brief = F.struct(F.struct(F.col("final_label").alias("label"), F.col("final_confidence").alias("confidence"), F.col("final_entropy").alias("entropy")).alias("classification"),
+                     F.col("risk_score"), F.col("recommendation"), F.col("expert.summary_narrative").alias("summary_narrative"), F.col("ambiguity_notes"),
+                     F.col("signals").alias("signals_detected"))
+    flat = FU.flatten_brief(d.select("doc_id", brief.alias("brief")))
+    return flat.select("doc_id", "label", "confidence", "entropy", "risk_score", S.risk_band("risk_score").alias("risk_band"),
+                       S.shown_recommendation("recommendation").alias("shown"), "summary", "ambiguity", F.size("signals").alias("n_signals"))
+
+
+@query("seeded_shuffle")
+def q_seeded_shuffle(spark, sf_dir):
+    """Every document in seeded order."""
+    return SM.seeded_shuffle(DV.documents(spark, sf_dir).select("doc_id", "lang"), "doc_id", DV.SEED)
+
+
+@query("attached_vectors")
+def q_attached_vectors(spark, sf_dir):
+    """Unit vectors attached to documents by id; documents without one keep a null."""
+    from sift.operators import ml as ML
+    e = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    out = ML.attach_vectors(DV.documents(spark, sf_dir).select("doc_id"), e, "doc_id", "vec_id")
+    return out.select("doc_id", F.size("unit").alias("dim"), F.round(F.element_at("unit", 1), 6).alias("first"))
+
+
+@query("layout_fallback")
+def q_layout_fallback(spark, sf_dir):
+    """D11 without vectors: entropy against text length, with the label."""
+    from sift.operators import ml as ML
+    return ML.layout_2d(_triage_docs(spark, sf_dir), "doc_id").select("doc_id", "x", "y", "label")
+
+
+@query("pca_variance")
+def q_pca_variance(spark, sf_dir):
+    """Share of the variance of each of the two components."""
+    from sift.operators import ml as ML
+    _, model = ML.pca_2d(read_table(spark, sf_dir, "embeddings"), "embedding")
+    return spark.createDataFrame([(i + 1, round(float(v), 6)) for i, v in enumerate(model.explainedVariance)], "component int, ratio double")
+
+
+@query("histogram_max_prob")
+def q_histogram_max_prob(spark, sf_dir):
+    """20-bin histogram of the highest probability."""
+    return EV.histogram(_pred(spark, sf_dir), "max_prob", None, 20)
+
+
+@query("quartiles")
+def q_quartiles(spark, sf_dir):
+    """quartiles of the entropy by correctness."""
+    return EV.quartiles(_pred(spark, sf_dir), "entropy", "correct")
+
+
+@query("error_examples")
+def q_error_examples(spark, sf_dir):
+    """the first five wrong predictions."""
+    return EV.error_examples(_pred(spark, sf_dir), "doc_id", 5).select("doc_id", "true_label", "pred_label", "entropy")

@@ -31,7 +31,9 @@ def write_corpus(df: DataFrame, path: str, fmt: str = "parquet", partition_by: s
     if partition_by:
         w = w.partitionBy(partition_by)
     if fmt == "csv":
-        w.option("header", True).option("escape", '"').csv(path)
+        # spaces at the edges of texts are kept
+        (w.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+         .option("ignoreTrailingWhiteSpace", False).csv(path))
     else:
         w.parquet(path)
 
