@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,6 +48,11 @@ def read_report(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def counts_map(df: DataFrame, key: str, value: str) -> Column:
+    """Aggregate expression: ``{key: value}`` map over the frame (for A12)."""
+    return F.map_from_entries(F.collect_list(F.struct(F.col(key).cast("string"), F.col(value))))
+
+
 def media_inventory(spark: SparkSession, root: str, extensions=("wav", "mp3", "m4a", "flac", "ogg")) -> DataFrame:
     """Files under ``root`` whose lower-cased extension is allowed
     (path, name, length). Only metadata is read (content column dropped)."""
