@@ -45,6 +45,23 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in low])
 
 
+def row_hash(df: DataFrame) -> Column:
+    """Hash of a whole row; columns that hold maps, which have no hash, go by their JSON."""
+    return F.xxhash64(*[F.to_json(F.struct(c)) if "map<" in t else F.col(c) for c, t in df.dtypes])
+
+
+def packed(df: DataFrame, *needed: str) -> DataFrame:
+    """The ``needed`` columns, and all others in one struct ``__rest``: an operator that adds
+    columns then meets none of the same name, and carries columns of any type."""
+    rest = [c for c in df.columns if c not in needed]
+    return df.select(*needed, (F.struct(*rest) if rest else F.lit(None).cast("int")).alias("__rest"))
+
+
+def unpacked(df: DataFrame, columns: list[str], *needed: str) -> DataFrame:
+    """``columns`` of a frame made by ``packed`` with the same ``needed``, in their order."""
+    return df.select(*[F.col(c) if c in needed else F.col("__rest")[c].alias(c) for c in columns])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -48,7 +48,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sift.llm.common import MIN_LONG, materialize, order_key, partitions, word_hash
+from sift.llm.common import MIN_LONG, materialize, order_key, partitions, row_hash, word_hash
 
 WIDTH = 5
 NUM, DEN = 3, 4  # similarity of at least 3 / 4
@@ -60,11 +60,12 @@ STEP_CHARS = 2_000_000
 SEEN = 200_000  # sets that a task remembers to have written
 SIG_BITS = 2048
 SKETCH = 32
+LIKELY = 18  # places in which the sketches of a pair agree that is tried early; similar sets agree in 24 on average
 ROUNDS = 3
 ROUND_KEYS = 4  # rounds look at one key in so many
 WANTED_SLOTS = 1 << 20  # bounds the broadcast that tells whose hashes are needed
 TILE_BYTES = 4 << 20  # of whole sets in a tile, which has TILE rows at most
-CLUSTER = 64  # tiles of whole sets that a cluster may have
+CLUSTER = 4  # tiles of whole sets that a cluster may have
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -175,11 +176,11 @@ class _Frequent:
         return self.keys[at].view(np.int64), self.counts[at]
 
 
-SURVEY = "k long, h long, n int, node long, at long, bits binary, sig binary, mini binary, hashes binary, shingle long, count long"
+SURVEY = "k long, h long, n int, node long, at long, mini binary, hashes binary, shingle long, count long"
 
 
 def _survey(batches):
-    """The only pass over texts: (k, h, n, node) of each, with a number of its own, signatures and the
+    """The only pass over texts: (k, h, n, node) of each, with a number of its own, a sketch and the
     sorted hashes for sets that are new to the task; at a task's end (shingle, count) of frequent ones."""
     often, seen = _Frequent(), set()
     at = TaskContext.get().partitionId() << 33  # stored with the rows, so it stays as it is
@@ -188,7 +189,7 @@ def _survey(batches):
         ks, hs, texts = b.column(0), b.column(1), b.column(2)
         texts = [t.as_py() for t in texts]
         for lo, hi in _in_steps(texts):
-            n, node, own, bits, sig, mini, hashes = [], [], [], [], [], [], []
+            n, node, own, mini, hashes = [], [], [], [], []
             for t in texts[lo:hi]:
                 s = shingles(t)
                 often.add(s)
@@ -203,17 +204,15 @@ def _survey(batches):
                 at += 1
                 own.append(at if new else None)
                 mini.append(sketch(s) if new else None)
-                bits.append(bitmap(s) if new else None)
-                sig.append(bitmap(s, SIG_BITS) if new else None)
                 hashes.append(s.tobytes() if new else None)
             size = hi - lo
             yield pa.RecordBatch.from_arrays(
                 [ks.slice(lo, size), hs.slice(lo, size), pa.array(n, pa.int32()), pa.array(node, pa.int64()), pa.array(own, pa.int64()),
-                 pa.array(bits, pa.binary()), pa.array(sig, pa.binary()), pa.array(mini, pa.binary()), pa.array(hashes, pa.binary()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64())], names)
+                 pa.array(mini, pa.binary()), pa.array(hashes, pa.binary()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64())], names)
     word_hash.clear()  # the worker goes on to other tasks
     keys, counts = often.top()
     size = len(keys)
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 2]
     yield pa.RecordBatch.from_arrays([*(pa.nulls(size, t) for t in kinds), pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], names)
 
 
@@ -298,14 +297,13 @@ def _grid(rows: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(rows), np.uint64).reshape(len(rows), -1)
 
 
-def _bit_filter(batches):
-    """Pairs that the bitmaps allow."""
+def _bitmaps(batches):
+    """(at, hashes) -> (at, bits)."""
     for b in batches:
-        a, c, na, nb, x, y = (b.column(i) for i in range(6))
-        keep = [bool(may_match(np.frombuffer(p, np.uint64), m, np.frombuffer(q, np.uint64), n))
-                for p, q, m, n in zip(x.to_pylist(), y.to_pylist(), na.to_pylist(), nb.to_pylist())]
-        mask = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays([a.filter(mask), c.filter(mask)], ["a", "b"])
+        for lo in range(0, b.num_rows, 1000):
+            part = b.slice(lo, 1000)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array([bitmap(np.frombuffer(h.as_py(), np.uint64)) for h in part.column(1)], pa.binary())], ["at", "bits"])
 
 
 def _exact_filter(batches):
@@ -359,7 +357,7 @@ def _tiles(batches):
 
 def best_partners(label: np.ndarray, mini: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For the rows outside a group's largest component: (row, partner, agreement) of the row of
-    another component whose sketch agrees most."""
+    another component whose sketch agrees most, if it agrees much."""
     _, inverse, n = np.unique(label, return_inverse=True, return_counts=True)
     rows = np.nonzero(inverse != n.argmax())[0]
     partner, best = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
@@ -370,7 +368,8 @@ def best_partners(label: np.ndarray, mini: np.ndarray) -> tuple[np.ndarray, np.n
         agree[label[some][:, None] == label[None, :]] = -1
         partner[lo:lo + step] = at = agree.argmax(1)
         best[lo:lo + step] = agree[np.arange(len(some)), at]
-    return rows, partner, best
+    likely = best >= LIKELY
+    return rows[likely], partner[likely], best[likely]
 
 
 def _partners(batches):
@@ -442,12 +441,12 @@ def _clusters(batches):
     def compare(rows):
         side = np.array([r[3] for r in rows])
         node, size, label = (np.array([r[k] for r in rows], np.int64) for k in (4, 5, 6))
-        sig = np.frombuffer(b"".join(r[7] for r in rows), np.uint64).reshape(len(rows), -1)
+        sig = np.frombuffer(b"".join(bitmap(np.frombuffer(r[7], np.uint64), SIG_BITS) for r in rows), np.uint64).reshape(len(rows), -1)
         left = np.nonzero(side == 0)[0]
         right = left if rows[0][1] == rows[0][2] else np.nonzero(side == 1)[0]
         if not len(left) or not len(right) or DEN * size[left].max() < NUM * size[right].min():
             return [], []
-        return joined_links(node, label, size, sig, [r[8] for r in rows], left, right)
+        return joined_links(node, label, size, sig, [r[7] for r in rows], left, right)
 
     rows, key, a, b = [], None, [], []
     for batch in batches:
@@ -479,7 +478,7 @@ class _Join:
         survey = materialize(self.texts.select("k", text_hash("text").alias("h"), "text").mapInArrow(_survey, SURVEY), "survey")
         self.rows = survey.filter(F.col("k").isNotNull()).select("k", "h", "n", "node")
         # every node has a row with its hashes in some task, or in several: one of them carries it
-        self.carriers = survey.filter(F.col("hashes").isNotNull()).select("node", "at", "n", "bits", "sig", "mini", "hashes")
+        self.carriers = survey.filter(F.col("hashes").isNotNull()).select("node", "at", "mini", "hashes")
         self.nodes = materialize(survey.filter(F.col("node").isNotNull()).groupBy("node").agg(
             F.min("at").alias("at"), F.min("k").alias("k"), F.min("n").alias("n")), "nodes")
         total = self.rows.agg(F.sum("n")).first()[0] or 0
@@ -510,10 +509,6 @@ class _Join:
         side = lambda c: held.select(F.col("at").alias(f"{c}_at"), *[F.col(x).alias(f"{c}_{x}") for x in cols])
         return named.join(side("b"), "b_at").join(side("a"), "a_at")
 
-    def allowed(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that the bitmaps allow."""
-        return self.sides(pairs, "n", "bits").select("a", "b", "a_n", "b_n", "a_bits", "b_bits").mapInArrow(_bit_filter, "a long, b long")
-
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of similar sets."""
         return materialize(self.sides(pairs, "hashes").select("a", "b", "a_hashes", "b_hashes").mapInArrow(_exact_filter, "a long, b long"), "links")
@@ -568,9 +563,9 @@ class _Join:
         pair = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(
             F.least(F.col("t"), o).alias("lo"), F.greatest(F.col("t"), o).alias("hi"), (F.col("t") > o).cast("int").alias("side")))
         some = materialize(some, "cluster-rows")
-        some = some.join(self.carried(some.select("at"), "sig", "hashes"), "at")
-        found = (some.select("cluster", F.explode(pair).alias("p"), "node", "size", "label", "sig", "hashes")
-                 .select("cluster", "p.lo", "p.hi", "p.side", "node", "size", "label", "sig", "hashes")
+        some = some.join(self.carried(some.select("at"), "hashes"), "at")
+        found = (some.select("cluster", F.explode(pair).alias("p"), "node", "size", "label", "hashes")
+                 .select("cluster", "p.lo", "p.hi", "p.side", "node", "size", "label", "hashes")
                  .repartition(self.p, "cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "side", "size", "node")
                  .mapInArrow(_clusters, "a long, b long"))
         large = cluster.filter(F.col("m") > CLUSTER).select("node")
@@ -596,10 +591,10 @@ class _Join:
         rows = (rows.select("key", "node", "size", "label", F.explode(pair).alias("at"))
                 .select("key", "at.lo", "at.hi", "at.side", "node", "size", "label").join(self.nodes.select("node", "at"), "node"))
         rows = materialize(rows, "tile-rows")
-        rows = rows.join(self.carried(rows.select("at"), "bits"), "at").select("key", "lo", "hi", "side", "node", "size", "label", "bits")
+        rows = rows.join(self.carried(rows.select("at"), "hashes").mapInArrow(_bitmaps, "at long, bits binary"), "at").select("key", "lo", "hi", "side", "node", "size", "label", "bits")
         found = (rows.repartition(self.p, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "side", "size", "node")
                  .mapInArrow(_tiles, "a long, b long").distinct().join(done, ["a", "b"], "left_anti"))
-        return materialize(found.union(self.allowed(two)).distinct(), "rest")
+        return materialize(found.union(two).distinct(), "rest")
 
     def run(self) -> tuple[DataFrame, DataFrame]:
         members = self.members()
@@ -647,3 +642,28 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     real = lambda c: F.when(F.col(c) != MIN_LONG, F.col(c))
     return out.select(real("k").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "node",
                       real("component").alias("component_id"), "label", F.col("h").alias("text_hash")), links
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: the smallest id (nulls first), of equal ids the
+    smallest hash of the text, of rows equal in both any one of the least row hash; texts without words all stay."""
+    rows, _ = jaccard_join(docs.select(id_col, text_col), id_col, text_col)
+    rows = rows.select(order_key(id_col).alias("k"), F.col("text_hash").alias("h"), "n_shingles", "label")
+    worded = rows.filter("n_shingles > 0")
+    low = worded.groupBy("label").agg(F.min("k").alias("k"))
+    least = worded.join(low, ["label", "k"]).groupBy("label", "k").agg(F.min("h").alias("h"))
+    least = materialize(least.select("k", "h", F.lit(True).alias("worded")), "least")
+    keep = least.union(rows.filter("n_shingles = 0").select("k", "h", F.lit(False)).distinct()).toDF("__k", "__h", "__worded")
+    cols = docs.columns
+    marked = docs.select(F.struct(*cols).alias("__row"), order_key(id_col).alias("__k"), text_hash(text_col).alias("__h"), row_hash(docs).alias("__all"))
+    kept = marked.join(keep, marked["__k"].eqNullSafe(keep["__k"]) & marked["__h"].eqNullSafe(keep["__h"])).select("__row", marked["__k"], marked["__h"], "__all", "__worded")
+    kept = materialize(kept, "kept")
+    several = kept.filter("__worded").groupBy("__k", "__h").agg(F.count("*").alias("n"), F.min("__all").alias("__all"))
+    if not several.filter("n > 1").limit(1).count():
+        return kept.select("__row.*")
+    # rows of one id and text: the least row hash, once (null text has no words, so keys are not null)
+    one = kept.filter("__worded").join(several.select("__k", "__h", "__all"), ["__k", "__h", "__all"])
+    first = one.withColumn("__at", F.monotonically_increasing_id())
+    first = materialize(first, "kept-again")
+    first = first.join(first.groupBy("__k", "__h").agg(F.min("__at").alias("__at")), ["__k", "__h", "__at"])
+    return first.select("__row.*").unionByName(kept.filter("NOT __worded").select("__row.*"))

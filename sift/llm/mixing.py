@@ -20,8 +20,9 @@ reruns agree whatever the partitions.
 Defined results: a null or empty text has size 0 and takes part with 0 words;
 the null source is a source; null ids are documents (ordered first); repeated
 rows are documents each. Equal sizes and ids are ordered by size. An empty
-table gives no rows. A hot source is spread over all buckets; only narrow rows
-are shuffled.
+table gives no rows. Further columns, of any name and type, go through ``apply_mix``. A hot source
+is spread over all buckets, wholly equal rows are one row with a count; only narrow rows
+are shuffled for the rounding.
 """
 
 from __future__ import annotations
@@ -33,13 +34,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sift.llm.common import GAP, materialize, order_key, partitions
+from sift.llm.common import GAP, materialize, order_key, partitions, row_hash
 
 WEIGHTS = (5, 2, 1)
 GROUP_ROWS = 1024  # documents a bucket, all sources together
 FAN_IN = 6  # 2**6 buckets meet in one of the next level
+CHUNK = 100_000  # equal rows that a task writes out
+SALTS = 16
 ROWS = ("src string, bucket long, k long, id long, tag long, size long, source_size long, target double, "
-        "whole int, p double, copies int")
+        "whole int, m long, plus long, p double, copies int")
 
 
 def word_count(text: Column) -> Column:
@@ -52,12 +55,12 @@ def word_count(text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, cap: float = 3.0, weights: tuple = WEIGHTS) -> DataFrame:
-    """``src, source_size, target`` from rows of ``src, size``."""
+    """``src, source_size, target`` from rows of ``src, size``, ``m`` times each."""
     spark = sizes.sparkSession
     n = partitions(spark)
     # A global rank: ranges in order, numbered inside each, plus the rows of the ranges before.
     ranked = materialize(
-        sizes.groupBy("src").agg(F.sum("size").alias("source_size")).withColumn("last", F.col("src").isNull())
+        sizes.groupBy("src").agg(F.sum(F.col("size") * F.col("m")).alias("source_size")).withColumn("last", F.col("src").isNull())
         .repartitionByRange(n, "last", "src").sortWithinPartitions("last", "src")
         .withColumn("at", F.monotonically_increasing_id()), "sources")
     ranges = ranked.groupBy(F.shiftright("at", 33).alias("range")).agg(F.count("*").alias("n")).orderBy("range").collect()
@@ -153,21 +156,26 @@ def _round(rows: DataFrame, seed: int, final: bool) -> DataFrame:
             .sortWithinPartitions("src", "bucket", "k", "size", "tag", "p").mapInArrow(run, ROWS))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        cap: float = 3.0, weights: tuple = WEIGHTS, seed: int = 7) -> DataFrame:
-    """``id, tag, source, size, source_size, target, copies`` of every document;
-    ``tag`` is a hash of the text that tells rows of one id apart."""
-    narrow = materialize(docs.select(
+def mix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+               cap: float = 3.0, weights: tuple = WEIGHTS, seed: int = 7) -> DataFrame:
+    """``k, id, tag, source, size, source_size, target, m, whole, plus`` of every group of ``m`` wholly
+    equal rows (``tag`` is their hash): ``plus`` of them are taken ``whole`` + 1 times, the others
+    ``whole`` times. Equal rows are alike, so their fractions are summed: whole ones are taken, and one
+    row stands for the rest in the rounding."""
+    narrow = docs.select(
         F.col(source_col).cast("string").alias("src"), F.col(id_col).cast("long").alias("id"), order_key(id_col).alias("k"),
-        F.xxhash64(F.col(text_col)).alias("tag"), word_count(F.col(text_col)).alias("size")), "narrow")
+        row_hash(docs).alias("tag"), word_count(F.col(text_col)).alias("size"))
+    narrow = materialize(narrow.groupBy("src", "id", "k", "tag", "size").agg(F.count(F.lit(1)).alias("m")), "narrow")
     targets = source_targets(narrow, cap, weights)
     n = narrow.count()
     bits = max(0, math.ceil(math.log2(max(1, n / GROUP_ROWS))))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rows = (narrow.alias("d").join(targets.alias("t"), F.col("d.src").eqNullSafe(F.col("t.src")))
-            .select(F.col("d.src").alias("src"), F.pmod(F.xxhash64("k", "tag", F.lit(seed)), F.lit(1 << bits)).alias("bucket"),
-                    "k", "id", "tag", "size", "source_size", "target", F.floor(rate + 1e-9).cast("int").alias("whole"),
-                    F.greatest(F.lit(0.0), rate - F.floor(rate + 1e-9)).alias("p"), F.lit(None).cast("int").alias("copies")))
+    rows = narrow.alias("d").join(targets.alias("t"), F.col("d.src").eqNullSafe(F.col("t.src"))).select(
+        F.col("d.src").alias("src"), F.pmod(F.xxhash64("k", "tag", F.lit(seed)), F.lit(1 << bits)).alias("bucket"),
+        "k", "id", "tag", "size", "m", "source_size", "target", F.floor(rate + 1e-9).cast("int").alias("whole"),
+        F.when(F.col("size") > 0, F.greatest(F.lit(0.0), rate - F.floor(rate + 1e-9))).otherwise(F.lit(0.0)).alias("f"))
+    rows = rows.withColumn("plus", F.floor(F.col("m") * F.col("f") + 1e-9).cast("long"))
+    rows = rows.withColumn("p", F.greatest(F.lit(0.0), F.col("m") * F.col("f") - F.col("plus"))).withColumn("copies", F.lit(None).cast("int")).drop("f")
     done = None
     while True:
         level = materialize(_round(rows, seed, bits == 0), "level")
@@ -178,17 +186,40 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         rows = level.filter(F.col("copies").isNull()).withColumn("bucket", F.shiftright("bucket", FAN_IN))
         bits = max(0, bits - FAN_IN)
         seed += 1
-    return done.select("id", "tag", F.col("src").alias("source"), "size", "source_size", "target", "copies")
-
-
-def apply_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each document as many times as the mix takes it, with its columns."""
-    # rows equal in id and text are numbered on both sides
-    key = [order_key(id_col).alias("__k"), F.xxhash64(F.col(text_col)).alias("__tag")]
-    w = Window.partitionBy("__k", "__tag")
-    left = docs.select("*", *key)
-    left = left.withColumn("__n", F.row_number().over(w.orderBy(F.xxhash64(*docs.columns))))
-    right = mixed.select(F.coalesce("id", F.lit(-2**63)).alias("__k"), F.col("tag").alias("__tag"), "copies")
-    right = right.withColumn("__n", F.row_number().over(w.orderBy("copies"))).filter("copies > 0")
-    return (left.join(right, ["__k", "__tag", "__n"])
-            .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(c) for c in docs.columns]))
+    return done.select("k", "id", "tag", F.col("src").alias("source"), "size", "source_size", "target", "m", "whole",
+                       (F.col("plus") + F.col("copies") - F.col("whole")).alias("plus"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+        cap: float = 3.0, weights: tuple = WEIGHTS, seed: int = 7) -> DataFrame:
+    """``id, tag, source, size, source_size, target, copies`` of every document."""
+    groups = mix_groups(docs, id_col, text_col, source_col, cap, weights, seed)
+    # rows of a large group are written out by several tasks
+    part = groups.withColumn("c", F.explode(F.expr(f"sequence(0L, (m - 1) div {CHUNK})")))
+    if groups.filter(F.col("m") > CHUNK).limit(1).count():
+        part = part.repartition(partitions(docs.sparkSession), "k", "tag", "c")
+    row = F.explode(F.expr(f"sequence(c * {CHUNK} + 1, least(m, (c + 1) * {CHUNK}))"))
+    return part.withColumn("i", row).select("id", "tag", "source", "size", "source_size", "target",
+                                            (F.col("whole") + (F.col("i") <= F.col("plus")).cast("int")).alias("copies"))
+
+
+def apply_mix(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Each document as many times as ``mix_groups`` of the same frame takes it, with
+    its columns. Only rows that are wholly equal to others are numbered: within their input partition, plus the rows of the
+    partitions before, so that no task gets all of a large group."""
+    cols = docs.columns
+    row = docs.select(F.struct(*cols).alias("row"), order_key(id_col).alias("k"), row_hash(docs).alias("tag"), F.spark_partition_id().alias("part"))
+    single = groups.filter("m = 1").select("k", "tag", (F.col("whole") + F.col("plus")).cast("int").alias("copies"))
+    taken = row.join(single.filter("copies > 0"), ["k", "tag"]).select("row", "copies")
+    if groups.filter("m > 1").limit(1).count():
+        many = groups.filter("m > 1").select("k", "tag", "whole", "plus", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        salted = row.withColumn("salt", F.col("part") % SALTS)
+        # stored, so that the numbers of the two reads agree
+        again = materialize(salted.join(many, ["k", "tag", "salt"]).drop("salt"), "repeated")
+        before = Window.partitionBy("k", "tag").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+        start = again.groupBy("k", "tag", "part").agg(F.count(F.lit(1)).alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        within = F.row_number().over(Window.partitionBy("k", "tag", "part").orderBy(F.lit(0)))
+        numbered = again.withColumn("i", within).join(start.select("k", "tag", "part", "start"), ["k", "tag", "part"])
+        copies = (F.col("whole") + (F.col("start") + F.col("i") <= F.col("plus")).cast("int")).alias("copies")
+        taken = taken.unionByName(numbered.select("row", copies).filter("copies > 0"))
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")

@@ -9,7 +9,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from sift.llm import bpe, imatch, jaccard, mixing, quality, secrets, sharding, topk, toxicity, warc
+from sift.llm import bpe, common, imatch, jaccard, mixing, quality, secrets, sharding, topk, toxicity, warc
 
 R = random.Random(3)
 VOCAB = ["".join(R.choice("aeioulnrst") for _ in range(R.randint(2, 8))) for _ in range(400)]
@@ -183,7 +183,95 @@ def test_mixing(spark, docs, empty):
         assert abs(taken - target) <= 45 and target <= 3 * size + 1e-9
     assert mixing.mix(docs).count() == len(ROWS) and mixing.mix(empty).count() == 0
     m = mixing.mix(docs)
-    assert mixing.apply_mix(docs, m).count() == sum(r["copies"] for r in m.collect())
+    assert mixing.apply_mix(docs, mixing.mix_groups(docs)).count() == sum(r["copies"] for r in m.collect())
+
+
+def test_mixing_targets_of_capped_sources(spark):
+    """Targets against a plain computation: weights 5, 2, 1 by code point, capped sources, null last."""
+    sizes = {"a": 10, "B": 400, "é": 3, "c": 50, "d": 900, None: 7, "zz": 2000}
+    rows = [(i, "w " * n, src) for i, (src, total) in enumerate(sizes.items()) for n in [total // 5] * 5 + [total % 5]]
+    total, order = sum(sizes.values()), sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    full: set = set()
+    while True:
+        free = total - sum(3 * sizes[s] for s in full)
+        level = free / sum(weight[s] for s in order if s not in full)
+        more = {s for s in order if s not in full and weight[s] * level > 3 * sizes[s]}
+        if not more:
+            break
+        full |= more
+    want = {s: 3 * sizes[s] if s in full else weight[s] * level for s in order}
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(full) > 1
+    for r in got:
+        assert abs(r["target"] - want[r["source"]]) < 1e-6 and r["copies"] <= 3
+
+
+def test_mixing_of_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 100)
+    same = [(None, None, "s")] * 700 + [(5, "many words in this one", "s")] * 900
+    rows = same + [(100 + i, prose(5, i), f"t{i % 3}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    groups = mixing.mix_groups(df)
+    assert groups.count() == 302 and groups.agg(F.sum("m")).first()[0] == len(rows)
+    got = mixing.mix(df).collect()
+    assert len(got) == len(rows)
+    for src in {r["source"] for r in got}:
+        some = [r for r in got if r["source"] == src]
+        assert abs(sum(r["copies"] * r["size"] for r in some) - some[0]["target"]) <= 5
+    stored = common.materialize(df, "test-mix")
+    taken = mixing.apply_mix(stored, mixing.mix_groups(stored)).groupBy("doc_id").count().collect()
+    want: dict = {}
+    for r in got:
+        want[r["id"]] = want.get(r["id"], 0) + r["copies"]
+    assert {r["doc_id"]: r["count"] for r in taken} == {k: v for k, v in want.items() if v}
+
+
+EXTRA = ("copies", "grade", "base", "spans", "__n", "label", "k", "tag", "row", "part", "severity")
+
+
+def test_stages_leave_further_columns_as_they_are(spark, docs, tmpdir_path):
+    import corpus_pipeline
+    spark.createDataFrame([(4, 0)], "doc_id long, toxic int").write.parquet(f"{tmpdir_path}/labels.parquet")
+    plain = [c for c in docs.columns if c in ("doc_id", "text", "lang", "source", "n_chars")]
+    df = docs.select(*plain, *[F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(c) for c in EXTRA],
+                     F.create_map(F.lit("key"), F.col("doc_id")).alias("m"))
+    df = common.materialize(df.union(df.filter("doc_id = 4")), "test-extra")  # a repeated row
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, tmpdir_path)
+        assert out.columns == df.columns and out.dtypes == df.dtypes, name
+        got = out.collect()
+        assert got, name
+        for r in got:
+            at = "-" if r["doc_id"] is None else r["doc_id"]
+            assert all(r[c] == f"{c}:{at}" for c in EXTRA) and r["m"] == {"key": r["doc_id"]}, name
+        df = common.materialize(out, f"test-{name}")
+
+
+def test_pipeline_of_an_empty_table(spark, docs, tmpdir_path):
+    import corpus_pipeline
+    docs.limit(0).write.parquet(f"{tmpdir_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmpdir_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, tmpdir_path).count() == 0
+
+
+def test_pipeline_drops_what_it_should(spark, tmpdir_path):
+    """End to end: a toxic text goes, one of three copies stays, a secret is masked, clean texts stay."""
+    import corpus_pipeline
+    rows = [(i, prose(60, i) + (" vile rotten vile" if i % 5 == 0 else ""), "en", "s") for i in range(200)]
+    copy = prose(80, 999)
+    rows += [(1000, copy, "en", "s"), (1001, copy, "en", "s"), (1002, copy + " tail", "en", "s"), (1003, prose(60, 5000) + " password = hunter2hunter2", "en", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmpdir_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(200)], "doc_id long, toxic int").write.parquet(f"{tmpdir_path}/labels.parquet")
+    docs = common.read(spark, tmpdir_path, "documents")
+    clean = corpus_pipeline.drop_toxic(spark, docs, tmpdir_path)
+    assert {r["doc_id"] for r in clean.collect()} == {r[0] for r in rows if r[0] >= 200 or r[0] % 5}
+    near = corpus_pipeline.drop_near_copies(spark, clean, tmpdir_path)
+    assert {r["doc_id"] for r in near.collect()} == {r[0] for r in rows if (r[0] < 200 and r[0] % 5) or r[0] in (1000, 1003)}
+    masked = corpus_pipeline.redact_secrets(spark, near, tmpdir_path)
+    assert "hunter2hunter2" not in masked.filter("doc_id = 1003").first()["text"]
+    out = corpus_pipeline.run(spark, tmpdir_path)
+    assert out.select("doc_id").distinct().count() > 100 and out.filter("doc_id IN (1001, 1002)").count() == 0
 
 
 def test_pivot_keeps_words():
