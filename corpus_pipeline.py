@@ -2,15 +2,14 @@
 
 1. toxicity: documents whose P(severity grade > 0) reaches the operating point go.
 2. jaccard: of each component of near copies (similarity 0.75 on five-word
-   shingles) the row with the smallest id stays (nulls first; of equal ids, the
-   smallest hash of the text); texts without words all stay.
+   shingles) one row stays (``jaccard.keep_one``); texts without words all stay.
 3. secrets: every secret span is replaced by a mark; no document goes.
 4. mixing: each document appears as often as the mix to target weights takes
    it (0 to 3 times); equal rows are copies.
 5. bpe: token ids of every row.
 
 All stages but the last return the columns of documents; further columns of
-the input pass through. A null text is kept by every filter. SQL cannot
+the input, whatever their names and types, pass through as they are. A null text is kept by every filter. SQL cannot
 express models, random rounding and BPE, so there is no ORACLE_SQL.
 """
 
@@ -23,40 +22,28 @@ from sift.llm import bpe, common, jaccard, mixing, secrets, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.train(docs, common.read(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).filter(F.col("p_toxic") < toxicity.REJECT).select(*docs.columns)
+    model = toxicity.train(docs.select("doc_id", "text"), common.read(spark, sf_dir, "labels"))
+    scored = toxicity.score(common.packed(docs, "doc_id", "text"), model)
+    return common.unpacked(scored.filter(F.col("p_toxic") < toxicity.REJECT), docs.columns, "doc_id", "text")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows, _ = jaccard.jaccard_join(docs)
-    rows = rows.select(common.order_key("doc_id").alias("k"), F.col("text_hash").alias("h"), "n_shingles", "label")
-    # the kept rows by id and text; of rows with words and both equal, one
-    least = rows.filter("n_shingles > 0").groupBy("label").agg(F.min(F.struct("k", "h")).alias("__row"), F.count("*").alias("n"))
-    least = common.materialize(least.select("__row.*", "n"), "least")
-    keep = least.select("k", "h").union(rows.filter("n_shingles = 0").select("k", "h").distinct()).toDF("__k", "__h")
-    kept = docs.withColumn("__k", common.order_key("doc_id")).withColumn("__h", jaccard.text_hash("text"))
-    kept = kept.join(keep, ["__k", "__h"], "left_semi")
-    worded = rows.filter("n_shingles > 0").join(least.filter("n > 1").select("k", "h"), ["k", "h"], "left_semi")
-    again = worded.groupBy("k", "h").count().filter("count > 1")
-    if again.limit(1).count():
-        has_words = F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(common.WORD)
-        row = F.struct(*[F.col(c) for c in docs.columns])
-        one = (kept.filter(has_words).groupBy("__k", "__h").agg(F.min_by(row, F.xxhash64(*docs.columns)).alias("__row"))
-               .select("__row.*"))
-        return one.union(kept.filter(~has_words).select(*docs.columns))
-    return kept.select(*docs.columns)
+    return jaccard.keep_one(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = secrets.redact(secrets.scan(docs, secrets.train(docs)))
-    if "n_chars" in docs.columns:
-        kind = dict(docs.dtypes)["n_chars"]
-        found = found.withColumn("n_chars", F.when(F.size("spans") == 0, F.col("n_chars")).otherwise(F.length("text")).cast(kind))
-    return found.select(*docs.columns)
+    narrow = docs.select("doc_id", "text")
+    found = secrets.redact(secrets.scan(common.packed(docs, "doc_id", "text"), secrets.train(narrow)))
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    cols = {c: F.col("__rest")[c] for c in rest} | {"doc_id": F.col("doc_id"), "text": F.col("text")}
+    if "n_chars" in rest:
+        kind = docs.schema["n_chars"].dataType
+        cols["n_chars"] = F.when(F.size("spans") == 0, cols["n_chars"]).otherwise(F.length("text").cast(kind))
+    return found.select(*[cols[c].alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.apply_mix(docs, mixing.mix(docs))
+    return mixing.apply_mix(docs, mixing.mix_groups(docs))
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
