@@ -42,6 +42,14 @@ CACHED_WORDS = 150_000  # a worker forgets its words beyond this; results do not
 
 # Unicode calls these separators white space for Python, not for the library.
 ODD = re.compile("[\x1c-\x1f]").search
+# Characters that the library's Unicode tables may class or compose in another way: those which
+# Python's tables do not assign, and three marks of another combining class.
+RARE = np.fromiter((unicodedata.category(chr(i)) == "Cn" for i in range(0x110000)), bool, 0x110000)
+RARE[[0x1df6, 0x1e4ec, 0x1e4ed]] = True
+
+
+def has_rare(text: str) -> bool:
+    return bool(RARE[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")].any())
 
 
 def default_path() -> str:
@@ -60,6 +68,16 @@ def byte_symbols() -> list[str]:
     return [out[b] for b in range(256)]
 
 
+def _from_the_end(tokens: dict[str, int]) -> dict:
+    root: dict = {}
+    for text, token in tokens.items():
+        node = root
+        for c in reversed(text):
+            node = node.setdefault(c, {})
+        node[""] = token
+    return root
+
+
 class Vocabulary:
     """Tokens, and which of them can stand next to each other."""
 
@@ -74,7 +92,7 @@ class Vocabulary:
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"]).findall
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.normalizer = json.dumps(spec["normalizer"])
+        self.normalizer, self.split = json.dumps(spec["normalizer"]), json.dumps(split)
         # Python's own normalisation is used where it does the same
         self.plain = ({"type": "NFC"} in spec["normalizer"]["normalizers"]
                       and spec["normalizer"]["normalizers"][-1] == {"type": "Lowercase"}
@@ -106,14 +124,11 @@ class Vocabulary:
                 whole.add(t)
         self.inner = {s: i for s, i in self.ids.items() if i in whole and not s.endswith(self.suffix)}
         self.final = {s[:-len(self.suffix)]: i for s, i in self.ids.items() if i in whole and s.endswith(self.suffix)}
-        # the longest token that ends in each symbol
-        self.inner_longest: dict[str, int] = {}
-        self.final_longest: dict[str, int] = {}
-        for tokens, longest in ((self.inner, self.inner_longest), (self.final, self.final_longest)):
-            for t in tokens:
-                longest[t[-1]] = max(longest.get(t[-1], 0), len(t))
         self.cache: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
+        self.rare: set[str] = set()  # runs with a character of RARE
+        # tokens by their symbols from the last to the first; "" holds the token that starts there
+        self.inner_ends, self.final_ends = _from_the_end(self.inner), _from_the_end(self.final)
 
     def _first_merge(self, a: int, b: int) -> float:
         """The merge that first joins symbols across the boundary of a and b
@@ -155,18 +170,26 @@ class Vocabulary:
         last: list[int] = []  # of each prefix on the current path: the last token, and where it starts
         start: list[int] = []
         apart, follows, cache = self.apart.get, self.follows, self.cache
-
-        def ending(path: str, tokens: dict, longest: dict) -> tuple[int, int]:
-            """The last token of ``path`` and where it starts."""
-            size = len(path)
-            for at in range(max(0, size - longest[path[-1]]), size):
-                t = tokens.get(path[at:])
+        inner, final = self.inner_ends, self.final_ends
+
+        def ending(path: str, ends: dict) -> tuple[int, int]:
+            """The last token of ``path`` and where it starts: the longest that can follow
+            what stands before it."""
+            found, at = [], len(path)
+            while at:
+                at -= 1
+                ends = ends.get(path[at])
+                if ends is None:
+                    break
+                t = ends.get("")
                 if t is not None:
-                    if not at:
-                        return t, 0
-                    ok = apart(last[at - 1] << 32 | t)
-                    if ok or ok is None and follows(last[at - 1], t):
-                        return t, at
+                    found.append((t, at))
+            for t, at in reversed(found):
+                if not at:
+                    return t, 0
+                ok = apart(last[at - 1] << 32 | t)
+                if ok or ok is None and follows(last[at - 1], t):
+                    return t, at
             raise ValueError("a byte has no token in this vocabulary")
 
         todo = [("", trie)]
@@ -174,7 +197,7 @@ class Vocabulary:
             path, node = todo.pop()
             if path:
                 del last[len(path) - 1:], start[len(path) - 1:]
-                t, at = ending(path, self.inner, self.inner_longest)
+                t, at = ending(path, inner)
                 last.append(t)
                 start.append(at)
             for c, child in node.items():
@@ -182,7 +205,7 @@ class Vocabulary:
                     todo.append((path + c, child))
                     continue
                 for w, s in child:
-                    t, at = ending(s, self.final, self.final_longest)
+                    t, at = ending(s, final)
                     ids = [t]
                     while at:
                         ids.append(last[at - 1])
@@ -190,13 +213,14 @@ class Vocabulary:
                     cache[w] = struct.pack(f"<{len(ids)}I", *ids[::-1])
 
     def _slow_pieces(self, text: str) -> list:
-        """Words (str) and special tokens (int) of any text, by the file's own normalizer and pattern."""
+        """Words (str) and special tokens (int) of any text, by the library's own normalizer and splitter."""
         out: list = []
         for i, part in enumerate(self.at_special.split(text) if self.at_special else [text]):
             if i % 2:
                 out.append(self.special[part])
             elif part:
-                out += self.words(_normalizer(self.normalizer).normalize_str(part))
+                tok = _pieces(self.normalizer, self.split)
+                out += [w for w, _ in tok.pre_tokenizer.pre_tokenize_str(tok.normalizer.normalize_str(part))]
         return out
 
     def _chunks(self, text: str) -> list[str] | None:
@@ -216,9 +240,16 @@ class Vocabulary:
         if len(self.cache) > CACHED_WORDS or len(self.chunks) > 2 * CACHED_WORDS:
             self.cache.clear()
             self.chunks.clear()
+            self.rare.clear()
         every = [self._chunks(t) for t in texts]
-        slow = {i: self._slow_pieces(texts[i]) for i, c in enumerate(every) if c is None}
         new = set().union(*(c for c in every if c is not None)).difference(self.chunks)
+        wide = [c for c in new if not c.isascii()]
+        if wide and has_rare("".join(wide)):
+            self.rare |= {c for c in wide if has_rare(c)}
+        if self.rare:  # texts with such a run go the slow way as they were, before Python normalised them
+            every = [None if c is not None and not self.rare.isdisjoint(c) else c for c in every]
+            new -= self.rare
+        slow = {i: self._slow_pieces(texts[i]) for i, c in enumerate(every) if c is None}
         new = {c: self.words(c) for c in new}
         words = {w for ws in new.values() for w in ws} | {w for ws in slow.values() for w in ws if isinstance(w, str)}
         words.difference_update(self.cache)
@@ -244,14 +275,20 @@ class Names:
 
     def __init__(self, text: str):
         spec = json.loads(text)
-        self.get = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+        by_id = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+        self.names = np.full(max(by_id, default=-1) + 2, None, object)
+        self.names[list(by_id)] = list(by_id.values())
+        self.known = np.array([t is not None for t in self.names])
 
     def decode(self, ids: bytes) -> str:
-        return " ".join(s for s in map(self.get.get, np.frombuffer(ids, "<u4").tolist()) if s is not None)
+        at = np.minimum(np.frombuffer(ids, "<u4"), len(self.names) - 1)  # the last place is no token
+        if not self.known[at].all():
+            at = at[self.known[at]]
+        return " ".join(self.names[at].tolist())
 
 
 _loaded: dict[type, tuple] = {}
-_normalizers: dict = {}
+_normalizers: dict[tuple[str, str], object] = {}
 
 
 def _of(kind: type, text: str):
@@ -262,14 +299,15 @@ def _of(kind: type, text: str):
     return _loaded[kind][1]
 
 
-def _normalizer(spec: str):
-    if spec not in _normalizers:
+def _pieces(normalizer: str, split: str):
+    """The library's normalizer and word splitter, once a worker process."""
+    if (normalizer, split) not in _normalizers:
         from tokenizers import Tokenizer
-        empty = {"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "pre_tokenizer": None,
-                 "post_processor": None, "decoder": None, "normalizer": json.loads(spec),
-                 "model": {"type": "BPE", "vocab": {}, "merges": []}}
-        _normalizers[spec] = Tokenizer.from_str(json.dumps(empty)).normalizer
-    return _normalizers[spec]
+        bare = {"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "pre_tokenizer": json.loads(split),
+                "post_processor": None, "decoder": None, "normalizer": json.loads(normalizer),
+                "model": {"type": "BPE", "vocab": {}, "merges": []}}
+        _normalizers[normalizer, split] = Tokenizer.from_str(json.dumps(bare))
+    return _normalizers[normalizer, split]
 
 
 def _steps(sizes):

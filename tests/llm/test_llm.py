@@ -6,6 +6,8 @@ import random
 import re
 import zlib
 
+import numpy as np
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,6 +169,28 @@ def test_secrets(spark, docs):
     assert red[77].count("[SECRET]") == 4 and "abcd1234EF" not in red[77] and red[0] is None and red[8] == LONG
 
 
+def test_bpe_equals_the_library_on_every_code_point():
+    """In three surroundings, and ids outside the vocabulary."""
+    from tokenizers import Tokenizer
+    path = bpe.default_path()
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    ours, names = bpe.Vocabulary(text), bpe.Names(text)
+    points = [chr(i) for i in range(0x30000) if not 0xD800 <= i <= 0xDFFF]
+    for lo in range(0, len(points), 10_000):
+        texts = [t for c in points[lo:lo + 10_000] for t in (c, f"ab{c}e\u0301c", f"x {c}1 Y")]
+        got = ours.encode_batch(texts)
+        want = library.encode_batch(texts, add_special_tokens=False)
+        bad = [t for t, g, w in zip(texts, got, want) if np.frombuffer(g, "<u4").tolist() != w.ids]
+        assert not bad, (len(bad), bad[:5])
+    some = [0, 5, 2**32 - 1, 70_000, 100]
+    assert names.decode(np.array(some, "<u4").tobytes()) == library.decode([0, 5, 100], skip_special_tokens=False)
+    assert names.decode(b"") == ""
+
+
 def test_mixing(spark, docs, empty):
     rows = [(i, prose(5 + i % 40, i), f"s{i % 4}" if i % 5 else None) for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
