@@ -103,7 +103,7 @@ class WordHashes(dict):
     """64-bit hashes of words (str or bytes); forgets all beyond a bound."""
 
     def __missing__(self, w):
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[w] = xxhash.xxh3_64_intdigest(w)
         return h

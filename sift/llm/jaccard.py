@@ -61,7 +61,7 @@ SEEN = 200_000  # sets that a task remembers to have written
 SIG_BITS = 2048
 SKETCH = 32
 LIKELY = 18  # places in which the sketches of a pair agree that is tried early; similar sets agree in 24 on average
-ROUNDS = 3
+ROUNDS = 2
 ROUND_KEYS = 4  # rounds look at one key in so many
 WANTED_SLOTS = 1 << 20  # bounds the broadcast that tells whose hashes are needed
 TILE_BYTES = 4 << 20  # of whole sets in a tile, which has TILE rows at most
@@ -157,7 +157,7 @@ class _Frequent:
     def add(self, s):
         self.buffer.append(s)
         self.held += len(s)
-        if self.held > 2_000_000:
+        if self.held > 1_000_000:
             self.fold()
 
     def fold(self):
@@ -176,6 +176,13 @@ class _Frequent:
         return self.keys[at].view(np.int64), self.counts[at]
 
 
+def _slices(batches, rows: int = 256):
+    """Few rows at a time, so that only their texts or sets become Python objects."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 SURVEY = "k long, h long, n int, node long, at long, mini binary, hashes binary, shingle long, count long"
 
 
@@ -185,9 +192,8 @@ def _survey(batches):
     often, seen = _Frequent(), set()
     at = TaskContext.get().partitionId() << 33  # stored with the rows, so it stays as it is
     names = [f.split()[0] for f in SURVEY.split(", ")]
-    for b in batches:
-        ks, hs, texts = b.column(0), b.column(1), b.column(2)
-        texts = [t.as_py() for t in texts]
+    for b in _slices(batches):
+        ks, hs, texts = b.column(0), b.column(1), b.column(2).to_pylist()
         for lo, hi in _in_steps(texts):
             n, node, own, mini, hashes = [], [], [], [], []
             for t in texts[lo:hi]:
@@ -210,6 +216,7 @@ def _survey(batches):
                 [ks.slice(lo, size), hs.slice(lo, size), pa.array(n, pa.int32()), pa.array(node, pa.int64()), pa.array(own, pa.int64()),
                  pa.array(mini, pa.binary()), pa.array(hashes, pa.binary()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64())], names)
     word_hash.clear()  # the worker goes on to other tasks
+    seen.clear()
     keys, counts = often.top()
     size = len(keys)
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 2]
@@ -299,15 +306,13 @@ def _grid(rows: list[bytes]) -> np.ndarray:
 
 def _bitmaps(batches):
     """(at, hashes) -> (at, bits)."""
-    for b in batches:
-        for lo in range(0, b.num_rows, 1000):
-            part = b.slice(lo, 1000)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([bitmap(np.frombuffer(h.as_py(), np.uint64)) for h in part.column(1)], pa.binary())], ["at", "bits"])
+    for b in _slices(batches):
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0), pa.array([bitmap(np.frombuffer(h.as_py(), np.uint64)) for h in b.column(1)], pa.binary())], ["at", "bits"])
 
 
 def _exact_filter(batches):
-    for b in batches:
+    for b in _slices(batches):
         keep = [matches(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64))
                 for p, q in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
         mask = pa.array(keep, pa.bool_())
