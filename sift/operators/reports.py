@@ -70,9 +70,8 @@ def daily_stats(logs: DataFrame, feedback: DataFrame | None, as_of: str) -> Data
                                              F.round(F.avg("entropy"), 4).alias("avg_entropy"),
                                              F.round(F.avg("risk_score"), 1).alias("avg_risk"))
     # The day's total is the sum over the (one row per label) aggregate.
-    fb = feedback.count() if feedback is not None else 0  # one scalar
-    return (per.withColumn("total_today", F.sum("n").over(Window.partitionBy()))
-            .withColumn("feedback_collected", F.lit(fb).cast("long")))
+    collected = F.lit(0).cast("long") if feedback is None else feedback.agg(F.count(F.lit(1))).scalar()  # a scalar subquery
+    return per.select("*", F.sum("n").over(Window.partitionBy()).alias("total_today"), collected.alias("feedback_collected"))
 
 
 def trend(logs: DataFrame, as_of: str, days: int = 7, scheme: LabelScheme = DEFAULT_SCHEME) -> DataFrame:
