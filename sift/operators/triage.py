@@ -34,9 +34,10 @@ def batch_triage(df: DataFrame, scorer: Scorer | None, text_col: str = "text",
     fallback; no scorer: all null). Adds the triage columns next to those of
     ``normalize`` and ``extract_signals``."""
     n = normalize(df, text_col, slang=slang, emoji=emoji)
-    s = extract_signals(n, text_col, ar_col="lang_mix.ar", lexicon=lexicon,
+    # scored before the signals: a later filter on the label then stands below them in the plan
+    s = pinned(scorer(n), PROBS) if scorer is not None else n.withColumn(PROBS, F.lit(None).cast("array<double>"))
+    s = extract_signals(s, text_col, ar_col="lang_mix.ar", lexicon=lexicon,
                         action_patterns=action_patterns, urgency_patterns=urgency_patterns)
-    s = pinned(scorer(s), PROBS) if scorer is not None else s.withColumn(PROBS, F.lit(None).cast("array<double>"))
     u = S.uncertainty(F.col(PROBS), alpha, scheme)
     # One withColumns per stage: every withColumn re-analyses the whole plan.
     return (s.withColumn("u", u)

@@ -20,7 +20,7 @@ from sift.operators.normalize import normalize
 from sift.operators.triage import batch_triage
 from sift.plans import derive as DV
 from sift.schemas import CURATED_COLUMNS
-from sift.session import read_table, scratch_path
+from sift.session import read_table, scratch_path, stored
 
 REGISTRY: dict = {}
 
@@ -390,8 +390,11 @@ def q_radar_log(spark, sf_dir):
     from sift.operators.store import new_log_rows
     from sift.operators.triage import radar_log_rows, sweep_log_rows
     ts, arrival = F.lit(DV.AS_OF).cast("timestamp_ntz"), [F.col("doc_id").alias("arrival")]
-    radar = new_log_rows(radar_log_rows(_deep(spark, sf_dir), ts=ts, keep=arrival), None)
-    sweep = new_log_rows(sweep_log_rows(_triage_docs(spark, sf_dir), ts=ts, keep=arrival), radar)
+    # each batch is written once: picking its winners reads it twice
+    deep = stored(radar_log_rows(_deep(spark, sf_dir), ts=ts, keep=arrival), "sift-radar")
+    swept = stored(sweep_log_rows(_triage_docs(spark, sf_dir), ts=ts, keep=arrival), "sift-sweep")
+    radar = new_log_rows(deep, None)
+    sweep = new_log_rows(swept, radar)
     return radar.unionByName(sweep).select("id", "timestamp", "predicted_label", "risk_score", "confidence", "entropy",
                                            "is_ambiguous", "pipeline_mode", "arrival", F.sha2("input_text", 256).alias("text_sha256"))
 
@@ -778,9 +781,9 @@ def q_union_clean(spark, sf_dir):
 
 @query("train_eval")
 def q_train_eval(spark, sf_dir):
-    """Fit on the balanced training split, report on the test split."""
+    """Fit on the balanced training split of the normalised texts, report on the test split."""
     from sift.operators import ml as ML
-    cur = _curated(spark, sf_dir)
+    cur = _training_corpus(spark, sf_dir)
     split = SM.stratified_split(cur, "label", "text_id", 0.2, DV.SEED)
     train = SM.balanced_sample(split.filter(F.col("split") == "train"), "label", "text_id", 200, DV.SEED,
                                source_col="sample_source")
