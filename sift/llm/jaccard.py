@@ -11,7 +11,8 @@ the components that these links form.
    over all keys is intersected exactly, one a node. This is done ``ROUNDS`` times at most,
    with the components found so far, so a large group of near copies is joined without all of its pairs.
 4. Groups of any key that these links join to one component are done.
-5. Nodes that groups with several components still connect form clusters, which are
+5. In the others, pairs of size-banded tiles are compared by bitmaps; only nodes that these allow to be similar to
+   one of another component stay. Those that a key still connects form clusters, which are
    compared whole: every pair of size-banded tiles is one group of rows, in which bitmap signatures bound
    the overlap of every pair across components (a bit of one set that the other lacks is an element it
    lacks, so bit counts bound the overlap from above) and what passes is intersected exactly,
@@ -65,7 +66,7 @@ ROUNDS = 2
 ROUND_KEYS = 4  # rounds look at one key in so many
 WANTED_SLOTS = 1 << 20  # bounds the broadcast that tells whose hashes are needed
 TILE_BYTES = 4 << 20  # of whole sets in a tile, which has TILE rows at most
-CLUSTER = 4  # tiles of whole sets that a cluster may have
+CLUSTER = 64  # tiles of whole sets that a cluster may have
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -319,8 +320,9 @@ def _exact_filter(batches):
         yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["a", "b"])
 
 
-def _tiles(batches):
-    """Rows sorted by key, tile pair, side -> pairs across components that the bitmaps allow."""
+def _tiles(pairs: bool):
+    """Rows sorted by key, tile pair, side -> pairs across components that the bitmaps allow, or
+    only the nodes of such pairs (at most a row each)."""
     def compare(rows):
         left = [r for r in rows if r[3] == 0]
         right = [r for r in rows if r[3] == 1] if rows[0][1] != rows[0][2] else left
@@ -339,25 +341,31 @@ def _tiles(batches):
                 at = np.nonzero(ok)[0]
                 if len(at):
                     at = at[may_match(np.frombuffer(r[7], np.uint64), r[5], grid[at], n[at])]
+                    if not pairs:
+                        if len(at):
+                            yield from (r[4], *name[at].tolist())
+                        continue
                     for other in name[at].tolist():
                         yield (r[4], other) if r[4] < other else (other, r[4])
 
     def flush(rows):
         found = sorted(set(compare(rows)))
         for i in range(0, len(found), 100_000):
-            a, b = zip(*found[i:i + 100_000])
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            cols = zip(*found[i:i + 100_000]) if pairs else [found[i:i + 100_000]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"] if pairs else ["node"])
 
-    rows, key = [], None
-    for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns)):
-            if row[:3] != key:
-                if rows:
-                    yield from flush(rows)
-                rows, key = [], row[:3]
-            rows.append(row)  # two tiles at most
-    if rows:
-        yield from flush(rows)
+    def run(batches):
+        rows, key = [], None
+        for b in _slices(batches, 1000):
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if row[:3] != key:
+                    if len(rows) > 1:
+                        yield from flush(rows)
+                    rows, key = [], row[:3]
+                rows.append(row)  # two tiles at most
+        if len(rows) > 1:
+            yield from flush(rows)
+    return run
 
 
 def best_partners(label: np.ndarray, mini: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -576,8 +584,8 @@ class _Join:
         large = cluster.filter(F.col("m") > CLUSTER).select("node")
         return materialize(found, "cluster-links"), materialize(rows.drop("label", "hub").join(large, "node", "left_semi"), "large-members")
 
-    def rest(self, members: DataFrame, labels: DataFrame, done: DataFrame) -> DataFrame:
-        """Pairs across components of one key, by tiles, that the bitmaps allow and are not decided yet."""
+    def tile_rows(self, members: DataFrame, labels: DataFrame, done: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(pairs of keys with two nodes, rows of tile pairs of larger keys with bitmaps), of keys with several components."""
         named = self.named(members, labels)
         # a group with one component is done
         who = F.struct("node", "size")
@@ -597,8 +605,18 @@ class _Join:
                 .select("key", "at.lo", "at.hi", "at.side", "node", "size", "label").join(self.nodes.select("node", "at"), "node"))
         rows = materialize(rows, "tile-rows")
         rows = rows.join(self.carried(rows.select("at"), "hashes").mapInArrow(_bitmaps, "at long, bits binary"), "at").select("key", "lo", "hi", "side", "node", "size", "label", "bits")
-        found = (rows.repartition(self.p, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "side", "size", "node")
-                 .mapInArrow(_tiles, "a long, b long").distinct().join(done, ["a", "b"], "left_anti"))
+        return two, rows.repartition(self.p, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "side", "size", "node")
+
+    def open_members(self, members: DataFrame, labels: DataFrame, done: DataFrame) -> DataFrame:
+        """Members that the bitmaps allow to be similar to a node of another component of a common key."""
+        two, rows = self.tile_rows(members, labels, done)
+        nodes = rows.mapInArrow(_tiles(False), "node long").union(two.select("a")).union(two.select("b")).distinct()
+        return materialize(members.join(materialize(nodes, "open"), "node", "left_semi"), "open-members")
+
+    def rest(self, members: DataFrame, labels: DataFrame, done: DataFrame) -> DataFrame:
+        """Pairs across components of one key, by tiles, that the bitmaps allow and are not decided yet."""
+        two, rows = self.tile_rows(members, labels, done)
+        found = rows.mapInArrow(_tiles(True), "a long, b long").distinct().join(done, ["a", "b"], "left_anti")
         return materialize(found.union(two).distinct(), "rest")
 
     def run(self) -> tuple[DataFrame, DataFrame]:
@@ -617,6 +635,7 @@ class _Join:
                 break
             links = links.union(more)
             labels = self.labels(links)
+        members = self.open_members(members, labels, tried)
         more, members = self.clusters(members, labels)
         if more.limit(1).count():
             links = links.union(more)
