@@ -37,7 +37,7 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 from sift.llm.common import without
 
 CHARS = 1_500_000  # texts are taken in steps of so many characters, so that memory is bounded
-CACHED_WORDS = 150_000  # a worker forgets its words beyond this; results do not depend on it
+CACHED_WORDS = 60_000  # a worker forgets its words beyond this; results do not depend on it
 
 
 # Unicode calls these separators white space for Python, not for the library.
@@ -234,15 +234,21 @@ class Vocabulary:
             text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3")
         return text.lower().split()
 
+    def forget(self) -> None:
+        for held in (self.cache, self.chunks, self.rare, self.apart):
+            held.clear()
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text. Words never span white space,
         so the ids of a run between white space are kept, too."""
+        every = [self._chunks(t) for t in texts]
+        runs = set().union(*(c for c in every if c is not None))
         if len(self.cache) > CACHED_WORDS or len(self.chunks) > 2 * CACHED_WORDS:
+            # all is forgotten but the runs that this batch shares with those before, the frequent ones
             self.cache.clear()
-            self.chunks.clear()
             self.rare.clear()
-        every = [self._chunks(t) for t in texts]
-        new = set().union(*(c for c in every if c is not None)).difference(self.chunks)
+            self.chunks = {c: self.chunks[c] for c in runs if c in self.chunks}
+        new = runs.difference(self.chunks)
         wide = [c for c in new if not c.isascii()]
         if wide and has_rare("".join(wide)):
             self.rare |= {c for c in wide if has_rare(c)}
@@ -340,6 +346,7 @@ def encode(df: DataFrame, text_col: str = "text", path: str | None = None) -> Da
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())],
                     [*part.schema.names, "token_ids", "n_tokens"])
+        v.forget()  # the worker goes on to other tasks
 
     return df.mapInArrow(run, schema)
 
