@@ -66,7 +66,7 @@ ROUNDS = 2
 ROUND_KEYS = 4  # rounds look at one key in so many
 WANTED_SLOTS = 1 << 20  # bounds the broadcast that tells whose hashes are needed
 TILE_BYTES = 4 << 20  # of whole sets in a tile, which has TILE rows at most
-CLUSTER = 64  # tiles of whole sets that a cluster may have
+CLUSTER = 8  # tiles of whole sets that a cluster may have
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
