@@ -1,20 +1,18 @@
 """Matching texts with dictionaries of any size.
 
 A needle is a literal, or a pattern with the longest literal that each of its
-matches must hold. Every needle is filed under one gram: the rarest of its
-literal's runs of 4 bytes (the literal itself, if shorter). A text that
-matches a needle holds that gram, so an equi-join on grams finds every
-candidate, and the real test then runs on candidates only. There is no
-nested-loop join and no size limit.
-
-* Gram counts over all texts (65,536 sums) decide which gram of a needle is
-  the rarest, so needles are not filed under grams that most texts hold.
-* Texts give only grams that some needle is filed under, told by a bit table of
-  fixed size (``FILTER_BITS``); with very large dictionaries it lets more
-  grams through, which costs room, never a match.
-* Lookups are salted, as one gram or one text may stand for a third of all rows.
-* Needles without a literal (``\\d+``) are filed under a gram that every text
-  gives: they are compared with every text, as any form must.
+matches must hold. Every needle is filed under one run of bytes: its whole literal,
+or the longest beginning of it whose length ``filed_size`` knows. A text
+that matches a needle holds that run, so the runs of a text find every
+candidate, whose literal is then compared. What else a needle asks is
+tested on those only. There is no nested-loop join and no size limit.
+
+* Texts are matched block by block (``operators.blocks``): a block asks once for each needle
+  that some text of it may hold, so the rows shuffled grow with the texts, not with the hits.
+* A block asks only for runs that some needle is filed under, told by a bit table of
+  16 to 32 bits a needle (``FILTER_BITS`` at most); beyond that it lets more runs
+  through, which costs room, never a match.
+* Needles without a literal (``\\d+``) are candidates of every text, as in any form.
 
 Bytes of UTF-8 are compared, which finds the same literals as characters do.
 """
@@ -29,14 +27,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sift.operators.partitioning import SALTS
+from sift.operators.blocks import in_blocks
+from sift.session import stored
 
 GRAM = 4
-SLOTS = 1 << 16  # counted slots of grams
-FILTER_BITS = 1 << 22
-STEP_BYTES = 4_000_000
-EVERY_TEXT = 0  # the gram of needles without a literal
+FILTER_BITS = 1 << 28
+STEP_BYTES = 1 << 17  # what numpy works on at a time stays in a core's cache
+EVERY_TEXT = 0  # the run of needles without a literal
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0xD1342543DE82EF95
+_PROBES = np.array([1, 0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F], np.uint64)
+PLAIN_BITS = 1 << 24  # tables up to here lie in workers with a byte a bit
+_BYTES = np.random.default_rng(7).integers(0, 2**63, 256, np.int64).view(np.uint64)
 
 
 def required_literal(pattern: str) -> str:
@@ -78,15 +82,6 @@ def required_literal(pattern: str) -> str:
     return max(runs, key=lambda r: len(r.encode("utf-8", "surrogatepass")))
 
 
-def _mix(g: np.ndarray) -> np.ndarray:
-    x = g.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
-
-
-def _slot(g: np.ndarray, n: int) -> np.ndarray:
-    return (_mix(g) & np.uint64(n - 1)).astype(np.int64)
-
-
 def _grams(data: np.ndarray, size: int) -> np.ndarray:
     """The gram at each position: its length and bytes in one number."""
     n = max(0, len(data) - size + 1)
@@ -96,115 +91,217 @@ def _grams(data: np.ndarray, size: int) -> np.ndarray:
     return g
 
 
-def _steps(batch: pa.RecordBatch):
-    """(row, bytes) of the texts of a (key, binary) batch, a few MB at a time:
-    first row, joined bytes, offsets."""
-    texts, lo, held = [], 0, 0
-    for i, t in enumerate(batch.column(1)):
-        texts.append(t.as_py() or b"")
-        held += len(texts[-1])
-        if held > STEP_BYTES:
-            yield lo, texts
-            texts, lo, held = [], i + 1, 0
-    if texts:
-        yield lo, texts
-
-
-def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    data = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64)
-    return data, np.cumsum([0, *map(len, texts)])
-
-
-def _count_slots(batches):
-    total = np.zeros(SLOTS, np.int64)
+def filed_size(n: int) -> int:
+    """The longest known length up to ``n``: up to 16 bytes each, then 24, 32, 48, 64, 96, ..."""
+    if n <= 16:
+        return n
+    step = 1 << (n.bit_length() - 1)
+    return step + step // 2 if n >= step + step // 2 else step
+
+
+def _mixed(h: np.ndarray, size: int) -> np.ndarray:
+    h = (h + np.uint64(size)) * _MIX
+    return (h ^ (h >> np.uint64(29))) * _MIX
+
+
+class _Runs:
+    """Numbers of all runs of a length in joined bytes, by one running sum."""
+
+    powers = np.ones(1, np.uint64)
+    inverse = np.ones(1, np.uint64)
+
+    def __init__(self, data: np.ndarray):
+        n = len(data)
+        if len(_Runs.powers) < n:
+            up = [np.full(2 * n, b, np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+            for u in up:
+                u[0] = 1
+            _Runs.powers, _Runs.inverse = (np.cumprod(u) for u in up)
+        self.data, self.sums = data, np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTES[data] * _Runs.powers[:n], out=self.sums[1:])
+
+    def of(self, size: int) -> np.ndarray:
+        if size <= GRAM:
+            return _mixed(_grams(self.data.astype(np.int64), size).view(np.uint64), size)
+        n = max(0, len(self.data) - size + 1)
+        h = self.sums[size:size + n] - self.sums[:n]
+        h *= _Runs.inverse[:n]
+        return h
+
+
+class _Bits:
+    """A bit table asked at several places of a number (a Bloom filter)."""
+
+    def __init__(self, bits: int, packed: np.ndarray | None = None):
+        self.bits = bits
+        self.packed = np.zeros(bits // 8, np.uint8) if packed is None else packed
+        self.plain = None
+
+    def places(self, h: np.ndarray, probe: int) -> np.ndarray:
+        return ((h * _PROBES[probe] if probe else h) >> np.uint64(65 - self.bits.bit_length())).view(np.int64)
+
+    def add(self, h: np.ndarray):
+        table = np.zeros(self.bits, bool)
+        for probe in range(len(_PROBES)):
+            table[self.places(h, probe)] = True
+        self.packed = np.packbits(table, bitorder="little")
+        return self
+
+    def may_hold(self, h: np.ndarray) -> np.ndarray:
+        if self.plain is None and self.bits <= PLAIN_BITS:
+            self.plain = np.unpackbits(self.packed, bitorder="little").view(bool)
+        found = None
+        for probe in range(len(_PROBES)):
+            at = self.places(h if found is None else h[found], probe)
+            hit = self.plain.take(at) if self.plain is not None else (self.packed.take(at >> 3) >> (at & 7).astype(np.uint8) & 1).view(bool)
+            found = np.flatnonzero(hit) if found is None else found[hit]
+        return found
+
+
+def _steps(texts: pa.Array, most: int):
+    """(first row, joined bytes, offsets) of texts, about ``most`` bytes at a time; a null is empty."""
+    texts = texts.cast(pa.binary()).fill_null(b"")
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + most, "right")) - 1)
+        yield lo, data[ends[lo]:ends[hi]], ends[lo:hi + 1] - ends[lo]
+        lo = hi
+
+
+def _found(data: np.ndarray, ends: np.ndarray, sizes: list[int], table: _Bits):
+    """(size, places, numbers) of the runs that ``table`` may hold and that may lie in one text."""
+    runs = _Runs(data)
+    for size in sizes:
+        h = runs.of(size)
+        at = table.may_hold(h)
+        if len(at):
+            yield size, at, h[at]
+
+
+def _rows(ends: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The text of each place, and whether the run ends in it, too."""
+    row = np.searchsorted(ends, at, "right") - 1
+    return row, at + size <= ends[row + 1]
+
+
+def _file(batches):
+    """(literal, p) -> the number and length of the run that it is filed under, literal, p."""
     for b in batches:
-        for _, texts in _steps(b):
-            data, _ = _joined(texts)
-            total += np.bincount(_slot(_grams(data, GRAM), SLOTS), minlength=SLOTS)
-    at = np.nonzero(total)[0]
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["slot", "n"])
-
-
-def _file(counts: np.ndarray):
-    """literal -> literal, its rarest gram, and that gram's length and place in the bit table."""
+        runs = []
+        for lit in b.column(0).cast(pa.binary()).to_pylist():
+            size = filed_size(len(lit))
+            runs.append((int(_Runs(np.frombuffer(lit[:size], np.uint8)).of(size)[0]) if size else EVERY_TEXT, size))
+        h = np.array([r[0] for r in runs], np.uint64).view(np.int64)
+        places = [(h.view(np.uint64) * x).view(np.int64) for x in _PROBES]
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(h) + 1, dtype=np.int32) * len(places)), pa.array(np.stack(places, 1).ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array([r[1] for r in runs], pa.int32()), lists, b.column(0), b.column(1)],
+                                         ["__h", "size", "place", "literal", "p"])
+
+
+def _wanted(table, bits: int, sizes: list[int], every: bool, most: int):
+    """Each block with the distinct runs of its texts that needles may be filed under."""
     def run(batches):
-        for b in batches:
-            out = []
-            for lit in b.column(0).to_pylist():
-                data = np.frombuffer(lit.encode("utf-8", "surrogatepass"), np.uint8).astype(np.int64)
-                g = _grams(data, min(GRAM, len(data))) if len(data) else np.array([EVERY_TEXT])
-                out.append(int(g[np.argmin(counts[_slot(g, SLOTS)])]))
-            g = np.array(out, np.int64)
-            size = (g[:, None] >> (8 * np.arange(1, GRAM + 1)) > 0).sum(1)  # see _grams
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(g), pa.array(size.astype(np.int32)), pa.array(_slot(g, FILTER_BITS))],
-                                             ["literal", "gram", "size", "at"])
-    return run
+        block, found = None, []
+        bit_table = _Bits(bits, table.value)
 
+        def asked():
+            h = np.unique(np.concatenate(found))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), block, np.int32)), pa.array(h.view(np.int64))], ["__block", "__h"])
 
-def _text_grams(table, sizes: list[int], every: bool):
-    def run(batches):
-        bits = table.value
         for b in batches:
-            for lo, texts in _steps(b):
-                data, ends = _joined(texts)
-                rows, grams = [], []
-                for size in sizes:
-                    g = _grams(data, size)
-                    at = np.nonzero(bits[_slot(g, FILTER_BITS)])[0]
-                    row = np.searchsorted(ends, at, "right") - 1
-                    inside = at + size <= ends[row + 1]
-                    pair = np.unique(np.stack([row[inside], g[at[inside]]]), axis=1)
-                    rows.append(pair[0])
-                    grams.append(pair[1])
-                if every:
-                    rows.append(np.arange(len(texts)))
-                    grams.append(np.full(len(texts), EVERY_TEXT))
-                row = np.concatenate(rows) if rows else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(row + lo)), pa.array(np.concatenate(grams) if grams else row, pa.int64())], ["key", "gram"])
+            at = b.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
+            for lo, hi in zip(edges, edges[1:]):
+                if lo == hi:
+                    continue
+                if at[lo] != block:
+                    if block is not None:
+                        yield asked()
+                    block, found = at[lo], [np.array([EVERY_TEXT] if every else [], np.uint64)]
+                for _, data, ends in _steps(b.column(1).slice(lo, hi - lo), most):
+                    found += [np.unique(h) for _, _, h in _found(data, ends, sizes, bit_table)]
+                    if len(found) > 1000:
+                        found = [np.unique(np.concatenate(found))]
+        if block is not None:
+            yield asked()
     return run
 
 
-def candidates(texts: DataFrame, literals: DataFrame) -> DataFrame:
-    """``key, literal`` of every text that may hold a literal: ``texts`` has
-    ``key`` (long; equal texts share one) and ``low``, ``literals`` distinct,
-    non-null strings ``literal``."""
-    spark = texts.sparkSession
-    binary = texts.select("key", F.col("low").cast("binary").alias("low"))
-    found = binary.mapInArrow(_count_slots, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most SLOTS rows
-    counts = np.zeros(SLOTS, np.int64)
-    counts[found["slot"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
-    filed = literals.select("literal").mapInArrow(_file(counts), "literal string, gram long, size int, at long")
-    words = filed.groupBy(F.shiftright("at", 6).alias("i")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(at & 63 AS int))")).alias("x"),
-        F.bit_or(F.expr("shiftleft(1, size)")).alias("sizes")).toPandas()  # at most FILTER_BITS / 64 rows
-    packed = np.zeros(FILTER_BITS // 64, np.uint64)
-    packed[words["i"].to_numpy(np.int64)] = words["x"].to_numpy(np.int64).view(np.uint64)
-    sizes = int(np.bitwise_or.reduce(words["sizes"].to_numpy(np.int64), initial=0))
-    table = spark.sparkContext.broadcast(np.unpackbits(packed.view(np.uint8), bitorder="little").astype(bool))
-    run = _text_grams(table, [n for n in range(1, GRAM + 1) if sizes >> n & 1], bool(sizes & 1))
-    grams = binary.mapInArrow(run, "key long, gram long").distinct()
-    copies = filed.select("literal", "gram", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    return (grams.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
-            .join(copies, ["gram", "salt"]).select("key", "literal"))
-
-
-def attach(df: DataFrame, key: str, table: DataFrame, value: str) -> DataFrame:
-    """``df`` with ``value`` of ``table`` (one row a ``key``, a hash of a text; else null).
-    Very many rows may share a text, so rows are salted by their partition."""
-    copies = table.select(F.col(key).alias("__k"), value, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__copy"))
-    salted = df.withColumn("__salt", F.spark_partition_id() % SALTS)
-    return (salted.join(copies, (F.col(key) == F.col("__k")) & (F.col("__salt") == F.col("__copy")), "left")
-            .drop("__k", "__salt", "__copy"))
+def _look(most: int):
+    """Maps texts to the needles of their block that they hold, in the needles' order."""
+    def look(needles: pa.StructArray):
+        p, h, size = needles.field("p"), needles.field("h").to_numpy().view(np.uint64), needles.field("size").to_numpy()
+        _, lits, starts = next(_steps(needles.field("literal"), 1 << 60), (0, np.empty(0, np.uint8), np.zeros(1, np.int64)))
+        length = np.diff(starts)
+        always = np.flatnonzero(size == 0)
+        by = np.argsort(h, kind="stable")
+        by = by[size[by] > 0]
+        h = h[by]
+        sizes = np.unique(size[by]).tolist()
+        table = _Bits(max(64, 1 << (16 * len(h)).bit_length())).add(h)
+        width = max(1, len(p))
+
+        def held(data, ends, pair):
+            """Of needles longer than the run they are filed under, those that their text holds whole."""
+            for x in pair.tolist():
+                row, i = divmod(x, width)
+                yield lits[starts[i]:starts[i + 1]].tobytes() in data[ends[row]:ends[row + 1]].tobytes()
+
+        def found(texts: pa.Array):
+            for lo, data, ends in _steps(texts, most):
+                n_rows = len(ends) - 1
+                pairs = [(np.arange(n_rows)[:, None] * width + always).ravel()]
+                for n, at, runs in _found(data, ends, sizes, table):
+                    first = np.searchsorted(h, runs, "left")
+                    hit = np.flatnonzero(h[np.minimum(first, len(h) - 1)] == runs)
+                    row, inside = _rows(ends, at[hit], n)
+                    hit, row = hit[inside], row[inside]
+                    at, first, many = at[hit], first[hit], np.searchsorted(h, runs[hit], "right") - first[hit]
+                    if many.max(initial=1) > 1:
+                        at, row = np.repeat(at, many), np.repeat(row, many)
+                        first = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
+                    which, same = by[first], np.ones(len(first), bool)
+                    for i in range(n):  # equal numbers are not yet equal bytes
+                        same &= data[at + i] == lits[starts[which] + i]
+                    pair = np.unique(row[same] * width + which[same])
+                    longer = length[pair % width] > n
+                    if longer.any():
+                        whole = ~longer
+                        whole[longer] = list(held(data, ends, pair[longer]))
+                        pair = pair[whole]
+                    pairs.append(pair)
+                pair = np.sort(np.concatenate(pairs))  # a needle is filed under one size, so none is there twice
+                at = np.searchsorted(pair, np.arange(n_rows + 1) * width)
+                yield lo, [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), p.take(pa.array(pair % width)))]
+        return found
+    return look
 
 
 def with_candidates(df: DataFrame, low: str, needles: DataFrame, out: str) -> DataFrame:
-    """``df`` with ``out``: structs of the columns of ``needles`` (``literal`` left
-    out) whose literal the column ``low`` may hold, in the order of their fields."""
+    """``df`` with ``out``: structs of the columns of ``needles`` (``literal``, which is never null, left
+    out) whose literal the column ``low`` holds, in the order of their fields."""
     payload = F.struct(*[c for c in needles.columns if c != "literal"])
-    keyed = df.withColumn("__key", F.xxhash64(low))  # texts of one hash share their candidates
-    pairs = candidates(keyed.select(F.col("__key").alias("key"), F.col(low).alias("low")), needles.select("literal").distinct())
-    of_text = (pairs.join(needles.select("literal", payload.alias("p")), "literal")
-               .groupBy(F.col("key").alias("__key")).agg(F.sort_array(F.collect_list("p")).alias(out)))
-    kind = dict(of_text.dtypes)[out]
-    return attach(keyed, "__key", of_text, out).withColumn(out, F.coalesce(out, F.array().cast(kind))).drop("__key")
+    pairs = needles.select("literal", payload.alias("p")).distinct()
+    kind = pairs.schema["p"].dataType
+    filed = stored(pairs.mapInArrow(_file, pairs.select(F.lit(0).cast("long").alias("__h"), F.lit(0).alias("size"), F.array(F.lit(0).cast("long")).alias("place"), "literal", "p").schema), "sift-needles")
+    bits = min(FILTER_BITS, max(64, 1 << (16 * filed.count()).bit_length()))
+    places = filed.select("size", F.explode(F.array(*[F.shiftrightunsigned(F.col("place")[i], 65 - bits.bit_length()) for i in range(len(_PROBES))])).alias("at"))
+    words = places.groupBy(F.shiftright("at", 6).alias("i")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(at & 63 AS int))")).alias("x"), F.collect_set("size").alias("sizes")).toPandas()  # at most FILTER_BITS / 64 rows
+    packed = np.zeros(bits // 64, np.uint64)
+    packed[words["i"].to_numpy(np.int64)] = words["x"].to_numpy(np.int64).view(np.uint64)
+    sizes = sorted({int(x) for xs in words["sizes"] for x in xs})
+    table = df.sparkSession.sparkContext.broadcast(packed.view(np.uint8))
+    run = _wanted(table, bits, [x for x in sizes if x], 0 in sizes, STEP_BYTES)
+    return in_blocks(df, F.octet_length(low), lambda rows: rows.sortWithinPartitions("__block").mapInArrow(run, "__block int, __h long"),
+                     filed.select("__h", F.struct("p", "literal", F.col("__h").alias("h"), "size").alias("__p")), _look(STEP_BYTES),
+                     [lambda row: row(low)], [(out, T.ArrayType(kind))])
+
+
+def candidates(texts: DataFrame, literals: DataFrame) -> DataFrame:
+    """``key, literal`` of every text that holds a literal: ``texts`` has
+    ``key`` and ``low``, ``literals`` distinct, non-null strings ``literal``."""
+    found = with_candidates(texts.select("key", "low"), "low", literals.select("literal", F.col("literal").alias("l")), "found")
+    return found.select("key", F.explode("found.l").alias("literal"))

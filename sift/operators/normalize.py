@@ -7,14 +7,17 @@ text, the token count on the normalised text.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sift import dictionaries as D
 from sift.functions import text as X
 from sift.operators.dicts import small_rows
-from sift.operators.matching import attach, with_candidates
-from sift.operators.partitioning import salted_lookup
+from sift.operators.blocks import in_blocks
+from sift.operators.matching import with_candidates
 
 
 def _slang_rows(slang: DataFrame) -> DataFrame:
@@ -66,19 +69,39 @@ def _fold_emoji(df: DataFrame, emoji, flag: str) -> DataFrame:
 
 def _replace_slang(df: DataFrame, slang) -> DataFrame:
     """``__slang`` from the collapsed ``__flat``. A table too large to inline is joined with
-    the distinct tokens of each text; the row then looks its tokens up in what was found."""
+    the distinct tokens of each block of texts (``operators.blocks``), which are looked up there."""
     flat = F.col("__flat")
     mapping = _slang_map(slang)
     if mapping is not None:
         # rows without a dictionary token are left as they are: they are collapsed already
         d = df.withColumn("__has", X.has_token_in(flat, mapping.keys()))
         return d.withColumn("__slang", F.when(F.col("__has"), X.collapse_ws(X.map_tokens(flat, mapping))).otherwise(flat)).drop("__has")
-    keyed = df.withColumn("__key", F.xxhash64(flat))  # a lookup does not depend on the text, so texts of one hash may share it
-    tokens = keyed.select("__key", F.explode(F.split(F.lower(flat), " ")).alias("lk")).filter("lk <> ''").distinct()
-    found = (salted_lookup(tokens, _slang_rows(slang), "lk", salt_by="__key").groupBy("__key")
-             .agg(F.map_from_entries(F.collect_list(F.struct("lk", "rep"))).alias("__map")))
-    d = attach(keyed, "__key", found, "__map")
-    return d.withColumn("__slang", F.when(F.col("__map").isNotNull(), X.collapse_ws(X.map_tokens(flat, F.col("__map")))).otherwise(flat)).drop("__key", "__map")
+    lows = lambda f: F.transform(X.words(f), F.lower)
+    rows = _slang_rows(slang)
+    d = in_blocks(df, F.octet_length("__flat"),
+                  lambda r: r.select("__block", F.explode("__a1").alias("__h")).distinct(),
+                  rows.select(F.col("lk").alias("__h"), F.struct("lk", "rep").alias("__p")), _replaced,
+                  [lambda row: X.words(row("__flat")), lambda row: lows(row("__flat"))], [("__mapped", "string")])
+    return d.withColumn("__slang", F.when(F.col("__mapped").isNotNull(), X.collapse_ws("__mapped")).otherwise(flat)).drop("__mapped")
+
+
+def _replaced(table: pa.StructArray):
+    """Maps the words of texts and their lower-case forms to the texts with what ``table``
+    (``lk, rep``) has for them, null where it has nothing."""
+    keys, reps = table.field("lk"), table.field("rep")
+
+    def found(words: pa.Array, lows: pa.Array):
+        at = pc.index_in(lows.flatten(), value_set=keys)
+        new = pc.if_else(at.is_valid(), reps.take(at), words.flatten())
+        n = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum([0, *n])
+        keep = pc.not_equal(new, "").to_numpy(zero_copy_only=False)
+        hits = np.cumsum([0, *at.is_valid().to_numpy(zero_copy_only=False)])
+        kept = np.cumsum([0, *keep])
+        lists = pa.ListArray.from_arrays(pa.array(kept[ends].astype(np.int32)), new.filter(pa.array(keep)))
+        text = pc.binary_join(lists, " ")
+        yield 0, [pc.if_else(pa.array(hits[ends[1:]] > hits[ends[:-1]]), text, pa.scalar(None, pa.string()))]
+    return found
 
 
 def normalize(df: DataFrame, text_col: str = "text", slang=None, emoji=None,

@@ -59,8 +59,7 @@ def _lexicon_list(lexicon) -> list[tuple]:
     return [(term.lower(), term, level if level in KEEP_LEVELS else "LOW", f"{meaning} - {note}") for term, meaning, level, note in lexicon]
 
 
-def _lexicon_hits(entries: Column, low: Column) -> Column:
-    hits = F.filter(entries, lambda e: F.contains(low, e["k"]))
+def _lexicon_hits(hits: Column) -> Column:
     return F.transform(hits, lambda e: _sig("EUPHEMISM", e["term"], e["sig"], e["expl"]))
 
 
@@ -68,7 +67,8 @@ def _lexicon_inline(rows: list[tuple], low: Column) -> Column:
     if not rows:
         return F.array().cast(SIGNAL_ARRAY)
     names = ("k", "term", "sig", "expl")
-    return _lexicon_hits(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r)]) for r in rows]), low)
+    entries = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r)]) for r in rows])
+    return _lexicon_hits(F.filter(entries, lambda e: F.contains(low, e["k"])))
 
 
 def lexicon_signals(text: Column, lexicon: list | None = None, low: Column | None = None) -> Column:
@@ -87,7 +87,7 @@ def with_lexicon_signals(df: DataFrame, low: str, lexicon, out: str) -> DataFram
     if rows is not None:
         return df.withColumn(out, _lexicon_inline([(r["k"], r["term"], r["sig"], r["expl"]) for r in rows], F.col(low)))
     found = with_candidates(df, low, terms.withColumn("literal", F.col("k")), out)
-    return found.withColumn(out, _lexicon_hits(F.col(out), F.col(low)))
+    return found.withColumn(out, F.when(F.col(low).isNotNull(), _lexicon_hits(F.col(out))).otherwise(F.array().cast(SIGNAL_ARRAY)))
 
 
 def _may_match(low: Column, pattern: str) -> Column:

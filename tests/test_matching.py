@@ -96,3 +96,18 @@ def test_empty_dictionaries_and_tables(spark, monkeypatch):
     full = lexicon(spark, [(1, "a", "m", "HIGH", "n")])
     empty = spark.createDataFrame([], "id int, text string, low string")
     assert SG.with_lexicon_signals(empty, "low", full, "s").count() == 0
+
+
+def test_hits_are_not_shuffled(spark, monkeypatch):
+    """Texts that hold very many needles: what is exchanged is rows and a block's needles, not pairs of both."""
+    monkeypatch.setattr(dicts, "MAX_INLINE_ROWS", 0)
+    words = [f"w{i:03}" for i in range(300)]
+    df = spark.createDataFrame([(i, " ".join(words)) for i in range(100)], "id int, text string").withColumn("low", F.lower("text"))
+    lex = lexicon(spark, [(i, w, "m", "HIGH", "n") for i, w in enumerate(words)] + [(900, "w000 " + " ".join(words[1:9]), "m", "LOW", "n"), (901, "w000 w001 w002 w003 w004 wrong", "m", "LOW", "n")])
+    out = SG.with_lexicon_signals(df, "low", lex, "s")
+    assert "collect_list" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.filter("size(s) = 301").count() == 100
+    slang = spark.createDataFrame([(w, w[::-1]) for w in words], "token string, replacement string")
+    n = normalize(df.select("id", "text"), "text", slang=slang)
+    assert "collect_list" not in n._jdf.queryExecution().executedPlan().toString()
+    assert {r[0] for r in n.select("normalized_text").collect()} == {" ".join(w[::-1] for w in words)}
