@@ -25,6 +25,7 @@ from sift import dictionaries as D
 from sift.functions import text as X
 from sift.operators.dicts import small_rows
 from sift.operators.matching import required_literal, with_candidates
+from sift.operators.partitioning import pinned
 
 KEEP_LEVELS = ("HIGH", "MEDIUM")
 SIGNAL_ARRAY = ("array<struct<signal_type:string,extracted_text:string,"
@@ -255,8 +256,10 @@ def signal_types(arr: Column, none: str = "—") -> Column:
 
 
 def rollup_by_type(df: DataFrame, col: str = "signals") -> DataFrame:
-    """Count of signals per type and significance (partial aggregation)."""
-    return (df.select(F.explode(col).alias("s"))
+    """Count of signals per type and significance (partial aggregation). The signals are
+    pinned: the optimizer asks whether an exploded array is empty below the projections that
+    make it, and would write them all out there a second time."""
+    return (pinned(df.select(col), col).select(F.explode(col).alias("s"))
             .groupBy(F.col("s.signal_type").alias("signal_type"),
                      F.col("s.significance").alias("significance"))
             .agg(F.count(F.lit(1)).alias("n")))

@@ -21,6 +21,11 @@ def test_batch_triage_is_narrow(spark):
     assert "BatchEvalPython" not in p  # no row-at-a-time Python UDF
 
 
+def test_rollup_makes_its_signals_once(spark):
+    p = REGISTRY["signal_rollup"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert p.count("aggregate(concat(") == 1  # the fold over a text's signals
+
+
 def test_dedup_partial_aggregation(spark):
     df = spark.createDataFrame([(i, f"t{i % 3}") for i in range(30)], "id int, text string")
     p = _plan(C.dedup_first(C.with_text_hash(df), "text_hash", "id"))
