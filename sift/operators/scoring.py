@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sift.functions import text as X
-from sift.operators.partitioning import salted_lookup
 
 MAX_INLINE_TOKENS = 200
 PROBS = "local_probs"
@@ -98,14 +97,17 @@ def weight_table(spark, model: LinearModel) -> DataFrame:
 
 def table_scorer(weights: DataFrame, bias: tuple[int, ...], key: str, text_col: str = "normalized_text") -> Scorer:
     """Join form for weights of any size (``token, weights``, one row a token).
-    ``key`` is a unique, non-null key of the scored frame. Each text's tokens
-    are counted before the join; the weights are salted, as a token may occur in every text."""
+    ``key`` is a unique, non-null key of the scored frame. The frame is dealt out by it once: texts
+    are made once, and each text's tokens are counted and summed where it lies. A token meets its weights
+    with at most one narrow row a text; adaptive execution splits a token that very many texts hold."""
     def run(df: DataFrame) -> DataFrame:
-        tokens = (df.select(key, F.explode(F.split(F.lower(text_col), " ")).alias("token")).filter("token <> ''")
+        df = df.repartition(key)
+        # outer: an inner explode has the optimizer ask for the size of the token array below the deal, which makes the texts a second time
+        tokens = (df.select(key, F.explode_outer(F.split(F.lower(text_col), " ")).alias("token")).filter("token <> ''")
                   .groupBy(key, "token").agg(F.count(F.lit(1)).alias("n")))
-        hits = salted_lookup(tokens, weights.select("token", "weights"), "token", salt_by=key)
-        sums = hits.groupBy(F.col(key).alias("__k")).agg(
-            *[F.sum(F.col("n") * F.col("weights")[c]).alias(f"__t{c}") for c in range(len(bias))])
+        hits = tokens.join(weights.select("token", "weights"), "token")
+        # the join asks that its key is not null; for the aggregate's own that stays above the deal, which both sides then share
+        sums = hits.groupBy(key).agg(F.max(key).alias("__k"), *[F.sum(F.col("n") * F.col("weights")[c]).alias(f"__t{c}") for c in range(len(bias))]).drop(key)
         d = df.join(sums, df[key] == sums["__k"], "left").drop("__k")
         totals = [F.coalesce(F.col(f"__t{c}"), F.lit(0)) for c in range(len(bias))]
         d = _finish(d, totals, bias, X.count_spaced_tokens(F.col(text_col)))

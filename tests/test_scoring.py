@@ -5,6 +5,7 @@ import numpy as np
 from sift.operators import scoring as SC
 from sift.operators.normalize import normalize
 from sift.operators.triage import batch_triage, deep_triage, radar_log_rows, sweep_log_rows
+from sift.plans import derive as DV
 
 MODEL = SC.LinearModel((300, 0, -200), {"bom": (-9000, 2000, 30000), "the": (4000, -100, -5000), "é": (1, 20000, 7)})
 TEXTS = ["the the THE the", "bom", "a BOM in the é é", "", "   ", "theme bombs", "x " * 300 + "the", "é the"]
@@ -27,6 +28,21 @@ def test_scorers_agree(spark):
     assert max(range(3), key=got[0][1].__getitem__) == 2
 
 
+def test_table_scorer_makes_its_texts_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            calls.add(b.num_rows)
+            yield b
+    n = normalize(frame(spark), "text").select("doc_id", "normalized_text").mapInArrow(seen, "doc_id int, normalized_text string")
+    out = SC.table_scorer(SC.weight_table(spark, MODEL), MODEL.bias, "doc_id")(n)
+    assert len(out.collect()) == len(TEXTS) == calls.value
+    vocabulary = n.repartition("doc_id")
+    calls.value = 0
+    assert len(SC.table_scorer(DV.vocabulary_weights(vocabulary), MODEL.bias, "doc_id")(vocabulary).collect()) == len(TEXTS) == calls.value
+
+
 def test_external_model_that_fails_leaves_nulls(spark):
     def no_model():
         raise FileNotFoundError("model.bin")
