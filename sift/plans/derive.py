@@ -147,7 +147,7 @@ def expert_label_sql(id_col: str = "doc_id") -> str:
 def vocabulary_weights(normalized: DataFrame) -> DataFrame:
     """``token, weights`` of every distinct token, by arithmetic on its first
     character and length."""
-    tok = normalized.select(F.explode(F.split(F.lower("normalized_text"), " ")).alias("token")).filter("token <> ''").distinct()
+    tok = normalized.select(F.explode_outer(F.split(F.lower("normalized_text"), " ")).alias("token")).filter("token <> ''").distinct()
     a, n = F.ascii("token"), F.length("token")
     w = [((a * 37 + n * 101) % 20001 - 10000), ((a * 53 + n * 11) % 20001 - 10000), ((a * 71 + n * 7) % 20001 - 10000)]
     return tok.select("token", F.array(*w).alias("weights"))

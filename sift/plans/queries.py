@@ -81,7 +81,8 @@ def q_score_external(spark, sf_dir):
 @query("score_vocabulary")
 def q_score_vocabulary(spark, sf_dir):
     """D1 with a weight for every token of the corpus, joined by token."""
-    n = normalize(DV.documents(spark, sf_dir), "text").select("doc_id", "normalized_text")
+    # dealt out as the scorer asks, so that the vocabulary reads the same texts
+    n = normalize(DV.documents(spark, sf_dir), "text").select("doc_id", "normalized_text").repartition("doc_id")
     return _scores(SC.table_scorer(DV.vocabulary_weights(n), DV.CORPUS_BIAS, "doc_id")(n))
 
 
