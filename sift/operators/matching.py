@@ -1,8 +1,8 @@
 """Matching texts with dictionaries of any size.
 
-A needle is a literal, or a pattern with the longest literal that each of its
-matches must hold. Every needle is filed under one run of bytes: its whole literal,
-or the longest beginning of it whose length ``filed_size`` knows. A text
+A needle is a literal, or a pattern with a few literals of which each of its
+matches must hold one (``required_forms``, of texts whose runs of whitespace are one space). Every
+literal is filed under one run of bytes: the whole of it, or the longest beginning of it whose length ``filed_size`` knows. A text
 that matches a needle holds that run, so the runs of a text find every
 candidate, whose literal is then compared. What else a needle asks is
 tested on those only. There is no nested-loop join and no size limit.
@@ -25,6 +25,7 @@ from re import _parser as RP
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +35,7 @@ from sift.session import stored
 
 GRAM = 4
 FILTER_BITS = 1 << 28
+MAX_FORMS = 16  # literals that a pattern may be filed under
 STEP_BYTES = 1 << 17  # what numpy works on at a time stays in a core's cache
 EVERY_TEXT = 0  # the run of needles without a literal
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -82,6 +84,104 @@ def required_literal(pattern: str) -> str:
     return max(runs, key=lambda r: len(r.encode("utf-8", "surrogatepass")))
 
 
+def _joined(a: str, b: str) -> str:
+    """Two pieces of a text in which every run of whitespace is one space."""
+    return a + b[1:] if a.endswith(" ") and b.startswith(" ") else a + b
+
+
+def _space(c: str) -> str:
+    return " " if c.isspace() else c
+
+
+def required_forms(pattern: str) -> list[str]:
+    """Literals of which every match of a regex holds at least one, once each run of whitespace
+    is one space: ``MAX_FORMS`` at most, the longest known ([""]: none known)."""
+    try:
+        tree = RP.parse(pattern)
+    except re.error:
+        return [""]
+    if tree.state.flags & re.IGNORECASE:
+        return [""]
+
+    def least(forms) -> int:
+        return min(len(f.encode("utf-8", "surrogatepass")) for f in forms)
+
+    def members(items) -> set[str] | None:
+        """The characters of a class, if it names few."""
+        out = set()
+        for op, arg in items:
+            if op is RC.LITERAL and chr(arg) not in "[]&^-\\":
+                out.add(_space(chr(arg)))
+            elif op is RC.CATEGORY and arg is RC.CATEGORY_SPACE:
+                out.add(" ")
+            else:
+                return None
+        return out if 0 < len(out) <= MAX_FORMS else None
+
+    def exact(items) -> set[str] | None:
+        """All that a sequence matches, if that is few literals."""
+        now = {""}
+        for item in items:
+            e = element(item)
+            if e is None or len(now) * len(e) > MAX_FORMS:
+                return None
+            now = {_joined(a, b) for a in now for b in e}
+        return now
+
+    def element(item) -> set[str] | None:
+        op, arg = item
+        if op is RC.LITERAL:
+            return {_space(chr(arg))}
+        if op is RC.IN:
+            return members(arg)
+        if op is RC.SUBPATTERN:
+            return None if arg[1] & re.IGNORECASE else exact(arg[3])
+        if op is RC.ATOMIC_GROUP:
+            return exact(arg)
+        if op is RC.BRANCH:
+            parts = [exact(b) for b in arg[1]]
+            return set().union(*parts) if all(p is not None for p in parts) and sum(map(len, parts)) <= MAX_FORMS else None
+        if op in (RC.AT, RC.ASSERT, RC.ASSERT_NOT):  # these have no width
+            return {""}
+        if op in (RC.MAX_REPEAT, RC.MIN_REPEAT, RC.POSSESSIVE_REPEAT):
+            inner = exact(arg[2])
+            if inner == {" "} and arg[0] > 0:  # whitespace only: one space
+                return inner
+            if inner is not None and arg[:2] == (0, 1) and len(inner) < MAX_FORMS:
+                return inner | {""}
+        return None
+
+    runs, now = [], {""}
+
+    def cut():
+        nonlocal now
+        runs.append(now)
+        now = {""}
+
+    def walk(items):
+        nonlocal now
+        for item in items:
+            op, arg = item
+            e = element(item)
+            if e is not None:
+                if len(now) * len(e) > MAX_FORMS:
+                    cut()
+                now = {_joined(a, b) for a in now for b in e}
+            elif op is RC.SUBPATTERN and not arg[1] & re.IGNORECASE:
+                walk(arg[3])
+            elif op is RC.ATOMIC_GROUP:
+                walk(arg)
+            else:
+                cut()
+                if op in (RC.MAX_REPEAT, RC.MIN_REPEAT, RC.POSSESSIVE_REPEAT) and arg[0] > 0:  # at least once
+                    walk(arg[2])
+                    cut()
+
+    walk(tree)
+    cut()
+    return sorted(max(runs, key=least))
+
+
 def _grams(data: np.ndarray, size: int) -> np.ndarray:
     """The gram at each position: its length and bytes in one number."""
     n = max(0, len(data) - size + 1)
@@ -229,13 +329,27 @@ def _wanted(table, bits: int, sizes: list[int], every: bool, most: int):
     return run
 
 
+def _first_of_equal(p: pa.StructArray) -> np.ndarray:
+    """For each of the structs, which lie in order, the place of the first that is equal."""
+    if len(p) == 0:
+        return np.zeros(0, np.int64)
+    new = np.zeros(len(p), bool)
+    new[0] = True
+    for c in p.flatten():
+        a, b = c.slice(1), c.slice(0, len(c) - 1)
+        same = pc.if_else(pc.or_(pc.is_null(a), pc.is_null(b)), pc.and_(pc.is_null(a), pc.is_null(b)), pc.equal(a, b))
+        new[1:] |= ~same.to_numpy(zero_copy_only=False).astype(bool)
+    return np.flatnonzero(new)[np.cumsum(new) - 1]
+
+
 def _look(most: int):
     """Maps texts to the needles of their block that they hold, in the needles' order."""
     def look(needles: pa.StructArray):
         p, h, size = needles.field("p"), needles.field("h").to_numpy().view(np.uint64), needles.field("size").to_numpy()
         _, lits, starts = next(_steps(needles.field("literal"), 1 << 60), (0, np.empty(0, np.uint8), np.zeros(1, np.int64)))
         length = np.diff(starts)
-        always = np.flatnonzero(size == 0)
+        one = _first_of_equal(p)  # a needle may be there with several literals
+        always = np.unique(one[size == 0])
         by = np.argsort(h, kind="stable")
         by = by[size[by] > 0]
         h = h[by]
@@ -272,7 +386,8 @@ def _look(most: int):
                         whole[longer] = list(held(data, ends, pair[longer]))
                         pair = pair[whole]
                     pairs.append(pair)
-                pair = np.sort(np.concatenate(pairs))  # a needle is filed under one size, so none is there twice
+                pair = np.concatenate(pairs)
+                pair = np.unique(pair // width * width + one[pair % width]) if len(one) else pair
                 at = np.searchsorted(pair, np.arange(n_rows + 1) * width)
                 yield lo, [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), p.take(pa.array(pair % width)))]
         return found
@@ -281,7 +396,8 @@ def _look(most: int):
 
 def with_candidates(df: DataFrame, low: str, needles: DataFrame, out: str) -> DataFrame:
     """``df`` with ``out``: structs of the columns of ``needles`` (``literal``, which is never null, left
-    out) whose literal the column ``low`` holds, in the order of their fields."""
+    out) whose literal the column ``low`` holds, in the order of their fields; a needle with several
+    literals (a row each) is there once if any of them is held."""
     payload = F.struct(*[c for c in needles.columns if c != "literal"])
     pairs = needles.select("literal", payload.alias("p")).distinct()
     kind = pairs.schema["p"].dataType

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from sift import dictionaries as D
 from sift.functions import text as X
 from sift.operators.dicts import small_rows
-from sift.operators.matching import required_literal, with_candidates
+from sift.operators.matching import required_forms, required_literal, with_candidates
 from sift.operators.partitioning import pinned
 
 KEEP_LEVELS = ("HIGH", "MEDIUM")
@@ -162,12 +162,11 @@ def urgency_signals(text: Column, patterns: list | None = None, low: Column | No
 
 
 def _pattern_needles(batches):
-    """(ord, pattern) -> ord, pattern, its Java form and a literal that it needs."""
+    """(ord, pattern) -> ord, pattern, its Java form and a literal, a row for each of those of which it needs one."""
     for b in batches:
-        pats = b.column(1).to_pylist()
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(1), pa.array([java_pattern(p) for p in pats], pa.string()),
-             pa.array([required_literal(p) for p in pats], pa.string())], ["ord", "pattern", "java", "literal"])
+        rows = [(o, p, java_pattern(p), form) for o, p in zip(*(b.column(i).to_pylist() for i in (0, 1))) for form in required_forms(p)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), *[pa.string()] * 3))],
+                                         ["ord", "pattern", "java", "literal"])
 
 
 def _with_pattern_signals(df: DataFrame, text_col: str, low: str, patterns, default: list[str], signal, out: str) -> DataFrame:
@@ -178,9 +177,10 @@ def _with_pattern_signals(df: DataFrame, text_col: str, low: str, patterns, defa
         rows = small_rows(table, ["ord", "pattern"])
         if rows is None:
             needles = table.mapInArrow(_pattern_needles, "ord long, pattern string, java string, literal string")
-            d = with_candidates(df, low, needles, "__c")
-            d = d.withColumn("__c", F.filter("__c", lambda c: F.rlike(lw, c["java"])))
-            d = d.withColumn("__c", F.transform("__c", lambda c: F.struct(c["pattern"].alias("name"), F.split(lw, c["java"], 2).alias("parts"))))
+            d = with_candidates(df.withColumn("__spaced", F.regexp_replace(low, f"{X.WS}+", " ")), "__spaced", needles, "__c").drop("__spaced")
+            d = d.withColumn("__c", F.transform("__c", lambda c: F.struct(c["pattern"].alias("name"), c["java"].alias("java"), F.split(lw, c["java"], 2).alias("parts"))))
+            # a text in two parts has a match; an empty one at its start leaves it whole
+            d = d.withColumn("__c", F.filter("__c", lambda c: (F.size(c["parts"]) > 1) | F.rlike(lw, c["java"])))
             return d.withColumn(out, F.transform("__c", lambda c: signal(
                 text, lw, F.length(F.element_at(c["parts"], 1)), F.length(lw) - F.length(F.try_element_at(c["parts"], F.lit(2))),
                 X.strip_u(c["name"])))).drop("__c")

@@ -138,11 +138,11 @@ def q_patterns_large(spark, sf_dir):
     """C2, C3, E4 with two patterns a document."""
     d = DV.documents(spark, sf_dir).select("doc_id", "text").withColumn("low", F.lower("text"))
     pats = DV.corpus_patterns(d)
-    s = SG.with_action_signals(d, "text", "low", pats, "a")
-    s = SG.with_urgency_signals(s, "text", "low", pats, "u")
-    return s.select("doc_id", F.size("a").alias("n_action"), F.size("u").alias("n_urgency"),
-                    F.sha2(F.array_join(F.transform("a", lambda e: e["extracted_text"]), "|"), 256).alias("action_hash"),
-                    F.sha2(F.array_join(F.transform("u", lambda e: e["extracted_text"]), "|"), 256).alias("urgency_hash"))
+    digest = lambda c, n: (F.size(c).alias(f"n_{n}"), F.sha2(F.array_join(F.transform(c, lambda e: e["extracted_text"]), "|"), 256).alias(f"{n}_hash"))
+    # the digest goes on, not the signals, which are many times the text
+    s = SG.with_action_signals(d, "text", "low", pats, "a").select(*d.columns, *digest("a", "action"))
+    s = SG.with_urgency_signals(s, "text", "low", pats, "u").select("*", *digest("u", "urgency"))
+    return s.select("doc_id", "n_action", "n_urgency", "action_hash", "urgency_hash")
 
 
 @query("slang_large")

@@ -33,6 +33,27 @@ def test_required_literals_are_held_by_every_match():
             assert t is None or not re.search(p, t) or lit in t
 
 
+def test_required_forms_are_held_by_every_match():
+    cases = {r"the\s+(cat|la)[,.]": ["the cat,", "the cat.", "the la,", "the la."], r"ayo\s+(kita\s+)?": ["ayo ", "ayo kita "], r"\d+": [""],
+             r"a ?b\sc": ["a b c", "ab c"], r"(ab|c\d)ef": ["ef"], r" +a\n b": [" a b"], r"(?i)abc": [""], "(": [""], r"x{2,}y": ["x"]}
+    assert {p: M.required_forms(p) for p in cases} == cases
+    rnd = random.Random(4)
+    parts = ["a", "b", " ", r"\s", r"\s+", "[ab]", "(a|b )", r"(ab|\sb|)", "b?", r"\s*", r"(a\s)+", r"[a\s]", "a{2}", ".", r"\b", r"(?:a|b\s+a)?", "^", "[^a]"]
+    for p in ["".join(rnd.choices(parts, k=rnd.randint(1, 5))) for _ in range(1000)]:
+        for t in ["".join(rnd.choices("ab \n\t", k=rnd.randint(0, 12))) for _ in range(10)]:
+            assert not re.search(p, t) or any(f in re.sub(r"\s+", " ", t) for f in M.required_forms(p)), (p, t)
+
+
+def test_patterns_of_a_common_word_are_no_candidates_of_every_text(spark):
+    rows = [f"the cat{i}, the\n dog{i}." for i in range(40)]
+    pats = spark.createDataFrame([(i, rf"the\s+(cat{i}x?|dog{i})[,.]") for i in range(40)], "ord int, pattern string")
+    df = spark.createDataFrame(list(enumerate(rows)), "id int, low string")
+    needles = pats.selectExpr("cast(ord AS long) AS ord", "pattern").mapInArrow(SG._pattern_needles, "ord long, pattern string, java string, literal string")
+    spaced = df.withColumn("spaced", F.regexp_replace("low", r"\s+", " "))
+    found = {r.id: [c.ord for c in r.c] for r in M.with_candidates(spaced, "spaced", needles, "c").collect()}
+    assert found == {i: [i] for i in range(40)}  # two forms of a pattern are one candidate
+
+
 def lexicon(spark, rows):
     return spark.createDataFrame(rows, "ord int, term string, meaning string, threat_level string, note string")
 
