@@ -8,6 +8,9 @@ rows before the single small shuffle.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,36 +49,24 @@ def class_report(pred: DataFrame, scheme: LabelScheme = DEFAULT_SCHEME, t: str =
                  F.sum(F.when(F.col(p) == l, 1).otherwise(0)).alias(f"pp_{l}"),
                  F.sum(F.when(F.col(t) == l, 1).otherwise(0)).alias(f"sup_{l}")]
     aggs.append(F.count(F.lit(1)).alias("n"))
-    tot = pred.agg(*aggs)
-    rows = []
-    for l in labels:
-        tp, pp, sup = F.col(f"tp_{l}"), F.col(f"pp_{l}"), F.col(f"sup_{l}")
-        prec = F.when(pp > 0, tp / pp).otherwise(0.0)
-        rec = F.when(sup > 0, tp / sup).otherwise(0.0)
-        rows.append(F.struct(F.lit(l).alias("class"), prec.alias("precision"), rec.alias("recall"),
-                             sup.cast("long").alias("support")))
-    per = (tot.select(F.explode(F.array(*rows)).alias("r"), "n")
-           .select("r.*", "n")
-           .withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0,
-                                    2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")))
-                       .otherwise(0.0)))
-    k = len(labels)
-    correct = sum((F.col(f"tp_{l}") for l in labels[1:]), F.col(f"tp_{labels[0]}"))
-    acc = tot.select(F.lit("accuracy").alias("class"), (correct / F.col("n")).alias("precision"),
-                     (correct / F.col("n")).alias("recall"), F.col("n").cast("long").alias("support"),
-                     (correct / F.col("n")).alias("f1"))
-    macro = per.agg(F.lit("macro avg").alias("class"), (F.sum("precision") / k).alias("precision"),
-                    (F.sum("recall") / k).alias("recall"), F.sum("support").cast("long").alias("support"),
-                    (F.sum("f1") / k).alias("f1"))
-    wsum = F.sum("support")
-    weighted = per.agg(F.lit("weighted avg").alias("class"),
-                       (F.sum(F.col("precision") * F.col("support")) / wsum).alias("precision"),
-                       (F.sum(F.col("recall") * F.col("support")) / wsum).alias("recall"),
-                       wsum.cast("long").alias("support"),
-                       (F.sum(F.col("f1") * F.col("support")) / wsum).alias("f1"))
-    out = per.select("class", "precision", "recall", "support", "f1").unionByName(acc).unionByName(macro) \
-        .unionByName(weighted)
-    return out.select("class", *[F.round(c, 4).alias(c) for c in ("precision", "recall", "f1")], "support")
+    # all rows come from the one row of counts, so the predictions are made once
+    d = pred.agg(*aggs)
+    d = d.withColumns({f"p_{l}": F.when(F.col(f"pp_{l}") > 0, F.col(f"tp_{l}") / F.col(f"pp_{l}")).otherwise(0.0) for l in labels}
+                      | {f"r_{l}": F.when(F.col(f"sup_{l}") > 0, F.col(f"tp_{l}") / F.col(f"sup_{l}")).otherwise(0.0) for l in labels})
+    p_r = {l: (F.col(f"p_{l}"), F.col(f"r_{l}")) for l in labels}
+    d = d.withColumns({f"f_{l}": F.when(a + b > 0, 2 * a * b / (a + b)).otherwise(0.0) for l, (a, b) in p_r.items()})
+    total = lambda cols: reduce(add, cols)
+    n_rows = total(F.col(f"sup_{l}") for l in labels)
+    accuracy = total(F.col(f"tp_{l}") for l in labels) / F.col("n")
+
+    def row(name, precision, recall, f1, support):
+        return F.struct(F.lit(name).alias("class"), *[F.round(c, 4).alias(k) for k, c in (("precision", precision), ("recall", recall), ("f1", f1))],
+                        support.cast("long").alias("support"))
+    rows = [row(l, *[F.col(f"{m}_{l}") for m in ("p", "r", "f", "sup")]) for l in labels]
+    rows.append(row("accuracy", accuracy, accuracy, accuracy, F.col("n")))
+    rows.append(row("macro avg", *[total(F.col(f"{m}_{l}") for l in labels) / len(labels) for m in "prf"], n_rows))
+    rows.append(row("weighted avg", *[total(F.col(f"{m}_{l}") * F.col(f"sup_{l}") for l in labels) / n_rows for m in "prf"], n_rows))
+    return d.select(F.inline(F.array(*rows)))
 
 
 def kpi_gate(report: DataFrame, scheme: LabelScheme = DEFAULT_SCHEME, min_f1: float = 0.70,

@@ -809,7 +809,8 @@ def q_model_selection(spark, sf_dir):
 def q_retrain_report(spark, sf_dir):
     """H5: gate, corrections, balanced sample, fit; the new model's report on the corrected corpus."""
     from sift.operators import ml as ML
-    corpus, feedback = _training_corpus(spark, sf_dir), _feedback(spark, sf_dir)
+    # written once: the sample reads them three times, the gate and the report once more
+    corpus, feedback = stored(_training_corpus(spark, sf_dir), "sift-corpus"), stored(_feedback(spark, sf_dir), "sift-feedback")
     model = ML.retrain_from_feedback(corpus, feedback, "text_id", max_iter=15, num_features=1 << 14)
     fixed = ST.apply_feedback(corpus, feedback, "text_id")
     return EV.class_report(ML.predictions(model, fixed))

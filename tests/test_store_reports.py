@@ -65,3 +65,20 @@ def test_report_zero_division(spark):
     assert rep["accuracy"]["f1"] == round(1 / 3, 4)
     conf = EV.confusion(pred).collect()
     assert len(conf) == 9
+
+
+def test_class_report_makes_its_predictions_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            calls.add(b.num_rows)
+            yield b
+    rows = [("AMAN", "AMAN")] * 3 + [("AMAN", "TINGGI"), ("TINGGI", "AMAN"), ("WASPADA", None)]
+    pred = spark.createDataFrame(rows, "true_label string, pred_label string").mapInArrow(seen, "true_label string, pred_label string")
+    assert EV.class_report(pred).count() == 6 and len(EV.class_report(pred).collect()) == 6
+    calls.value = 0
+    got = [tuple(r) for r in EV.class_report(pred).collect()]
+    assert calls.value == len(rows)
+    assert got[0] == ("AMAN", 0.75, 0.75, 0.75, 4) and got[3:] == [
+        ("accuracy", 0.5, 0.5, 0.5, 6), ("macro avg", 0.25, 0.25, 0.25, 6), ("weighted avg", 0.5, 0.5, 0.5, 6)]
