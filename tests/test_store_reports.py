@@ -82,3 +82,17 @@ def test_class_report_makes_its_predictions_once(spark):
     assert calls.value == len(rows)
     assert got[0] == ("AMAN", 0.75, 0.75, 0.75, 4) and got[3:] == [
         ("accuracy", 0.5, 0.5, 0.5, 6), ("macro avg", 0.25, 0.25, 0.25, 6), ("weighted avg", 0.5, 0.5, 0.5, 6)]
+
+
+def test_training_reads_its_rows_once(spark):
+    from sift.operators import ml as ML
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            calls.add(b.num_rows)
+            yield b
+    rows = [(f"{w} word{i}", l) for i in range(5) for w, l in (("calm", "AMAN"), ("odd", "WASPADA"), ("bad", "TINGGI"))]
+    df = spark.createDataFrame(rows, "text string, label string").mapInArrow(seen, "text string, label string")
+    model = ML.train_classifier(df, max_iter=3, num_features=64)
+    assert calls.value == len(rows) and len(model.stages) == 4
