@@ -10,6 +10,7 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import xxhash
@@ -21,6 +22,7 @@ from sift import session
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 MIN_LONG = -(2**63)
+BATCH_ROWS = 1000
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -35,6 +37,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Batches of at most ``BATCH_ROWS`` rows between Spark and the workers for what runs inside: where rows hold
+    whole texts or sets, batches of the usual 10,000 rows lie beside the heap, several a task."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, min(int(was), BATCH_ROWS) if int(was) > 0 else BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 

@@ -49,7 +49,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sift.llm.common import MIN_LONG, materialize, order_key, partitions, row_hash, word_hash
+from sift.llm.common import MIN_LONG, materialize, order_key, partitions, row_hash, small_batches, word_hash
+from sift.llm.links import components
 
 WIDTH = 5
 NUM, DEN = 3, 4  # similarity of at least 3 / 4
@@ -65,6 +66,7 @@ LIKELY = 18  # places in which the sketches of a pair agree that is tried early;
 ROUNDS = 2
 ROUND_KEYS = 4  # rounds look at one key in so many
 WANTED_SLOTS = 1 << 20  # bounds the broadcast that tells whose hashes are needed
+PAIR_WORDS = 1 << 19  # of bitmaps that are compared at once
 TILE_BYTES = 4 << 20  # of whole sets in a tile, which has TILE rows at most
 CLUSTER = 8  # tiles of whole sets that a cluster may have
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -324,29 +326,33 @@ def _tiles(pairs: bool):
     """Rows sorted by key, tile pair, side -> pairs across components that the bitmaps allow, or
     only the nodes of such pairs (at most a row each)."""
     def compare(rows):
-        left = [r for r in rows if r[3] == 0]
-        right = [r for r in rows if r[3] == 1] if rows[0][1] != rows[0][2] else left
-        if not left or not right or DEN * max(r[5] for r in left) < NUM * min(r[5] for r in right):
+        size, label, name, side = (np.array([r[k] for r in rows], np.int64) for k in (5, 6, 4, 3))
+        width = np.array([len(r[7]) // 8 for r in rows])
+        own = rows[0][1] == rows[0][2]
+        left, right = np.nonzero(side == 0)[0], np.nonzero(side == (0 if own else 1))[0]
+        if not len(left) or not len(right) or DEN * size[left].max() < NUM * size[right].min():
             return
-        by_width: dict[int, list] = {}
-        for r in right:
-            by_width.setdefault(len(r[7]), []).append(r)
-        for width, some in by_width.items():
-            grid, n = _grid([r[7] for r in some]), np.array([r[5] for r in some], np.int64)
-            label, name = np.array([r[6] for r in some], np.int64), np.array([r[4] for r in some], np.int64)
-            for r in left:
-                ok = (label != r[6]) & (DEN * n >= NUM * r[5]) & (DEN * r[5] >= NUM * n)
-                if left is right:
-                    ok &= name > r[4]
-                at = np.nonzero(ok)[0]
-                if len(at):
-                    at = at[may_match(np.frombuffer(r[7], np.uint64), r[5], grid[at], n[at])]
-                    if not pairs:
-                        if len(at):
-                            yield from (r[4], *name[at].tolist())
-                        continue
-                    for other in name[at].tolist():
-                        yield (r[4], other) if r[4] < other else (other, r[4])
+        for wide in np.unique(width[left]).tolist():
+            for other in np.unique(width[right]).tolist():
+                yield from block(rows, left[width[left] == wide], right[width[right] == other], own, size, label, name, min(wide, other))
+
+    def block(rows, x, y, own, size, label, name, words):
+        """``compare`` between rows ``x`` and ``y`` (positions), whose bitmaps are brought down to ``words``."""
+        grid_x, grid_y = (fold(_grid([rows[i][7] for i in at.tolist()]), words) for at in (x, y))
+        step = max(1, PAIR_WORDS // (len(y) * words))
+        for lo in range(0, len(x), step):
+            one, two = x[lo:lo + step, None], y[None, :]
+            ok = (label[one] != label[two]) & (DEN * size[two] >= NUM * size[one]) & (DEN * size[one] >= NUM * size[two])
+            if own:
+                ok &= name[one] < name[two]
+            i, j = np.nonzero(ok)
+            i += lo
+            like = may_match(grid_x[i], size[x[i]], grid_y[j], size[y[j]])
+            a, b = name[x[i[like]]], name[y[j[like]]]
+            if pairs:
+                yield from zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist())
+            else:
+                yield from np.unique(np.concatenate([a, b])).tolist()
 
     def flush(rows):
         found = sorted(set(compare(rows)))
@@ -527,19 +533,9 @@ class _Join:
         return materialize(self.sides(pairs, "hashes").select("a", "b", "a_hashes", "b_hashes").mapInArrow(_exact_filter, "a long, b long"), "links")
 
     def labels(self, links: DataFrame) -> DataFrame:
-        """``node, label`` of every linked node: the smallest node it reaches."""
-        edges = materialize(links.union(links.select("b", "a")).toDF("v", "u"), "edges")
-        now = materialize(edges.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("label")), "labels")
-        while True:
-            seen = edges.join(now.select(F.col("v").alias("u"), "label"), "u").groupBy("v").agg(F.min("label").alias("near"))
-            hooked = now.join(seen, "v").select("v", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-            far = now.select(F.col("v").alias("label"), F.col("label").alias("far"))
-            step = materialize(hooked.join(far, "label", "left").select(
-                "v", "was", F.least("label", "far").alias("label")), "labels")
-            changed = step.filter("label <> was").limit(1).count()
-            now = step.select("v", "label")
-            if not changed:
-                return now.withColumnRenamed("v", "node")
+        """``node, label`` of every linked node: the smallest node it reaches. Edges shrink as components grow
+        (``links.components``), so rounds do not meet all of them again."""
+        return components(links)
 
     def named(self, members: DataFrame, labels: DataFrame) -> DataFrame:
         return materialize(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "named")
@@ -656,8 +652,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``text_hash``. Links are pairs
     ``a, b`` of nodes (different sets) that were verified; with the equal sets
     of a node they span every component."""
-    j = _Join(docs, id_col, text_col)
-    links, labels = j.run()
+    with small_batches(docs.sparkSession):
+        j = _Join(docs, id_col, text_col)
+        links, labels = j.run()
     named = j.nodes.select("node", "k").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lowest = named.groupBy("label").agg(F.min("k").alias("component"))
     of_node = named.join(lowest, "label").select("node", "label", "component")

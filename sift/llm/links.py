@@ -17,8 +17,10 @@ def components(links: DataFrame) -> DataFrame:
     label's own label, over edges whose ends are replaced by their labels, so
     both path lengths and edges shrink; a hub is met once per neighbour and
     its rows are combined before the shuffle."""
-    edges = materialize(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct(), "edges")
-    now = materialize(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"), "labels")
+    pair = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]  # noqa: E731  an edge is one row
+    around = lambda e: e.union(e.select("b", "a")).groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to"))
+    edges = materialize(links.select(*pair("a", "b")).filter("a <> b").distinct(), "edges")
+    now = materialize(around(edges).toDF("node", "label"), "labels")
     while True:
         # follow labels to the end: every label is smaller than its node, so these are trees
         while True:
@@ -28,12 +30,12 @@ def components(links: DataFrame) -> DataFrame:
             if not step.filter("moved").limit(1).count():
                 break
         of = lambda c: now.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
-        edges = materialize(edges.join(of("a"), "a").join(of("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+        edges = materialize(edges.join(of("a"), "a").join(of("b"), "b").select(*pair("la", "lb"))
                             .filter("a <> b").distinct(), "edges")
         if not edges.limit(1).count():
             return now
         # roots that still touch another component hook to the smallest around them
-        hooks = edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")).withColumnRenamed("a", "label")
+        hooks = around(edges).withColumnRenamed("a", "label")
         now = materialize(now.join(hooks, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
 
 

@@ -2,7 +2,10 @@
 
 import random
 
-from sift.llm import common, jaccard
+import numpy as np
+import pyarrow as pa
+
+from sift.llm import common, jaccard, links
 from test_llm import brute_components, prose
 
 
@@ -123,3 +126,55 @@ def test_chained_groups_equal_brute_force(spark, monkeypatch):
             for name, value in settings.items():
                 m.setattr(jaccard, name, value)
             check()
+
+
+def test_components_meet_shrinking_edges(spark, monkeypatch):
+    """Edges are stored once, not in both directions, and those inside a component are not met again."""
+    met, kept = [], links.materialize
+
+    def counted(df, name):
+        out = kept(df, name)
+        met.extend([out.count()] if name == "edges" else [])
+        return out
+    monkeypatch.setattr(links, "materialize", counted)
+    monkeypatch.setattr(jaccard, "materialize", counted)
+    rows = [(g * 100 + i, g * 100 + j) for g in range(5) for i in range(12) for j in range(i)]
+    frame = spark.createDataFrame(rows, "a long, b long")
+    got = {r["node"]: r["label"] for r in jaccard._Join.labels(None, frame).collect()}
+    assert got == {g * 100 + i: g * 100 for g in range(5) for i in range(12)}
+    assert met[0] == len(rows) and sum(met[1:]) <= len(rows) // 2
+
+
+def test_join_hands_workers_few_rows_at_once(spark, monkeypatch):
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before, run = spark.conf.get(name), jaccard._Join.run
+
+    def noted(self):
+        seen.append(int(spark.conf.get(name)))
+        return run(self)
+    monkeypatch.setattr(jaccard._Join, "run", noted)
+    a = prose(30, 1)
+    assert components(spark.createDataFrame([(1, a), (2, f"{a} tail"), (3, "")], "doc_id long, text string"))[2][1] == 1
+    assert seen == [common.BATCH_ROWS] and spark.conf.get(name) == before
+
+
+def test_tiles_find_what_bitmaps_allow():
+    """Both kinds of tile pairs, with bitmaps of several widths, against every pair."""
+    rnd, rows = random.Random(5), []
+    pool = [rnd.getrandbits(64) for _ in range(400)]
+    for i in range(60):
+        s = np.array(sorted(set(pool[:rnd.choice((20, 60, 90, 130))]) | {rnd.getrandbits(64) for _ in range(rnd.randrange(25))}), np.uint64)
+        rows.append((i, len(s), i % 7, jaccard.bitmap(s)))
+    grid = lambda b: np.frombuffer(b, np.uint64)
+    for lo, hi in ((0, 0), (0, 1)):
+        side = [0 if lo == hi else i % 2 for i in range(60)]
+        given = [(9, lo, hi, side[i], *rows[i]) for i in sorted(range(60), key=lambda i: side[i])]
+        names = ["key", "lo", "hi", "side", "node", "size", "label", "bits"]
+        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*given)], names)
+        want = {(i, j) for i in range(60) for j in range(i + 1, 60) if rows[i][2] != rows[j][2] and (lo == hi or side[i] != side[j])
+                and 4 * min(rows[i][1], rows[j][1]) >= 3 * max(rows[i][1], rows[j][1])
+                and jaccard.may_match(grid(rows[i][3]), rows[i][1], grid(rows[j][3]), rows[j][1])}
+        got = [tuple(r.values()) for b in jaccard._tiles(True)(iter([batch])) for r in b.to_pylist()]
+        assert want and sorted(got) == sorted(want)
+        nodes = [r["node"] for b in jaccard._tiles(False)(iter([batch])) for r in b.to_pylist()]
+        assert nodes == sorted({x for p in want for x in p})
