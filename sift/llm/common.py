@@ -30,10 +30,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return session.scratch_path(spark, f"sift-llm/{name}")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

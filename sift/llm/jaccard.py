@@ -66,7 +66,7 @@ LIKELY = 18  # places in which the sketches of a pair agree that is tried early;
 ROUNDS = 2
 ROUND_KEYS = 4  # rounds look at one key in so many
 WANTED_SLOTS = 1 << 20  # bounds the broadcast that tells whose hashes are needed
-PAIR_WORDS = 1 << 19  # of bitmaps that are compared at once
+PAIR_WORDS, PAIRS = 1 << 19, 1 << 20  # words of bitmaps, and pairs, that are looked at together
 TILE_BYTES = 4 << 20  # of whole sets in a tile, which has TILE rows at most
 CLUSTER = 8  # tiles of whole sets that a cluster may have
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -322,55 +322,71 @@ def _exact_filter(batches):
         yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["a", "b"])
 
 
+def _allowed(key, side, node, size, label, bits) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a, b) of nodes across components that the bitmaps allow, in groups of rows that stand together
+    (``key`` numbers them; of two sides if both occur). A pair that several groups hold is compared once."""
+    name, own = np.unique(node, return_inverse=True)
+    end = np.searchsorted(key, key, "right")
+    other = np.searchsorted(2 * key + side, 2 * key + 1)  # where the other side begins, if there is one
+    begin = np.where(other < end, other, np.arange(1, len(key) + 1))
+    count = np.where((side == 0) & (end > begin), end - begin, 0)
+    until, codes = np.cumsum(count), []
+    lo = 0
+    while lo < len(key):
+        hi = max(lo + 1, int(np.searchsorted(until, (until[lo - 1] if lo else 0) + PAIRS, "right")))
+        c = count[lo:hi]
+        i = np.repeat(np.arange(lo, hi), c)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c) + np.repeat(begin[lo:hi], c)
+        ok = (label[i] != label[j]) & (DEN * size[j] >= NUM * size[i]) & (DEN * size[i] >= NUM * size[j])
+        p, q = own[i[ok]], own[j[ok]]
+        codes.append(np.unique(np.minimum(p, q) * len(name) + np.maximum(p, q)))
+        lo = hi
+    p, q = np.divmod(np.unique(np.concatenate(codes)), len(name))
+    at = np.zeros(len(name), np.int64)
+    at[own] = np.arange(len(node))  # a row of each node; all have the same bitmap
+    n, width = size[at], np.array([len(bits[i]) // 8 for i in at.tolist()])
+    place, grids = np.zeros(len(name), np.int64), {}
+    for w in np.unique(width).tolist():
+        some = np.nonzero(width == w)[0]
+        place[some], grids[w] = np.arange(len(some)), _grid([bits[i] for i in at[some].tolist()])
+    like = np.zeros(len(p), bool)
+    for x in grids:
+        for y in grids:
+            some, words = np.nonzero((width[p] == x) & (width[q] == y))[0], min(x, y)
+            if not len(some):
+                continue
+            left, right, step = fold(grids[x], words), fold(grids[y], words), max(1, PAIR_WORDS // words)
+            for k in range(0, len(some), step):
+                c = some[k:k + step]
+                like[c] = may_match(left[place[p[c]]], n[p[c]], right[place[q[c]]], n[q[c]])
+    return name[p[like]], name[q[like]]
+
+
 def _tiles(pairs: bool):
     """Rows sorted by key, tile pair, side -> pairs across components that the bitmaps allow, or
     only the nodes of such pairs (at most a row each)."""
-    def compare(rows):
-        size, label, name, side = (np.array([r[k] for r in rows], np.int64) for k in (5, 6, 4, 3))
-        width = np.array([len(r[7]) // 8 for r in rows])
-        own = rows[0][1] == rows[0][2]
-        left, right = np.nonzero(side == 0)[0], np.nonzero(side == (0 if own else 1))[0]
-        if not len(left) or not len(right) or DEN * size[left].max() < NUM * size[right].min():
-            return
-        for wide in np.unique(width[left]).tolist():
-            for other in np.unique(width[right]).tolist():
-                yield from block(rows, left[width[left] == wide], right[width[right] == other], own, size, label, name, min(wide, other))
-
-    def block(rows, x, y, own, size, label, name, words):
-        """``compare`` between rows ``x`` and ``y`` (positions), whose bitmaps are brought down to ``words``."""
-        grid_x, grid_y = (fold(_grid([rows[i][7] for i in at.tolist()]), words) for at in (x, y))
-        step = max(1, PAIR_WORDS // (len(y) * words))
-        for lo in range(0, len(x), step):
-            one, two = x[lo:lo + step, None], y[None, :]
-            ok = (label[one] != label[two]) & (DEN * size[two] >= NUM * size[one]) & (DEN * size[one] >= NUM * size[two])
-            if own:
-                ok &= name[one] < name[two]
-            i, j = np.nonzero(ok)
-            i += lo
-            like = may_match(grid_x[i], size[x[i]], grid_y[j], size[y[j]])
-            a, b = name[x[i[like]]], name[y[j[like]]]
-            if pairs:
-                yield from zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist())
-            else:
-                yield from np.unique(np.concatenate([a, b])).tolist()
-
-    def flush(rows):
-        found = sorted(set(compare(rows)))
-        for i in range(0, len(found), 100_000):
-            cols = zip(*found[i:i + 100_000]) if pairs else [found[i:i + 100_000]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"] if pairs else ["node"])
+    def found(cols, bits):
+        key, lo, hi, side, node, size, label = cols
+        new = np.r_[True, (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]
+        whole = (lo == hi) | (np.minimum.reduceat(side, np.nonzero(new)[0])[np.cumsum(new) - 1] != np.maximum.reduceat(side, np.nonzero(new)[0])[np.cumsum(new) - 1])
+        side = np.where(whole, side, 1)  # of two tiles only one is there: no pairs
+        a, b = _allowed(np.cumsum(new), side, node, size, label, bits)
+        cols = (a, b) if pairs else (np.unique(np.concatenate([a, b])),)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "b"] if pairs else ["node"])
 
     def run(batches):
-        rows, key = [], None
-        for b in _slices(batches, 1000):
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                if row[:3] != key:
-                    if len(rows) > 1:
-                        yield from flush(rows)
-                    rows, key = [], row[:3]
-                rows.append(row)  # two tiles at most
-        if len(rows) > 1:
-            yield from flush(rows)
+        held = bits = None
+        for b in _slices(batches, 4000):
+            cols, more = [b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(7)], b.column(7).to_pylist()
+            if held is not None:
+                cols, more = [np.concatenate(c) for c in zip(held, cols)], bits + more
+            last = np.nonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]) | (cols[2] != cols[2][-1]))[0]
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if cut:
+                yield found([c[:cut] for c in cols], more[:cut])
+            held, bits = [c[cut:] for c in cols], more[cut:]  # two tiles at most
+        if held is not None:
+            yield found(held, bits)
     return run
 
 
@@ -494,7 +510,7 @@ class _Join:
         self.spark = docs.sparkSession
         self.p = partitions(self.spark)
         self.texts = docs.select(order_key(id_col).alias("k"), F.col(text_col).cast("string").alias("text"))
-        survey = materialize(self.texts.select("k", text_hash("text").alias("h"), "text").mapInArrow(_survey, SURVEY), "survey")
+        survey = materialize(self.texts.select("k", text_hash("text").alias("h"), "text").mapInArrow(_survey, SURVEY), "survey", compression="uncompressed")  # hashes do not compress
         self.rows = survey.filter(F.col("k").isNotNull()).select("k", "h", "n", "node")
         # every node has a row with its hashes in some task, or in several: one of them carries it
         self.carriers = survey.filter(F.col("hashes").isNotNull()).select("node", "at", "mini", "hashes")
