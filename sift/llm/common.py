@@ -38,12 +38,12 @@ def materialize(df: DataFrame, name: str, compression: str | None = None) -> Dat
 
 
 @contextmanager
-def small_batches(spark: SparkSession):
-    """Batches of at most ``BATCH_ROWS`` rows between Spark and the workers for what runs inside: where rows hold
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS):
+    """Batches of at most ``rows`` rows between Spark and the workers for what runs inside: where rows hold
     whole texts or sets, batches of the usual 10,000 rows lie beside the heap, several a task."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     was = spark.conf.get(name)
-    spark.conf.set(name, min(int(was), BATCH_ROWS) if int(was) > 0 else BATCH_ROWS)
+    spark.conf.set(name, min(int(was), rows) if int(was) > 0 else rows)
     try:
         yield
     finally:
