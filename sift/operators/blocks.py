@@ -65,11 +65,11 @@ def in_blocks(df: DataFrame, size: Column, wanted: Callable[[DataFrame], DataFra
     n = max(df.sparkSession.sparkContext.defaultParallelism, -(-total // BLOCK_BYTES))
     dealt = held.select(F.pmod("__deal", F.lit(n)).cast("int").alias("__block"), "__row")
     rows = dealt.select("__block", *[a(lambda c: F.col("__row")[c]).alias(f"__a{i}") for i, a in enumerate(args)])
-    asked = wanted(rows.repartition(n, "__block")).join(table, "__h")
+    asked = wanted(rows.repartitionById(n, "__block")).join(table, "__h")
     row_type, p_type = (dict(x.dtypes)[c] for x, c in ((held, "__row"), (table, "__p")))
     both = (asked.select("__block", F.lit(False).alias("__is_row"), "__p", F.lit(None).cast(held.schema["__row"].dataType).alias("__row"))
             .unionByName(dealt.select("__block", F.lit(True).alias("__is_row"), F.lit(None).cast(table.schema["__p"].dataType).alias("__p"), "__row")))
-    ready = both.repartition(n, "__block").sortWithinPartitions("__block", "__is_row", "__p")
+    ready = both.repartitionById(n, "__block").sortWithinPartitions("__block", "__is_row", "__p")
     ready = ready.select("*", *[a(lambda c: F.col("__row")[c]).alias(f"__a{i}") for i, a in enumerate(args)])
     schema = held.select("__row").schema
     for name, kind in fields:

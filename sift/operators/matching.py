@@ -289,17 +289,29 @@ def _rows(ends: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.n
 def _file(batches):
     """(literal, p) -> the number and length of the run that it is filed under, literal, p."""
     for b in batches:
-        runs = []
-        for lit in b.column(0).cast(pa.binary()).to_pylist():
-            size = filed_size(len(lit))
-            runs.append((int(_Runs(np.frombuffer(lit[:size], np.uint8)).of(size)[0]) if size else EVERY_TEXT, size))
-        h = np.array([r[0] for r in runs], np.uint64).view(np.int64)
+        h, size = np.full(b.num_rows, EVERY_TEXT, np.uint64), np.zeros(b.num_rows, np.int32)
+        for lo, data, ends in _steps(b.column(0), STEP_BYTES):
+            length, runs = np.diff(ends), _Runs(data)
+            for n in np.unique(length).tolist():
+                at = np.flatnonzero(length == n)
+                size[lo + at] = filed_size(n)
+                if n:
+                    h[lo + at] = runs.of(filed_size(n))[ends[at]]
+        h = h.view(np.int64)
         places = [(h.view(np.uint64) * x).view(np.int64) for x in _PROBES]
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(h) + 1, dtype=np.int32) * len(places)), pa.array(np.stack(places, 1).ravel()))
-        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array([r[1] for r in runs], pa.int32()), lists, b.column(0), b.column(1)],
+        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(size), lists, b.column(0), b.column(1)],
                                          ["__h", "size", "place", "literal", "p"])
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct numbers, in order: sorting them is faster than hashing them."""
+    x = np.sort(x)
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
+
+
 def _wanted(table, bits: int, sizes: list[int], every: bool, most: int):
     """Each block with the distinct runs of its texts that needles may be filed under."""
     def run(batches):
@@ -307,7 +319,7 @@ def _wanted(table, bits: int, sizes: list[int], every: bool, most: int):
         bit_table = _Bits(bits, table.value)
 
         def asked():
-            h = np.unique(np.concatenate(found))
+            h = _distinct(np.concatenate(found))
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), block, np.int32)), pa.array(h.view(np.int64))], ["__block", "__h"])
 
         for b in batches:
@@ -321,9 +333,9 @@ def _wanted(table, bits: int, sizes: list[int], every: bool, most: int):
                         yield asked()
                     block, found = at[lo], [np.array([EVERY_TEXT] if every else [], np.uint64)]
                 for _, data, ends in _steps(b.column(1).slice(lo, hi - lo), most):
-                    found += [np.unique(h) for _, _, h in _found(data, ends, sizes, bit_table)]
+                    found += [_distinct(h) for _, _, h in _found(data, ends, sizes, bit_table)]
                     if len(found) > 1000:
-                        found = [np.unique(np.concatenate(found))]
+                        found = [_distinct(np.concatenate(found))]
         if block is not None:
             yield asked()
     return run
@@ -342,65 +354,96 @@ def _first_of_equal(p: pa.StructArray) -> np.ndarray:
     return np.flatnonzero(new)[np.cumsum(new) - 1]
 
 
-def _look(most: int):
-    """Maps texts to the needles of their block that they hold, in the needles' order."""
+class _Filed:
+    """Needles by the number of the run that they are filed under."""
+
+    def __init__(self, h: np.ndarray, size: np.ndarray, literals: pa.Array):
+        by = np.argsort(h, kind="stable")
+        self.by = by = by[size[by] > 0]
+        h = h[by]
+        self.h = np.append(h, ~np.uint64(0))  # no run is beyond the last
+        self.sizes = np.unique(size[by]).tolist()
+        self.table = _Bits(max(64, 1 << (16 * len(h)).bit_length())).add(h)
+        bits = (4 * len(h)).bit_length()
+        self.shift = np.uint64(64 - bits)
+        self.begin = np.concatenate([[0], np.cumsum(np.bincount((h >> self.shift).view(np.int64), minlength=1 << bits))])
+        first = np.flatnonzero(np.diff(h, prepend=~h[:1]))
+        self.many = np.zeros(len(h), np.int64)  # at the first of equal numbers: how many they are
+        self.many[first] = np.diff(first, append=len(h))
+        _, lits, starts = next(_steps(literals, 1 << 60), (0, np.empty(0, np.uint8), np.zeros(1, np.int64)))
+        self.starts, self.length, self.words = starts[:-1], np.diff(starts), _words(lits)
+
+    def held(self, data: np.ndarray, ends: np.ndarray):
+        """(place, text, needle) of each literal in joined texts."""
+        words = _words(data)
+        for n, at, runs in _found(data, ends, self.sizes, self.table):
+            first = self.begin[(runs >> self.shift).view(np.int64)]
+            low = np.flatnonzero(self.h[first] < runs)
+            while len(low):  # a bucket holds few numbers
+                first[low] += 1
+                low = low[self.h[first[low]] < runs[low]]
+            hit = np.flatnonzero((self.h[first] == runs) & (first < len(self.by)))
+            at, first = at[hit], first[hit]
+            row, inside = _rows(ends, at, n)
+            at, row, first = at[inside], row[inside], first[inside]
+            many = self.many[first]
+            if many.max(initial=1) > 1:
+                at, row = np.repeat(at, many), np.repeat(row, many)
+                first = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
+            which = self.by[first]
+            begin, length = self.starts[which], self.length[which]
+            # equal numbers are not yet equal bytes
+            same = (words[at] ^ self.words[begin]) & np.uint64((1 << 8 * min(n, 8)) - 1) == 0
+            for i in [*range(8, n - 8, 8), n - 8] if n > 8 else []:
+                same &= words[at + i] == self.words[begin + i]
+            same &= at + length <= ends[row + 1]
+            longer, i = np.flatnonzero(same & (length > n)), n
+            while len(longer):  # than the run that they are filed under
+                to = np.minimum(i, length[longer] - 8)
+                equal = words[at[longer] + to] == self.words[begin[longer] + to]
+                same[longer[~equal]] = False
+                i += 8
+                longer = longer[equal & (length[longer] > i)]
+            yield at[same], row[same], which[same]
+
+
+def _words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place as one number; zeros follow the last."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def _look(most: int, fields: list[str]):
+    """Maps texts to ``fields`` of the needles of their block that they hold, in the needles' order."""
     def look(needles: pa.StructArray):
-        p, h, size = needles.field("p"), needles.field("h").to_numpy().view(np.uint64), needles.field("size").to_numpy()
-        _, lits, starts = next(_steps(needles.field("literal"), 1 << 60), (0, np.empty(0, np.uint8), np.zeros(1, np.int64)))
-        length = np.diff(starts)
+        p, size = needles.field("p"), needles.field("size").to_numpy()
+        filed = _Filed(needles.field("h").to_numpy().view(np.uint64), size, needles.field("literal"))
         one = _first_of_equal(p)  # a needle may be there with several literals
         always = np.unique(one[size == 0])
-        by = np.argsort(h, kind="stable")
-        by = by[size[by] > 0]
-        h = h[by]
-        sizes = np.unique(size[by]).tolist()
-        table = _Bits(max(64, 1 << (16 * len(h)).bit_length())).add(h)
+        shown = pa.StructArray.from_arrays([p.field(f) for f in fields], fields)
         width = max(1, len(p))
 
-        def held(data, ends, pair):
-            """Of needles longer than the run they are filed under, those that their text holds whole."""
-            for x in pair.tolist():
-                row, i = divmod(x, width)
-                yield lits[starts[i]:starts[i + 1]].tobytes() in data[ends[row]:ends[row + 1]].tobytes()
-
         def found(texts: pa.Array):
             for lo, data, ends in _steps(texts, most):
                 n_rows = len(ends) - 1
                 pairs = [(np.arange(n_rows)[:, None] * width + always).ravel()]
-                for n, at, runs in _found(data, ends, sizes, table):
-                    first = np.searchsorted(h, runs, "left")
-                    hit = np.flatnonzero(h[np.minimum(first, len(h) - 1)] == runs)
-                    row, inside = _rows(ends, at[hit], n)
-                    hit, row = hit[inside], row[inside]
-                    at, first, many = at[hit], first[hit], np.searchsorted(h, runs[hit], "right") - first[hit]
-                    if many.max(initial=1) > 1:
-                        at, row = np.repeat(at, many), np.repeat(row, many)
-                        first = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
-                    which, same = by[first], np.ones(len(first), bool)
-                    for i in range(n):  # equal numbers are not yet equal bytes
-                        same &= data[at + i] == lits[starts[which] + i]
-                    pair = np.unique(row[same] * width + which[same])
-                    longer = length[pair % width] > n
-                    if longer.any():
-                        whole = ~longer
-                        whole[longer] = list(held(data, ends, pair[longer]))
-                        pair = pair[whole]
-                    pairs.append(pair)
-                pair = np.concatenate(pairs)
-                pair = np.unique(pair // width * width + one[pair % width]) if len(one) else pair
+                pairs += [row * width + one[which] for _, row, which in filed.held(data, ends)]
+                pair = _distinct(np.concatenate(pairs))
                 at = np.searchsorted(pair, np.arange(n_rows + 1) * width)
-                yield lo, [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), p.take(pa.array(pair % width)))]
+                yield lo, [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), shown.take(pa.array(pair % width)))]
         return found
     return look
 
 
-def with_candidates(df: DataFrame, low: str, needles: DataFrame, out: str) -> DataFrame:
+def with_candidates(df: DataFrame, low: str, needles: DataFrame, out: str, fields: list[str] | None = None) -> DataFrame:
     """``df`` with ``out``: structs of the columns of ``needles`` (``literal``, which is never null, left
     out) whose literal the column ``low`` holds, in the order of their fields; a needle with several
-    literals (a row each) is there once if any of them is held."""
-    payload = F.struct(*[c for c in needles.columns if c != "literal"])
+    literals (a row each) is there once if any of them is held. Of the columns, ``out`` has ``fields`` (None: all)."""
+    columns = [c for c in needles.columns if c != "literal"]
+    fields = columns if fields is None else fields
+    payload = F.struct(*columns)
     pairs = needles.select("literal", payload.alias("p")).distinct()
-    kind = pairs.schema["p"].dataType
+    kind = T.StructType([pairs.schema["p"].dataType[f] for f in fields])
     filed = stored(pairs.mapInArrow(_file, pairs.select(F.lit(0).cast("long").alias("__h"), F.lit(0).alias("size"), F.array(F.lit(0).cast("long")).alias("place"), "literal", "p").schema), "sift-needles")
     bits = min(FILTER_BITS, max(64, 1 << (16 * filed.count()).bit_length()))
     places = filed.select("size", F.explode(F.array(*[F.shiftrightunsigned(F.col("place")[i], 65 - bits.bit_length()) for i in range(len(_PROBES))])).alias("at"))
@@ -412,7 +455,7 @@ def with_candidates(df: DataFrame, low: str, needles: DataFrame, out: str) -> Da
     table = df.sparkSession.sparkContext.broadcast(packed.view(np.uint8))
     run = _wanted(table, bits, [x for x in sizes if x], 0 in sizes, STEP_BYTES)
     return in_blocks(df, F.octet_length(low), lambda rows: rows.sortWithinPartitions("__block").mapInArrow(run, "__block int, __h long"),
-                     filed.select("__h", F.struct("p", "literal", F.col("__h").alias("h"), "size").alias("__p")), _look(STEP_BYTES),
+                     filed.select("__h", F.struct("p", "literal", F.col("__h").alias("h"), "size").alias("__p")), _look(STEP_BYTES, fields),
                      [lambda row: row(low)], [(out, T.ArrayType(kind))])
 
 

@@ -87,8 +87,11 @@ def with_lexicon_signals(df: DataFrame, low: str, lexicon, out: str) -> DataFram
     rows = small_rows(terms, ["ord", "term", "sig", "expl", "k"])
     if rows is not None:
         return df.withColumn(out, _lexicon_inline([(r["k"], r["term"], r["sig"], r["expl"]) for r in rows], F.col(low)))
-    found = with_candidates(df, low, terms.withColumn("literal", F.col("k")), out)
-    return found.withColumn(out, F.when(F.col(low).isNotNull(), _lexicon_hits(F.col(out))).otherwise(F.array().cast(SIGNAL_ARRAY)))
+    # the needles are the signals as they come out: nothing is left to do per hit
+    signal = _sig("EUPHEMISM", F.col("term"), F.col("sig"), F.col("expl"))
+    needles = terms.select("ord", signal.alias("s"), F.col("k").alias("literal")).select("ord", "s.*", "literal")
+    found = with_candidates(df, low, needles, out, [f.name for f in needles.schema if f.name not in ("ord", "literal")])
+    return found.withColumn(out, F.when(F.col(low).isNotNull(), F.col(out)).otherwise(F.array().cast(SIGNAL_ARRAY)))
 
 
 def _may_match(low: Column, pattern: str) -> Column:

@@ -129,8 +129,8 @@ def q_lexicon_large(spark, sf_dir):
     d = DV.documents(spark, sf_dir).select("doc_id", "text")
     s = SG.with_lexicon_signals(d.withColumn("low", F.lower("text")), "low", DV.corpus_lexicon(d), "s")
     return s.select("doc_id", F.size("s").alias("n_lexicon"),
-                    F.sha2(F.array_join(F.transform("s", lambda e: e["extracted_text"]), ","), 256).alias("terms_hash"),
-                    F.sha2(F.array_join(F.transform("s", lambda e: e["significance"]), ","), 256).alias("levels_hash"))
+                    F.sha2(F.array_join("s.extracted_text", ","), 256).alias("terms_hash"),
+                    F.sha2(F.array_join("s.significance", ","), 256).alias("levels_hash"))
 
 
 @query("patterns_large")

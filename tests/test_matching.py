@@ -132,3 +132,25 @@ def test_hits_are_not_shuffled(spark, monkeypatch):
     n = normalize(df.select("id", "text"), "text", slang=slang)
     assert "collect_list" not in n._jdf.queryExecution().executedPlan().toString()
     assert {r[0] for r in n.select("normalized_text").collect()} == {" ".join(w[::-1] for w in words)}
+
+
+def test_each_block_has_its_own_task(spark, monkeypatch):
+    """Blocks went to tasks by their hash: a third of the tasks had none, others several."""
+    monkeypatch.setattr("sift.operators.blocks.BLOCK_BYTES", 100)
+    df = spark.createDataFrame([(i, f"text {i:05d}") for i in range(640)], "id int, low string")
+    needles = spark.createDataFrame([(i, f"{i:05d}") for i in range(640)], "ord int, literal string")
+    out = M.with_candidates(df, "low", needles, "c").select("id", "c.ord", F.spark_partition_id().alias("task")).collect()
+    assert {r.id: r.ord for r in out} == {i: [i] for i in range(640)}
+    assert len({r.task for r in out}) == 64
+
+
+def test_literals_of_any_length_at_any_place(spark):
+    rnd = random.Random(8)
+    unit = "".join(rnd.choices("abé", k=150))
+    terms = sorted({unit[:n] for n in range(1, 140)} | {unit[:n] + "!" for n in (1, 7, 8, 9, 15, 16, 17, 23, 24, 40, 99)})
+    rows = [unit[:50] + "?" + unit, unit[:17] + unit[:16] + "!", unit[:99] + "!", "!" + unit[:8], unit[:7] + "!", "", None]
+    rows += ["".join(rnd.choices("abé!", k=30)) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(rows)), "id int, low string")
+    needles = spark.createDataFrame(list(enumerate(terms)), "ord int, literal string")
+    got = {r.id: r.c for r in M.with_candidates(df, "low", needles, "c").select("id", F.size("c").alias("c")).collect()}
+    assert got == {i: sum(t in (x or "") for t in terms) for i, x in enumerate(rows)}
