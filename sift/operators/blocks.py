@@ -27,7 +27,7 @@ from sift.session import stored
 BLOCK_BYTES = 16 << 20
 
 
-def _per_block(look: Callable, n_args: int):
+def _per_block(look: Callable, args: list[str | int]):
     """A block's table rows come first, in their order; ``look`` makes of them what maps rows."""
     def run(batches):
         block, held, found = None, [], None
@@ -44,35 +44,38 @@ def _per_block(look: Callable, n_args: int):
                     continue
                 if found is None:
                     found, held = look(pa.concat_arrays(held)), []
-                rows, args = b.column(3).slice(lo, hi - lo), [b.column(4 + i).slice(lo, hi - lo) for i in range(n_args)]
-                for first, cols in found(*args):
+                rows = b.column(3).slice(lo, hi - lo)
+                for first, cols in found(*[rows.field(a) if isinstance(a, str) else b.column(a).slice(lo, hi - lo) for a in args]):
                     yield pa.RecordBatch.from_arrays([rows.slice(first, len(cols[0])), *cols], ["row", *[f"c{i}" for i in range(len(cols))]])
     return run
 
 
 def in_blocks(df: DataFrame, size: Column, wanted: Callable[[DataFrame], DataFrame], table: DataFrame, look: Callable,
-              args: list[Callable[[Callable[[str], Column]], Column]], fields: list[tuple[str, str]]) -> DataFrame:
+              args: list[str | Callable[[Callable[[str], Column]], Column]], fields: list[tuple[str, str]]) -> DataFrame:
     """``df`` with ``fields`` (name, type), which must be new names.
 
     ``size`` is about the bytes of a row's text. ``wanted`` maps rows that lie together by
     ``__block`` to distinct ``__block, __h``. ``table`` has ``__h`` and a struct ``__p``.
     ``look(p)`` gets a block's ``__p`` (an Arrow array in ascending order) and returns
-    a function from the ``args`` (Arrow arrays) of its rows to (first row, columns of ``fields``)
+    a function from the ``args`` (Arrow arrays: columns, or what is made of them) of its rows to (first row, columns of ``fields``)
     pieces in order."""
     held = stored(df.select(F.struct(*[F.col(c) for c in df.columns]).alias("__row"), F.coalesce(size, F.lit(0)).cast("long").alias("__size"),
                             F.xxhash64(F.monotonically_increasing_id()).alias("__deal")), "sift-blocks")
     total = held.agg(F.coalesce(F.sum("__size"), F.lit(0)).alias("n")).first()["n"]
     n = max(df.sparkSession.sparkContext.defaultParallelism, -(-total // BLOCK_BYTES))
     dealt = held.select(F.pmod("__deal", F.lit(n)).cast("int").alias("__block"), "__row")
-    rows = dealt.select("__block", *[a(lambda c: F.col("__row")[c]).alias(f"__a{i}") for i, a in enumerate(args)])
+    of_row = lambda c: F.col("__row")[c]
+    rows = dealt.select("__block", *[(of_row(a) if isinstance(a, str) else a(of_row)).alias(f"__a{i}") for i, a in enumerate(args)])
     asked = wanted(rows.repartitionById(n, "__block")).join(table, "__h")
     row_type, p_type = (dict(x.dtypes)[c] for x, c in ((held, "__row"), (table, "__p")))
     both = (asked.select("__block", F.lit(False).alias("__is_row"), "__p", F.lit(None).cast(held.schema["__row"].dataType).alias("__row"))
             .unionByName(dealt.select("__block", F.lit(True).alias("__is_row"), F.lit(None).cast(table.schema["__p"].dataType).alias("__p"), "__row")))
     ready = both.repartitionById(n, "__block").sortWithinPartitions("__block", "__is_row", "__p")
-    ready = ready.select("*", *[a(lambda c: F.col("__row")[c]).alias(f"__a{i}") for i, a in enumerate(args)])
+    made = [a for a in args if not isinstance(a, str)]  # columns go to the workers once, within the row
+    ready = ready.select("*", *[a(of_row).alias(f"__a{i}") for i, a in enumerate(made)])
+    at = [a if isinstance(a, str) else 4 + made.index(a) for a in args]
     schema = held.select("__row").schema
     for name, kind in fields:
         schema = schema.add(name, kind)
-    out = ready.mapInArrow(_per_block(look, len(args)), schema)
+    out = ready.mapInArrow(_per_block(look, at), schema)
     return out.select(*[F.col("__row")[c].alias(c) for c in df.columns], *[name for name, _ in fields])

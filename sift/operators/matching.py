@@ -182,6 +182,47 @@ def required_forms(pattern: str) -> list[str]:
     return sorted(max(runs, key=least))
 
 
+#: Letters, digits, a few marks, groups, small classes and runs of whitespace: what Java and Python read alike.
+_PLAIN = re.compile(r"(?:\w|\\s\+|[(|),;:!']|\[[\w,.;:!]+\])+")
+
+
+def plain_forms(pattern: str) -> list[str] | None:
+    """All that a regex matches, as literals of texts in which each run of whitespace is one space, if a
+    match is nothing but one of them: few, of which none begins another, so that one at most fits a place."""
+    if not _PLAIN.fullmatch(pattern):
+        return None
+    try:
+        tree = RP.parse(pattern)
+    except re.error:
+        return None
+
+    def forms(items) -> set[str]:
+        now = {""}
+        for op, arg in items:
+            if op is RC.LITERAL:
+                e = {chr(arg)}
+            elif op is RC.IN:
+                e = {chr(x) for _, x in arg}
+            elif op is RC.SUBPATTERN:
+                e = forms(arg[3])
+            elif op is RC.BRANCH:
+                e = set().union(*map(forms, arg[1]))
+            else:  # the only repeat: a run of whitespace
+                e = {" "}
+            now = {a + b for a in now for b in e}
+            if len(now) > MAX_FORMS:
+                raise OverflowError
+        return now
+
+    try:
+        found = sorted(forms(tree))
+    except OverflowError:
+        return None
+    if not found[0] or any("  " in f for f in found) or any(b.startswith(a) for a, b in zip(found, found[1:])):
+        return None
+    return found
+
+
 def _grams(data: np.ndarray, size: int) -> np.ndarray:
     """The gram at each position: its length and bytes in one number."""
     n = max(0, len(data) - size + 1)
@@ -312,7 +353,7 @@ def _distinct(x: np.ndarray) -> np.ndarray:
     return x[new]
 
 
-def _wanted(table, bits: int, sizes: list[int], every: bool, most: int):
+def _wanted(table, bits: int, sizes: list[int], every: bool, most: int, clean=None):
     """Each block with the distinct runs of its texts that needles may be filed under."""
     def run(batches):
         block, found = None, []
@@ -332,7 +373,8 @@ def _wanted(table, bits: int, sizes: list[int], every: bool, most: int):
                     if block is not None:
                         yield asked()
                     block, found = at[lo], [np.array([EVERY_TEXT] if every else [], np.uint64)]
-                for _, data, ends in _steps(b.column(1).slice(lo, hi - lo), most):
+                texts = b.column(1).slice(lo, hi - lo)
+                for _, data, ends in _steps(clean(texts) if clean else texts, most):
                     found += [_distinct(h) for _, _, h in _found(data, ends, sizes, bit_table)]
                     if len(found) > 1000:
                         found = [_distinct(np.concatenate(found))]
@@ -435,15 +477,108 @@ def _look(most: int, fields: list[str]):
     return look
 
 
+_SPACES = np.array([i for i in range(0x3001) if chr(i).isspace()], np.uint32)
+
+
+_ODD_SPACE = re.compile(r"\s{2,}|[^\S ]")
+
+
+def one_space(texts: pa.Array) -> pa.Array:
+    """Texts with one space for each run of whitespace; bytes that are no UTF-8 stay."""
+    return pa.array([None if t is None else _ODD_SPACE.sub(" ", t.decode("utf-8", "surrogateescape")).encode("utf-8", "surrogateescape")
+                     for t in texts.cast(pa.binary()).to_pylist()], pa.binary())
+
+
+def _spaced_places(low: str, n: int) -> np.ndarray | None:
+    """Where each character, and the end, of a text of ``n`` characters with one space for each run of whitespace
+    lies in the text as it was; None if that is not how it was made."""
+    if len(low) == n:
+        return np.arange(n + 1)
+    space = np.isin(np.frombuffer(low.encode("utf-32-le"), "<u4"), _SPACES)
+    space[1:] &= space[:-1].copy()
+    space[:1] = False
+    at = np.append(np.flatnonzero(~space), len(low))
+    return at if len(at) == n + 1 else None
+
+
+def _first_matches(most: int, before: int, after: int, java_of):
+    """Maps texts (in lower case, as they are) to the needles that they may match once each run of whitespace is one space:
+    of plain ones the first match and the text around it, of others the Java form."""
+    def look(needles: pa.StructArray):
+        p, size = needles.field("p"), needles.field("size").to_numpy()
+        filed = _Filed(needles.field("h").to_numpy().view(np.uint64), size, needles.field("literal"))
+        one = _first_of_equal(p)
+        always = np.unique(one[size == 0])
+        patterns, java = p.field("pattern").to_pylist(), p.field("java")
+        plain = java.is_null().to_numpy(zero_copy_only=False).astype(bool)
+        names = pa.array([x.strip() for x in patterns], pa.string())
+        width = max(1, len(p))
+
+        def found(lows: pa.Array, texts: pa.Array):
+            lows, texts = lows.cast(pa.binary()), texts.cast(pa.binary())
+            for lo, data, ends in _steps(one_space(lows), most):
+                n_rows = len(ends) - 1
+                held = list(filed.held(data, ends))
+                key = np.concatenate([(np.arange(n_rows)[:, None] * width + always).ravel(), *[row * width + one[which] for _, row, which in held]])
+                none = np.zeros(n_rows * len(always), np.int64)
+                at = np.concatenate([none, *[x for x, _, _ in held]])
+                end = np.concatenate([none, *[x + filed.length[which] for x, _, which in held]])
+                order = np.lexsort((at, key))
+                order = order[np.diff(key[order], prepend=-1) != 0]
+                key, at, end = key[order], at[order], end[order]
+                row, which = np.divmod(key, width)
+                chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # before each byte
+                at, end = chars[at] - chars[ends[row]], chars[end] - chars[ends[row]]
+                known, near, hit, other = plain[which], [None] * len(key), [None] * len(key), {}
+                edges = np.searchsorted(row, np.arange(n_rows + 1))
+                for r in np.unique(row[known]).tolist():
+                    some = edges[r] + np.flatnonzero(known[edges[r]:edges[r + 1]])
+                    try:
+                        low, text = (None if x[lo + r].as_py() is None else x[lo + r].as_py().decode() for x in (lows, texts))
+                    except UnicodeDecodeError:
+                        low = None
+                    places = None if low is None else _spaced_places(low, int(chars[ends[r + 1]] - chars[ends[r]]))
+                    if places is None:  # as for other patterns
+                        other |= {i: java_of(patterns[which[i]]) for i in some.tolist()}
+                        continue
+                    for i, a, b in zip(some.tolist(), places[at[some]].tolist(), places[end[some]].tolist()):
+                        hit[i] = low[a:b]
+                        near[i] = None if text is None else text[max(a - before, 0):min(b + after, len(low))].strip()
+                which = pa.array(which)
+                forms = java.take(which)
+                if other:
+                    forms = pa.array([other.get(i, f) for i, f in enumerate(forms.to_pylist())], pa.string())
+                items = pa.StructArray.from_arrays([names.take(which), forms, pa.array(near, pa.string()), pa.array(hit, pa.string())], ["name", "java", "near", "hit"])
+                yield lo, [pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), items)]
+        return found
+    return look
+
+
+def with_first_matches(df: DataFrame, text: str, low: str, needles: DataFrame, out: str, before: int, after: int, java_of) -> DataFrame:
+    """``df`` with ``out``: structs ``name, java, near, hit`` of the needles (``ord, pattern, java, literal``) of which the
+    column ``low`` holds a literal once each run of whitespace is one space, by their ``ord`` and pattern.
+    Of plain ones, whose ``java`` is null, ``hit`` is the first match in ``low`` and ``near`` the part of ``text`` from
+    ``before`` characters ahead of it to ``after`` behind it, stripped. The others, which may not match, have ``java``;
+    ``java_of`` gives it for plain ones of a text whose places are not known (``low`` is no UTF-8)."""
+    kind = T.StructType([T.StructField(n, T.StringType()) for n in ("name", "java", "near", "hit")])
+    return _with_needles(df, low, needles, _first_matches(STEP_BYTES, before, after, java_of), [low, text], (out, T.ArrayType(kind)), one_space)
+
+
 def with_candidates(df: DataFrame, low: str, needles: DataFrame, out: str, fields: list[str] | None = None) -> DataFrame:
     """``df`` with ``out``: structs of the columns of ``needles`` (``literal``, which is never null, left
     out) whose literal the column ``low`` holds, in the order of their fields; a needle with several
     literals (a row each) is there once if any of them is held. Of the columns, ``out`` has ``fields`` (None: all)."""
     columns = [c for c in needles.columns if c != "literal"]
     fields = columns if fields is None else fields
-    payload = F.struct(*columns)
+    kind = T.StructType([needles.select(f).schema[0] for f in fields])
+    return _with_needles(df, low, needles, _look(STEP_BYTES, fields), [low], (out, T.ArrayType(kind)))
+
+
+def _with_needles(df: DataFrame, low: str, needles: DataFrame, look, args: list[str], field: tuple, clean=None) -> DataFrame:
+    """``df`` with ``field``, which ``look`` makes of the columns ``args``, the first of which is ``low``, and the needles
+    of a block; their literals are looked for in what ``clean`` makes of ``low``."""
+    payload = F.struct(*[c for c in needles.columns if c != "literal"])
     pairs = needles.select("literal", payload.alias("p")).distinct()
-    kind = T.StructType([pairs.schema["p"].dataType[f] for f in fields])
     filed = stored(pairs.mapInArrow(_file, pairs.select(F.lit(0).cast("long").alias("__h"), F.lit(0).alias("size"), F.array(F.lit(0).cast("long")).alias("place"), "literal", "p").schema), "sift-needles")
     bits = min(FILTER_BITS, max(64, 1 << (16 * filed.count()).bit_length()))
     places = filed.select("size", F.explode(F.array(*[F.shiftrightunsigned(F.col("place")[i], 65 - bits.bit_length()) for i in range(len(_PROBES))])).alias("at"))
@@ -453,10 +588,10 @@ def with_candidates(df: DataFrame, low: str, needles: DataFrame, out: str, field
     packed[words["i"].to_numpy(np.int64)] = words["x"].to_numpy(np.int64).view(np.uint64)
     sizes = sorted({int(x) for xs in words["sizes"] for x in xs})
     table = df.sparkSession.sparkContext.broadcast(packed.view(np.uint8))
-    run = _wanted(table, bits, [x for x in sizes if x], 0 in sizes, STEP_BYTES)
+    run = _wanted(table, bits, [x for x in sizes if x], 0 in sizes, STEP_BYTES, clean)
     return in_blocks(df, F.octet_length(low), lambda rows: rows.sortWithinPartitions("__block").mapInArrow(run, "__block int, __h long"),
-                     filed.select("__h", F.struct("p", "literal", F.col("__h").alias("h"), "size").alias("__p")), _look(STEP_BYTES, fields),
-                     [lambda row: row(low)], [(out, T.ArrayType(kind))])
+                     filed.select("__h", F.struct("p", "literal", F.col("__h").alias("h"), "size").alias("__p")), look,
+                     args, [field])
 
 
 def candidates(texts: DataFrame, literals: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from sift import dictionaries as D
 from sift.functions import text as X
 from sift.operators.dicts import small_rows
-from sift.operators.matching import required_forms, required_literal, with_candidates
+from sift.operators.matching import plain_forms, required_forms, required_literal, with_candidates, with_first_matches
 from sift.operators.partitioning import pinned
 
 KEEP_LEVELS = ("HIGH", "MEDIUM")
@@ -134,21 +134,27 @@ def _window(text: Column, low: Column, start: Column, end: Column, before: int,
     return X.strip_u(F.substring(text, lo + 1, hi - lo))
 
 
-def _action(text: Column, low: Column, start: Column, end: Column, name: Column) -> Column:
-    return _sig("CALL_TO_ACTION", _window(text, low, start, end, 20, 40), "MEDIUM",
-                F.concat(F.lit("call-to-action pattern: '"), name, F.lit("'")))
+def _action(near: Column, hit: Column, name: Column) -> Column:
+    return _sig("CALL_TO_ACTION", near, "MEDIUM", F.concat(F.lit("call-to-action pattern: '"), name, F.lit("'")))
 
 
-def _urgency(text: Column, low: Column, start: Column, end: Column, name: Column) -> Column:
-    return _sig("TEMPORAL", F.substring(low, start + 1, end - start), "LOW",
-                F.concat(F.lit("urgency near: '"), _window(text, low, start, end, 15, 30), F.lit("'")))
+def _urgency(near: Column, hit: Column, name: Column) -> Column:
+    return _sig("TEMPORAL", hit, "LOW", F.concat(F.lit("urgency near: '"), near, F.lit("'")))
+
+
+#: How much of the text before and after a match a signal shows.
+AROUND = {_action: (20, 40), _urgency: (15, 30)}
+
+
+def _at(signal, text: Column, low: Column, start: Column, end: Column, name: Column) -> Column:
+    return signal(_window(text, low, start, end, *AROUND[signal]), F.substring(low, start + 1, end - start), name)
 
 
 def _inline_patterns(text: Column, patterns: list[str], low: Column | None, signal) -> Column:
     out = []
     for p in patterns:
         m, s, e, lw = _first_match(text, p, low)
-        out.append(F.when(m, signal(text, lw, s, e, F.lit(p.strip()))))
+        out.append(F.when(m, _at(signal, text, lw, s, e, F.lit(p.strip()))))
     return _compact(out)
 
 
@@ -165,9 +171,12 @@ def urgency_signals(text: Column, patterns: list | None = None, low: Column | No
 
 
 def _pattern_needles(batches):
-    """(ord, pattern) -> ord, pattern, its Java form and a literal, a row for each of those of which it needs one."""
+    """(ord, pattern) -> ord, pattern, its Java form (null if its literals are all that it matches) and a literal, a row for each of those of which it needs one."""
     for b in batches:
-        rows = [(o, p, java_pattern(p), form) for o, p in zip(*(b.column(i).to_pylist() for i in (0, 1))) for form in required_forms(p)]
+        rows = []
+        for o, p in zip(*(b.column(i).to_pylist() for i in (0, 1))):
+            plain = plain_forms(p)
+            rows += [(o, p, None if plain else java_pattern(p), form) for form in plain or required_forms(p)]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), *[pa.string()] * 3))],
                                          ["ord", "pattern", "java", "literal"])
 
@@ -179,18 +188,20 @@ def _with_pattern_signals(df: DataFrame, text_col: str, low: str, patterns, defa
         table = patterns.filter("pattern IS NOT NULL").select(F.col("ord").cast("long").alias("ord"), "pattern")
         rows = small_rows(table, ["ord", "pattern"])
         if rows is None:
-            needles = table.mapInArrow(_pattern_needles, "ord long, pattern string, java string, literal string")
-            d = with_candidates(df.withColumn("__spaced", F.regexp_replace(low, f"{X.WS}+", " ")), "__spaced", needles, "__c").drop("__spaced")
-            d = d.withColumn("__c", F.transform("__c", lambda c: F.struct(c["pattern"].alias("name"), c["java"].alias("java"), F.split(lw, c["java"], 2).alias("parts"))))
+            # a pattern takes a while to read: all tasks share them
+            needles = table.repartition(df.sparkSession.sparkContext.defaultParallelism, "pattern").mapInArrow(
+                _pattern_needles, "ord long, pattern string, java string, literal string")
+            d = with_first_matches(df, text_col, low, needles, "__c", *AROUND[signal], java_pattern)
+            other = lambda c: c["java"].isNotNull()
+            d = d.withColumn("__c", F.transform("__c", lambda c: c.withField("parts", F.when(other(c), F.split(lw, c["java"], 2)))))
             # a text in two parts has a match; an empty one at its start leaves it whole
-            d = d.withColumn("__c", F.filter("__c", lambda c: (F.size(c["parts"]) > 1) | F.rlike(lw, c["java"])))
-            return d.withColumn(out, F.transform("__c", lambda c: signal(
-                text, lw, F.length(F.element_at(c["parts"], 1)), F.length(lw) - F.length(F.try_element_at(c["parts"], F.lit(2))),
-                X.strip_u(c["name"])))).drop("__c")
+            d = d.withColumn("__c", F.filter("__c", lambda c: ~other(c) | (F.size(c["parts"]) > 1) | F.rlike(lw, c["java"])))
+            return d.withColumn(out, F.transform("__c", lambda c: F.when(~other(c), signal(c["near"], c["hit"], c["name"])).otherwise(_at(
+                signal, text, lw, F.length(F.element_at(c["parts"], 1)), F.length(lw) - F.length(F.try_element_at(c["parts"], F.lit(2))), c["name"])))).drop("__c")
         patterns = [r["pattern"] for r in rows]
     patterns = default if patterns is None else patterns
     staged = staged_pattern_offsets(df, low, [("__m", patterns)])
-    items = [F.when(F.col(f"__m{i}").isNotNull(), signal(text, lw, F.col(f"__m{i}.s"), F.col(f"__m{i}.e"), F.lit(p.strip())))
+    items = [F.when(F.col(f"__m{i}").isNotNull(), _at(signal, text, lw, F.col(f"__m{i}.s"), F.col(f"__m{i}.e"), F.lit(p.strip())))
              for i, p in enumerate(patterns)]
     return staged.withColumn(out, _compact(items)).drop(*[f"__m{i}" for i in range(len(patterns))])
 

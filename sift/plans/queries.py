@@ -137,8 +137,8 @@ def q_lexicon_large(spark, sf_dir):
 def q_patterns_large(spark, sf_dir):
     """C2, C3, E4 with two patterns a document."""
     d = DV.documents(spark, sf_dir).select("doc_id", "text").withColumn("low", F.lower("text"))
-    pats = DV.corpus_patterns(d)
-    digest = lambda c, n: (F.size(c).alias(f"n_{n}"), F.sha2(F.array_join(F.transform(c, lambda e: e["extracted_text"]), "|"), 256).alias(f"{n}_hash"))
+    pats = stored(DV.corpus_patterns(d), "sift-patterns")  # read four times
+    digest = lambda c, n: (F.size(c).alias(f"n_{n}"), F.sha2(F.array_join(f"{c}.extracted_text", "|"), 256).alias(f"{n}_hash"))
     # the digest goes on, not the signals, which are many times the text
     s = SG.with_action_signals(d, "text", "low", pats, "a").select(*d.columns, *digest("a", "action"))
     s = SG.with_urgency_signals(s, "text", "low", pats, "u").select("*", *digest("u", "urgency"))

@@ -154,3 +154,35 @@ def test_literals_of_any_length_at_any_place(spark):
     needles = spark.createDataFrame(list(enumerate(terms)), "ord int, literal string")
     got = {r.id: r.c for r in M.with_candidates(df, "low", needles, "c").select("id", F.size("c").alias("c")).collect()}
     assert got == {i: sum(t in (x or "") for t in terms) for i, x in enumerate(rows)}
+
+
+def test_plain_patterns():
+    cases = {r"the\s+cat": ["the cat"], r"the\s+(cat|la)[,.]": ["the cat,", "the cat.", "the la,", "the la."], r"a(b|bc)": None, r"a(|b)": None,
+             r"a\s+(\s+b|c)": None, "a b": None, r"a\s*b": None, r"\s+a": [" a"], r"a.b": None, r"[a-c]d": None, r"(?i)a": None, r"\ba": None,
+             r"[[a]b": None, "": None, "(": None, "[abcdefghij][abc]": None, "ay(ou|oo)": ["ayoo", "ayou"]}
+    assert {p: M.plain_forms(p) for p in cases} == cases
+    rnd = random.Random(6)
+    parts = ["a", "b", "é", r"\s+", "[ab]", "(a|b)", "(ab|c)", r"(a\s+|b)", "[,.]", "c"]
+    for p in ["".join(rnd.choices(parts, k=rnd.randint(1, 5))) for _ in range(600)]:
+        forms = M.plain_forms(p)
+        for t in ["".join(rnd.choices("abcé, \n", k=rnd.randint(0, 14))) for _ in range(8)] if forms else []:
+            low, m = re.sub(r"\s+", " ", t), re.search(p, t)
+            at = min(((low.find(f), f) for f in forms if f in low), default=None)
+            assert (m is None) == (at is None), (p, t)
+            if m:
+                places = M._spaced_places(t, len(low))
+                assert (places[at[0]], places[at[0] + len(at[1])]) == m.span(), (p, t)
+
+
+def test_plain_patterns_need_no_regex_per_text(spark, monkeypatch):
+    """Each candidate was once matched with its text by Java, which reads the pattern and the text anew."""
+    rows = [f"é🔥 go \n　 the{i} \t Cat, and the{i} cat. " + "x" * i + "İ the0  CAT." for i in range(30)] + [None, "", "the1 cat"]
+    pats = spark.createDataFrame([(i, rf"the{i}\s+(cat|dog)[,.]") for i in range(30)] + [(40, r"go\s+"), (41, r"x{3,}")], "ord int, pattern string")
+    df = spark.createDataFrame(list(enumerate(rows)), "id int, text string").withColumn("low", F.lower("text"))
+    get = lambda: [SG.with_urgency_signals(SG.with_action_signals(df, "text", "low", pats, "a"), "text", "low", pats, "u").orderBy("id").collect()]
+    inline = get()
+    monkeypatch.setattr(dicts, "MAX_INLINE_ROWS", -1)
+    assert get() == inline
+    needles = pats.selectExpr("cast(ord AS long) AS ord", "pattern").mapInArrow(SG._pattern_needles, "ord long, pattern string, java string, literal string")
+    found = M.with_first_matches(df, "text", "low", needles, "c", 20, 40, SG.java_pattern).select(F.explode("c").alias("c")).select("c.*").collect()
+    assert {r.name for r in found if r.java} == {r"x{3,}"} and all(r.near and r.hit for r in found if not r.java)
