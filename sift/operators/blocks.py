@@ -60,7 +60,7 @@ def in_blocks(df: DataFrame, size: Column, wanted: Callable[[DataFrame], DataFra
     a function from the ``args`` (Arrow arrays: columns, or what is made of them) of its rows to (first row, columns of ``fields``)
     pieces in order."""
     held = stored(df.select(F.struct(*[F.col(c) for c in df.columns]).alias("__row"), F.coalesce(size, F.lit(0)).cast("long").alias("__size"),
-                            F.xxhash64(F.monotonically_increasing_id()).alias("__deal")), "sift-blocks")
+                            F.xxhash64(F.monotonically_increasing_id()).alias("__deal")), "sift-blocks", "zstd")
     total = held.agg(F.coalesce(F.sum("__size"), F.lit(0)).alias("n")).first()["n"]
     n = max(df.sparkSession.sparkContext.defaultParallelism, -(-total // BLOCK_BYTES))
     dealt = held.select(F.pmod("__deal", F.lit(n)).cast("int").alias("__block"), "__row")
